@@ -1,6 +1,6 @@
 """All registered queries; importing the package registers them."""
 
 from tickloom.plans.catalog.registry import ORACLES, QUERIES
-from tickloom.plans.catalog import factor_queries  # noqa: F401
+from tickloom.plans.catalog import factor_queries, panel_queries, signal_queries  # noqa: F401
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -97,7 +97,7 @@ CTES: dict[str, str] = {
       w20 AS (PARTITION BY code ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)) t
   LEFT JOIN rsrs r USING (code, date)""",
     # strictly-before panel: the row a decision at `date` may see
-    "asof": """SELECT c.date, c.idx, f.* EXCLUDE (date), f.date AS bar_date FROM (
+    "asof_before": """SELECT c.date, c.idx, f.* EXCLUDE (date), f.date AS bar_date FROM (
     SELECT *, coalesce(lead(fi) OVER (PARTITION BY code ORDER BY fi), 1000000) AS nxt FROM (
       SELECT f0.*, k.idx AS fi FROM filled f0 JOIN calendar k USING (date))) f
   JOIN calendar c ON c.idx > f.fi AND c.idx <= f.nxt""",
