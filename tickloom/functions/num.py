@@ -37,3 +37,9 @@ def r(x, digits: int = 6) -> Column:
 
 def clamp(x, low: float, high: float) -> Column:
     return F.greatest(F.least(as_col(x), F.lit(high)), F.lit(low))
+
+
+def f32(x) -> Column:
+    """Cut to single precision for comparison. Binary rounding has no ties on the
+    two-decimal amounts and their quotients, unlike rounding to decimal places."""
+    return as_col(x).cast("float").cast("double") + F.lit(0.0)

@@ -34,8 +34,8 @@ def running_sums(
     sums: Sequence[str],
     low_of: str | None = None,
 ) -> DataFrame:
-    """Add ``run_<c>`` for every column in ``sums``; with ``low_of`` also ``low``,
-    the lowest running sum of that column so far.
+    """Add ``run_<c>`` for every column in ``sums``; with ``low_of`` also ``low``, the
+    lowest running sum of that column so far, and ``low_before``, the same one row earlier.
 
     ``order`` must sort rows within the finest slice and each level must be
     monotone in the overall row order of a key.
@@ -43,7 +43,31 @@ def running_sums(
     if low_of is not None:
         df = df.withColumn("__dip", F.col(low_of))
     out = _scan(df, list(keys), list(levels), list(order), list(sums), low_of)
-    return out.drop("__dip", "__at", *[f"before_{c}" for c in sums], "__low_before")
+    return out.withColumnRenamed("__low_before", "low_before").drop(
+        "__dip", "__at", *[f"before_{c}" for c in sums]
+    )
+
+
+def running_max(
+    df: DataFrame, keys: Sequence[str], levels: Sequence[str], order: Sequence[str], col: str, out: str
+) -> DataFrame:
+    """Add the highest value of ``col`` so far, slice by slice."""
+    return _highest(df, list(keys), list(levels), list(order), col, out).drop("__max_before")
+
+
+def _highest(df, keys, levels, order, col, out):
+    group = keys + levels
+    own = df.withColumns(
+        {out: F.max(col).over(_upto(group, order)), "__max_before": F.max(col).over(_before(group, order))}
+    )
+    if not levels:
+        return own
+    tops = df.groupBy(*group).agg(F.max(col).alias(col))
+    upper = _highest(tops, keys, levels[:-1], [levels[-1]], col, "__top")
+    own = own.join(upper.select(*group, F.col("__max_before").alias("__carry")), group)
+    return own.withColumns(
+        {out: F.greatest(out, "__carry"), "__max_before": F.greatest("__max_before", "__carry")}
+    ).drop("__carry")
 
 
 def _scan(df, keys, levels, order, sums, low_of):

@@ -1,6 +1,12 @@
 """All registered queries; importing the package registers them."""
 
 from tickloom.plans.catalog.registry import ORACLES, QUERIES
-from tickloom.plans.catalog import factor_queries, ingest_queries, panel_queries, signal_queries  # noqa: F401
+from tickloom.plans.catalog import (  # noqa: F401
+    factor_queries,
+    ingest_queries,
+    panel_queries,
+    portfolio_queries,
+    signal_queries,
+)
 
 __all__ = ["ORACLES", "QUERIES"]
