@@ -120,13 +120,15 @@ def fifo_pnl(
         F.when(is_buy(), F.col("run_buy") - F.col("qty")).otherwise(F.col("sold_upto") - F.col("covered")).alias("lo"),
         F.when(is_buy(), F.col("run_buy")).otherwise(F.col("sold_upto")).alias("hi"),
     )
-    cut = F.sequence(F.floor(F.col("lo") / span), F.ceil(F.col("hi") / span) - 1)
+    first = F.floor(F.col("lo") / span)
     pieces = (
-        laid.filter("hi > lo")
-        .withColumn("__k", F.explode(cut))
+        laid.filter("hi > lo OR NOT is_buy")
+        .withColumn("__k", F.explode(F.sequence(first, F.greatest(first, F.ceil(F.col("hi") / span) - 1))))
         .withColumns({"lo": F.greatest("lo", F.col("__k") * span), "hi": F.least("hi", (F.col("__k") + 1) * span)})
     )
-    along = Window.partitionBy("code", "__k").orderBy("lo", F.col("is_buy").desc())
+    # A sell covered by nothing is an empty stretch and must sort before the one that
+    # starts at the same place.
+    along = Window.partitionBy("code", "__k").orderBy("lo", F.col("is_buy").desc(), "hi")
     upto = along.rowsBetween(Window.unboundedPreceding, 0)
     lot = F.struct("hi", "price", *ids)
     swept = pieces.withColumns(
@@ -137,16 +139,13 @@ def fifo_pnl(
         }
     )
     size = F.least(F.col("__next"), F.col("__b.hi"), F.col("__s.hi")) - F.col("lo")
-    parts = (
-        swept.filter("__b IS NOT NULL AND __s IS NOT NULL")
-        .withColumn("__n", size).filter("__n > 0")
-        .select("code", *[F.col(f"__s.{i}").alias(i) for i in ids], F.col("__n").alias("covered"),
-                (F.col("__n") * (F.col("__s.price") - F.col("__b.price"))).alias("pnl"))
-    )
-    none = trades.filter(~is_buy()).select("code", *ids, F.lit(0.0).alias("covered"), F.lit(0.0).alias("pnl"))
-    out = parts.unionByName(none).groupBy("code", *ids).agg(
-        F.sum("covered").alias("covered"), F.sum("pnl").alias("pnl")
+    both = F.col("__b").isNotNull() & F.col("__s").isNotNull()
+    matched = swept.withColumn("__n", F.when(both, F.greatest(size, F.lit(0.0))).otherwise(0.0))
+    parts = matched.filter("__n > 0 OR NOT is_buy").select(
+        "code", *[F.col(f"__s.{i}").alias(i) for i in ids], F.col("__n").alias("covered"),
+        F.when(F.col("__n") > 0, F.col("__n") * (F.col("__s.price") - F.col("__b.price"))).otherwise(0.0).alias("pnl"),
     )
+    out = parts.groupBy("code", *ids).agg(F.sum("covered").alias("covered"), F.sum("pnl").alias("pnl"))
     return out.withColumn("win", F.signum("pnl"))
 
 

@@ -4,6 +4,7 @@ from tickloom.plans.catalog.registry import ORACLES, QUERIES
 from tickloom.plans.catalog import (  # noqa: F401
     factor_queries,
     ingest_queries,
+    live_queries,
     panel_queries,
     portfolio_queries,
     signal_queries,
