@@ -8,6 +8,7 @@ from tickloom.plans.catalog import (  # noqa: F401
     panel_queries,
     portfolio_queries,
     signal_queries,
+    storage_queries,
 )
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -1,0 +1,18 @@
+"""Folders for queries that write and read back."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import SparkSession
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """A new folder under the shared one the cluster names, or a temporary one in local mode."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
+        return tempfile.mkdtemp(prefix="tickloom-")
+    return f"{shared.rstrip('/')}/tickloom-{uuid.uuid4().hex}"

@@ -19,10 +19,15 @@ LATENESS = "10 minutes"
 
 
 def read_files(
-    spark: SparkSession, path: str, fmt: str = "parquet", schema: StructType = QUOTES, files_per_batch: int = 1000
+    spark: SparkSession, path: str, fmt: str = "parquet", schema: StructType = QUOTES, files_per_batch: int = 1000,
+    only: str | None = None,
 ) -> DataFrame:
-    """Quote files as they land. ``files_per_batch`` bounds what one micro-batch holds."""
-    return spark.readStream.format(fmt).schema(schema).option("maxFilesPerTrigger", files_per_batch).load(path)
+    """Quote files as they land in a folder, optionally those matching a name pattern.
+
+    ``files_per_batch`` bounds what one micro-batch holds.
+    """
+    reader = spark.readStream.format(fmt).schema(schema).option("maxFilesPerTrigger", files_per_batch)
+    return (reader.option("pathGlobFilter", only) if only else reader).load(path)
 
 
 def read_kafka(
@@ -83,6 +88,13 @@ def score_stream(quotes: DataFrame, state: DataFrame, strategies=None, lateness:
     return score_quotes(limited, state, **names)
 
 
+def score_batch(
+    quotes: DataFrame, state: DataFrame, width: str = RECOMPUTE_EVERY, tie: str | None = None
+) -> DataFrame:
+    """A scan over one micro-batch: last quote per code and window, scored."""
+    return score_quotes(last_per_window(quotes, width, tie), state)
+
+
 def run_scans(
     scored: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = SCAN_EVERY
 ) -> StreamingQuery:
@@ -96,5 +108,5 @@ def run_scans(
 
 __all__ = [
     "LATENESS", "RECOMPUTE_EVERY", "SCAN_EVERY", "keep_latest", "last_per_window", "latest", "read_files",
-    "read_kafka", "run_scans", "score_stream",
+    "read_kafka", "run_scans", "score_batch", "score_stream",
 ]
