@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -43,3 +43,11 @@ def f32(x) -> Column:
     """Cut to single precision for comparison. Binary rounding has no ties on the
     two-decimal amounts and their quotients, unlike rounding to decimal places."""
     return as_col(x).cast("float").cast("double") + F.lit(0.0)
+
+
+def micros(df: DataFrame, ts: str) -> Column:
+    """Microseconds of a time column. Times without a zone count as UTC, whatever the session's zone."""
+    at = F.col(ts)
+    if dict(df.dtypes)[ts] == "timestamp_ntz":
+        at = F.concat(at.cast("string"), F.lit("Z"))
+    return F.unix_micros(at.cast("timestamp"))

@@ -9,7 +9,7 @@ scanned at the next coarser level.
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from collections import deque
 from collections.abc import Callable, Sequence
 
 import pandas as pd
@@ -214,21 +214,21 @@ def spaced_picks(
     instants = rows.groupBy(key, "__slice", ts).agg(F.min(tie).alias("__first"))
 
     # Walking back in time, the last pick reached from an instant is the one reached
-    # from the first instant a window later, which has been seen already.
-    def last_pick(state, row):
-        back, lasts = state
+    # from the first instant a window later. Only instants up to that one are kept.
+    def last_pick(ahead, row):
         t = row[0]
-        j = bisect_right(back, -(t + window_us)) - 1
-        last = t if j < 0 else lasts[j]
-        back.append(-t)
-        lasts.append(last)
-        return state, (last,)
+        free = t + window_us
+        while len(ahead) > 1 and ahead[1][0] >= free:
+            ahead.popleft()
+        last = ahead[0][1] if ahead and ahead[0][0] >= free else t
+        ahead.append((t, last))
+        return ahead, (last,)
 
     reach = ordered_fold(
         instants.withColumn("__back", -F.col(ts)),
         [key, "__slice"], ["__back"],
         StructType([StructField("__last", LongType())]),
-        lambda row: ([], []), last_pick, reads=[ts],
+        lambda row: deque(), last_pick, reads=[ts],
     )
     # Earlier picks lie before the slice, so they lead either into its first window or
     # to the first instant after that. Neighbours with one outcome make one step.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.functions.num import as_col
+from tickloom.functions.num import as_col, micros
 from tickloom.functions.scan import spaced_picks
 
 DEDUP_SECONDS = 300
@@ -88,13 +88,12 @@ def full_subject(level="level", subject="subject") -> Column:
 
 def throttle(
     alerts: DataFrame, window_seconds: int = DEDUP_SECONDS, key: str = "key", ts: str = "ts", tie: str = "event_id",
-    slice_windows: int = 32,
+    slice_windows: int = 16,
 ) -> DataFrame:
     """Alerts that go out: per key only those at least the window after the last one sent."""
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
     width = window_seconds * 1_000_000
     marked = spaced_picks(
-        alerts.withColumn("__us", micros), key, "__us", tie, width, width * slice_windows, "__sent"
+        alerts.withColumn("__us", micros(alerts, ts)), key, "__us", tie, width, width * slice_windows, "__sent"
     )
     return marked.filter("__sent").drop("__us", "__sent")
 

@@ -37,6 +37,7 @@ TINY = 1e-9
 
 # Quantity units per slice when buys and sells are laid side by side.
 MATCH_SPAN = 10_000
+BARE_SLICES = 1 << 16
 
 
 # ---------------------------------------------------------------- costs and sizing
@@ -121,14 +122,21 @@ def fifo_pnl(
         F.when(is_buy(), F.col("run_buy")).otherwise(F.col("sold_upto")).alias("hi"),
     )
     first = F.floor(F.col("lo") / span)
-    pieces = (
-        laid.filter("hi > lo OR NOT is_buy")
-        .withColumn("__k", F.explode(F.sequence(first, F.greatest(first, F.ceil(F.col("hi") / span) - 1))))
-        .withColumns({"lo": F.greatest("lo", F.col("__k") * span), "hi": F.least("hi", (F.col("__k") + 1) * span)})
+    # A sell covered by nothing takes part in no slice; any number of them may sit at one
+    # place of the axis, so they are spread over slices of their own.
+    bare = F.col("hi") <= F.col("lo")
+    aside = -1 - F.pmod(F.xxhash64(*ids), F.lit(BARE_SLICES))
+    inside = F.sequence(first, F.greatest(first, F.ceil(F.col("hi") / span) - 1))
+    pieces = laid.filter("hi > lo OR NOT is_buy").withColumn(
+        "__k", F.explode(F.when(bare, F.array(aside)).otherwise(inside))
     )
-    # A sell covered by nothing is an empty stretch and must sort before the one that
-    # starts at the same place.
-    along = Window.partitionBy("code", "__k").orderBy("lo", F.col("is_buy").desc(), "hi")
+    pieces = pieces.withColumns(
+        {
+            "lo": F.when(bare, F.col("lo")).otherwise(F.greatest("lo", F.col("__k") * span)),
+            "hi": F.when(bare, F.col("lo")).otherwise(F.least("hi", (F.col("__k") + 1) * span)),
+        }
+    )
+    along = Window.partitionBy("code", "__k").orderBy("lo", F.col("is_buy").desc())
     upto = along.rowsBetween(Window.unboundedPreceding, 0)
     lot = F.struct("hi", "price", *ids)
     swept = pieces.withColumns(

@@ -111,9 +111,13 @@ def run_stats(log: DataFrame, failed_cap: int = 200, invalid_cap: int = 100) ->
     sources = source_counts(log).agg(
         F.sort_array(F.collect_list(F.struct("source", "calls"))).alias("source_counts")
     )
-    return counts.join(sources).join(detail("failed", failed_cap, "failed_detail")).join(
-        detail("validation", invalid_cap, "validation_failure_detail")
-    )
+    parts = [counts, sources, detail("failed", failed_cap, "failed_detail"),
+             detail("validation", invalid_cap, "validation_failure_detail")]
+    # Four one-row results side by side.
+    stacked = parts[0]
+    for part in parts[1:]:
+        stacked = stacked.unionByName(part, allowMissingColumns=True)
+    return stacked.agg(*[F.first(c, ignorenulls=True).alias(c) for c in stacked.columns])
 
 
 def save_run_stats(log: DataFrame, path: str) -> None:

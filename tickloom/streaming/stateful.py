@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
+from tickloom.functions.num import micros
 from tickloom.operators import portfolio as pf
 from tickloom.operators.alerts import DEDUP_SECONDS
 from tickloom.session import STATE_STORE
@@ -54,10 +55,8 @@ def throttle_stream(
     alerts: DataFrame, window_seconds: int = DEDUP_SECONDS, key: str = "key", ts: str = "ts", tie: str = "event_id"
 ) -> DataFrame:
     """Streaming form of :func:`tickloom.operators.alerts.throttle`."""
-    from pyspark.sql import functions as F
-
     alerts.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
-    timed = alerts.withColumn("us", F.unix_micros(F.col(ts).cast("timestamp")))
+    timed = alerts.withColumn("us", micros(alerts, ts))
     return timed.groupBy(key).transformWithStateInPandas(
         statefulProcessor=ThrottleState(window_seconds * 1_000_000, tie),
         outputStructType=timed.schema, outputMode="Append", timeMode="None",
