@@ -5,7 +5,7 @@ from collections import deque
 
 import pytest
 
-from tickloom.functions.scan import affine_scan, running_max, running_sums, spaced_picks
+from tickloom.functions.scan import affine_scan, running_max, running_sums, slicing, spaced_picks
 from tickloom.operators import portfolio as pf
 
 
@@ -62,6 +62,12 @@ def test_affine_scan(spark):
             assert got[r[3]] == pytest.approx(y, abs=1e-9)
 
 
+def test_slicing_is_as_coarse_as_the_limit_allows(spark):
+    df = spark.createDataFrame(rows_with_hot_key(), SCHEMA)
+    for limit, want in ((1000, ([], ["day", "part", "i"])), (50, (["day"], ["part", "i"])), (10, (["day", "part"], ["i"]))):
+        assert slicing(df, ["code"], ["day", "part"], ["i"], limit) == want
+
+
 def random_trades(seed, n=500):
     rng = random.Random(seed)
     out = []
@@ -75,10 +81,11 @@ def random_trades(seed, n=500):
 TRADES = "code string, day int, part int, i int, side string, qty double, price double"
 
 
+@pytest.mark.parametrize("limit", [5, 30, 10_000])
 @pytest.mark.parametrize("seed,span", [(1, 40), (2, 500), (3, 10_000)])
-def test_fifo_equals_queue(spark, seed, span):
+def test_fifo_equals_queue(spark, seed, span, limit):
     rows = random_trades(seed)
-    out = pf.fifo_pnl(spark.createDataFrame(rows, TRADES), ["day", "part"], ["i"], ["i"], span=span)
+    out = pf.fifo_pnl(spark.createDataFrame(rows, TRADES), ["day", "part"], ["i"], ["i"], span=span, limit=limit)
     got = {r["i"]: (r["covered"], r["pnl"]) for r in out.collect()}
     lots = {}
     for code, _, _, i, side, qty, price in rows:
@@ -99,9 +106,10 @@ def test_fifo_equals_queue(spark, seed, span):
     assert not got
 
 
-def test_average_cost_equals_ledger(spark):
+@pytest.mark.parametrize("limit", [5, 30, 10_000])
+def test_average_cost_equals_ledger(spark, limit):
     rows = random_trades(7)
-    out = pf.average_cost(spark.createDataFrame(rows, TRADES), ["day", "part"], ["i"])
+    out = pf.average_cost(spark.createDataFrame(rows, TRADES), ["day", "part"], ["i"], limit=limit)
     got = {r["i"]: (r["held"], r["avg_cost"]) for r in out.collect()}
     state = {}
     for code, _, _, i, side, qty, price in rows:

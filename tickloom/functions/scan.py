@@ -4,7 +4,7 @@ A plain ``Window.partitionBy(key)`` puts a whole key into one task. Trades, quot
 and alerts of one hot key can be a third of the table, so scans over them work on
 *slices*: the caller names nested columns (coarse to fine) that follow the row order
 within a key, every slice is scanned on its own, and only one total per slice is
-scanned at the next coarser level.
+scanned at the next coarser level. :func:`slicing` measures how fine the slices must be.
 """
 
 from __future__ import annotations
@@ -17,6 +17,29 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
+from tickloom.session import cut_lineage
+
+
+# Most rows of one slice, and so of one window partition.
+SLICE_ROWS = 1 << 21
+
+
+def slicing(
+    df: DataFrame, keys: Sequence[str], levels: Sequence[str], order: Sequence[str], limit: int = SLICE_ROWS
+) -> tuple[list[str], list[str]]:
+    """The coarsest prefix of ``levels`` whose largest slice holds at most ``limit`` rows,
+    and the order within such slices.
+
+    Counting reads the key columns only and shuffles one row per slice and task. With no
+    large key the answer is no levels at all: a plain window, without joins.
+    """
+    levels, order = list(levels), list(order)
+    for n in range(len(levels)):
+        largest = df.groupBy(*keys, *levels[:n]).count().agg(F.max("count")).first()[0]
+        if (largest or 0) <= limit:
+            return levels[:n], levels[n:] + order
+    return levels, order
+
 
 def _upto(keys, order):
     return Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
@@ -181,7 +204,9 @@ def _affine(df, keys, levels, order, a, b):
     local = ordered_fold(
         df, group, order, _AFFINE, lambda row: (1.0, 0.0), _compose, reads=[a, b]
     )
-    if not levels:
+    if levels:
+        local = cut_lineage(local)  # read for the totals and again for the rows
+    else:
         x = local.withColumn("__x", F.col("__pb")).drop("__pa", "__pb")
         w = Window.partitionBy(*keys).orderBy(*order)
         return x.withColumn("__x_before", F.coalesce(F.lag("__x").over(w), F.lit(0.0)))

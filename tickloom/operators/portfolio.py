@@ -14,7 +14,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
 from tickloom.functions.num import as_col, div
-from tickloom.functions.scan import affine_scan, ordered_fold, running_max, running_sums
+from tickloom.functions.scan import (
+    SLICE_ROWS,
+    affine_scan,
+    ordered_fold,
+    running_max,
+    running_sums,
+    slicing,
+)
 from tickloom.operators.panel import asof_join
 
 # Cost model and limits.
@@ -83,7 +90,9 @@ def live_lots(cash, price, cap: float = MAX_POSITION, slippage: float = LIVE_SLI
 # ---------------------------------------------------------------- lots
 
 
-def booked(trades: DataFrame, levels: Sequence[str], order: Sequence[str]) -> DataFrame:
+def booked(
+    trades: DataFrame, levels: Sequence[str], order: Sequence[str], limit: int = SLICE_ROWS
+) -> DataFrame:
     """Adds per trade what is held after it and how much of a sell was covered.
 
     Sells may exceed holdings; what they exceed them by is the depth of the running
@@ -91,6 +100,7 @@ def booked(trades: DataFrame, levels: Sequence[str], order: Sequence[str]) -> Da
     """
     buy = F.when(is_buy(), F.col("qty")).otherwise(0.0)
     sell = F.when(is_buy(), 0.0).otherwise(F.col("qty"))
+    levels, order = slicing(trades, ["code"], levels, order, limit)
     t = trades.withColumns({"buy": buy, "sell": sell, "signed": buy - sell})
     run = running_sums(t, ["code"], levels, order, ["buy", "sell", "signed"], low_of="signed")
     zero = F.lit(0.0)
@@ -106,7 +116,7 @@ def booked(trades: DataFrame, levels: Sequence[str], order: Sequence[str]) -> Da
 
 def fifo_pnl(
     trades: DataFrame, levels: Sequence[str], order: Sequence[str], ids: Sequence[str],
-    span: int = MATCH_SPAN,
+    span: int = MATCH_SPAN, limit: int = SLICE_ROWS,
 ) -> DataFrame:
     """Realised profit of every sell against the oldest lots: (code, ids, covered, pnl, win).
 
@@ -115,7 +125,7 @@ def fifo_pnl(
     axis is cut every ``span`` units; a slice is swept once in order and no pairs of
     trades are formed.
     """
-    b = booked(trades, levels, order)
+    b = booked(trades, levels, order, limit)
     laid = b.select(
         "code", *ids, F.col("price"), is_buy().alias("is_buy"),
         F.when(is_buy(), F.col("run_buy") - F.col("qty")).otherwise(F.col("sold_upto") - F.col("covered")).alias("lo"),
@@ -157,13 +167,16 @@ def fifo_pnl(
     return out.withColumn("win", F.signum("pnl"))
 
 
-def average_cost(trades: DataFrame, levels: Sequence[str], order: Sequence[str]) -> DataFrame:
+def average_cost(
+    trades: DataFrame, levels: Sequence[str], order: Sequence[str], limit: int = SLICE_ROWS
+) -> DataFrame:
     """Adds ``held`` and the moving average cost ``avg_cost`` after each trade.
 
     A buy mixes the old cost with its price, a sell leaves the cost: both are maps
     cost -> a * cost + b, which :func:`affine_scan` composes slice by slice.
     """
-    b = booked(trades, levels, order)
+    levels, order = slicing(trades, ["code"], levels, order, limit)
+    b = booked(trades, levels, order, limit)
     share = div("qty", "held")
     maps = b.withColumns(
         {
@@ -276,10 +289,12 @@ def exit_scan(
 def live_exits(
     positions: DataFrame, quotes: DataFrame, levels: Sequence[str], order: Sequence[str],
     stop: float = LIVE_STOP_LOSS, take: float = LIVE_TAKE_PROFIT, trail: float = LIVE_TRAILING,
+    limit: int = SLICE_ROWS,
 ) -> DataFrame:
     """Every quote of a held code that meets an exit rule, with the watermark up to that quote."""
     held = positions.select("code", "cost", F.col("watermark").alias("__wm"))
     ticks = quotes.join(held, "code")
+    levels, order = slicing(ticks, ["code"], levels, order, limit)
     high = running_max(ticks, ["code"], levels, order, "price", "__high")
     out = high.withColumn("watermark", F.greatest("__wm", "__high"))
     out = out.withColumn("event", exit_event("cost", "price", "watermark", stop, take, trail, live=True))

@@ -146,30 +146,36 @@ MULTI_FACTORS = ("ep", "growth", "cmom", "quality", "rev", "liq", "resvol")
 
 
 def multi_factor_scores(panel: DataFrame, p: Params) -> DataFrame:
-    """Needs the price factors ``cmom rev liq resvol n_rows`` and, joined by code,
-    ``pe_ttm net_profit_growth roe_ttm`` (all optional: unknown counts as 0)."""
+    """Adds ``multi``, unknown outside the scored universe.
+
+    Needs the price factors ``cmom rev liq resvol n_rows`` and, joined by code,
+    ``pe_ttm net_profit_growth roe_ttm`` (all optional: unknown counts as 0).
+    """
     zero = F.lit(0.0)
-    inputs = panel.filter(F.col("in_universe") & (F.col("n_rows") >= 20)).withColumns(
-        {
-            "ep": F.coalesce(earnings_yield(nonzero("pe_ttm")), zero),
-            "growth": F.coalesce("net_profit_growth", zero),
-            "quality": F.coalesce("roe_ttm", zero),
-        }
+    scored = F.col("in_universe") & (F.col("n_rows") >= 20)
+    inputs = {
+        "ep": F.coalesce(earnings_yield(nonzero("pe_ttm")), zero),
+        "growth": F.coalesce("net_profit_growth", zero),
+        "quality": F.coalesce("roe_ttm", zero),
+        **{c: F.col(c) for c in ("cmom", "rev", "liq", "resvol")},
+    }
+    # Rows outside the universe are unknown, so they do not enter mean and spread.
+    masked = panel.withColumn("__in", F.coalesce(scored, F.lit(False))).withColumns(
+        {c: F.when(F.col("__in"), x) for c, x in inputs.items()}
     )
     weights = {
         "ep": p["ep_weight"], "growth": p["growth_w"], "cmom": p["mom_w"], "quality": p["quality_w"],
         "rev": p["rev_w"], "liq": p["liq_w"], "resvol": p["res_vol_w"],
     }
-    return zscores(inputs, MULTI_FACTORS, eps=1e-9).withColumn("multi", composite(weights, "_z"))
+    out = zscores(masked, MULTI_FACTORS, eps=1e-9)
+    return out.withColumn("multi", F.when(F.col("__in"), composite(weights, "_z"))).drop("__in")
 
 
 def multi_factor(panel: DataFrame, p: Params) -> DataFrame:
     scored = multi_factor_scores(panel, p)
     buys = _buys(scored, F.col("multi"), p["top_n"], "multi-factor composite", above=0.3)
-    gone = panel.filter("held").join(scored.select("date", "code", "multi"), ["date", "code"], "left")
-    return buys.unionByName(
-        _sells(gone, F.coalesce(F.col("multi") < -0.5, F.lit(True)), "composite low")
-    )
+    low = F.coalesce(F.col("multi") < -0.5, F.lit(True))
+    return buys.unionByName(_sells(scored, low, "composite low"))
 
 
 def sector_momentum_blend(panel: DataFrame, p: Params) -> DataFrame:

@@ -18,7 +18,7 @@ from tickloom.plans.catalog.registry import query
 def live_quotes(spark, d):
     """Events as quotes around the last close of their code: 85% of it plus value / 200."""
     last = pn.latest_row(v.bars_m(spark, d), ["close"])
-    q = v.quotes(spark, d).join(last, "code")
+    q = v.spread(v.quotes(spark, d)).join(last, "code")
     return q.select("event_id", "code", "ts", (F.col("close") * (0.85 + F.col("price") / 200)).alias("price"))
 
 

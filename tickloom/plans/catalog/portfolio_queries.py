@@ -166,7 +166,7 @@ def _exit_sql(after: str) -> str:
 
 
 def _entries(spark, d):
-    return v.trades(spark, d).filter("side = 'BUY'").select(
+    return v.spread(v.trades(spark, d)).filter("side = 'BUY'").select(
         *SHOW, F.col("day").alias("entry_date"), F.col("price").alias("cost")
     )
 

@@ -14,7 +14,7 @@ from tickloom.plans.catalog.ingest_queries import LOG, run_log
 from tickloom.plans.catalog.live_queries import SCAN
 from tickloom.plans.catalog.portfolio_queries import PERF_COLS, _perf
 from tickloom.plans.catalog.registry import query
-from tickloom.plans.scratch import scratch_dir
+from tickloom.session import shared_dir
 from tickloom.sources import tables as tb
 from tickloom.streaming import quotes as qs
 from tickloom.streaming import sinks, stateful
@@ -24,7 +24,7 @@ PX = 'round("close", 7) + 0.0 AS "close"'
 
 def _stored_bars(spark, d):
     """Monthly bars written in the stored layout, for the readers to read."""
-    path = scratch_dir(spark) + "/bars"
+    path = shared_dir(spark) + "/bars"
     bars = v.bars_m(spark, d).withColumn("code", F.col("code").cast("string")).withColumn("amount", F.col("amount").cast("long"))
     tb.save_bars(bars, path)
     return path
@@ -73,7 +73,7 @@ def s04(spark, d):
     WHERE date BETWEEN DATE '1997-01-01' AND DATE '1999-06-30'""",
 )
 def s05(spark, d):
-    path = scratch_dir(spark) + "/sectors"
+    path = shared_dir(spark) + "/sectors"
     tb.save_sector_table(v.sector_m(spark, d).withColumn("sector_type", F.lit("industry"))
                          .withColumn("volume", F.col("volume").cast("double")), path)
     out = tb.load_sector_daily(spark, path, None, "industry", "1997-01-01", "1999-06-30")
@@ -82,7 +82,7 @@ def s05(spark, d):
 
 @query("s06_sector_map_round_trip", "SELECT 'parquet' AS fmt, sector_name, code FROM concept UNION ALL SELECT 'csv', sector_name, code FROM concept")
 def s06(spark, d):
-    base = scratch_dir(spark)
+    base = shared_dir(spark)
     members = v.concept(spark, d).select("sector_name", F.lit("concept").alias("sector_type"), F.col("code").cast("string").alias("code"))
     tb.save_sector_map(members, f"{base}/map", f"{base}/map_csv")
     out = None
@@ -121,7 +121,7 @@ def _log(spark, d):
     **LOG,
 )
 def s08(spark, d):
-    path = scratch_dir(spark) + "/stats"
+    path = shared_dir(spark) + "/stats"
     tb.save_run_stats(_log(spark, d), path)
     counts = "success bigint, failed bigint, skipped bigint, validation_failures bigint, total bigint"
     pairs = "array<struct<code:bigint,reason:string>>"
@@ -140,7 +140,7 @@ def s08(spark, d):
 )
 def s09(spark, d):
     """Failed list written with comments and broken rows between, read back clean."""
-    path = scratch_dir(spark) + "/failed"
+    path = shared_dir(spark) + "/failed"
     failed = run_log(spark, d).filter("status = 'failed'").select(F.col("code").cast("string").alias("code")).distinct()
     good = failed.withColumns({"market": F.lit("1"), "reason": F.lit("complete_fail")})
     noise = failed.select(F.concat(F.lit("# "), "code").alias("code"), F.lit("x").alias("market"), F.lit("").alias("reason"))
@@ -161,7 +161,7 @@ CURVES = """SELECT sector_name AS strategy, date AS ts, ln("close" + 1) + 100 AS
     **_perf("strategy", CURVES),
 )
 def s10(spark, d):
-    path = scratch_dir(spark) + "/results"
+    path = shared_dir(spark) + "/results"
     curves = v.sector_m(spark, d).select(
         F.col("sector_name").alias("strategy_name"), F.col("date").alias("ts"),
         (F.log(F.col("close") + 1) + 100).alias("total_value"),
@@ -190,7 +190,7 @@ def _quote_stream(spark, d):
 
 def _run(df, spark, mode="append"):
     """Run a stream over what is there into Parquet and return the result as a table."""
-    base = scratch_dir(spark)
+    base = shared_dir(spark)
     query_ = (
         df.writeStream.format("parquet").outputMode(mode).option("path", f"{base}/out")
         .option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start()
@@ -212,7 +212,7 @@ def s12(spark, d):
     """Alerts of a stream through the sink, with a handler that fails on every batch."""
     from tickloom.operators.alerts import signal_alert
 
-    base = scratch_dir(spark)
+    base = shared_dir(spark)
     kind = F.col("event_type")
     signals = _event_stream(spark, d).select(
         "event_id", "ts", F.col("user_id").alias("code"), F.col("user_id").cast("string").alias("name"),
@@ -233,7 +233,7 @@ def s12(spark, d):
     """SELECT code, max_by(event_id, (ts, event_id)) AS event_id, max(ts) AS ts FROM quotes GROUP BY code""",
 )
 def t01_stream(spark, d):
-    base = scratch_dir(spark)
+    base = shared_dir(spark)
     run = qs.keep_latest(_quote_stream(spark, d), f"{base}/table", f"{base}/ckpt", {"availableNow": True}, tie="event_id")
     run.awaitTermination()
     return spark.read.parquet(f"{base}/table/v={run.lastProgress['batchId'] if run.lastProgress else 0}").select(
@@ -287,7 +287,7 @@ def t13(spark, d):
     """The whole scan as one stream: a quote per code and minute, scored, gated, one batch per trigger."""
     from tickloom.operators.panel import latest_row
 
-    base = scratch_dir(spark)
+    base = shared_dir(spark)
     bars = v.bars_m(spark, d)
     last = latest_row(bars, ["close"])
     ticks = _quote_stream(spark, d).join(last, "code").select(

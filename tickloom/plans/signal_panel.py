@@ -1,4 +1,8 @@
-"""The decision panel every strategy query reads."""
+"""The decision panel every strategy query reads.
+
+A strategy reads its panel several times (buys, sales, statistics per date), and many
+strategies share one, so the panel is written once and read by column.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +11,7 @@ from pyspark.sql import functions as F
 from tickloom.operators import factors as fx
 from tickloom.operators import panel as pn
 from tickloom.plans import views as v
+from tickloom.session import cut_lineage
 
 FILLED = ("mom", "vol_factor", "vol_ratio", "rsrs_r2", "rsrs_zscore", "rsrs_adaptive")
 
@@ -20,14 +25,14 @@ def wide_factors(spark, d):
     return fx.residual_volatility(out, v.market_m(spark, d))
 
 
-def decision_panel(spark, d, cols=None):
+def decision_panel(spark, d):
     bars = v.bars_m(spark, d)
     cal = pn.calendar(bars)
     rows = wide_factors(spark, d)
     panel = pn.asof_factors(rows, cal, FILLED)
     keep = ["date", "code", "in_universe", "bar_date", "n_rows", "ret", "lb_change", "micro",
             "cmom", "rev", "liq", "resvol", *FILLED]
-    return pn.with_positions(panel.select(*(cols or keep)), v.positions_m(spark, d))
+    return cut_lineage(pn.with_positions(panel.select(*keep), v.positions_m(spark, d)))
 
 
 def price_panel(spark, d):
@@ -36,7 +41,7 @@ def price_panel(spark, d):
     rows = fx.lookback_change(fx.factor_panel(bars))
     panel = pn.asof_factors(rows, pn.calendar(bars), FILLED)
     keep = ["date", "code", "in_universe", "bar_date", "lb_change", *FILLED]
-    return pn.with_positions(panel.select(*keep), v.positions_m(spark, d))
+    return cut_lineage(pn.with_positions(panel.select(*keep), v.positions_m(spark, d)))
 
 
 def with_sector(panel, spark, d, n: int = 20):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,23 +27,26 @@ def local_session(cpus: str = "*", partitions: int = 8, memory: str = "20g") ->
     )
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; only a bare local session gets one of its own."""
-    if spark.sparkContext.getCheckpointDir() is not None:
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
+def shared_dir(spark: SparkSession) -> str:
+    """A new folder under the shared one the cluster names in ``spark.checkpoint.dir``.
+
+    Only a bare local session, which names none, gets a temporary one.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        shared = tempfile.mkdtemp(prefix="tickloom-ckpt-")
-    spark.sparkContext.setCheckpointDir(shared)
+        return tempfile.mkdtemp(prefix="tickloom-")
+    return f"{shared.rstrip('/')}/tickloom-{uuid.uuid4().hex}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from the written files.
+    """Write ``df`` as Parquet to the shared folder and go on from the files.
 
-    Used where several branches must see the very same rows and recomputing the
-    branch would repeat a shuffle of the full table.
+    For a table that several branches read: it is computed once, survives lost
+    executors, and every branch reads only its own columns. The files stay until the
+    shared folder's own clean-up.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = f"{shared_dir(df.sparkSession)}/table"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
