@@ -9,66 +9,85 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.num import clamp, div, nonzero
 from tickloom.operators import factors as fx
 from tickloom.operators.cross_section import renormalised
-from tickloom.operators.panel import latest_row, price_or_close
+from tickloom.operators.panel import price_or_close
 from tickloom.operators.signals import HUNTER_WEIGHTS, PARAMS
 
 MIN_ROWS = 30
 N = fx.OLS_WINDOW
 
-STATE = (
-    "close", "close_5", "close_20", "mean_20", "ma5", "ma20", "ma60", "n_rows", "rsrs_zscore", "hunter",
-    "lows", "highs", "su", "sw", "suu", "suw", "sww", "bs", "bq", "bn", "net9", "vol9", "vol5", "amt5",
-    "il_s", "il_q", "il_n", "cmom", "ret5_sum", "liq",
-)
-
-
 def live_state(bars: DataFrame, z: int = fx.Z_WINDOW, strategies=PARAMS) -> DataFrame:
-    """One row per code with everything the live strategies need."""
-    last = lambda k: fx.last_rows(k)
-    zero = F.lit(0.0)
-    df = fx.daily_return(fx.momentum(bars))
-    df = fx.rsrs(fx.volatility(df), N, z, mask=False)
-    u, w, b = F.col("low_norm") - 1, F.col("high_norm") - 1, F.col("rsrs_raw") - 1
-    span = F.col("high") - F.col("low")
-    net = div((F.col("close") - F.col("low")) - (F.col("high") - F.col("close")), span) * F.col("volume")
-    illiq = F.abs(F.col("ret")) / nonzero("amount")
-    df = df.withColumns({"__u": u, "__w": w, "__b": b, "__net": net, "__il": illiq})
-    sums = lambda c, k: F.coalesce(F.sum(c).over(last(k)), zero)
+    """One row per code with everything the live strategies need.
+
+    Only per-row factors use windows; the sums over the last rows are plain aggregates
+    over rows counted from the end, reduced before they are shuffled.
+    """
+    df = fx.volatility(fx.daily_return(fx.momentum(bars)))
+    df = fx.rsrs(df, N, z, mask=False)
+    whole, run = Window.partitionBy("code"), fx.so_far()
+    rows = F.count(F.lit(1))
     df = df.withColumns(
         {
-            # The regression window still to be completed by the quote.
-            "lows": sums("low", N - 1), "highs": sums("high", N - 1),
-            "su": sums("__u", N - 1), "sw": sums("__w", N - 1),
-            "suu": sums(u * u, N - 1), "suw": sums(u * w, N - 1), "sww": sums(w * w, N - 1),
-            "net9": sums("__net", 9), "vol9": sums("volume", 9),
-            "vol5": F.avg("volume").over(last(5)), "amt5": F.avg("amount").over(last(5)),
-            "il_s": sums("__il", 18), "il_q": sums(illiq * illiq, 18), "il_n": F.count("__il").over(last(18)),
-            "ret5_sum": sums("ret", 5),
+            "n_rows": rows.over(whole),
+            "__back": rows.over(whole) - F.row_number().over(fx.history()) + 1,
+            "__seen": F.count("close").over(run),
         }
     )
-    # Slopes of the last z-1 rows, by running sums as in the z-score itself.
-    run = fx.so_far()
-    df = df.withColumns({"__s": F.sum("__b").over(run), "__q": F.sum(b * b).over(run), "__n": F.count("__b").over(run)})
-    old = lambda c: F.coalesce(F.lag(c, z - 1).over(fx.history()), F.lit(0))
+    span = F.col("high") - F.col("low")
+    close, traded = F.col("close"), nonzero("amount")
     df = df.withColumns(
         {
-            "bs": F.coalesce("__s", zero) - old("__s"),
-            "bq": F.coalesce("__q", zero) - old("__q"),
-            "bn": F.col("__n") - old("__n"),
+            "u": F.col("low_norm") - 1, "w": F.col("high_norm") - 1, "b": F.col("rsrs_raw") - 1,
+            "net": div((close - F.col("low")) - (F.col("high") - close), span) * F.col("volume"),
+            "illiq": F.abs(F.col("ret")) / traded,
+            "known_adaptive": F.when(F.col("__seen") >= 2 * N, F.col("rsrs_adaptive")),
         }
     )
-    df = fx.live_levels(fx.moving_averages(fx.amihud_level(fx.compounded_momentum(df))))
-    # Masked and filled factors for the history-only strategies.
-    masked = fx.mask_new_listing(df, 2 * N, ("rsrs_adaptive",))
-    filled = fx.forward_fill(masked, ("rsrs_adaptive", "mom", "vol_factor", "rsrs_zscore"))
+    zero = F.lit(0.0)
+    u, w, b, illiq, ret = (F.col(c) for c in ("u", "w", "b", "illiq", "ret"))
+
+    def recent(x, n):
+        return F.when(F.col("__back") <= n, x)
+
+    def total(x, n):
+        return F.coalesce(F.sum(recent(x, n)), zero)
+
+    def at(x, k):
+        return F.max(F.when(F.col("__back") == k, x))
+
+    def mean(n):
+        known = F.count(recent(close, n))
+        return F.when(known == n, F.avg(recent(close, n)))
+
+    def last_known(c):
+        return F.max_by(c, F.when(F.col(c).isNotNull(), F.col("date")))
+
+    sums = {
+        # The regression window still to be completed by the quote.
+        "lows": total(F.col("low"), N - 1), "highs": total(F.col("high"), N - 1),
+        "su": total(u, N - 1), "sw": total(w, N - 1),
+        "suu": total(u * u, N - 1), "suw": total(u * w, N - 1), "sww": total(w * w, N - 1),
+        "bs": total(b, z - 1), "bq": total(b * b, z - 1), "bn": F.count(recent(b, z - 1)),
+        "net9": total(F.col("net"), 9), "vol9": total(F.col("volume"), 9),
+        "vol5": F.avg(recent(F.col("volume"), 5)), "amt5": F.avg(recent(F.col("amount"), 5)),
+        "il_s": total(illiq, 18), "il_q": total(illiq * illiq, 18), "il_n": F.count(recent(illiq, 18)),
+        "ret5_sum": total(ret, 5),
+        "cmom": F.coalesce(F.product(recent(1 + ret, 20)), F.lit(1.0)) - 1,
+        "liq": F.when(F.count(recent(traded, 20)) == 0, 0.0).otherwise(-F.avg(recent(illiq, 20))),
+        "close": at(close, 1), "close_5": at(close, 5), "close_20": at(close, 20),
+        "ma5": mean(5), "ma20": mean(20), "ma60": mean(60),
+        "n_rows": F.max("n_rows"),
+        "rsrs_zscore": last_known("rsrs_zscore"), "rsrs_adaptive": last_known("known_adaptive"),
+        "mom": last_known("mom"), "vol_factor": last_known("vol_factor"),
+    }
+    state = df.groupBy("code").agg(*[x.alias(c) for c, x in sums.items()])
     weights = strategies["alpha_hunter"].get("factor_weights", HUNTER_WEIGHTS)
-    return latest_row(filled.withColumn("hunter", renormalised(weights)), STATE)
+    return state.withColumn("hunter", renormalised(weights)).drop("rsrs_adaptive", "mom", "vol_factor")
 
 
 def with_quote_rsrs(df: DataFrame) -> DataFrame:
@@ -155,7 +174,7 @@ def short_term(p):
 
 
 def momentum_reversal(p):
-    m5, m20, ma = _gain("close_5"), _gain("close_20"), F.col("mean_20")
+    m5, m20, ma = _gain("close_5"), _gain("close_20"), F.col("ma20")
     rise, dip = (F.col("price") > ma) & (m20 > 0), (F.col("price") < ma) & (m5 < -0.05)
     ready = (F.col("n_rows") >= 20) & F.coalesce(F.col("close_20") > 0, F.lit(False))
     gain = F.when(rise, m20 * 5).otherwise(F.abs(m5) * 5)

@@ -208,8 +208,8 @@ def f19(spark, d):
 
 @query("f20_residual_volatility", f"SELECT {_sel('resvol')} FROM resvol", **MULTI)
 def f20(spark, d):
-    bars = fx.daily_return(v.bars_m(spark, d))
-    return _out(fx.residual_volatility(bars, v.market_m(spark, d)), "resvol")
+    bars = v.stored_m(spark, d)
+    return _out(fx.residual_volatility(fx.daily_return(bars), v.market_series(bars)), "resvol")
 
 
 @query(

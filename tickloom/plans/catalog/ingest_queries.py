@@ -663,7 +663,7 @@ def u05_counts(spark, d):
 def _ingest(spark, d):
     """Stored history to 2000-11; vendors deliver all months, the second lacks some nations."""
     cols = ["code", "date", "open", "high", "low", "close", "volume", "amount"]
-    bars = v.bars_m(spark, d).select(*cols)
+    bars = v.stored_m(spark, d).select(*cols)
     s = v.table(spark, d, "supplier").select(F.col("s_suppkey").alias("code"), "s_nationkey")
     stored = bars.filter(F.col("date") < "2000-12-01")
     a = v.src_a(spark, d).select(*cols)

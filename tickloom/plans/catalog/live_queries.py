@@ -15,15 +15,16 @@ from tickloom.plans.catalog.panel_queries import HUNTER_SQL
 from tickloom.plans.catalog.registry import query
 
 
-def live_quotes(spark, d):
+def live_quotes(spark, d, bars):
     """Events as quotes around the last close of their code: 85% of it plus value / 200."""
-    last = pn.latest_row(v.bars_m(spark, d), ["close"])
+    last = pn.latest_row(bars, ["close"])
     q = v.spread(v.quotes(spark, d)).join(last, "code")
     return q.select("event_id", "code", "ts", (F.col("close") * (0.85 + F.col("price") / 200)).alias("price"))
 
 
 def scores(spark, d, names=tuple(lv.LIVE)):
-    return lv.score_quotes(live_quotes(spark, d), lv.live_state(v.bars_m(spark, d)), names)
+    bars = v.stored_m(spark, d)
+    return lv.score_quotes(live_quotes(spark, d, bars), lv.live_state(bars), names)
 
 
 # The SQL side rebuilds each quote's window row by row instead of keeping sums.

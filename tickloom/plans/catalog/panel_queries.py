@@ -14,8 +14,8 @@ from tickloom.plans.catalog.registry import query
 from tickloom.plans.signal_panel import FILLED
 
 
-def _factors(spark, d):
-    return fx.factor_panel(v.bars_m(spark, d))
+def _factors(spark, d, bars=None):
+    return fx.factor_panel(bars if bars is not None else v.bars_m(spark, d))
 
 
 def _filled(spark, d):
@@ -128,8 +128,8 @@ def c05(spark, d):
 )
 def c06(spark, d):
     cols = ["rsrs_adaptive", "mom", "vol_factor", "vol_ratio"]
-    bars = v.bars_m(spark, d)
-    grid = pn.align(_factors(spark, d), pn.calendar(bars))
+    bars = v.stored_m(spark, d)
+    grid = pn.align(_factors(spark, d, bars), pn.calendar(bars))
     cells = cs.factor_map(grid, cols).select("date", "code", F.explode("scores").alias("factor", "value"))
     return cells.withColumn("value", r("value"))
 
@@ -204,7 +204,8 @@ def j04_join(spark, d):
     round(rsrs_adaptive, 6) + 0.0 AS rsrs_adaptive FROM asof_before""",
 )
 def j05(spark, d):
-    out = pn.asof_factors(_factors(spark, d), pn.calendar(v.bars_m(spark, d)), FILLED)
+    bars = v.stored_m(spark, d)
+    out = pn.asof_factors(_factors(spark, d, bars), pn.calendar(bars), FILLED)
     return out.select("date", "code", "bar_date", "in_universe", r("mom").alias("mom"), r("rsrs_adaptive").alias("rsrs_adaptive"))
 
 
@@ -226,7 +227,7 @@ def j06(spark, d):
     **DAILY,
 )
 def j07(spark, d):
-    bars = v.bars_d(spark, d)
+    bars = v.stored_d(spark, d)
     out = pn.align(bars.select("code", "date", "close", "volume"), pn.calendar(bars))
     return out.select("code", "date", "idx", r("close", 7).alias("close"), "volume")
 
@@ -238,7 +239,7 @@ def j07(spark, d):
     **DAILY,
 )
 def j08(spark, d):
-    bars = v.bars_d(spark, d)
+    bars = v.stored_d(spark, d)
     out = pn.exactly_before(bars.select("code", "date", "close"), pn.calendar(bars))
     return out.select("date", "code", "bar_date", r("close", 7).alias("close"))
 
@@ -266,7 +267,8 @@ def j09_members(spark, d):
     mret='SELECT date, "close" / nullif(lag("close") OVER (ORDER BY date), 0) - 1 AS mkt FROM market_m',
 )
 def j10(spark, d):
-    out = pn.with_market_return(v.bars_m(spark, d), v.market_m(spark, d))
+    bars = v.stored_m(spark, d)
+    out = pn.with_market_return(bars, v.market_series(bars))
     return out.select("code", "date", r("ret").alias("ret"), r("mkt_ret").alias("mkt_ret"))
 
 
@@ -292,7 +294,7 @@ def j11(spark, d):
 )
 def j12(spark, d):
     """Every up day as a signal, filled at the next day's open when the code trades then."""
-    bars = v.bars_d(spark, d)
+    bars = v.stored_d(spark, d)
     signals = bars.filter("close > open").select("date", "code")
     out = pn.next_bar_price(signals, bars, pn.calendar(bars))
     return out.select("date", "code", "exec_date", r("exec_price", 7).alias("exec_price"))
@@ -315,7 +317,8 @@ def j13(spark, d):
 )
 def j14(spark, d):
     """Held codes whose latest momentum before the decision is negative."""
-    panel = pn.asof_factors(fx.momentum(v.bars_m(spark, d)), pn.calendar(v.bars_m(spark, d)), ["mom"])
+    bars = v.stored_m(spark, d)
+    panel = pn.asof_factors(fx.momentum(bars), pn.calendar(bars), ["mom"])
     out = v.positions_m(spark, d).join(panel.filter("mom < 0"), ["date", "code"])
     return out.select("date", "code", "entry_date", r("mom").alias("mom"))
 

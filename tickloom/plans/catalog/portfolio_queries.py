@@ -223,7 +223,7 @@ def p12(spark, d):
     val="SELECT date, sum(held * px) AS mv FROM grid2 GROUP BY date",
 )
 def p13(spark, d):
-    bars = v.bars_m(spark, d)
+    bars = v.stored_m(spark, d)
     book = pf.with_costs(_booked(spark, d)).withColumns(
         {"date": F.trunc("day", "month"), "seq": F.struct(*IDS)}
     )

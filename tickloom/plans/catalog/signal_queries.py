@@ -72,7 +72,7 @@ EXACT = dict(
     **EXACT,
 )
 def g01_exact(spark, d):
-    bars = v.bars_m(spark, d)
+    bars = v.stored_m(spark, d)
     rows = fx.rsrs(bars).select("code", "date", "rsrs_adaptive")
     panel = pn.exactly_before(rows, pn.calendar(bars)).withColumn("in_universe", F.lit(True))
     panel = pn.with_positions(panel, v.positions_m(spark, d))
@@ -211,7 +211,8 @@ BLEND = dict(
     **BLEND,
 )
 def g09(spark, d):
-    panel = with_sector(price_panel(spark, d), spark, d)
+    bars = v.stored_m(spark, d)
+    panel = with_sector(price_panel(spark, d, bars), spark, d, bars)
     return _show(sg.run_strategy("sector_momentum", panel))
 
 

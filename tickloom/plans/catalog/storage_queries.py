@@ -288,7 +288,7 @@ def t13(spark, d):
     from tickloom.operators.panel import latest_row
 
     base = shared_dir(spark)
-    bars = v.bars_m(spark, d)
+    bars = v.stored_m(spark, d)
     last = latest_row(bars, ["close"])
     ticks = _quote_stream(spark, d).join(last, "code").select(
         "event_id", "code", "ts", (F.col("close") * (0.85 + F.col("price") / 200)).alias("price")

@@ -16,38 +16,37 @@ from tickloom.session import cut_lineage
 FILLED = ("mom", "vol_factor", "vol_ratio", "rsrs_r2", "rsrs_zscore", "rsrs_adaptive")
 
 
-def wide_factors(spark, d):
+def wide_factors(bars):
     """All row-level inputs of the strategies; one exchange on code for all windows."""
-    out = fx.factor_panel(v.bars_m(spark, d))
-    out = fx.microstructure(fx.lookback_change(out))
-    out = fx.amihud_level(fx.reversal(fx.compounded_momentum(out)))
+    out = fx.lookback_change(fx.factor_panel(bars))
+    out = fx.amihud_level(fx.reversal(fx.compounded_momentum(fx.microstructure(out))))
     out = out.withColumn("n_rows", F.row_number().over(fx.history()))
-    return fx.residual_volatility(out, v.market_m(spark, d))
+    return fx.residual_volatility(out, v.market_series(bars))
 
 
-def decision_panel(spark, d):
-    bars = v.bars_m(spark, d)
-    cal = pn.calendar(bars)
-    rows = wide_factors(spark, d)
-    panel = pn.asof_factors(rows, cal, FILLED)
-    keep = ["date", "code", "in_universe", "bar_date", "n_rows", "ret", "lb_change", "micro",
-            "cmom", "rev", "liq", "resvol", *FILLED]
-    return cut_lineage(pn.with_positions(panel.select(*keep), v.positions_m(spark, d)))
+def _decide(spark, d, bars, rows, keep):
+    panel = pn.asof_factors(rows, pn.calendar(bars), FILLED)
+    shown = panel.select("date", "code", "in_universe", "bar_date", "lb_change", *keep, *FILLED)
+    return cut_lineage(pn.with_positions(shown, v.positions_m(spark, d)))
+
 
+def decision_panel(spark, d, bars=None):
+    bars = bars if bars is not None else v.stored_m(spark, d)
+    keep = ["n_rows", "ret", "micro", "cmom", "rev", "liq", "resvol"]
+    return _decide(spark, d, bars, wide_factors(bars), keep)
 
-def price_panel(spark, d):
+
+def price_panel(spark, d, bars=None):
     """The narrower panel of the strategies that use price and regression factors only."""
-    bars = v.bars_m(spark, d)
-    rows = fx.lookback_change(fx.factor_panel(bars))
-    panel = pn.asof_factors(rows, pn.calendar(bars), FILLED)
-    keep = ["date", "code", "in_universe", "bar_date", "lb_change", *FILLED]
-    return cut_lineage(pn.with_positions(panel.select(*keep), v.positions_m(spark, d)))
+    bars = bars if bars is not None else v.stored_m(spark, d)
+    return _decide(spark, d, bars, fx.lookback_change(fx.factor_panel(bars)), [])
 
 
-def with_sector(panel, spark, d, n: int = 20):
+def with_sector(panel, spark, d, bars, n: int = 20):
     """Adds the code's sector and that sector's momentum as of the day before."""
-    mom = fx.sector_momentum(v.sector_m(spark, d), n).select(F.col("sector_name").alias("code"), "date", "sector_mom")
-    asof = pn.strictly_before(mom, pn.calendar(v.bars_m(spark, d))).select(
-        F.col("code").alias("sector_name"), "date", "sector_mom"
+    members = v.industry(spark, d)
+    mom = fx.sector_momentum(v.sector_bars(bars, members), n).select(
+        F.col("sector_name").alias("code"), "date", "sector_mom"
     )
-    return panel.join(v.industry(spark, d), "code", "left").join(asof, ["sector_name", "date"], "left")
+    asof = pn.strictly_before(mom, pn.calendar(bars)).select(F.col("code").alias("sector_name"), "date", "sector_mom")
+    return panel.join(members, "code", "left").join(asof, ["sector_name", "date"], "left")

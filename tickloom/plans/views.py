@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.num import div
+from tickloom.session import cut_lineage
 
 # Orders per slice: how finely one code's trades of one day are split into tasks.
 SLICE_ORDERS = 1 << 20
@@ -69,6 +70,15 @@ def bars_d(spark, sf_dir) -> DataFrame:
     return _bars(table(spark, sf_dir, "lineitem"), F.col("l_shipdate").cast("date"))
 
 
+def stored_m(spark, sf_dir) -> DataFrame:
+    """Monthly bars written once, for queries that read them several times."""
+    return cut_lineage(bars_m(spark, sf_dir))
+
+
+def stored_d(spark, sf_dir) -> DataFrame:
+    return cut_lineage(bars_d(spark, sf_dir))
+
+
 def source_bars(spark, sf_dir) -> DataFrame:
     """Monthly bars per line status, the stand-in for two vendors; ext columns derived."""
     b = _bars(table(spark, sf_dir, "lineitem"), month("l_shipdate"), F.col("l_linestatus").alias("vendor"))
@@ -144,9 +154,13 @@ def concept(spark, sf_dir) -> DataFrame:
 
 
 def sector_m(spark, sf_dir) -> DataFrame:
-    """Monthly sector bars: member averages of price, member sums of volume and amount."""
+    return sector_bars(bars_m(spark, sf_dir), industry(spark, sf_dir))
+
+
+def sector_bars(bars: DataFrame, members: DataFrame) -> DataFrame:
+    """Sector bars: member averages of price, member sums of volume and amount."""
     return (
-        bars_m(spark, sf_dir).join(industry(spark, sf_dir), "code")
+        bars.join(members, "code")
         .groupBy("sector_name", "date")
         .agg(
             F.avg("close").alias("close"),
@@ -156,9 +170,9 @@ def sector_m(spark, sf_dir) -> DataFrame:
     )
 
 
-def market_m(spark, sf_dir) -> DataFrame:
+def market_series(bars: DataFrame) -> DataFrame:
     """Equal-weight market series."""
-    return bars_m(spark, sf_dir).groupBy("date").agg(F.avg("close").alias("close"))
+    return bars.groupBy("date").agg(F.avg("close").alias("close"))
 
 
 def fundamentals(spark, sf_dir) -> DataFrame:
