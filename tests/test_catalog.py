@@ -7,6 +7,10 @@ from conftest import SF_DIR
 
 import __spark_entry__ as entry
 
+TYPES = {
+    "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE",
+    "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP",
+}
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 
 
@@ -27,9 +31,9 @@ def test_query_matches_sql(spark, duck, name):
     assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
     cols = sorted(df.columns)
     got = sorted(tuple(plain(v) for v in row) for row in df.select(*cols).collect())
-    rel = duck.execute(ORACLES[name])
-    names = [c[0] for c in rel.description]
-    assert sorted(names) == cols
+    rel = duck.sql(ORACLES[name])
+    names = list(rel.columns)
+    assert {c: TYPES[k] for c, k in df.dtypes} == {c: str(t) for c, t in zip(names, rel.types)}
     at = [names.index(c) for c in cols]
     want = sorted(tuple(plain(row[i]) for i in at) for row in rel.fetchall())
     assert got == want

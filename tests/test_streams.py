@@ -58,6 +58,33 @@ def test_exits_over_several_batches(spark, landed, tmp_path):
     assert pick(got) == pick(want)
 
 
+def test_slice_wise_forms_carry_state_between_batches(spark, landed, tmp_path):
+    key = F.concat(F.col("user_id").cast("string"), F.lit("_"), "event_type").alias("key")
+    base = str(tmp_path / "throttle")
+    stateful.throttle_batches(
+        stream(spark, landed).select("event_id", "ts", key), base, f"{base}/ckpt", 5 * 86400, available_now=True
+    ).awaitTermination()
+    want = al.throttle(v.events(spark, SF_DIR).select("event_id", "ts", key), 5 * 86400)
+    got = spark.read.parquet(f"{base}/sent")
+    assert sorted(r[0] for r in got.select("event_id").collect()) == sorted(r[0] for r in want.select("event_id").collect())
+    assert got.select("epoch").distinct().count() == 4
+
+    held = v.table(spark, SF_DIR, "supplier").filter("s_acctbal > 0").select(
+        F.col("s_suppkey").alias("code"), (F.col("s_acctbal") / 100).alias("cost")
+    ).withColumn("watermark", F.col("cost"))
+    cols = {"day": F.to_date("ts"), "hour": F.date_trunc("hour", "ts")}
+    quotes = stream(spark, landed).filter("value > 0").select(
+        F.col("user_id").alias("code"), "ts", F.col("value").alias("price"), "event_id"
+    ).withColumns(cols)
+    base = str(tmp_path / "exits")
+    stateful.exit_batches(
+        quotes, held, base, f"{base}/ckpt", ["day", "hour"], ["ts", "event_id"], available_now=True, limit=3
+    ).awaitTermination()
+    want = pf.live_exits(held, v.quotes(spark, SF_DIR).withColumns(cols), ["day", "hour"], ["ts", "event_id"])
+    pick = lambda df: sorted((r["event_id"], r["event"]) for r in df.collect())
+    assert pick(spark.read.parquet(f"{base}/events")) == pick(want)
+
+
 def test_latest_quote_table(spark, landed, tmp_path):
     quotes = stream(spark, landed).select(F.col("user_id").alias("code"), "ts", F.col("value").alias("price"), "event_id")
     q = qs.keep_latest(quotes, str(tmp_path / "t"), str(tmp_path / "c"), {"availableNow": True}, tie="event_id")

@@ -145,13 +145,13 @@ def estimated_bars(start: str | Column, end: str | Column) -> Column:
 
 def sector_summary(listed: DataFrame, daily: DataFrame, members: DataFrame) -> DataFrame:
     """Per sector type: sectors listed, sectors with bars, constituent records."""
-    a = listed.groupBy("sector_type").agg(F.count(F.lit(1)).alias("list_sectors"))
-    b = daily.select("sector_type", "sector_name").distinct().groupBy("sector_type").agg(
-        F.count(F.lit(1)).alias("daily_sectors")
-    )
-    c = members.groupBy("sector_type").agg(F.count(F.lit(1)).alias("constituents_records"))
     counts = ("list_sectors", "daily_sectors", "constituents_records")
-    return a.join(b, "sector_type", "full").join(c, "sector_type", "full").na.fill(0, list(counts))
+    parts = (listed, daily.select("sector_type", "sector_name").distinct(), members)
+    stacked = None
+    for name, df in zip(counts, parts):
+        one = df.groupBy("sector_type").agg(F.count(F.lit(1)).alias(name))
+        stacked = one if stacked is None else stacked.unionByName(one, allowMissingColumns=True)
+    return stacked.groupBy("sector_type").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counts])
 
 
 def only_watched(df: DataFrame, watch: DataFrame) -> DataFrame:

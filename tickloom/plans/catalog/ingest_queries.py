@@ -212,7 +212,7 @@ def n08(spark, d):
 
 @query(
     "n09_supplement_fundamentals",
-    """SELECT s_suppkey AS code, round(CASE WHEN s_acctbal > 3000 THEN 1.5 WHEN s_nationkey < 12 THEN s_nationkey * 1000 + 0.5 END, 4) + 0.0 AS pe_ttm,
+    """SELECT s_suppkey AS code, round(CASE WHEN s_acctbal > 3000 THEN 1.5 WHEN s_nationkey < 12 THEN s_nationkey * 1000 + 0.5 END::DOUBLE, 4) + 0.0 AS pe_ttm,
     round(CASE WHEN s_nationkey > 3 THEN s_nationkey * 2.0 * 1e4 END, 2) + 0.0 AS circ_mv FROM supplier""",
 )
 def n09(spark, d):
@@ -291,7 +291,7 @@ def n13(spark, d):
 
 @query(
     "n14_clean_quotes",
-    """SELECT event_id, user_id AS code, round(value - 20, 6) + 0.0 AS price, CAST(trunc(value) AS BIGINT) AS vol, 0.0 AS bid1
+    """SELECT event_id, user_id AS code, round(value - 20, 6) + 0.0 AS price, CAST(trunc(value) AS BIGINT) AS vol, 0.0::DOUBLE AS bid1
     FROM events WHERE value - 20 > 0 AND event_type <> 'error'""",
 )
 def n14(spark, d):

@@ -41,7 +41,7 @@ FLAGSHIP_WEIGHTS = {"mom": 0.5, "vol_factor": 0.3, "vol_ratio": 0.2}
 
 @query(
     "flagship_top_composite",
-    """SELECT date, code, rank, round(score, 6) + 0.0 AS score, round(1.0 / count(*) OVER (PARTITION BY date), 6) AS weight FROM (
+    """SELECT date, code, rank::INT AS rank, round(score, 6) + 0.0 AS score, round(1.0 / count(*) OVER (PARTITION BY date), 6) AS weight FROM (
       SELECT date, code, s AS score, row_number() OVER (PARTITION BY date ORDER BY s DESC, code) AS rank FROM (
         SELECT date, code, a * 0.5 + b * 0.3 + c * 0.2 AS s FROM flag) WHERE s IS NOT NULL) WHERE rank <= 10""",
     **ZS,
@@ -96,7 +96,7 @@ def c03(spark, d):
 
 @query(
     "c04_top_n_equal_weight",
-    """SELECT date, code, rank, round(1.0 / count(*) OVER (PARTITION BY date), 6) AS weight FROM (
+    """SELECT date, code, rank::INT AS rank, round(1.0 / count(*) OVER (PARTITION BY date), 6) AS weight FROM (
       SELECT date, code, row_number() OVER (PARTITION BY date ORDER BY mom DESC, code) AS rank
       FROM factors WHERE mom IS NOT NULL) WHERE rank <= 10""",
 )
@@ -215,14 +215,14 @@ DAILY = dict(
 )
 
 
-@query("j06_trading_calendar", "SELECT date, idx FROM cal_d", **DAILY)
+@query("j06_trading_calendar", "SELECT date, idx::INT AS idx FROM cal_d", **DAILY)
 def j06(spark, d):
     return pn.calendar(v.bars_d(spark, d)).select("date", "idx")
 
 
 @query(
     "j07_calendar_alignment",
-    """SELECT g.code, g.date, g.idx, round(b."close", 7) + 0.0 AS "close", coalesce(b.volume, 0) AS volume
+    """SELECT g.code, g.date, g.idx::INT AS idx, round(b."close", 7) + 0.0 AS "close", coalesce(b.volume, 0) AS volume
     FROM grid_d g LEFT JOIN bars_d b USING (code, date)""",
     **DAILY,
 )

@@ -20,7 +20,8 @@ def query(name: str, sql: str | None = None, **ctes: str):
             raise ValueError(f"query {name} registered twice")
         QUERIES[name] = fn
         if sql is not None:
-            ORACLES[name] = with_views(sql, **ctes)
+            # Another query's finished SQL is taken as it is.
+            ORACLES[name] = sql if sql.startswith("WITH") else with_views(sql, **ctes)
         return fn
 
     return add

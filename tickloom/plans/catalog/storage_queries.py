@@ -13,7 +13,7 @@ from tickloom.plans import views as v
 from tickloom.plans.catalog.ingest_queries import LOG, run_log
 from tickloom.plans.catalog.live_queries import SCAN
 from tickloom.plans.catalog.portfolio_queries import PERF_COLS, _perf
-from tickloom.plans.catalog.registry import query
+from tickloom.plans.catalog.registry import ORACLES, query
 from tickloom.session import shared_dir
 from tickloom.sources import tables as tb
 from tickloom.streaming import quotes as qs
@@ -275,6 +275,31 @@ def t09_stream(spark, d):
     return _run(stateful.throttle_stream(alerts, 3 * 86400), spark).select("key", "event_id")
 
 
+@query("t08_exit_stream_batches", ORACLES["t08_exit_stream"])
+def t08_batches(spark, d):
+    """The same events from the slice-wise form."""
+    base = shared_dir(spark)
+    held = v.table(spark, d, "supplier").filter("s_acctbal > 0").select(
+        F.col("s_suppkey").alias("code"), (F.col("s_acctbal") / 100).alias("cost")
+    ).withColumn("watermark", F.col("cost"))
+    ticks = _quote_stream(spark, d).withColumns({"day": F.to_date("ts"), "hour": F.date_trunc("hour", "ts")})
+    stateful.exit_batches(
+        ticks, held, base, f"{base}/ckpt", ["day", "hour"], ["ts", "event_id"], available_now=True
+    ).awaitTermination()
+    out = spark.read.parquet(f"{base}/events")
+    return out.select("event_id", "code", "event", r("pnl_pct").alias("pnl_pct"))
+
+
+@query("t09_alert_throttle_stream_batches", ORACLES["t09_alert_throttle_stream"])
+def t09_batches(spark, d):
+    base = shared_dir(spark)
+    alerts = _event_stream(spark, d).select(
+        "event_id", "ts", F.concat(F.col("user_id").cast("string"), F.lit("_"), "event_type").alias("key")
+    )
+    stateful.throttle_batches(alerts, base, f"{base}/ckpt", 3 * 86400, available_now=True).awaitTermination()
+    return spark.read.parquet(f"{base}/sent").select("key", "event_id")
+
+
 @query(
     "t13_scan_cadence",
     """SELECT code, minute, strategy, side, score FROM (

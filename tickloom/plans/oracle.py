@@ -43,7 +43,7 @@ CTES: dict[str, str] = {
   FROM supplier JOIN nation ON s_nationkey = n_nationkey""",
     "concept": """SELECT DISTINCT l_suppkey AS code, p_brand AS sector_name
   FROM lineitem JOIN part ON l_partkey = p_partkey""",
-    "sector_m": """SELECT sector_name, date, avg("close") AS "close", sum(volume) AS volume,
+    "sector_m": """SELECT sector_name, date, avg("close") AS "close", CAST(sum(volume) AS BIGINT) AS volume,
   sum(amount) AS amount FROM bars_m JOIN industry USING (code) GROUP BY ALL""",
     "market_m": """SELECT date, avg("close") AS "close" FROM bars_m GROUP BY ALL""",
     "fundamentals": """SELECT s_suppkey AS code, s_acctbal / 100 AS pe_ttm,

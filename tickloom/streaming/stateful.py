@@ -1,8 +1,10 @@
 """Per-key state on streams: exit rules of positions and alert throttling.
 
-Rows of one key are folded in event-time order within a micro-batch. State survives an
-executor loss through the state store and its checkpoint. The size of a micro-batch is
-bounded at the source (files or offsets per trigger), which bounds a hot key's share.
+Two forms of each. ``*_stream`` keeps the state in Spark's state store and folds a key's
+rows of one micro-batch in one task; it suits keys whose share of a micro-batch is small.
+``*_batches`` keeps the state as a table and runs the slice-wise batch operator on every
+micro-batch, so a key holding a third of the rows is spread over many tasks. Both
+survive lost executors, and a repeated micro-batch gives the same result.
 """
 
 from __future__ import annotations
@@ -11,12 +13,13 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from tickloom.functions.num import micros
 from tickloom.operators import portfolio as pf
-from tickloom.operators.alerts import DEDUP_SECONDS
+from tickloom.operators.alerts import DEDUP_SECONDS, throttle
 from tickloom.session import STATE_STORE
 
 
@@ -63,6 +66,62 @@ def throttle_stream(
     ).drop("us")
 
 
+def _batches(stream: DataFrame, work, checkpoint: str, available_now: bool) -> StreamingQuery:
+    trigger = {"availableNow": True} if available_now else {"processingTime": "10 seconds"}
+    return stream.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
+def _state_before(spark, path: str, epoch: int, schema: str) -> DataFrame:
+    """The state the previous micro-batch left, empty before the first."""
+    if epoch == 0:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{path}/state/v={epoch - 1}")
+
+
+def throttle_batches(
+    alerts: DataFrame, path: str, checkpoint: str, window_seconds: int = DEDUP_SECONDS, key: str = "key",
+    ts: str = "ts", tie: str = "event_id", available_now: bool = False,
+) -> StreamingQuery:
+    """Sent alerts land in ``path/sent``, the last send per key in ``path/state``.
+
+    An alert less than a window after its key's last send cannot go out; among the
+    others the batch rule applies from a clean start.
+    """
+    width = window_seconds * 1_000_000
+
+    def work(batch: DataFrame, epoch: int) -> None:
+        kind = dict(batch.dtypes)[key]
+        old = _state_before(batch.sparkSession, path, epoch, f"{key} {kind}, last bigint")
+        timed = batch.withColumn("__at", micros(batch, ts)).join(old, key, "left")
+        open_ = timed.filter(F.col("last").isNull() | (F.col("__at") - F.col("last") >= width)).drop("last")
+        sent = f"{path}/sent/epoch={epoch}"
+        throttle(open_, window_seconds, key, ts, tie).write.mode("overwrite").parquet(sent)
+        new = batch.sparkSession.read.schema(open_.schema).parquet(sent).select(key, F.col("__at").alias("last"))
+        merged = old.unionByName(new).groupBy(key).agg(F.max("last").alias("last"))
+        merged.write.mode("overwrite").parquet(f"{path}/state/v={epoch}")
+
+    return _batches(alerts, work, checkpoint, available_now)
+
+
+def exit_batches(
+    quotes: DataFrame, positions: DataFrame, path: str, checkpoint: str, levels: list[str], order: list[str],
+    available_now: bool = False, **rules,
+) -> StreamingQuery:
+    """Risk events land in ``path/events``, the highest price per held code in ``path/state``."""
+
+    def work(batch: DataFrame, epoch: int) -> None:
+        kind = dict(batch.dtypes)["code"]
+        old = _state_before(batch.sparkSession, path, epoch, f"code {kind}, high double")
+        held = positions.join(old, "code", "left").withColumn("watermark", F.greatest("watermark", "high")).drop("high")
+        pf.live_exits(held, batch, levels, order, **rules).write.mode("overwrite").parquet(f"{path}/events/epoch={epoch}")
+        seen = batch.groupBy("code").agg(F.max("price").alias("high"))
+        old.unionByName(seen).groupBy("code").agg(F.max("high").alias("high")).write.mode("overwrite").parquet(
+            f"{path}/state/v={epoch}"
+        )
+
+    return _batches(quotes, work, checkpoint, available_now)
+
+
 RISK_EVENTS = StructType(
     [
         StructField("code", LongType()), StructField("event_id", LongType()),
