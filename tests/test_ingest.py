@@ -94,6 +94,15 @@ def test_upsert_reduces_copies(spark):
     assert mg.upsert(copies, old).count() == 5
 
 
+@pytest.mark.parametrize("keep,want", [("new", 4.0), ("old", 1.0)])
+def test_upsert_with_repeats_follows_arrival(spark, keep, want):
+    def rows(*values):
+        return spark.createDataFrame([("A", D(2024, 1, 1), x, int(x)) for x in values], "code string, date date, close double, seq long")
+
+    out = mg.upsert(rows(1.0, 2.0), rows(3.0, 4.0), keep=keep, seq="seq").collect()
+    assert [r["close"] for r in out] == [want]
+
+
 def _load(spark, a, b, c, stored, universe, force=False):
     names = spark.createDataFrame([(u,) for u in universe], "code string")
     return mg.ingest(a, b, c, stored, names, F.lit("2023-01-31").cast("date"), force)

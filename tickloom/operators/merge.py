@@ -56,13 +56,20 @@ def enrich(stored: DataFrame, fresh: DataFrame, keep_old: bool = True) -> DataFr
     return out.drop(*[f"__{c}" for c in ext])
 
 
-def upsert(stored: DataFrame, new: DataFrame, keys: Sequence[str] = ("code", "date"), keep: str = "new") -> DataFrame:
-    """Union with one row per key: the new one, or with ``keep="old"`` the stored one."""
+def upsert(
+    stored: DataFrame, new: DataFrame, keys: Sequence[str] = ("code", "date"), keep: str = "new", seq: str | None = None
+) -> DataFrame:
+    """Union with one row per key: the new one, or with ``keep="old"`` the stored one.
+
+    If one side may repeat a key, ``seq`` names its arrival order: keeping new keeps
+    the last arrival, keeping old the first.
+    """
     rank = {"new": (0, 1), "old": (1, 0)}[keep]
     both = stored.withColumn("__p", F.lit(rank[0])).unionByName(
         new.withColumn("__p", F.lit(rank[1])), allowMissingColumns=True
     )
-    return _pick(both, keys, ["__p"], drop=["__p"])
+    order = [] if seq is None else [F.col(seq) if keep == "new" else -F.col(seq)]
+    return _pick(both, keys, ["__p", *order], drop=["__p"])
 
 
 def merge_constituents(stored: DataFrame, fetched: DataFrame, force: bool = False) -> DataFrame:
