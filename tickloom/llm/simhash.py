@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.shared import components, in_batches
+from tickloom.session import cut_lineage
 
 BITS = 64
 SLICE = 1 << 16
@@ -133,7 +134,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, distance: int = 4, blocks:
     with a null key keep it; they count for links, and a group of only such rows has a null
     component. Rows that repeat a key get a row each. An empty table gives an empty result.
     """
-    rows = fingerprints(docs, width, key, text)
+    rows = cut_lineage(fingerprints(docs, width, key, text))
     nodes = rows.groupBy("fp").agg(F.min("key").alias("least"))
     groups = components(links(nodes, distance, blocks)).select(F.col("node").alias("fp"), F.col("component").alias("root"))
     rooted = nodes.join(groups, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
