@@ -5,13 +5,13 @@ import math
 import pytest
 from conftest import SF_DIR
 
-import __spark_entry__ as entry
+from tickloom.plans import catalog
 
 TYPES = {
     "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE",
     "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP",
 }
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = catalog.QUERIES, catalog.ORACLES
 
 
 def plain(v):
