@@ -4,13 +4,34 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import quality_rules, sharding, simhash
+from tickloom.llm import (
+    decontaminate,
+    line_dedup,
+    packing,
+    quality_knn,
+    quality_rules,
+    secrets,
+    sharding,
+    simhash,
+    suffix_dedup,
+    training_order,
+)
 from tickloom.llm.shared import documents
 
 SHARDS = 24
+ORDER_KEY = 20_240_917
+
+
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(documents(spark, sf_dir))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def op2_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training_order.materialise(documents(spark, sf_dir), ORDER_KEY)
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,12 +40,42 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(documents(spark, sf_dir))
+    base = F.filter("spans", lambda s: s["kind"] < len(secrets.BASE))
+
+    def count(kind: int) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+
+    return found.select(
+        "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+        F.sha2(secrets.spans_text(base, secrets.RULES), 256).alias("base_sha256"),
+        secrets.spans_text(F.col("spans"), secrets.RULES).alias("spans"),
+    )
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(documents(spark, sf_dir), width=4, distance=4)
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return found.select("doc_id", digits.alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(documents(spark, sf_dir))
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(documents(spark, sf_dir))
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_knn.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(documents(spark, sf_dir)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule"
@@ -32,6 +83,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_sharding, op5_simhash, op10_quality_rules)
+    f.__name__: f
+    for f in (
+        op1_suffix_dedup, op2_training_order, op3_sharding, op4_secret_scan, op5_simhash, op6_decontamination,
+        op7_line_dedup, op8_best_fit_packing, op9_quality_classifier, op10_quality_rules,
+    )
 }
 ORACLES: dict[str, str] = {}

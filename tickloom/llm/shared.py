@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
+from types import ModuleType
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,17 +27,26 @@ def text_key(text: Column) -> Column:
 
 
 def in_batches(
-    df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, rows: int = 256
+    df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | T.StructType, rows: int = 256
 ) -> DataFrame:
     """``fn`` over Arrow batches of at most ``rows`` rows, so that a task holds few texts at a time."""
-    names = T._parse_datatype_string(schema).names
+    kinds = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
+    names = kinds.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
                 yield fn(batch.slice(at, rows)).select(names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(run, kinds)
+
+
+def worker_state(name: str, make: Callable[[], object]) -> object:
+    """What ``make`` returns, once per Python worker: functions travel with each task, their module's globals too."""
+    home = sys.modules.setdefault("_tickloom_worker", ModuleType("_tickloom_worker"))
+    if not hasattr(home, name):
+        setattr(home, name, make())
+    return getattr(home, name)
 
 
 def components(edges: DataFrame) -> DataFrame:
