@@ -55,8 +55,8 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash.near_duplicates(documents(spark, sf_dir), width=4, distance=4)
-    digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
+    found = simhash.near_duplicates(documents(spark, sf_dir), width=4, wide=False)
+    digits = F.lower(F.lpad(F.hex("f0"), 16, "0"))
     return found.select("doc_id", digits.alias("fingerprint"), F.col("component").alias("component_id"))
 
 
