@@ -82,8 +82,8 @@ def test_levels_and_cells(spark):
     got = [r.asDict() | {"length": lengths[r.row]} for r in packing.pack(df, capacity=100, cell=100).collect()]
     assert sorted(r["row"] for r in got) == sorted(lengths)
     n = check(got, 100)
-    least = sum(1 for v in lengths.values() if v == 100) + -(-sum(v for v in lengths.values() if v < 100) // 100)
-    assert least <= n <= least * 1.01 + 1
+    plain = packing.best_fit(lengths, sorted(lengths, key=lambda i: -lengths[i]), [], 100)
+    assert n <= len(plain) * 1.003
 
 
 def test_documents(spark, words, texts):
