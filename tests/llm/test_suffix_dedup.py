@@ -60,11 +60,21 @@ def test_against_all_windows(spark, monkeypatch):
 def test_pieces_of_long_texts(monkeypatch):
     monkeypatch.setattr(suffix_dedup, "CHUNK", 150)
     text = (random.Random(1).randbytes(400).hex()[:700] * 2).encode()
-    row, start, windows, head, _ = suffix_dedup.runs([text, b"", text[:99]])
-    assert set(row) == {0} and windows.sum() == len(text) - WIDTH + 1
+    row, at, head, _ = suffix_dedup.runs([text, b"", text[:99]])
+    start, windows, lead = suffix_dedup._unpack(at)
+    assert (lead < WIDTH).all() and set(row) == {0} and windows.sum() == len(text) - WIDTH + 1
     assert (np.sort(start)[1:] == np.sort(start)[:-1] + windows[np.argsort(start)][:-1]).all()
     # The two halves are equal, and so are their anchors but where a piece was cut.
     assert len(np.unique(head)) < 0.75 * len(head)
+    held, _, _ = suffix_dedup.cells(text, at)
+    start, windows, _ = suffix_dedup._unpack(np.sort(held))
+    assert windows.max() <= suffix_dedup.CELL and windows.sum() == len(text) - WIDTH + 1
+    assert (start[1:] == start[:-1] + windows[:-1]).all()
+    places, one, _ = suffix_dedup.window_hashes(text, at)
+    by_hash = {}
+    for p, h in zip(places.tolist(), one.tolist()):
+        assert by_hash.setdefault(h, text[p : p + WIDTH]) == text[p : p + WIDTH]
+    assert len(by_hash) == len({text[p : p + WIDTH] for p in range(len(text) - WIDTH + 1)})
 
 
 def test_documents_of_the_driver(spark):

@@ -8,8 +8,11 @@ groups of one leave after each pass:
    anchors, and the windows around one anchor are a run, so that a run is one row.
 2. The second digit is the run's whole extent. Of equal extents under one anchor all but the
    first are repeats, whole runs at a time.
-3. What is left, first extents that differ under a shared anchor, goes through the last digit,
-   windows of full depth one by one; equal groups are the repeated windows.
+3. What is left, first extents that differ under a shared anchor, is cut into cells of ``CELL``
+   neighbouring windows. The third digit is the string that a cell's windows have in common,
+   the fourth the cell's extent; they are judged like anchors and runs.
+4. Cells left open go through the last digit, windows of full depth one by one; equal groups
+   are the repeated windows.
 """
 
 from __future__ import annotations
@@ -26,18 +29,22 @@ from pyspark.sql import functions as F
 
 from tickloom.llm.shared import in_batches, worker_state
 
-WIDTH, GRAM = 100, 24
+WIDTH, GRAM, CELL = 100, 24, 8
+#: A run of windows in one number: first start, windows, bytes from the first start to the anchor.
+BITS = 7
 #: Bytes looked at together, and window starts taken from one text at a time.
 CHUNK = 1 << 20
 BASE, BASE2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 COVERED, OPEN = 0, 1
+RUN = ["head", "extent", "n", "at"]
+RUN_SCHEMA = ", ".join(f"{c} long" for c in RUN)
 
 
 class _Rolling:
     """Hashes of substrings from running sums of byte values times powers of an odd base, modulo 2**64."""
 
     def __init__(self, base: int, seed: int):
-        n = 2 * CHUNK + 2
+        n = 2 * CHUNK + 4 * WIDTH
         self.values = np.random.default_rng(seed).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.powers, self.inverse = (
             np.cumprod(np.append(np.ones(1, np.uint64), np.full(n, b, np.uint64))) for b in (base, pow(base, -1, 1 << 64))
@@ -59,6 +66,15 @@ def _rolling() -> tuple[_Rolling, _Rolling]:
     return worker_state("rolling", lambda: (_Rolling(BASE, 3), _Rolling(BASE2, 5)))
 
 
+def _pack(start: np.ndarray, windows: np.ndarray, lead: np.ndarray) -> np.ndarray:
+    return start << 2 * BITS | windows << BITS | lead
+
+
+def _unpack(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    low = (1 << BITS) - 1
+    return at >> 2 * BITS, at >> BITS & low, at & low
+
+
 def _least(hashes: np.ndarray, span: int) -> np.ndarray:
     """For each start, the place of the first least hash among the ``span`` from there."""
     place, value, width = np.arange(len(hashes)), hashes, 1
@@ -94,7 +110,7 @@ def _laid(held: list[tuple[int, int, bytes]]):
 
 
 def runs(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """Rows of all windows of ``texts`` by anchor: text, first window's start, windows, anchor's and extent's hash."""
+    """Rows of all windows of ``texts`` by anchor: text, run (``_pack``), anchor's and extent's hash."""
     out = []
     rolling, _ = _rolling()
     for raw, rows, starts, sizes in _chunks(texts):
@@ -115,8 +131,44 @@ def runs(texts: list[bytes]) -> tuple[np.ndarray, ...]:
         shape = (own - first).astype(np.uint64) << np.uint64(32) | (last - first).astype(np.uint64)
         extent = rolling.of(sums, first, last + WIDTH) ^ (shape + np.uint64(1)) * np.uint64(BASE2)
         at = piece[first]
-        out.append((rows[at], starts[at] + first - begin[at], last - first + 1, head.view(np.int64), extent.view(np.int64)))
-    return tuple(np.concatenate([np.empty(0, np.int64), *[o[i] for o in out]]) for i in range(5))
+        run = _pack(starts[at] + first - begin[at], last - first + 1, own - first)
+        out.append((rows[at], run, head.view(np.int64), extent.view(np.int64)))
+    return _joined(out, 4)
+
+
+def _joined(parts: list[tuple], n: int) -> tuple[np.ndarray, ...]:
+    return tuple(np.concatenate([np.empty(0, np.int64), *[p[i] for p in parts]]) for i in range(n))
+
+
+def _pieces(raw: bytes, starts: np.ndarray) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
+    """Pieces of a long text: bytes, where they begin, and which of the ``starts`` lie in them."""
+    for at in range(0, max(1, len(raw) - WIDTH + 1), CHUNK):
+        inside = np.flatnonzero((starts >= at) & (starts < at + CHUNK))
+        if len(inside):
+            begin = max(0, at - WIDTH)
+            yield np.frombuffer(raw, np.uint8, min(CHUNK + 3 * WIDTH, len(raw) - begin), begin), begin, inside
+
+
+def cells(raw: bytes, open_runs: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Cells of a text's runs: run (``_pack``), hash of what the cell's windows share, hash of its extent."""
+    first, windows, lead = _unpack(open_runs)
+    out = []
+    one, two = _rolling()
+    # A window's cell is how far before the anchor it starts, so that equal windows share one.
+    number = np.concatenate([np.arange((a - w + 1) // CELL, a // CELL + 1) for a, w in zip(lead, windows)])
+    of = np.repeat(np.arange(len(lead)), lead // CELL - (lead - windows + 1) // CELL + 1)
+    anchor = (first + lead)[of]
+    far = np.minimum(number * CELL + CELL - 1, lead[of])
+    near = np.maximum(number * CELL, lead[of] - windows[of] + 1)
+    start, size = anchor - far, far - near + 1
+    for piece, begin, inside in _pieces(raw, start):
+        a, c, s, n = (x[inside] for x in (anchor - begin, number, start - begin, size))
+        shared = two.of(two.sums(piece), a - c * CELL, a - c * CELL - CELL + 1 + WIDTH)
+        shared ^= (c.astype(np.uint64) + np.uint64(1)) * np.uint64(BASE)
+        extent = one.of(one.sums(piece), s, s + n - 1 + WIDTH)
+        extent ^= ((far[inside] << BITS | n).astype(np.uint64) + np.uint64(1)) * np.uint64(BASE2)
+        out.append((_pack(start[inside], n, far[inside]), shared.view(np.int64), extent.view(np.int64)))
+    return _joined(out, 3)
 
 
 def _sorted_groups(df: DataFrame, keys: list[str], rule: Callable, schema: str) -> DataFrame:
@@ -146,9 +198,9 @@ def _sorted_groups(df: DataFrame, keys: list[str], rule: Callable, schema: str)
 
 
 def _judge_runs(table: np.ndarray, has_before: bool, has_after: bool) -> dict[str, np.ndarray]:
-    """Runs whose anchor another row shares: covered if the row before has the same extent.
+    """Runs whose first digit another row shares: covered if the row before has the same extent.
 
-    The first row of an extent is open if its anchor has another extent; where that shows
+    The first row of an extent is open if its digit has another extent; where that shows
     only beyond the rows at hand it counts as open, which costs work and changes nothing.
     """
     head, extent = table[0], table[1]
@@ -164,7 +216,7 @@ def _judge_runs(table: np.ndarray, has_before: bool, has_after: bool) -> dict[st
     if has_after:
         keep[-1] = False
     at = np.flatnonzero(keep)
-    return {"n": table[2][at], "start": table[3][at], "windows": table[4][at], "state": np.where(covered[at], COVERED, OPEN)}
+    return {"n": table[2][at], "at": table[3][at], "state": np.where(covered[at], COVERED, OPEN)}
 
 
 def _judge_windows(table: np.ndarray, has_before: bool, has_after: bool) -> dict[str, np.ndarray]:
@@ -213,49 +265,59 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     rows, names = _numbered(docs, key, text)
 
     def anchors(batch: pa.RecordBatch) -> pa.RecordBatch:
-        row, start, windows, head, extent = runs([x.encode() for x in batch.column("text").to_pylist()])
-        return pa.RecordBatch.from_arrays(
-            [pa.array(head), pa.array(extent), batch.column("n").take(pa.array(row)), pa.array(start.astype(np.int32)), pa.array(windows.astype(np.int32))],
-            ["head", "extent", "n", "start", "windows"],
+        row, at, head, extent = runs([x.encode() for x in batch.column("text").to_pylist()])
+        columns = [pa.array(head), pa.array(extent), batch.column("n").take(pa.array(row)), pa.array(at)]
+        return pa.RecordBatch.from_arrays(columns, RUN)
+
+    def judged(found: DataFrame, name: str) -> DataFrame:
+        """(name_n, name): per document its covered and open runs."""
+        ruled = _sorted_groups(found.repartition("head"), RUN, _judge_runs, "n long, at long, state long")
+        marks = ruled.groupBy("n").agg(
+            *[F.collect_list(F.when(F.col("state") == k, F.col("at"))).alias(c) for k, c in ((COVERED, "covered"), (OPEN, "open"))]
         )
+        return marks.select(F.col("n").alias(f"{name}_n"), F.col("covered").alias(f"{name}_covered"), F.col("open").alias(f"{name}_open"))
 
-    found = in_batches(rows, anchors, "head long, extent long, n long, start int, windows int", rows=512)
-    found = found.repartition("head")
-    judged = _sorted_groups(
-        found, ["head", "extent", "n", "start"], _judge_runs, "n long, start long, windows long, state long"
-    )
-    marks = judged.select("n", F.struct(*[F.col(c).cast("int").alias(c) for c in ("start", "windows", "state")]).alias("m"))
-    marks = marks.groupBy("n").agg(F.collect_list("m").alias("marks")).withColumnRenamed("n", "mn")
+    runs_seen = judged(in_batches(rows, anchors, RUN_SCHEMA, rows=512), "run")
 
     def squeeze(batch: pa.RecordBatch) -> pa.RecordBatch:
         packed = [zlib.compress(x.encode(), 1) for x in batch.column("text").to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column("n"), pa.array(packed, pa.binary())], ["n", "packed"])
 
     packed = in_batches(rows, squeeze, "n long, packed binary")
-    marked = packed.join(marks, F.col("n") == F.col("mn"), "left").select("n", "packed", "marks")
+    marked = packed.join(runs_seen, F.col("n") == F.col("run_n"), "left").drop("run_n")
+
+    def split(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out = []
+        for n, raw, held in zip(*(batch.column(c).to_pylist() for c in ("n", "packed", "run_open"))):
+            if held:
+                at, shared, extent = cells(zlib.decompress(raw), np.array(held))
+                out.append((shared, extent, np.full(len(at), n), at))
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in _joined(out, 4)], RUN)
+
+    cells_seen = judged(in_batches(marked, split, RUN_SCHEMA), "cell")
+    marked = marked.join(cells_seen, F.col("n") == F.col("cell_n"), "left").drop("cell_n")
 
     def windows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = [(np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int32))]
-        for n, raw, held in zip(batch.column("n").to_pylist(), batch.column("packed").to_pylist(), batch.column("marks").to_pylist()):
-            open_runs = [(m["start"], m["windows"]) for m in held or () if m["state"] == OPEN]
-            if open_runs:
-                at, one, two = window_hashes(zlib.decompress(raw), open_runs)
-                out.append((one, two, np.full(len(at), n, np.int64), at.astype(np.int32)))
-        columns = [pa.array(np.concatenate([o[i] for o in out])) for i in range(4)]
+        out = []
+        for n, raw, held in zip(*(batch.column(c).to_pylist() for c in ("n", "packed", "cell_open"))):
+            if held:
+                at, one, two = window_hashes(zlib.decompress(raw), np.array(held))
+                out.append((one, two, np.full(len(at), n), at))
+        one, two, n, at = _joined(out, 4)
+        columns = [pa.array(one), pa.array(two.astype(np.int32)), pa.array(n), pa.array(at.astype(np.int32))]
         return pa.RecordBatch.from_arrays(columns, ["one", "two", "n", "start"])
 
     deep = in_batches(marked, windows, "one long, two int, n long, start int")
     again = _sorted_groups(deep.repartition("one"), ["one", "two", "n", "start"], _judge_windows, "n long, start long")
-    again = again.select(F.col("n").alias("an"), F.col("start").cast("int").alias("start"))
-    again = again.groupBy("an").agg(F.collect_list("start").alias("again"))
-    whole = marked.join(again, F.col("n") == F.col("an"), "left").select("n", "packed", "marks", "again")
+    again = again.groupBy(F.col("n").alias("an")).agg(F.collect_list("start").alias("again"))
+    whole = marked.join(again, F.col("n") == F.col("an"), "left").select("n", "packed", "run_covered", "cell_covered", "again")
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = []
-        for raw, held, single in zip(*(batch.column(c).to_pylist() for c in ("packed", "marks", "again"))):
-            raw = zlib.decompress(raw)
-            covered = [(m["start"], m["windows"]) for m in held or () if m["state"] == COVERED]
-            found.append(_cut(raw, covered + [(s, 1) for s in single or ()]))
+        for raw, *repeated in zip(*(batch.column(c).to_pylist() for c in ("packed", "run_covered", "cell_covered", "again"))):
+            start, size, _ = _unpack(np.array((repeated[0] or []) + (repeated[1] or []), np.int64))
+            single = np.array(repeated[2] or [], np.int64)
+            found.append(_cut(zlib.decompress(raw), np.append(start, single), np.append(size, np.ones_like(single))))
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.list_(pa.int32())))
         columns = [pa.array([f[i] for f in found], kind) for i, kind in enumerate(kinds)]
         return pa.RecordBatch.from_arrays(
@@ -268,27 +330,25 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return done.join(names, "n").select(F.col("key").alias(key), *done.columns[1:])
 
 
-def window_hashes(raw: bytes, open_runs: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, 64 and 32 bits of every window of the runs (start, windows) of a text."""
+def window_hashes(raw: bytes, open_runs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, 64 and 32 bits of every window of the runs of a text."""
     one, two = _rolling()
-    places, hashes, checks = [], [], []
-    wanted = np.unique(np.concatenate([np.arange(s, s + w) for s, w in open_runs]))
-    for at in range(0, len(raw) - WIDTH + 1, CHUNK):
-        own = wanted[(wanted >= at) & (wanted < at + CHUNK)]
-        if not len(own):
-            continue
-        piece = np.frombuffer(raw, np.uint8, min(CHUNK + WIDTH - 1, len(raw) - at), at)
-        for rolling, out in ((one, hashes), (two, checks)):
-            out.append(rolling.of(rolling.sums(piece), own - at, own - at + WIDTH))
-        places.append(own)
-    return np.concatenate(places), np.concatenate(hashes).view(np.int64), (np.concatenate(checks) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-
-
-def _cut(raw: bytes, covered: list[tuple[int, int]]) -> tuple[int, int, int, str, list[list[int]]]:
-    """Sizes, hash of what stays and removed runs, by the runs (start, windows) of repeated windows."""
+    first, windows, _ = _unpack(open_runs)
+    wanted = np.concatenate([np.arange(a, a + w) for a, w in zip(first, windows)])
+    out = []
+    for piece, begin, inside in _pieces(raw, wanted):
+        at = wanted[inside] - begin
+        hashes = [r.of(r.sums(piece), at, at + WIDTH) for r in (one, two)]
+        out.append((wanted[inside], hashes[0].view(np.int64), (hashes[1] >> np.uint64(32)).astype(np.uint32).view(np.int32).astype(np.int64)))
+    return _joined(out, 3)
+
+
+def _cut(raw: bytes, first: np.ndarray, windows: np.ndarray) -> tuple[int, int, int, str, list[list[int]]]:
+    """Sizes, hash of what stays and removed spans, by the runs of repeated windows."""
     spans: list[list[int]] = []
-    for start, windows in sorted(covered):
-        stop = start + windows + WIDTH - 1
+    order = np.argsort(first)
+    for start, stop in zip(first[order].tolist(), (first + windows)[order].tolist()):
+        stop += WIDTH - 1
         if spans and start <= spans[-1][1]:
             spans[-1][1] = max(spans[-1][1], stop)
         else:
