@@ -64,32 +64,31 @@ def segment_keys(line: Column, chars: Column, threshold: int, least: int) -> Col
 def near_pairs(docs: DataFrame, first: DataFrame, threshold: int, least: int, key: str, text: str) -> DataFrame:
     """Links (a, b) between hashes of different lines at most ``threshold`` edits apart.
 
-    Lines under the same key meet once per pair of lines, however often each is repeated.
-    Only the texts of lines that meet are fetched, from where they first occur.
+    Keys that one line alone has leave first. Only the texts of lines that share a key are
+    fetched, from where they first occur, and lines of a key are verified while they are
+    joined: no candidate that fails becomes a row.
     """
     every = lines(docs, least, key, text).select(
         F.xxhash64("line").alias("h"), "chars", F.explode(segment_keys(F.col("line"), F.col("chars"), threshold, least)).alias("k")
     )
     rows = every.select(F.col("k.key").alias("key"), "h", "chars", F.col("k.shift").alias("shift")).distinct()
-    other = rows.select("key", F.col("h").alias("h2"), F.col("chars").alias("chars2"), F.col("shift").alias("shift2"))
-    met = rows.join(other, "key").filter(
-        (F.col("h") < F.col("h2")) & (F.abs(F.col("chars") - F.col("chars2")) <= threshold)
-        & ((F.col("shift") == 0) | (F.col("shift2") == 0))
-    )
-    pairs = cut_lineage(met.select("h", "h2").distinct())
-    wanted = pairs.select("h").union(pairs.select(F.col("h2").alias("h"))).distinct().join(first, "h")
+    several = rows.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo <> hi").select("key")
+    shared = cut_lineage(rows.join(several, "key"))
+    wanted = shared.select("h").distinct().join(first, "h")
     wanted = wanted.groupBy("first.id", "first.body").agg(F.collect_list(F.struct("h", "first.at")).alias("held"))
     wanted = wanted.select(F.col("id").alias("w_id"), F.col("body").alias("w_body"), "held")
     found = _doc(docs, key, text).join(wanted, F.col("id").eqNullSafe(F.col("w_id")) & (F.col("body") == F.col("w_body")))
     # Documents that repeat an id and a text give their lines once.
     split = found.select(F.split("whole", "\n", -1).alias("parts"), F.explode("held").alias("held"))
-    texts = cut_lineage(
-        split.select(F.col("held.h").alias("h"), F.element_at("parts", F.col("held.at") + 1).alias("line")).dropDuplicates(["h"])
-    )
-    both = pairs.join(texts, "h").withColumnRenamed("line", "left").join(
-        texts.select(F.col("h").alias("h2"), F.col("line").alias("right")), "h2"
+    texts = split.select(F.col("held.h").alias("h"), F.element_at("parts", F.col("held.at") + 1).alias("line")).dropDuplicates(["h"])
+    filed = cut_lineage(shared.join(texts, "h"))
+    other = filed.select("key", *[F.col(c).alias(f"{c}2") for c in ("h", "chars", "shift", "line")])
+    met = filed.join(
+        other,
+        (filed["key"] == other["key"]) & (F.col("h") < F.col("h2")) & (F.abs(F.col("chars") - F.col("chars2")) <= threshold)
+        & ((F.col("shift") == 0) | (F.col("shift2") == 0)) & (F.levenshtein("line", "line2", threshold) >= 0),
     )
-    return both.filter(F.levenshtein("left", "right", threshold) >= 0).select(F.col("h").alias("a"), F.col("h2").alias("b"))
+    return met.select(F.col("h").alias("a"), F.col("h2").alias("b")).distinct()
 
 
 def repeated_lines(
