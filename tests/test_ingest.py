@@ -114,7 +114,12 @@ def test_ingest_falls_back_and_logs(spark):
     b = ext(spark, 20, "600000").unionByName(ext(spark, 20, "600001"))
     c = bars(spark, 20, "600002").unionByName(bars(spark, 5, "600004"))
     table, log = _load(spark, a, b, c, none, ["600000", "600001", "600002", "600003", "600004", "600005"])
-    got = {r["code"]: (r["status"], r["source"], r["rows"], r["reason"]) for r in log.collect()}
+    every = log.collect()
+    assert [(r["code"], r["reason"]) for r in every if r["status"] == "validation"] == [("600004", "too_few_rows:5")]
+    assert {r["code"] for r in mg.last_records(log).collect()} == {f"60000{i}" for i in range(6)}
+    row = tb.run_stats(log).first()
+    assert (row["success"], row["failed"], row["validation_failures"], row["total"]) == (4, 2, 1, 6)
+    got = {r["code"]: (r["status"], r["source"], r["rows"], r["reason"]) for r in every if r["status"] != "validation"}
     assert got == {
         "600000": ("success", "merged", 20, None),
         "600001": ("success", "akshare", 20, None),
@@ -204,4 +209,4 @@ def test_run_log_counts(spark):
     assert {r["source"]: r["calls"] for r in mg.source_counts(log).collect()} == {"tdx": 1, "merged": 1, "akshare": 1}
     row = tb.run_stats(log).first()
     assert (row["success"], row["failed"], row["skipped"], row["total"]) == (2, 1, 1, 4)
-    assert [x["code"] for x in row["failed_detail"]] == ["c"]
+    assert [(x["status"], x["code"]) for x in tb.run_details(log).collect()] == [("failed", "c")]

@@ -3,11 +3,11 @@ import sys
 
 from pyspark import cloudpickle
 
-from tickloom.functions import scan
+from tickloom.plans import oracle
 
 
 def test_task_functions_run_where_the_package_is_not_installed(tmp_path):
-    (tmp_path / "f.pkl").write_bytes(cloudpickle.dumps(scan._compose))
-    code = "import pickle; f = pickle.load(open('f.pkl', 'rb')); print(f((1.0, 0.5), (2.0, 3.0))[0])"
+    (tmp_path / "f.pkl").write_bytes(cloudpickle.dumps(oracle.with_views))
+    code = "import pickle; f = pickle.load(open('f.pkl', 'rb')); print(f('SELECT 1').split()[-2:])"
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env={"PATH": ""})
-    assert out.stdout.strip() == "(2.0, 4.0)", out.stderr
+    assert out.stdout.strip() == "['SELECT', '1']", out.stderr

@@ -5,7 +5,7 @@ from collections import deque
 
 import pytest
 
-from tickloom.functions.scan import affine_scan, running_max, running_sums, slicing, spaced_picks
+from tickloom.functions.scan import running_max, running_sums, spaced_picks
 from tickloom.operators import portfolio as pf
 
 
@@ -51,23 +51,6 @@ def test_running_max(spark):
             assert got[r[3]] == top
 
 
-def test_affine_scan(spark):
-    rows = rows_with_hot_key()
-    df = affine_scan(spark.createDataFrame(rows, SCHEMA), ["code"], ["day", "part"], ["i"], "x", "q", "y")
-    got = {r["i"]: r["y"] for r in df.collect()}
-    for hist in by_code(rows).values():
-        y = 0.0
-        for r in hist:
-            y = r[5] * y + r[4]
-            assert got[r[3]] == pytest.approx(y, abs=1e-9)
-
-
-def test_slicing_is_as_coarse_as_the_limit_allows(spark):
-    df = spark.createDataFrame(rows_with_hot_key(), SCHEMA)
-    for limit, want in ((1000, ([], ["day", "part", "i"])), (50, (["day"], ["part", "i"])), (10, (["day", "part"], ["i"]))):
-        assert slicing(df, ["code"], ["day", "part"], ["i"], limit) == want
-
-
 def random_trades(seed, n=500):
     rng = random.Random(seed)
     out = []
@@ -81,11 +64,11 @@ def random_trades(seed, n=500):
 TRADES = "code string, day int, part int, i int, side string, qty double, price double"
 
 
-@pytest.mark.parametrize("limit", [5, 30, 10_000])
+@pytest.mark.parametrize("levels", [[], ["day"], ["day", "part"]])
 @pytest.mark.parametrize("seed,span", [(1, 40), (2, 500), (3, 10_000)])
-def test_fifo_equals_queue(spark, seed, span, limit):
+def test_fifo_equals_queue(spark, seed, span, levels):
     rows = random_trades(seed)
-    out = pf.fifo_pnl(spark.createDataFrame(rows, TRADES), ["day", "part"], ["i"], ["i"], span=span, limit=limit)
+    out = pf.fifo_pnl(spark.createDataFrame(rows, TRADES), levels, ["i"], ["i"], span=span)
     got = {r["i"]: (r["covered"], r["pnl"]) for r in out.collect()}
     lots = {}
     for code, _, _, i, side, qty, price in rows:
@@ -106,10 +89,16 @@ def test_fifo_equals_queue(spark, seed, span, limit):
     assert not got
 
 
-@pytest.mark.parametrize("limit", [5, 30, 10_000])
-def test_average_cost_equals_ledger(spark, limit):
+@pytest.mark.parametrize("levels", [[], ["day", "part"]])
+@pytest.mark.parametrize("scale", [0.5, 40.0, 300.0])
+def test_average_cost_equals_ledger(spark, monkeypatch, levels, scale):
+    # A small scale cuts often; terms older than a whole stretch of it would then still count.
+    monkeypatch.setattr(pf, "SCALE", max(scale, 40.0))
     rows = random_trades(7)
-    out = pf.average_cost(spark.createDataFrame(rows, TRADES), ["day", "part"], ["i"], limit=limit)
+    if scale < 1:
+        # Halved again and again: beyond what one scale of doubles holds.
+        rows = [("hot", i // 60, i // 12, i, "SELL" if i % 3 == 2 else "BUY", 9.0 if i % 3 == 2 else 5.0, 1.0 + i % 7) for i in range(1500)]
+    out = pf.average_cost(spark.createDataFrame(rows, TRADES), levels, ["i"])
     got = {r["i"]: (r["held"], r["avg_cost"]) for r in out.collect()}
     state = {}
     for code, _, _, i, side, qty, price in rows:

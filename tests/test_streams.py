@@ -37,27 +37,6 @@ def run(df, base):
     return df.sparkSession.read.schema(df.schema).parquet(f"{base}/out")
 
 
-def test_throttle_over_several_batches(spark, landed, tmp_path):
-    key = F.concat(F.col("user_id").cast("string"), F.lit("_"), "event_type").alias("key")
-    got = run(stateful.throttle_stream(stream(spark, landed).select("event_id", "ts", key), 86400), tmp_path)
-    want = al.throttle(v.events(spark, SF_DIR).select("event_id", "ts", key), 86400)
-    assert {r[0] for r in got.select("event_id").collect()} == {r[0] for r in want.select("event_id").collect()}
-
-
-def test_exits_over_several_batches(spark, landed, tmp_path):
-    held = v.table(spark, SF_DIR, "supplier").filter("s_acctbal > 0").select(
-        F.col("s_suppkey").alias("code"), (F.col("s_acctbal") / 100).alias("cost")
-    ).withColumn("watermark", F.col("cost"))
-    quotes = stream(spark, landed).filter("value > 0").select(
-        F.col("user_id").alias("code"), "ts", F.col("value").alias("price"), "event_id"
-    )
-    got = run(stateful.exit_stream(quotes, held), tmp_path)
-    batch = v.quotes(spark, SF_DIR).withColumns({"day": F.to_date("ts"), "hour": F.date_trunc("hour", "ts")})
-    want = pf.live_exits(held, batch, ["day", "hour"], ["ts", "event_id"])
-    pick = lambda df: {(r["event_id"], r["event"]) for r in df.collect()}
-    assert pick(got) == pick(want)
-
-
 def test_slice_wise_forms_carry_state_between_batches(spark, landed, tmp_path):
     key = F.concat(F.col("user_id").cast("string"), F.lit("_"), "event_type").alias("key")
     base = str(tmp_path / "throttle")
@@ -78,7 +57,7 @@ def test_slice_wise_forms_carry_state_between_batches(spark, landed, tmp_path):
     ).withColumns(cols)
     base = str(tmp_path / "exits")
     stateful.exit_batches(
-        quotes, held, base, f"{base}/ckpt", ["day", "hour"], ["ts", "event_id"], available_now=True, limit=3
+        quotes, held, base, f"{base}/ckpt", ["day", "hour"], ["ts", "event_id"], available_now=True
     ).awaitTermination()
     want = pf.live_exits(held, v.quotes(spark, SF_DIR).withColumns(cols), ["day", "hour"], ["ts", "event_id"])
     pick = lambda df: sorted((r["event_id"], r["event"]) for r in df.collect())

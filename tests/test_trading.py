@@ -1,6 +1,7 @@
 """Signals, exits, costs, votes and alerts on hand-made rows."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -101,6 +102,68 @@ def test_exit_scan_waits_for_min_holding(spark):
         assert got == {"A": day(n), "Z": None}
 
 
+def plain_exit(closes, entry, cost, n, stop=0.1, take=0.2, trail=0.05):
+    high, seen = cost, 0
+    for date, p in closes:
+        if date < entry:
+            continue
+        if date > entry:
+            high, seen = max(high, p), seen + 1
+        if seen >= n:
+            change = (p - cost) / cost
+            if change <= -stop:
+                return "stop_loss", date
+            if change >= take:
+                return "take_profit", date
+            if high > cost and (high - p) / high >= trail:
+                return "trailing_stop", date
+    return None, None
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 7])
+def test_exit_scan_by_blocks_equals_a_walk(spark, monkeypatch, n):
+    monkeypatch.setattr(pf, "BLOCK", 4)
+    rng = random.Random(n)
+    bars, entries = [], []
+    for code in "ABCDEF":
+        p = 10.0
+        for i in range(60):
+            p = round(max(1.0, p * (1 + rng.gauss(0, 0.015))), 4)
+            bars.append((code, day(i), p))
+        entries += [(code, day(rng.randint(-3, 62)), round(p * rng.uniform(0.9, 1.1), 3)) for _ in range(25)]
+    entries += [("A", day(5), 10.0), ("A", day(5), 10.0), ("Z", day(1), 3.0)]
+    df = spark.createDataFrame(bars, "code string, date date, close double")
+    out = pf.exit_scan(spark.createDataFrame(entries, "code string, entry_date date, cost double"), df, min_holding_bars=n)
+    closes = {c: [(d, p) for x, d, p in bars if x == c] for c in "ABCDEFZ"}
+    got = out.collect()
+    assert len(got) == len(entries)
+    for r in got:
+        assert (r.exit_event, r.exit_date) == plain_exit(closes[r.code], r.entry_date, r.cost, n)
+
+
+def test_watermarks_by_blocks(spark, monkeypatch):
+    monkeypatch.setattr(pf, "BLOCK", 4)
+    rng = random.Random(9)
+    bars = [(c, day(i), rng.uniform(5, 15)) for c in "AB" for i in range(30)]
+    entries = [(c, day(rng.randint(-2, 31)), day(rng.randint(0, 33)), rng.uniform(5, 12)) for c in "AAABBBZ" for _ in range(6)]
+    held = spark.createDataFrame(entries, "code string, entry_date date, day date, cost double")
+    df = spark.createDataFrame(bars, "code string, date date, close double")
+    for until, last in ((None, lambda r: day(99)), (F.col("day"), lambda r: r.day)):
+        for r in pf.watermarks(held, df, until).collect():
+            after = [p for c, d, p in bars if c == r.code and r.entry_date < d <= last(r)]
+            assert r.watermark == max([r.cost, *after])
+
+
+def test_equity_charges_what_was_covered(spark):
+    rows = [("A", day(0), 1, "BUY", 100.0, 50.0), ("A", day(1), 2, "SELL", 200.0, 50.0), ("A", day(2), 3, "SELL", 10.0, 50.0)]
+    trades = spark.createDataFrame(rows, "code string, date date, seq int, side string, qty double, price double")
+    bars = spark.createDataFrame([("A", day(i), 50.0) for i in range(4)], "code string, date date, close double")
+    book = pf.booked(trades.withColumn("day", F.col("date")), ["day"], ["seq"])
+    out = pf.equity_curve(book, bars, 10_000.0, slippage=0.0).orderBy("date").collect()
+    assert [r.market_value for r in out] == [5000.0, 0.0, 0.0, 0.0]
+    assert [round(r.cash, 2) for r in out] == [4995.0, 9985.0, 9985.0, 9985.0]
+
+
 def test_live_trailing_needs_no_gain(spark):
     c = lambda x: F.lit(x)
     one = spark.range(1)
@@ -117,7 +180,7 @@ def test_breaker_cools_down(spark):
     rows = [("P", day(i), x) for i, x in enumerate(values)]
     out = pf.circuit_breaker(spark.createDataFrame(rows, "portfolio string, ts date, total_value double"))
     got = [r["broken"] for r in out.orderBy("ts").collect()]
-    assert got == [False, False, True, True, True, True, True, False, False]
+    assert got == [False, False, False, True, True, True, True, True, False]
 
 
 def test_industry_rejects_do_not_use_budget(spark):

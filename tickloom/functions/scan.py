@@ -4,7 +4,7 @@ A plain ``Window.partitionBy(key)`` puts a whole key into one task. Trades, quot
 and alerts of one hot key can be a third of the table, so scans over them work on
 *slices*: the caller names nested columns (coarse to fine) that follow the row order
 within a key, every slice is scanned on its own, and only one total per slice is
-scanned at the next coarser level. :func:`slicing` measures how fine the slices must be.
+scanned at the next coarser level. The levels are the caller's and do not depend on the data.
 """
 
 from __future__ import annotations
@@ -15,30 +15,7 @@ from collections.abc import Callable, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
-
-from tickloom.session import cut_lineage
-
-
-# Most rows of one slice, and so of one window partition.
-SLICE_ROWS = 1 << 21
-
-
-def slicing(
-    df: DataFrame, keys: Sequence[str], levels: Sequence[str], order: Sequence[str], limit: int = SLICE_ROWS
-) -> tuple[list[str], list[str]]:
-    """The coarsest prefix of ``levels`` whose largest slice holds at most ``limit`` rows,
-    and the order within such slices.
-
-    Counting reads the key columns only and shuffles one row per slice and task. With no
-    large key the answer is no levels at all: a plain window, without joins.
-    """
-    levels, order = list(levels), list(order)
-    for n in range(len(levels)):
-        largest = df.groupBy(*keys, *levels[:n]).count().agg(F.max("count")).first()[0]
-        if (largest or 0) <= limit:
-            return levels[:n], levels[n:] + order
-    return levels, order
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 
 def _upto(keys, order):
@@ -172,57 +149,6 @@ def ordered_fold(
     )
 
 
-_AFFINE = StructType([StructField("__pa", DoubleType()), StructField("__pb", DoubleType())])
-
-
-def _compose(state, row):
-    a, b = state
-    state = (row[0] * a, row[0] * b + row[1])
-    return state, state
-
-
-def affine_scan(
-    df: DataFrame,
-    keys: Sequence[str],
-    levels: Sequence[str],
-    order: Sequence[str],
-    a: str,
-    b: str,
-    out: str,
-) -> DataFrame:
-    """Solve ``x[t] = a[t] * x[t-1] + b[t]`` with ``x[-1] = 0`` per key, slice by slice.
-
-    A slice is summarised by the one map its rows compose to, so a hot key is spread
-    over as many tasks as it has slices.
-    """
-    solved = _affine(df, list(keys), list(levels), list(order), a, b)
-    return solved.withColumn(out, F.col("__x")).drop("__x", "__x_before")
-
-
-def _affine(df, keys, levels, order, a, b):
-    group = keys + levels
-    local = ordered_fold(
-        df, group, order, _AFFINE, lambda row: (1.0, 0.0), _compose, reads=[a, b]
-    )
-    if levels:
-        local = cut_lineage(local)  # read for the totals and again for the rows
-    else:
-        x = local.withColumn("__x", F.col("__pb")).drop("__pa", "__pb")
-        w = Window.partitionBy(*keys).orderBy(*order)
-        return x.withColumn("__x_before", F.coalesce(F.lag("__x").over(w), F.lit(0.0)))
-    last = F.struct(*[F.col(c) for c in order])
-    totals = local.groupBy(*group).agg(
-        F.max_by(F.struct("__pa", "__pb"), last).alias("m")
-    ).select(*group, F.col("m.__pa").alias(a), F.col("m.__pb").alias(b))
-    upper = _affine(totals, keys, levels[:-1], [levels[-1]], a, b)
-    joined = local.join(upper.select(*group, F.col("__x_before").alias("__in")), group)
-    joined = joined.withColumn("__x", F.col("__pa") * F.col("__in") + F.col("__pb"))
-    w = Window.partitionBy(*group).orderBy(*order)
-    return joined.withColumn(
-        "__x_before", F.coalesce(F.lag("__x").over(w), F.col("__in"))
-    ).drop("__pa", "__pb", "__in")
-
-
 def spaced_picks(
     df: DataFrame, key: str, ts: str, tie: str, window_us: int, slice_us: int, out: str = "sent"
 ) -> DataFrame:

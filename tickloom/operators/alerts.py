@@ -98,6 +98,6 @@ def throttle(
     return marked.filter("__sent").drop("__us", "__sent")
 
 
-def recent(signals: DataFrame, n: int, ts: str = "ts", tie: str = "event_id", buffer: int = 500) -> DataFrame:
-    """The last n of the newest ``buffer`` signals, newest first."""
-    return signals.orderBy(F.col(ts).desc(), F.col(tie).desc()).limit(min(n, buffer))
+def recent(signals: DataFrame, n: int, ts: str = "ts", tie: str = "event_id") -> DataFrame:
+    """The last n signals, newest first."""
+    return signals.orderBy(F.col(ts).desc(), F.col(tie).desc()).limit(n)

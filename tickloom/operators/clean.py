@@ -122,17 +122,18 @@ def clean_sector_list(raw: DataFrame, sector_type: str) -> DataFrame:
 
 
 def code_column(raw: DataFrame) -> str:
-    """The constituent code column: by name, else the first whose leading values look like codes."""
+    """The constituent code column: by name, else the first of those with most values that look like codes.
+
+    All rows count.
+    """
     for name in CONSTITUENT_CODE_COLUMNS:
         if name in raw.columns:
             return name
-    head = raw.limit(5).select(
-        *[F.max(F.col(f"`{c}`").cast("string").rlike(r"^\d{6}$")).alias(c) for c in raw.columns]
-    ).first()
-    for name in raw.columns:
-        if head[name]:
-            return name
-    raise ValueError(f"no code column among {raw.columns}")
+    like = raw.agg(*[F.count_if(F.col(f"`{c}`").cast("string").rlike(r"^\d{6}$")).alias(c) for c in raw.columns]).first()
+    best = max(raw.columns, key=lambda c: like[c])
+    if not like[best]:
+        raise ValueError(f"no code column among {raw.columns}")
+    return best
 
 
 def zfill6(c: str | Column) -> Column:
@@ -141,8 +142,9 @@ def zfill6(c: str | Column) -> Column:
     return F.when(F.length(text) < 6, F.lpad(text, 6, "0")).otherwise(text)
 
 
-def clean_constituents(raw: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    code = zfill6(f"`{code_column(raw)}`")
+def clean_constituents(raw: DataFrame, keep: Sequence[str] = (), column: str | None = None) -> DataFrame:
+    """``column`` holds the codes; without it :func:`code_column` decides."""
+    code = zfill6(f"`{column or code_column(raw)}`")
     return raw.select(*keep, code.alias("code")).filter(F.col("code").rlike(r"^\d{6}$"))
 
 

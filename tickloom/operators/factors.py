@@ -242,10 +242,10 @@ def gap_penalty(df: DataFrame) -> DataFrame:
     )
 
 
-def microstructure(df: DataFrame) -> DataFrame:
-    out = gap_penalty(amihud_stability(smart_money(df)))
+def microstructure(df: DataFrame, smart: int = 10, illiq: int = SHORT_WINDOW, out_name: str = "micro") -> DataFrame:
+    out = gap_penalty(amihud_stability(smart_money(df, smart), illiq))
     return out.withColumn(
-        "micro",
+        out_name,
         0.5 * F.col("smart_money") + 0.3 * F.col("illiq_stability") + 0.2 * F.col("gap_penalty"),
     )
 

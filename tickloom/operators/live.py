@@ -49,6 +49,7 @@ def live_state(bars: DataFrame, z: int = fx.Z_WINDOW, strategies=PARAMS) -> Data
         }
     )
     zero = F.lit(0.0)
+    smart, stable = (strategies["kunpeng_v10"][k] for k in ("smart_window", "illiq_window"))
     u, w, b, illiq, ret = (F.col(c) for c in ("u", "w", "b", "illiq", "ret"))
 
     def recent(x, n):
@@ -73,9 +74,11 @@ def live_state(bars: DataFrame, z: int = fx.Z_WINDOW, strategies=PARAMS) -> Data
         "su": total(u, N - 1), "sw": total(w, N - 1),
         "suu": total(u * u, N - 1), "suw": total(u * w, N - 1), "sww": total(w * w, N - 1),
         "bs": total(b, z - 1), "bq": total(b * b, z - 1), "bn": F.count(recent(b, z - 1)),
-        "net9": total(F.col("net"), 9), "vol9": total(F.col("volume"), 9),
+        # A window's rows but the quote's; of n rows only n - 1 have a return inside.
+        f"net_{smart}": total(F.col("net"), smart - 1), f"vol_{smart}": total(F.col("volume"), smart - 1),
         "vol5": F.avg(recent(F.col("volume"), 5)), "amt5": F.avg(recent(F.col("amount"), 5)),
-        "il_s": total(illiq, 18), "il_q": total(illiq * illiq, 18), "il_n": F.count(recent(illiq, 18)),
+        f"il_s_{stable}": total(illiq, stable - 2), f"il_q_{stable}": total(illiq * illiq, stable - 2),
+        f"il_n_{stable}": F.count(recent(illiq, stable - 2)),
         "ret5_sum": total(ret, 5),
         "cmom": F.coalesce(F.product(recent(1 + ret, 20)), F.lit(1.0)) - 1,
         "liq": F.when(F.count(recent(traded, 20)) == 0, 0.0).otherwise(-F.avg(recent(illiq, 20))),
@@ -187,13 +190,17 @@ def sentiment_reversal(p):
 
 
 def microstructure(p):
-    """The quote as a bar with open = high = low = close and recent mean volume."""
-    price, total = F.col("price"), F.col("vol9") + F.col("vol5")
-    smart = F.when(total < 1, 0.0).otherwise(div("net9", total))
+    """The quote as a bar with open = high = low = close and recent mean volume.
+
+    The state must have been built with the same windows.
+    """
+    w, z = p["smart_window"], p["illiq_window"]
+    price, total = F.col("price"), F.col(f"vol_{w}") + F.col("vol5")
+    smart = F.when(total < 1, 0.0).otherwise(div(f"net_{w}", total))
     new = F.abs(div("price", "close") - 1) / nonzero("amt5")
     known = new.isNotNull().cast("int")
-    n = F.col("il_n") + known
-    s, q = F.col("il_s") + F.coalesce(new, F.lit(0.0)), F.col("il_q") + F.coalesce(new * new, F.lit(0.0))
+    n = F.col(f"il_n_{z}") + known
+    s, q = F.col(f"il_s_{z}") + F.coalesce(new, F.lit(0.0)), F.col(f"il_q_{z}") + F.coalesce(new * new, F.lit(0.0))
     var = div(q - div(s * s, n), n - 1)
     stable = F.when(n < 5, 0.0).otherwise(-F.sqrt(F.greatest(var, F.lit(0.0))))
     ref = F.when(F.col("close") > 0, F.col("close")).otherwise(1.0)
@@ -224,6 +231,8 @@ LIVE = {
     "sentiment_reversal": sentiment_reversal,
     "kunpeng_v10": microstructure,
     "alpha_max_v5_fixed": multi_factor,
+    # Its sector part needs bars of sectors; live it goes by the regression alone.
+    "sector_momentum": rsrs_momentum,
 }
 
 

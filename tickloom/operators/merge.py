@@ -111,22 +111,26 @@ def source_counts(log: DataFrame) -> DataFrame:
 
 def ingest(
     primary: DataFrame, secondary: DataFrame, tertiary: DataFrame, stored: DataFrame,
-    universe: DataFrame, as_of: Column, force_full: bool = False,
+    universe: DataFrame, as_of: Column, force_full: bool = False, run: int = 0,
 ) -> tuple[DataFrame, DataFrame]:
     """The daily load as one plan: (table to store, run log).
 
-    Per code: what is missing, first source that has it, validation, upsert, check.
-    A code that fails keeps its stored rows and gets a log row; nothing raises.
+    Per code: what is missing up to ``as_of``, first source that has it, validation, upsert,
+    check of the merged rows. A code that fails keeps its stored rows and gets a log row;
+    one that fails validation gets two, ``validation`` and ``failed``. The log has (code,
+    market, status, source, rows, reason, seq), seq the number of this run, and is what run
+    reports and failed lists read. ``universe`` may name each code's market.
     """
     known = q.max_dates(stored)
-    tasks = universe.select("code").distinct().join(known, "code", "left")
+    market = F.col("market") if "market" in universe.columns else F.lit(None).cast("int").alias("market")
+    tasks = universe.select("code", market).dropDuplicates(["code"]).join(known, "code", "left")
     if force_full:
         tasks = tasks.withColumn("max_date", F.lit(None).cast("date"))
     span = q.missing_range(tasks, as_of).withColumn("fresh", q.is_up_to_date("max_date", as_of))
-    due = span.filter("NOT fresh").select("code", "start_date")
+    due = span.filter("NOT fresh").select("code", "start_date", "end_date")
 
     def wanted(df):
-        return df.join(due, "code").filter("date >= start_date").drop("start_date")
+        return df.join(due, "code").filter("date BETWEEN start_date AND end_date").drop("start_date", "end_date")
 
     a, b, c = wanted(primary), wanted(secondary), wanted(tertiary)
     dual = merge_dual(a, b)
@@ -136,36 +140,52 @@ def ingest(
         F.when(F.col("origin") == "secondary", "akshare").when(F.col("__b"), "merged").otherwise("tdx"),
     ).drop("origin", "__b")
     rest = c.join(dual.select("code").distinct(), "code", "left_anti").withColumn("source", F.lit("baostock"))
-    # Read four times below: validation, table, sources and log.
+    # Read several times below: validation, merged check, table, sources and log.
     new = cut_lineage(dual.unionByName(rest, allowMissingColumns=True))
 
     checked = q.validate(new.withColumnRenamed("volume", "vol") if "vol" not in new.columns else new)
     good = new.join(checked.filter("ok"), "code", "left_semi")
     if force_full:
-        kept = stored.join(good.select("code").distinct(), "code", "left_anti")
-        merged = kept.unionByName(good, allowMissingColumns=True)
+        after = good
     else:
-        merged = upsert(stored, good)
+        mine = stored.join(checked.filter("ok").select("code"), "code", "left_semi")
+        after = upsert(mine, good)
+    after = cut_lineage(after)
+    # Stored rows lie in date order, so that order cannot be wrong; repeated dates can be.
+    whole = q.validate_merged(after.withColumn("seq", F.unix_date("date").cast("long")))
+    whole = whole.select("code", F.col("ok").alias("whole"), F.col("reason").alias("broken"))
+    done = after.join(whole.filter("whole"), "code", "left_semi")
+    merged = stored.join(whole.filter("whole"), "code", "left_anti").unionByName(done, allowMissingColumns=True)
 
     source = good.groupBy("code").agg(F.first("source").alias("source"))
-    rows = merged.groupBy("code").agg(F.count(F.lit(1)).alias("stored_rows"))
+    rows = done.groupBy("code").agg(F.count(F.lit(1)).alias("stored_rows"))
     log = (
-        span.select("code", "fresh")
+        span.select("code", "market", "fresh")
         .join(checked.select("code", "ok", "reason"), "code", "left")
-        .join(source, "code", "left")
-        .join(rows, "code", "left")
+        .join(whole, "code", "left").join(source, "code", "left").join(rows, "code", "left")
     )
-    status = F.when(F.col("fresh"), "skipped").when(F.col("ok"), "success").otherwise("failed")
-    why = (
-        F.when(F.col("fresh"), "already_up_to_date")
-        .when(F.col("reason").isNull(), "complete_fail")
-        .when(~F.col("ok"), F.concat(F.lit("validate:"), F.col("reason")))
+    fine = F.coalesce("ok", F.lit(False)) & F.coalesce("whole", F.lit(False))
+    none = F.lit(None).cast("string")
+
+    def record(status, why):
+        return F.struct(F.lit(status).alias("status"), why.alias("reason"))
+
+    records = (
+        F.when(F.col("fresh"), F.array(record("skipped", F.lit("already_up_to_date"))))
+        .when(fine, F.array(record("success", none)))
+        .when(F.col("reason").isNull(), F.array(record("failed", F.lit("complete_fail"))))
+        .when(F.col("ok"), F.array(record("failed", F.concat(F.lit("merge_validate:"), "broken"))))
+        .otherwise(F.array(
+            record("validation", F.col("reason")), record("failed", F.concat(F.lit("validate:"), "reason"))
+        ))
     )
+    log = log.withColumn("__ok", fine & ~F.col("fresh")).withColumn("__r", F.explode(records))
     log = log.select(
-        "code", status.alias("status"), "source",
-        F.when(F.col("ok"), F.col("stored_rows")).alias("rows"), why.alias("reason"),
+        "code", "market", F.col("__r.status").alias("status"), F.when(F.col("__ok"), F.col("source")).alias("source"),
+        F.when(F.col("__ok"), F.col("stored_rows")).alias("rows"), F.col("__r.reason").alias("reason"),
+        F.lit(run).cast("long").alias("seq"),
     )
-    return merged, log
+    return merged.drop("source"), log
 
 
 def ingest_sectors(

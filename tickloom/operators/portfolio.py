@@ -15,14 +15,12 @@ from pyspark.sql.types import BooleanType, StructField, StructType
 
 from tickloom.functions.num import as_col, div
 from tickloom.functions.scan import (
-    SLICE_ROWS,
-    affine_scan,
     ordered_fold,
     running_max,
     running_sums,
-    slicing,
 )
 from tickloom.operators.panel import asof_join
+from tickloom.session import cut_lineage
 
 # Cost model and limits.
 COMMISSION_RATE = 0.0003
@@ -45,6 +43,10 @@ TINY = 1e-9
 # Quantity units per slice when buys and sells are laid side by side.
 MATCH_SPAN = 10_000
 BARE_SLICES = 1 << 16
+# Natural logarithm of how far holdings shrink before average costs are scaled anew.
+SCALE = 300.0
+# Closes per block of an exit scan.
+BLOCK = 64
 
 
 # ---------------------------------------------------------------- costs and sizing
@@ -90,9 +92,7 @@ def live_lots(cash, price, cap: float = MAX_POSITION, slippage: float = LIVE_SLI
 # ---------------------------------------------------------------- lots
 
 
-def booked(
-    trades: DataFrame, levels: Sequence[str], order: Sequence[str], limit: int = SLICE_ROWS
-) -> DataFrame:
+def booked(trades: DataFrame, levels: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Adds per trade what is held after it and how much of a sell was covered.
 
     Sells may exceed holdings; what they exceed them by is the depth of the running
@@ -100,7 +100,6 @@ def booked(
     """
     buy = F.when(is_buy(), F.col("qty")).otherwise(0.0)
     sell = F.when(is_buy(), 0.0).otherwise(F.col("qty"))
-    levels, order = slicing(trades, ["code"], levels, order, limit)
     t = trades.withColumns({"buy": buy, "sell": sell, "signed": buy - sell})
     run = running_sums(t, ["code"], levels, order, ["buy", "sell", "signed"], low_of="signed")
     zero = F.lit(0.0)
@@ -116,7 +115,7 @@ def booked(
 
 def fifo_pnl(
     trades: DataFrame, levels: Sequence[str], order: Sequence[str], ids: Sequence[str],
-    span: int = MATCH_SPAN, limit: int = SLICE_ROWS,
+    span: int = MATCH_SPAN,
 ) -> DataFrame:
     """Realised profit of every sell against the oldest lots: (code, ids, covered, pnl, win).
 
@@ -125,7 +124,7 @@ def fifo_pnl(
     axis is cut every ``span`` units; a slice is swept once in order and no pairs of
     trades are formed.
     """
-    b = booked(trades, levels, order, limit)
+    b = booked(trades, levels, order)
     laid = b.select(
         "code", *ids, F.col("price"), is_buy().alias("is_buy"),
         F.when(is_buy(), F.col("run_buy") - F.col("qty")).otherwise(F.col("sold_upto") - F.col("covered")).alias("lo"),
@@ -167,24 +166,49 @@ def fifo_pnl(
     return out.withColumn("win", F.signum("pnl"))
 
 
-def average_cost(
-    trades: DataFrame, levels: Sequence[str], order: Sequence[str], limit: int = SLICE_ROWS
-) -> DataFrame:
+def average_cost(trades: DataFrame, levels: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Adds ``held`` and the moving average cost ``avg_cost`` after each trade.
 
-    A buy mixes the old cost with its price, a sell leaves the cost: both are maps
-    cost -> a * cost + b, which :func:`affine_scan` composes slice by slice.
+    What is held costs, after trade t, the sum over buys s up to t of price * qty * D_t / D_s,
+    where D is the product of held / held before over sells since nothing was held. ln D is
+    a running sum, and so is the rest, scaled anew in every stretch over which D falls by
+    ``SCALE``; of what was bought before a stretch, only the stretch just before it still
+    counts in double precision. A sell leaves the cost as it is, down to nothing held.
     """
-    levels, order = slicing(trades, ["code"], levels, order, limit)
-    b = booked(trades, levels, order, limit)
-    share = div("qty", "held")
-    maps = b.withColumns(
-        {
-            "__a": F.when(is_buy(), 1 - share).otherwise(1.0),
-            "__b": F.when(is_buy(), F.col("price") * share).otherwise(0.0),
-        }
+    # Every scan reads its rows once per level; each is stored before the next.
+    b = cut_lineage(booked(trades, levels, order))
+    before = F.col("held") + F.when(is_buy(), -F.col("qty")).otherwise(F.col("covered"))
+    gone = ~is_buy() & (F.col("held") <= 0) & (before > 0)
+    shrunk = F.when(~is_buy() & ~gone & (before > 0), F.log(F.col("held") / before)).otherwise(0.0)
+    b = b.withColumns({"__gone": gone.cast("long"), "__ln": shrunk, "__was": before}).drop("run_buy")
+    # Both sums at once; a stretch starts anew after everything was sold.
+    b = cut_lineage(running_sums(b, ["code"], levels, order, ["__gone", "__ln"]))
+    b = b.withColumn("__life", F.col("run___gone") - F.col("__gone"))
+    start = F.floor(-F.col("run___ln") / F.lit(SCALE))
+    b = b.withColumns({"__part": start, "__scale": F.exp(F.col("run___ln") + start * F.lit(SCALE))})
+    paid = F.when(is_buy(), F.col("price") * F.col("qty") / F.col("__scale")).otherwise(0.0)
+    group = ["code", "__life", "__part"]
+    b = cut_lineage(running_sums(b.withColumn("__paid", paid), group, levels, order, ["__paid"]))
+    last = F.struct(*levels, *order)
+    ends = b.groupBy(*group).agg(
+        (F.max_by("__scale", last) * F.sum("__paid")).alias("__end"), F.max_by("run___ln", last).alias("__end_ln"),
+    )
+    w = Window.partitionBy("code", "__life").orderBy("__part")
+    ends = ends.select(*group, F.lag("__end").over(w).alias("__old"), F.lag("__end_ln").over(w).alias("__old_ln"))
+    b = b.join(ends, group)
+    carried = F.coalesce(F.col("__old") * F.exp(F.col("run___ln") - F.col("__old_ln")), F.lit(0.0))
+    basis = F.col("__scale") * F.col("run___paid") + carried
+    # A trade that sells everything is priced as held before it.
+    out = b.withColumn("avg_cost", F.coalesce(div(basis, F.when(gone, F.col("__was")).otherwise(F.col("held"))), F.lit(0.0)))
+    # Sells of nothing repeat the cost before them: it is the cost at the end of the last life.
+    idle = ~is_buy() & (F.col("__was") <= 0)
+    closing = b.filter(gone).select(
+        "code", (F.col("__life") + 1).alias("__life"), div(basis, "__was").alias("__closing")
+    )
+    out = out.join(closing, ["code", "__life"], "left").withColumn(
+        "avg_cost", F.when(idle, F.coalesce("__closing", F.lit(0.0))).otherwise(F.col("avg_cost"))
     )
-    return affine_scan(maps, ["code"], levels, order, "__a", "__b", "avg_cost").drop("__a", "__b")
+    return out.select(*trades.columns, "held", "covered", "avg_cost")
 
 
 # ---------------------------------------------------------------- valuation
@@ -210,22 +234,53 @@ def total_market_value(marked: DataFrame, suspended: DataFrame, discount: float
     return marked.join(off, ["date", "code"], "left").groupBy("date").agg(F.sum(mv).alias("market_value"))
 
 
-def _paths(bars: DataFrame) -> DataFrame:
-    """Each code's closes in date order, as one array: a row per calendar day at most."""
-    return bars.filter("close > 0").groupBy("code").agg(
-        F.sort_array(F.collect_list(F.struct("date", "close"))).alias("__path")
+def _blocks(bars: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Closes in blocks of ``BLOCK`` per code: (code, __b, __path), and per code ``__walk``, its blocks' figures.
+
+    A block's figures are its first and last date, low, high and worst fall from a close to
+    a later one.
+    """
+    closes = bars.filter("close > 0").select("code", "date", "close")
+    place = F.row_number().over(Window.partitionBy("code").orderBy("date")) - 1
+    closes = closes.withColumn("__b", F.floor(place / BLOCK).cast("int"))
+    high = F.max("close").over(Window.partitionBy("code", "__b").orderBy("date").rowsBetween(Window.unboundedPreceding, 0))
+    blocks = closes.withColumn("__fall", 1 - F.col("close") / high).groupBy("code", "__b").agg(
+        F.sort_array(F.collect_list(F.struct("date", "close"))).alias("__path"),
+        F.min("close").alias("lo"), F.max("close").alias("hi"), F.max("__fall").alias("fall"),
+        F.min("date").alias("first"), F.max("date").alias("last"),
+    )
+    walks = blocks.groupBy("code").agg(
+        F.sort_array(F.collect_list(F.struct("__b", "first", "last", "lo", "hi", "fall"))).alias("__walk")
     )
+    return blocks.select("code", "__b", "__path"), walks
 
 
 def watermarks(entries: DataFrame, bars: DataFrame, until: Column | None = None) -> DataFrame:
-    """Adds the highest of the entry price and all closes after the entry day."""
-    held = F.filter(
-        "__path",
-        lambda x: (x["date"] > F.col("entry_date")) & (F.lit(True) if until is None else x["date"] <= until),
-    )
-    best = F.aggregate(held, F.col("cost"), lambda acc, x: F.greatest(acc, x["close"]))
-    out = entries.join(_paths(bars), "code", "left")
-    return out.withColumn("watermark", F.coalesce(best, F.col("cost"))).drop("__path")
+    """Adds the highest of the entry price and all closes after the entry day, up to ``until``.
+
+    Blocks of closes that lie whole in that time count by their high; the two at its ends
+    are opened.
+    """
+    blocks, walks = _blocks(bars)
+    end = F.lit(None).cast("date") if until is None else until
+    cases = entries.select("code", "entry_date", end.alias("__until")).distinct().join(walks, "code")
+    upto = F.coalesce("__until", F.lit("9999-12-31").cast("date"))
+    touched = F.filter("__walk", lambda x: (x["last"] > F.col("entry_date")) & (x["first"] <= upto))
+
+    def inside(x):
+        return (x["first"] > F.col("entry_date")) & (x["last"] <= upto)
+
+    high = F.array_max(F.transform(F.filter(touched, inside), lambda x: x["hi"]))
+    ends = F.transform(F.filter(touched, lambda x: ~inside(x)), lambda x: x["__b"])
+    keys = ["code", "entry_date", "__until"]
+    cases = cases.select(*keys, high.alias("__high"), F.explode_outer(ends).alias("__b"))
+    held = F.filter("__path", lambda x: (x["date"] > F.col("entry_date")) & (x["date"] <= upto))
+    opened = cases.join(blocks, ["code", "__b"], "left").withColumn("__top", F.array_max(F.transform(held, lambda x: x["close"])))
+    best = opened.groupBy(*keys).agg(F.greatest(F.max("__high"), F.max("__top")).alias("__best"))
+    out = entries.withColumn("__until", end)
+    same = [out[k].eqNullSafe(best[k]) for k in keys]
+    out = out.join(best, same[0] & same[1] & same[2], "left").select(*[out[c] for c in entries.columns], "__best")
+    return out.withColumn("watermark", F.greatest("cost", "__best")).drop("__best")
 
 
 def exit_event(cost, price, watermark, stop, take, trail, live: bool = False) -> Column:
@@ -249,52 +304,86 @@ def exit_scan(
 ) -> DataFrame:
     """First close at which each entry (code, entry_date, cost) meets an exit rule.
 
-    The code's path of closes, bounded by the calendar, is joined to every entry and
-    folded in place, so no row per entry and day is ever made. ``min_holding_bars`` 0
-    allows the exit on the entry day itself.
+    The watermark starts at the cost and follows every close after the entry day; an exit is
+    allowed from the ``min_holding_bars``-th bar after it, with 0 on the entry day itself.
+    Closes come in blocks of ``BLOCK`` with their low, high and worst fall. An entry walks
+    its code's blocks and opens only its own and those that may hold its exit, two at most:
+    once the watermark is above the cost, a block's figures tell for sure.
     """
-    joined = entries.join(_paths(bars), "code", "left")
-    start = F.struct(
-        F.col("cost").alias("wm"), F.lit(None).cast("string").alias("event"),
-        F.lit(None).cast("date").alias("date"), F.lit(None).cast("double").alias("price"),
+    blocks, walks = _blocks(bars)
+    cases = entries.select("code", "entry_date", "cost").distinct().join(walks, "code")
+    # The block that holds the entry day, or the first after it.
+    known = F.filter("__walk", lambda x: x["first"] <= F.col("entry_date"))
+    cases = cases.withColumn("__b", F.greatest(F.size(known) - 1, F.lit(0)))
+    path, cost, n = F.col("__path"), F.col("cost"), min_holding_bars
+
+    def fold(path: Column, wm: Column, seen: Column) -> Column:
+        """Walks closes after the entry; ``seen`` bars have passed since."""
+        start = F.struct(
+            wm.alias("wm"), seen.alias("seen"), F.lit(None).cast("string").alias("event"),
+            F.lit(None).cast("date").alias("date"), F.lit(None).cast("double").alias("price"),
+        )
+
+        def step(acc, x):
+            later = x["date"] > F.col("entry_date")
+            wm = F.when(later, F.greatest(acc["wm"], x["close"])).otherwise(acc["wm"])
+            seen = acc["seen"] + later.cast("int")
+            hit = F.when(seen >= n, exit_event(cost, x["close"], wm, stop, take, trail))
+            done = acc["event"].isNotNull()
+            return F.struct(
+                wm.alias("wm"), seen.alias("seen"), F.coalesce(acc["event"], hit).alias("event"),
+                F.when(done, acc["date"]).when(hit.isNotNull(), x["date"]).alias("date"),
+                F.when(done, acc["price"]).when(hit.isNotNull(), x["close"]).alias("price"),
+            )
+
+        return F.aggregate(F.filter(path, lambda x: x["date"] >= F.col("entry_date")), start, step)
+
+    keys = ["code", "entry_date", "cost"]
+    opened = cases.join(blocks, ["code", "__b"])
+    opened = opened.withColumn("__end", fold(path, cost, F.lit(0))).drop("__path")
+
+    # Over the blocks after it: the watermark and bars before each that may hold the exit.
+    pick = "array<struct<b:int,wm:double,seen:int>>"
+    begin = F.struct(
+        F.col("__end.wm").alias("wm"), F.col("__end.seen").alias("seen"), F.lit(False).alias("sure"), F.array().cast(pick).alias("picks"),
     )
 
-    def step(acc, x):
-        wm = F.greatest(acc["wm"], x["close"])
-        hit = exit_event(F.col("cost"), x["close"], wm, stop, take, trail)
-        done = acc["event"].isNotNull()
+    def pass_block(acc, x):
+        wm, armed = acc["wm"], acc["wm"] > cost
+        falls = F.when(armed, (div(wm - x["lo"], wm) >= trail) | (x["fall"] >= trail)).otherwise(
+            (x["hi"] > cost) & (x["fall"] >= trail)
+        )
+        certain = (div(x["lo"] - cost, cost) <= -stop) | (div(x["hi"] - cost, cost) >= take) | (armed & falls)
+        # Before the first bar an exit is allowed at, a block is opened whatever it holds.
+        early = acc["seen"] < n - 1
+        may = ~acc["sure"] & (certain | falls | early)
+        row = F.struct(x["__b"].alias("b"), wm.alias("wm"), acc["seen"].alias("seen"))
         return F.struct(
-            F.when(done, acc["wm"]).otherwise(wm).alias("wm"),
-            F.coalesce(acc["event"], hit).alias("event"),
-            F.when(done, acc["date"]).when(hit.isNotNull(), x["date"]).alias("date"),
-            F.when(done, acc["price"]).when(hit.isNotNull(), x["close"]).alias("price"),
+            F.greatest(wm, x["hi"]).alias("wm"), (acc["seen"] + BLOCK).alias("seen"),
+            (acc["sure"] | (F.coalesce(certain, F.lit(False)) & ~early)).alias("sure"),
+            F.when(may, F.concat(acc["picks"], F.array(row))).otherwise(acc["picks"]).alias("picks"),
         )
 
-    after = F.filter(
-        "__path",
-        lambda x: (x["date"] > F.col("entry_date")) if min_holding_bars else (x["date"] >= F.col("entry_date")),
-    )
-    if min_holding_bars > 1:
-        after = F.slice(after, min_holding_bars, F.greatest(F.size(after), F.lit(1)))
-    end = F.aggregate(F.coalesce(after, F.array().cast("array<struct<date:date,close:double>>")), start, step)
-    return joined.withColumn("__end", end).drop("__path").withColumns(
-        {
-            "exit_event": F.col("__end.event"),
-            "exit_date": F.col("__end.date"),
-            "exit_price": F.col("__end.price"),
-        }
+    after = F.filter("__walk", lambda x: x["__b"] > F.col("__b"))
+    picks = F.when(F.col("__end.event").isNull(), F.aggregate(after, begin, pass_block, lambda acc: acc["picks"]))
+    tried = opened.select(*keys, F.explode(picks).alias("p")).select(*keys, F.col("p.b").alias("__b"), "p.wm", "p.seen")
+    tried = tried.join(blocks, ["code", "__b"])
+    tried = tried.withColumn("__end", fold(path, F.col("wm"), F.col("seen"))).filter("__end.event IS NOT NULL")
+    found = opened.filter("__end.event IS NOT NULL").select(*keys, "__b", "__end").unionByName(tried.select(*keys, "__b", "__end"))
+    ends = found.groupBy(*keys).agg(F.min_by("__end", "__b").alias("__end"))
+    out = entries.join(ends, keys, "left")
+    return out.withColumns(
+        {"exit_event": F.col("__end.event"), "exit_date": F.col("__end.date"), "exit_price": F.col("__end.price")}
     ).drop("__end")
 
 
 def live_exits(
     positions: DataFrame, quotes: DataFrame, levels: Sequence[str], order: Sequence[str],
     stop: float = LIVE_STOP_LOSS, take: float = LIVE_TAKE_PROFIT, trail: float = LIVE_TRAILING,
-    limit: int = SLICE_ROWS,
 ) -> DataFrame:
     """Every quote of a held code that meets an exit rule, with the watermark up to that quote."""
     held = positions.select("code", "cost", F.col("watermark").alias("__wm"))
     ticks = quotes.join(held, "code")
-    levels, order = slicing(ticks, ["code"], levels, order, limit)
     high = running_max(ticks, ["code"], levels, order, "price", "__high")
     out = high.withColumn("watermark", F.greatest("__wm", "__high"))
     out = out.withColumn("event", exit_event("cost", "price", "watermark", stop, take, trail, live=True))
@@ -303,32 +392,32 @@ def live_exits(
     )
 
 
-def equity_curve(booked_trades: DataFrame, bars: DataFrame, cal: DataFrame, initial_cash: float) -> DataFrame:
-    """(date, cash, market_value, total_value) on the calendar, from booked trades with costs.
+def equity_curve(booked_trades: DataFrame, bars: DataFrame, initial_cash: float, slippage: float = SLIPPAGE) -> DataFrame:
+    """(date, cash, market_value, total_value) on every date with a bar.
 
-    Trades are reduced to one row per code and calendar date before anything runs along
-    time. Needs a column ``date`` holding the calendar date a trade belongs to.
+    Costs are those of what was traded: of a sell, what was covered, and nothing for a sell
+    of nothing. Trades are reduced to one row per code and date; market value is the running
+    sum over dates of each code's change in held times close, so that work follows the rows
+    and not codes times dates. Needs ``date``, the calendar date a trade belongs to.
     """
-    paid = F.when(is_buy(), -F.col("net")).otherwise(div(F.col("net") * F.col("covered"), "qty"))
-    flows = booked_trades.groupBy("date").agg(F.sum(paid).alias("flow"))
-    upto = Window.partitionBy().orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    cash = cal.select("date").join(flows, "date", "left").select(
-        "date", (F.lit(initial_cash) + F.sum(F.coalesce("flow", F.lit(0.0))).over(upto)).alias("cash")
+    done = booked_trades.withColumn("qty", F.when(is_buy(), F.col("qty")).otherwise(F.col("covered")))
+    done = with_costs(done, slippage)
+    paid = F.when(is_buy(), -F.col("net")).when(F.col("qty") > 0, F.col("net")).otherwise(0.0)
+    days = done.groupBy("code", "date").agg(F.sum(paid).alias("flow"), F.max_by("held", "seq").alias("held"))
+    points = bars.select("code", "date", "close", F.lit(True).alias("bar")).join(days, ["code", "date"], "full")
+    along = Window.partitionBy("code").orderBy("date")
+    upto = along.rowsBetween(Window.unboundedPreceding, 0)
+    value = F.coalesce(F.last("held", ignorenulls=True).over(upto) * F.last("close", ignorenulls=True).over(upto), F.lit(0.0))
+    points = points.withColumn("value", value)
+    points = points.withColumn("change", F.col("value") - F.coalesce(F.lag("value").over(along), F.lit(0.0)))
+    dates = points.groupBy("date").agg(
+        F.coalesce(F.sum("flow"), F.lit(0.0)).alias("flow"), F.sum("change").alias("change"), F.max("bar").alias("bar")
     )
-    last = booked_trades.groupBy("code", "date").agg(F.max_by("held", "seq").alias("held"))
-    points = bars.select("code", "date", "close").join(last, ["code", "date"], "full")
-    next_idx = F.lead("idx").over(Window.partitionBy("code").orderBy("idx"))
-    w = Window.partitionBy("code").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    points = points.withColumns(
-        {"held": F.last("held", ignorenulls=True).over(w), "close": F.last("close", ignorenulls=True).over(w)}
+    w = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    curve = dates.select(
+        "date", "bar", (F.lit(initial_cash) + F.sum("flow").over(w)).alias("cash"), F.sum("change").over(w).alias("market_value")
     )
-    spread = points.join(cal, "date").withColumn("__n", F.coalesce(next_idx - 1, "last_idx"))
-    spread = spread.withColumn("idx", F.explode(F.sequence("idx", "__n")))
-    value = spread.groupBy("idx").agg(F.sum(F.col("held") * F.col("close")).alias("market_value"))
-    value = value.join(cal.select("idx", "date"), "idx").drop("idx")
-    return cash.join(value, "date", "left").withColumn(
-        "market_value", F.coalesce("market_value", F.lit(0.0))
-    ).withColumn("total_value", F.col("cash") + F.col("market_value"))
+    return curve.filter("bar").drop("bar").withColumn("total_value", F.col("cash") + F.col("market_value"))
 
 
 # ---------------------------------------------------------------- performance
@@ -399,25 +488,26 @@ def circuit_breaker(
 ) -> DataFrame:
     """Adds ``broken``: on when the drawdown reaches the limit, off after the cool-down.
 
-    A fold over a portfolio's days (one row per day), as the switch depends on itself.
+    The state on a day rests on the values before it, two at least. A fold over a
+    portfolio's days (one row per day), as the switch depends on itself.
     """
-    rows = drawdowns(equity, key).withColumn("__day", F.unix_date("ts"))
+    w = Window.partitionBy(key).orderBy("ts")
+    rows = drawdowns(equity, key).withColumns({"__day": F.unix_date("ts"), "__last": F.lag("drawdown").over(w)})
 
     def step(state, row):
-        seen, since = state
+        before, since = state
         dd, day = row
-        seen += 1
-        if seen >= 2:
+        if before >= 2:
             if since is None and dd >= limit:
                 since = day
             elif since is not None and day - since >= cooldown:
                 since = None
-        return (seen, since), (since is not None,)
+        return (before + 1, since), (since is not None,)
 
     return ordered_fold(
         rows, [key], ["ts"], StructType([StructField("broken", BooleanType())]),
-        lambda row: (0, None), step, reads=["drawdown", "__day"],
-    ).drop("__day")
+        lambda row: (0, None), step, reads=["__last", "__day"],
+    ).drop("__day", "__last")
 
 
 # ---------------------------------------------------------------- limits

@@ -55,6 +55,11 @@ def _sells(panel: DataFrame, when: Column, reason: str | Column) -> DataFrame:
 
 
 def rsrs_momentum(panel: DataFrame, p: Params) -> DataFrame:
+    """``mode`` "exact" is for the exact-previous-day panel."""
+    if p["mode"] == "exact":
+        return rsrs_momentum_exact(panel, p)
+    if p["mode"] != "asof":
+        raise ValueError(f"mode is asof or exact, not {p['mode']}")
     v, t = F.col("rsrs_adaptive"), p["rsrs_threshold"]
     buys = _buys(panel, F.when(F.col("in_universe") & (v > t), v), p["top_n"], "rsrs strong")
     return buys.unionByName(_sells(panel, v < -t, "rsrs below lower bound"))
@@ -121,14 +126,14 @@ def sentiment_reversal(panel: DataFrame, p: Params) -> DataFrame:
 
 
 def microstructure_reversal(panel: DataFrame, p: Params) -> DataFrame:
-    """Needs ``micro`` and ``n_rows``. On a breadth breach nothing is bought and only
+    """Needs :func:`windowed` micro and ``n_rows``. On a breadth breach nothing is bought and only
     codes down 9% or more are sold."""
     if p.get("use_breadth_check", True):
         day = breadth(panel, p["breadth_limit"]).select("date", "breach")
         panel = panel.join(day, "date", "left").withColumn("breach", F.coalesce("breach", F.lit(False)))
     else:
         panel = panel.withColumn("breach", F.lit(False))
-    score = F.when(F.col("in_universe") & (F.col("n_rows") >= p["illiq_window"]), F.col("micro"))
+    score = F.when(F.col("in_universe") & (F.col("n_rows") >= p["illiq_window"]), F.col(windowed("kunpeng_v10", p)))
     scored = panel.withColumn("pick", score)
     calm = scored.filter("NOT breach")
     buys = _buys(calm, F.col("pick"), p["top_n"], "microstructure", above=0.1)
@@ -179,10 +184,10 @@ def multi_factor(panel: DataFrame, p: Params) -> DataFrame:
 
 
 def sector_momentum_blend(panel: DataFrame, p: Params) -> DataFrame:
-    """Needs ``sector_name`` and ``sector_mom`` (as of the day before) joined to the panel."""
+    """Needs ``sector_name`` and :func:`windowed` sector_mom (as of the day before) joined to the panel."""
     v, t, w = F.col("rsrs_adaptive"), p["rsrs_threshold"], p["sector_weight"]
     has = F.col("sector_name").isNotNull() & (F.col("sector_name") != "")
-    mixed = F.when(has, (1 - w) * v + w * F.coalesce("sector_mom", F.lit(0.0))).otherwise(v)
+    mixed = F.when(has, (1 - w) * v + w * F.coalesce(windowed("sector_momentum", p), F.lit(0.0))).otherwise(v)
     seen = F.col("in_universe") & (F.col("held") | (v > t))
     scored = panel.withColumn("blend", F.when(seen, mixed))
     s = F.col("blend")
@@ -192,7 +197,7 @@ def sector_momentum_blend(panel: DataFrame, p: Params) -> DataFrame:
 
 # Strategy names, parameters and their defaults.
 PARAMS: dict[str, dict[str, object]] = {
-    "rsrs_momentum": {"top_n": 10, "rsrs_threshold": 0.5},
+    "rsrs_momentum": {"top_n": 10, "rsrs_threshold": 0.5, "mode": "asof"},
     "alpha_hunter": {"top_n": 15, "min_score": 0.3},
     "rsrs_advanced": {"top_n": 10, "rsrs_threshold": 0.5, "r2_threshold": 0.7},
     "short_term": {"top_n": 5, "hold_calendar_days": 7, "mom_threshold": 0.03},
@@ -210,6 +215,22 @@ PARAMS: dict[str, dict[str, object]] = {
     },
 }
 
+# Factors whose windows are parameters: the panel's column and the parameters that name it.
+WINDOWED: dict[str, tuple[str, tuple[str, ...]]] = {
+    "kunpeng_v10": ("micro", ("smart_window", "illiq_window")),
+    "sector_momentum": ("sector_mom", ("sector_momentum_window",)),
+}
+# Parameters without a default in the table above.
+OPTIONAL = {"alpha_hunter": {"factor_weights"}}
+
+
+def windowed(name: str, p: Params) -> str:
+    """The panel column a strategy reads for these windows: plain for the defaults, else with the windows in its name."""
+    column, keys = WINDOWED[name]
+    values = [p.get(k, PARAMS[name][k]) for k in keys]
+    return column if values == [PARAMS[name][k] for k in keys] else "_".join([column, *map(str, values)])
+
+
 STRATEGIES: dict[str, Callable[[DataFrame, Params], DataFrame]] = {
     "rsrs_momentum": rsrs_momentum,
     "alpha_hunter": alpha_hunter,
@@ -242,9 +263,11 @@ def register(name: str, fn: Callable[[DataFrame, Params], DataFrame], params: Pa
 def run_strategy(name: str, panel: DataFrame, **overrides) -> DataFrame:
     if name not in STRATEGIES:
         raise ValueError(f"unknown strategy {name}; known: {sorted(STRATEGIES)}")
-    unknown = set(overrides) - set(PARAMS[name]) - {"factor_weights"}
+    unknown = set(overrides) - set(PARAMS[name]) - OPTIONAL.get(name, set())
     if unknown:
         raise ValueError(f"{name} has no parameters {sorted(unknown)}")
+    if name in WINDOWED and (needed := windowed(name, overrides)) not in panel.columns:
+        raise ValueError(f"{name} with these windows reads {needed}, which the panel was not built with")
     return STRATEGIES[name](panel, {**PARAMS[name], **overrides}).withColumn("strategy", F.lit(name))
 
 

@@ -24,13 +24,16 @@ def last_vote(votes: DataFrame, scan: Sequence[str], seq: str) -> DataFrame:
     return votes.groupBy(*keys).agg(F.max_by(F.struct(*values), seq).alias("v")).select(*keys, "v.*")
 
 
-def merge_votes(votes: DataFrame, scan: Sequence[str], rule: str = "any", min_score: float = MIN_SCORE) -> DataFrame:
+def merge_votes(
+    votes: DataFrame, scan: Sequence[str], rule: str = "any", min_score: float = MIN_SCORE, shown: int = 3
+) -> DataFrame:
     """(scan, signal, score, strategies, reason) of gated votes; scans that end in hold leave.
 
     Rules: ``any`` (one side, or the side with the higher best score, buy on a tie),
     ``majority`` (over half of the votes, mean score), ``weighted`` (larger score sum above
     the minimum, mean score up to 1); any other name is buy before sell. Votes carry
-    ``place``, the strategy order, which orders the joined names and reasons.
+    ``place``, the strategy order, which orders the joined names and reasons. ``reason`` is
+    the text form with the first ``shown`` reasons; ``reasons`` has all of them.
     """
     buy, sell = F.col("side") == "buy", F.col("side") == "sell"
     row = F.struct("place", "strategy", "reason")
@@ -72,6 +75,7 @@ def merge_votes(votes: DataFrame, scan: Sequence[str], rule: str = "any", min_sc
         *scan, "signal", "score",
         F.array_join("rows.strategy", "+").alias("strategy"),
         F.col("rows.strategy").alias("strategies_triggered"),
-        F.array_join(F.slice("rows.reason", 1, 3), " | ").alias("reason"),
+        F.array_join(F.slice("rows.reason", 1, shown), " | ").alias("reason"),
+        F.col("rows.reason").alias("reasons"),
         F.lit(rule).alias("merge_rule"),
     )

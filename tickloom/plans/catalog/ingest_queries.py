@@ -660,24 +660,39 @@ def u05_counts(spark, d):
     return a.unionByName(b)
 
 
-def _ingest(spark, d):
-    """Stored history to 2000-11; vendors deliver all months, the second lacks some nations."""
+def load(spark, d):
+    """A load as of September 2001 over history to August 2000; one nation's codes are up to date.
+
+    Vendors deliver all months, the second and third lack some nations, and the first
+    repeats a month of one nation. A code with few new months is invalid.
+    """
     cols = ["code", "date", "open", "high", "low", "close", "volume", "amount"]
     bars = v.stored_m(spark, d).select(*cols)
-    s = v.table(spark, d, "supplier").select(F.col("s_suppkey").alias("code"), "s_nationkey")
-    stored = bars.filter(F.col("date") < "2000-12-01")
+    s = v.table(spark, d, "supplier").select(
+        F.col("s_suppkey").alias("code"), "s_nationkey", F.pmod("s_suppkey", F.lit(2)).cast("int").alias("market")
+    )
+    ahead = s.filter("s_nationkey = 7").select("code", F.lit(True).alias("ahead"))
+    old = bars.join(ahead, "code", "left")
+    stored = old.filter("date < '2000-09-01' OR ahead AND date < '2001-09-01'").drop("ahead")
+    today = bars.filter("date < '2001-09-01'").join(ahead, "code", "left_semi").select("code").distinct()
+    current = today.select("code", F.lit("2001-08-31").cast("date").alias("date"))
+    stored = stored.unionByName(current, allowMissingColumns=True)
     a = v.src_a(spark, d).select(*cols)
     b = v.src_b(spark, d).select(*cols, "turnover", "pct_change").join(s.filter("s_nationkey >= 5"), "code", "left_semi")
     c = bars.join(s.filter("s_nationkey >= 3"), "code", "left_semi")
-    return mg.ingest(a, b, c, stored, s, F.lit("2002-01-31").cast("date"))
+    return mg.ingest(a, b, c, stored, s, F.lit("2001-09-01").cast("date"))
 
 
 INGEST = dict(
-    due="SELECT code, max(date) + 1 AS start_date FROM bars_m WHERE date < DATE '2000-12-01' GROUP BY code",
-    nat="SELECT s_suppkey AS code, s_nationkey AS n FROM supplier",
-    ia="SELECT a.* FROM src_a a JOIN due USING (code) WHERE date >= start_date",
-    ib="SELECT b.* FROM src_b b JOIN due USING (code) JOIN nat USING (code) WHERE date >= start_date AND n >= 5",
-    ic="SELECT c.* FROM bars_m c JOIN due USING (code) JOIN nat USING (code) WHERE date >= start_date AND n >= 3",
+    nat="SELECT s_suppkey AS code, s_nationkey AS n, CAST(s_suppkey % 2 AS INTEGER) AS market FROM supplier",
+    ahead="SELECT DISTINCT code FROM nat JOIN bars_m USING (code) WHERE n = 7 AND date < DATE '2001-09-01'",
+    before="""SELECT code, date, "close" FROM bars_m WHERE date < DATE '2000-09-01' OR date < DATE '2001-09-01' AND code IN (SELECT code FROM ahead)
+      UNION ALL SELECT code, DATE '2001-08-31', NULL FROM ahead""",
+    due="""SELECT n.code, coalesce(max(b.date) + 1, DATE '1990-01-01') AS start_date FROM nat n LEFT JOIN before b USING (code)
+      WHERE n.code NOT IN (SELECT code FROM ahead) GROUP BY n.code""",
+    ia="SELECT a.* FROM src_a a JOIN due USING (code) WHERE date BETWEEN start_date AND DATE '2001-09-01'",
+    ib="SELECT b.* FROM src_b b JOIN due USING (code) JOIN nat USING (code) WHERE date BETWEEN start_date AND DATE '2001-09-01' AND n >= 5",
+    ic="SELECT c.* FROM bars_m c JOIN due USING (code) JOIN nat USING (code) WHERE date BETWEEN start_date AND DATE '2001-09-01' AND n >= 3",
     picked="""SELECT code, date, "open", high, low, "close", CASE WHEN code IN (SELECT code FROM ib) THEN 'merged' ELSE 'tdx' END AS source FROM ia
       UNION ALL SELECT code, date, "open", high, low, "close", 'akshare' FROM ib WHERE code NOT IN (SELECT code FROM ia)
       UNION ALL SELECT code, date, "open", high, low, "close", 'baostock' FROM ic
@@ -685,7 +700,15 @@ INGEST = dict(
     checked="""SELECT code, any_value(source) AS source, CASE WHEN count(*) < 10 THEN 'too_few_rows:' || count(*)
       ELSE 'ok' END AS reason FROM picked GROUP BY code""",
     stored_after="""SELECT code, date, "close" FROM picked WHERE code IN (SELECT code FROM checked WHERE reason = 'ok')
-      UNION ALL SELECT code, date, "close" FROM bars_m WHERE date < DATE '2000-12-01'""",
+      UNION ALL SELECT code, date, "close" FROM before""",
+    verdict="""SELECT n.code, n.market, a.code IS NOT NULL AS fresh, c.reason, c.source FROM nat n
+      LEFT JOIN checked c USING (code) LEFT JOIN ahead a USING (code)""",
+    load_log="""SELECT code, market, CASE WHEN fresh THEN 'skipped' WHEN reason = 'ok' THEN 'success' ELSE 'failed' END AS status,
+      CASE WHEN reason = 'ok' THEN source END AS source,
+      CASE WHEN reason = 'ok' THEN (SELECT count(*) FROM stored_after s WHERE s.code = l.code) END AS rows,
+      CASE WHEN fresh THEN 'already_up_to_date' WHEN reason IS NULL THEN 'complete_fail' WHEN reason <> 'ok' THEN 'validate:' || reason END AS reason
+      FROM verdict l
+      UNION ALL SELECT code, market, 'validation', NULL, NULL, reason FROM verdict WHERE NOT fresh AND reason <> 'ok'""",
 )
 
 
@@ -695,22 +718,14 @@ INGEST = dict(
     **INGEST,
 )
 def u06(spark, d):
-    merged, _ = _ingest(spark, d)
+    merged, _ = load(spark, d)
     return merged.select("code", "date", r("close", 7).alias("close"))
 
 
-@query(
-    "u06_ingest_log",
-    """SELECT n.code, CASE WHEN c.reason = 'ok' THEN 'success' ELSE 'failed' END AS status,
-      CASE WHEN c.reason = 'ok' THEN c.source END AS source,
-      CASE WHEN c.reason = 'ok' THEN (SELECT count(*) FROM stored_after s WHERE s.code = n.code) END AS rows,
-      CASE WHEN c.reason IS NULL THEN 'complete_fail' WHEN c.reason <> 'ok' THEN 'validate:' || c.reason END AS reason
-    FROM nat n LEFT JOIN checked c USING (code)""",
-    **INGEST,
-)
+@query("u06_ingest_log", "SELECT code, market, status, source, rows, reason FROM load_log", **INGEST)
 def u06_log(spark, d):
-    _, log = _ingest(spark, d)
-    return log.select("code", "status", "source", "rows", "reason")
+    _, log = load(spark, d)
+    return log.select("code", "market", "status", "source", "rows", "reason")
 
 
 @query(

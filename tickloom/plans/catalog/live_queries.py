@@ -18,13 +18,14 @@ from tickloom.plans.catalog.registry import query
 def live_quotes(spark, d, bars):
     """Events as quotes around the last close of their code: 85% of it plus value / 200."""
     last = pn.latest_row(bars, ["close"])
-    q = v.spread(v.quotes(spark, d)).join(last, "code")
+    q = v.quotes(spark, d).join(last, "code")
     return q.select("event_id", "code", "ts", (F.col("close") * (0.85 + F.col("price") / 200)).alias("price"))
 
 
-def scores(spark, d, names=tuple(lv.LIVE)):
+def scores(spark, d, names=tuple(lv.LIVE), params=lv.PARAMS):
     bars = v.stored_m(spark, d)
-    return lv.score_quotes(live_quotes(spark, d, bars), lv.live_state(bars), names)
+    state = lv.live_state(bars, strategies=params)
+    return lv.score_quotes(live_quotes(spark, d, bars), state, names, params)
 
 
 # The SQL side rebuilds each quote's window row by row instead of keeping sums.
@@ -88,6 +89,7 @@ RULES = {
     "sentiment_reversal": _rule("z < -1.5", "abs(z + 1.5) / 2", "z > 1.5", "(z - 1.5) / 2", 30),
     "kunpeng_v10": _rule("micro > 0.15", "micro * 2", "micro < -0.2", "abs(micro) * 2", 20),
     "alpha_max_v5_fixed": _rule("multi > 0.3", "multi", "multi < -0.3", "abs(multi)", 20),
+    "sector_momentum": _rule("va > 0.5", "va / 1.5", "va < -0.5", "abs(va) / 1.5", 40),
     "ma_fallback": _rule(
         "price > ma5 AND ma5 > ma20 AND ma20 > ma60", "(price / ma60 - 1) * 10",
         "price < ma5 AND ma5 < ma20 AND ma20 < ma60", "(1 - price / ma60) * 10", 60),
@@ -108,13 +110,23 @@ for _n, (_q, _s) in enumerate(
         ("rsrs_momentum", "rsrs_momentum"), ("alpha_hunter", "alpha_hunter"), ("rsrs_advanced", "rsrs_advanced"),
         ("short_term", "short_term"), ("momentum_reversal", "momentum_reversal"),
         ("sentiment_reversal", "sentiment_reversal"), ("microstructure", "kunpeng_v10"),
-        ("multi_factor", "alpha_max_v5_fixed"), ("ma_fallback", "ma_fallback"),
+        ("multi_factor", "alpha_max_v5_fixed"), ("ma_fallback", "ma_fallback"), ("sector_momentum", "sector_momentum"),
     ],
     start=1,
 ):
     _register(f"r{_n:02d}_live_{_q}", _s)
 
 
+@query(
+    "r07_live_microstructure_windows", RULES["kunpeng_v10"].replace("n >= 20", "n >= 10"),
+    **{k: x.replace("back <= 9", "back <= 3").replace("back <= 18", "back <= 8") for k, x in BASE.items()},
+)
+def r07_windows(spark, d):
+    """Windows of 4 and 10 rows instead of 10 and 20."""
+    own = {**lv.PARAMS, "kunpeng_v10": {**lv.PARAMS["kunpeng_v10"], "smart_window": 4, "illiq_window": 10}}
+    return scores(spark, d, ("kunpeng_v10",), own).select("event_id", "code", "side", r("score").alias("score"))
+
+
 # ------------------------------------------------------------------ scans and votes
 
 
@@ -300,10 +312,9 @@ def t10_position(spark, d):
     return out.select("date", "code", "level", F.regexp_replace("subject", r"^\S+ ", "").alias("subject"), "body", "key")
 
 
-@query("t11_recent_signals", "SELECT event_id, code, side, round(score, 6) + 0.0 AS score FROM votes ORDER BY event_id DESC LIMIT 100")
+@query("t11_recent_signals", "SELECT event_id, code, side, round(score, 6) + 0.0 AS score FROM votes ORDER BY ts DESC, event_id DESC LIMIT 800")
 def t11(spark, d):
-    """The feed's event ids rise with time."""
-    out = al.recent(v.votes(spark, d), 100, ts="event_id", tie="code")
+    out = al.recent(v.votes(spark, d), 800)
     return out.select("event_id", "code", "side", r("score").alias("score"))
 
 

@@ -12,6 +12,7 @@ from tickloom.operators import signals as sg
 from tickloom.plans import views as v
 from tickloom.plans.catalog.registry import query
 from tickloom.plans.signal_panel import FILLED
+from tickloom.session import cut_lineage
 
 
 def _factors(spark, d, bars=None):
@@ -22,6 +23,11 @@ def _filled(spark, d):
     return fx.forward_fill(_factors(spark, d), FILLED)
 
 
+def _narrow(spark, d):
+    """The scored factors, computed once: a date's mean and the rows themselves both read them."""
+    return cut_lineage(_filled(spark, d).select("code", "date", *UNIVERSE_WEIGHTS))
+
+
 # ------------------------------------------------------------------ cross-section
 
 ZS = dict(
@@ -49,7 +55,7 @@ FLAGSHIP_WEIGHTS = {"mom": 0.5, "vol_factor": 0.3, "vol_ratio": 0.2}
 def flagship(spark, d):
     """Top 10 codes per month by momentum, low volatility and volume ratio."""
     bars = fx.daily_return(fx.momentum(v.bars_m(spark, d)))
-    rows = fx.volume_ratio(fx.volatility(bars)).select("code", "date", *FLAGSHIP_WEIGHTS)
+    rows = cut_lineage(fx.volume_ratio(fx.volatility(bars)).select("code", "date", *FLAGSHIP_WEIGHTS))
     scored = cs.zscores(rows, list(FLAGSHIP_WEIGHTS)).withColumn("score", cs.composite(FLAGSHIP_WEIGHTS, "_z"))
     best = cs.top_n(scored, "score", 10)
     return best.select("date", "code", "rank", r("score").alias("score"), r("weight").alias("weight"))
@@ -62,7 +68,7 @@ def flagship(spark, d):
     **ZS,
 )
 def c01(spark, d):
-    out = cs.zscores(_filled(spark, d).select("code", "date", *UNIVERSE_WEIGHTS), list(UNIVERSE_WEIGHTS))
+    out = cs.zscores(_narrow(spark, d), list(UNIVERSE_WEIGHTS))
     return out.select("code", "date", *[r(f"{c}_z").alias(f"{c}_z") for c in UNIVERSE_WEIGHTS])
 
 
@@ -79,7 +85,7 @@ def c01_eps(spark, d):
 
 @query("c02_weighted_composite", "SELECT code, date, round(score, 6) + 0.0 AS score FROM comp", **ZS)
 def c02(spark, d):
-    out = cs.zscores(_filled(spark, d).select("code", "date", *UNIVERSE_WEIGHTS), list(UNIVERSE_WEIGHTS))
+    out = cs.zscores(_narrow(spark, d), list(UNIVERSE_WEIGHTS))
     return out.select("code", "date", r(cs.composite(UNIVERSE_WEIGHTS, "_z")).alias("score"))
 
 
@@ -113,8 +119,8 @@ def c04(spark, d):
 )
 def c05(spark, d):
     """The whole universe on the latest date, best first."""
-    rows = _filled(spark, d).select("code", "date", *UNIVERSE_WEIGHTS)
-    newest = v.bars_m(spark, d).agg(F.max("date").alias("date"))
+    rows = _narrow(spark, d)
+    newest = rows.agg(F.max("date").alias("date"))
     out = cs.zscores(rows.join(newest, "date"), list(UNIVERSE_WEIGHTS))
     scored = out.withColumn("score", cs.composite(UNIVERSE_WEIGHTS, "_z")).filter("score IS NOT NULL")
     return cs.ranked(scored.select("date", "code", r("score").alias("score")), "score")

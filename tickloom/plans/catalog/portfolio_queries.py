@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from tickloom.functions.num import f32, r
 from tickloom.operators import cross_section as cs
 from tickloom.operators import factors as fx
-from tickloom.operators import panel as pn
 from tickloom.operators import portfolio as pf
 from tickloom.plans import views as v
 from tickloom.plans.catalog.registry import query
@@ -101,10 +100,10 @@ def p06(spark, d):
     return out.select(*SHOW, "covered", f32("pnl").alias("pnl"), (F.signum(r("pnl", 4)) + 0.0).alias("win"))
 
 
-@query("p07_average_cost", f"SELECT {SHOW_SQL}, held, round(avg_cost, 6) + 0.0 AS avg_cost FROM booked JOIN cost USING (code, rn)", **BOOK)
+@query("p07_average_cost", f"SELECT {SHOW_SQL}, held, CAST(CAST(avg_cost AS FLOAT) AS DOUBLE) AS avg_cost FROM booked JOIN cost USING (code, rn)", **BOOK)
 def p07(spark, d):
     out = pf.average_cost(v.trades(spark, d), v.TRADE_LEVELS, v.TRADE_ORDER)
-    return out.select(*SHOW, "held", r("avg_cost").alias("avg_cost"))
+    return out.select(*SHOW, "held", f32("avg_cost").alias("avg_cost"))
 
 
 MARK = dict(
@@ -153,20 +152,22 @@ def p10(spark, d):
     return out.select("date", "code", r("watermark", 7).alias("watermark"))
 
 
-def _exit_sql(after: str) -> str:
+def _exit_sql(bars: int) -> str:
+    """The watermark follows closes after the entry day; an exit may come from the given bar after it."""
     return f"""SELECT {SHOW_SQL}, exit_event, exit_date, round(exit_price, 7) + 0.0 AS exit_price FROM (
       SELECT e.*, arg_min(x.event, x.d) AS exit_event, min(x.d) AS exit_date, arg_min(x.p, x.d) AS exit_price FROM
       (SELECT {SHOW_SQL}, rn FROM trades WHERE side = 'BUY') e LEFT JOIN (
-        SELECT code, rn, d, p, CASE WHEN (p - cost) / cost <= -0.1 THEN 'stop_loss' WHEN (p - cost) / cost >= 0.2 THEN 'take_profit'
+        SELECT code, rn, d, p, CASE WHEN k < {bars} THEN NULL WHEN (p - cost) / cost <= -0.1 THEN 'stop_loss' WHEN (p - cost) / cost >= 0.2 THEN 'take_profit'
           WHEN wm > cost AND (wm - p) / wm >= 0.05 THEN 'trailing_stop' END AS event FROM (
-          SELECT t.code, t.rn, t.price AS cost, b.date AS d, b."close" AS p, greatest(t.price, max(b."close")
-            OVER (PARTITION BY t.code, t.rn ORDER BY b.date ROWS UNBOUNDED PRECEDING)) AS wm
-          FROM trades t JOIN bars_m b ON b.code = t.code AND b.date {after} t.day WHERE t.side = 'BUY')) x
+          SELECT t.code, t.rn, t.price AS cost, b.date AS d, b."close" AS p, greatest(t.price, max(CASE WHEN b.date > t.day THEN b."close" END)
+            OVER (PARTITION BY t.code, t.rn ORDER BY b.date ROWS UNBOUNDED PRECEDING)) AS wm,
+            count(CASE WHEN b.date > t.day THEN 1 END) OVER (PARTITION BY t.code, t.rn ORDER BY b.date ROWS UNBOUNDED PRECEDING) AS k
+          FROM trades t JOIN bars_m b ON b.code = t.code AND b.date >= t.day WHERE t.side = 'BUY')) x
       ON x.code = e.code AND x.rn = e.rn AND x.event IS NOT NULL GROUP BY ALL)"""
 
 
 def _entries(spark, d):
-    return v.spread(v.trades(spark, d)).filter("side = 'BUY'").select(
+    return v.trades(spark, d).filter("side = 'BUY'").select(
         *SHOW, F.col("day").alias("entry_date"), F.col("price").alias("cost")
     )
 
@@ -176,17 +177,22 @@ def _exits(spark, d, bars):
     return out.select(*SHOW, "exit_event", "exit_date", r("exit_price", 7).alias("exit_price"))
 
 
-@query("p11_exit_scan", _exit_sql(">"))
+@query("p11_exit_scan", _exit_sql(1))
 def p11(spark, d):
     """Every buy with the first monthly close that meets an exit rule."""
     return _exits(spark, d, 1)
 
 
-@query("p11_exit_scan_same_day", _exit_sql(">="))
+@query("p11_exit_scan_same_day", _exit_sql(0))
 def p11_same_day(spark, d):
     return _exits(spark, d, 0)
 
 
+@query("p11_exit_scan_two_bars", _exit_sql(2))
+def p11_two_bars(spark, d):
+    return _exits(spark, d, 2)
+
+
 @query(
     "p12_live_exits",
     """SELECT event_id, code, event, round(pnl_pct, 6) + 0.0 AS pnl_pct FROM (SELECT *, (price - cost) / cost AS pnl_pct,
@@ -208,13 +214,14 @@ def p12(spark, d):
 
 @query(
     "p13_equity_curve",
-    """SELECT k.date, round(1e9 + sum(coalesce(f.flow, 0)) OVER (ORDER BY k.date), 3) + 0.0 AS cash, round(coalesce(mv, 0), 3) + 0.0 AS market_value
-    FROM calendar k LEFT JOIN flows f USING (date) LEFT JOIN val v USING (date)""",
+    """SELECT date, round(cash, 2) + 0.0 AS cash, round(mv, 2) + 0.0 AS market_value, round(cash + mv, 2) + 0.0 AS total_value FROM (
+    SELECT k.date, 1e9 + sum(coalesce(f.flow, 0)) OVER (ORDER BY k.date) AS cash, coalesce(mv, 0) AS mv
+    FROM calendar k LEFT JOIN flows f USING (date) LEFT JOIN val v USING (date))""",
     **BOOK,
     dated="SELECT *, CAST(date_trunc('month', day) AS DATE) AS date FROM booked",
-    fees="""SELECT *, price * (CASE WHEN side = 'BUY' THEN 1 + 0.001 ELSE 1 - 0.001 END) * qty AS amount FROM dated""",
+    fees="""SELECT *, price * CASE WHEN side = 'BUY' THEN (1 + 0.001) * qty ELSE (1 - 0.001) * covered END AS amount FROM dated""",
     flows="""SELECT date, sum(CASE WHEN side = 'BUY' THEN -(amount + greatest(5.0, amount * 0.0003))
-      ELSE (amount - greatest(5.0, amount * 0.0003) - amount * 0.001) * covered / qty END) AS flow FROM fees GROUP BY date""",
+      WHEN covered > 0 THEN amount - greatest(5.0, amount * 0.0003) - amount * 0.001 ELSE 0 END) AS flow FROM fees GROUP BY date""",
     grid="SELECT c.code, k.date FROM (SELECT DISTINCT code FROM bars_m) c CROSS JOIN calendar k",
     grid2="""SELECT g.code, g.date, last_value(h.held IGNORE NULLS) OVER w AS held, last_value(b."close" IGNORE NULLS) OVER w AS px
       FROM grid g LEFT JOIN bars_m b USING (code, date)
@@ -223,12 +230,9 @@ def p12(spark, d):
     val="SELECT date, sum(held * px) AS mv FROM grid2 GROUP BY date",
 )
 def p13(spark, d):
-    bars = v.stored_m(spark, d)
-    book = pf.with_costs(_booked(spark, d)).withColumns(
-        {"date": F.trunc("day", "month"), "seq": F.struct(*IDS)}
-    )
-    out = pf.equity_curve(book, bars, pn.calendar(bars), 1e9)
-    return out.select("date", r("cash", 3).alias("cash"), r("market_value", 3).alias("market_value"))
+    book = _booked(spark, d).withColumns({"date": F.trunc("day", "month"), "seq": F.struct(*IDS)})
+    out = pf.equity_curve(book, v.bars_m(spark, d), 1e9)
+    return out.select("date", *[r(c, 2).alias(c) for c in ("cash", "market_value", "total_value")])
 
 
 DD = dict(
@@ -304,10 +308,11 @@ def p17(spark, d):
     "p18_circuit_breaker",
     "SELECT portfolio, ts, since IS NOT NULL AS broken FROM br",
     **DD,
-    br="""SELECT portfolio, ts, rn, CAST(NULL AS DATE) AS since FROM dd WHERE rn = 1
-      UNION ALL SELECT d.portfolio, d.ts, d.rn, CASE WHEN b.since IS NULL THEN CASE WHEN d.drawdown >= 0.2 THEN d.ts END
+    seen="SELECT *, lag(drawdown) OVER (PARTITION BY portfolio ORDER BY ts) AS last FROM dd",
+    br="""SELECT portfolio, ts, rn, CAST(NULL AS DATE) AS since FROM seen WHERE rn = 1
+      UNION ALL SELECT d.portfolio, d.ts, d.rn, CASE WHEN d.rn < 3 THEN NULL WHEN b.since IS NULL THEN CASE WHEN d.last >= 0.2 THEN d.ts END
         WHEN d.ts - b.since >= 45 THEN NULL ELSE b.since END
-      FROM br b JOIN dd d ON d.portfolio = b.portfolio AND d.rn = b.rn + 1""",
+      FROM br b JOIN seen d ON d.portfolio = b.portfolio AND d.rn = b.rn + 1""",
 )
 def p18(spark, d):
     """Monthly points, so the cool-down is 45 days instead of 5."""
@@ -365,7 +370,7 @@ def p20(spark, d):
 
 
 ADMIT = dict(
-    few="SELECT * FROM positions_m WHERE code < 5",
+    few="SELECT * FROM positions_m",
     asked="SELECT date, code, mom AS score FROM factors WHERE mom > 0",
 )
 
@@ -374,15 +379,15 @@ ADMIT = dict(
     "p21_admission_cap",
     """SELECT date, code FROM (SELECT a.*, row_number() OVER (PARTITION BY a.date ORDER BY score DESC, code) AS n,
       (SELECT count(DISTINCT code) FROM few f WHERE f.date = a.date) AS h FROM asked a
-      WHERE NOT EXISTS (SELECT 1 FROM few f WHERE f.date = a.date AND f.code = a.code)) WHERE n + h <= 10
+      WHERE NOT EXISTS (SELECT 1 FROM few f WHERE f.date = a.date AND f.code = a.code)) WHERE n + h <= 60
     UNION ALL SELECT date, code FROM asked a WHERE EXISTS (SELECT 1 FROM few f WHERE f.date = a.date AND f.code = a.code)""",
     **ADMIT,
 )
 def p21(spark, d):
-    """Rising codes ask to be bought while positions exist in the first five codes."""
-    few = v.positions_m(spark, d).filter("code < 5")
+    """Rising codes ask to be bought next to all positions; the limit fits the number of suppliers held."""
+    few = v.positions_m(spark, d)
     asked = fx.momentum(v.bars_m(spark, d)).filter("mom > 0").select("date", "code", F.col("mom").alias("score"))
-    return pf.admit(asked, few).select("date", "code")
+    return pf.admit(asked, few, limit=60).select("date", "code")
 
 
 @query("p22_holding_time_exit", "SELECT date, code, date - entry_date AS held_days FROM positions_m WHERE date - entry_date >= 7")

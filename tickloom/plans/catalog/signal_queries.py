@@ -76,7 +76,7 @@ def g01_exact(spark, d):
     rows = fx.rsrs(bars).select("code", "date", "rsrs_adaptive")
     panel = pn.exactly_before(rows, pn.calendar(bars)).withColumn("in_universe", F.lit(True))
     panel = pn.with_positions(panel, v.positions_m(spark, d))
-    return _show(sg.rsrs_momentum_exact(panel, sg.PARAMS["rsrs_momentum"]))
+    return _show(sg.run_strategy("rsrs_momentum", panel, mode="exact"))
 
 
 @query(
@@ -163,6 +163,19 @@ def g07_open(spark, d):
     return _show(sg.run_strategy("kunpeng_v10", decision_panel(spark, d), use_breadth_check=False))
 
 
+@query(
+    "g07_microstructure_windows", MICRO_SQL,
+    **{
+        k: x.replace("9 PRECEDING AND", "2 PRECEDING AND").replace("18 PRECEDING AND", "8 PRECEDING AND") if k in MICRO else x.replace("n_rows >= 20 THEN micro", "n_rows >= 10 THEN micro")
+        for k, x in _micro("share > 0.15").items()
+    },
+)
+def g07_windows(spark, d):
+    """Windows of 3 and 10 rows instead of 10 and 20."""
+    own = {"smart_window": 3, "illiq_window": 10}
+    return _show(sg.run_strategy("kunpeng_v10", decision_panel(spark, d, **own), **own))
+
+
 def _z(c: str) -> str:
     return (f"CASE WHEN stddev_samp({c}) OVER w > 1e-9 THEN ({c} - avg({c}) OVER w) "
             f"/ (stddev_samp({c}) OVER w + 1e-9) ELSE 0.0 END")
@@ -216,6 +229,19 @@ def g09(spark, d):
     return _show(sg.run_strategy("sector_momentum", panel))
 
 
+@query(
+    "g09_sector_blend_window",
+    _sql("CASE WHEN blend > 0.5 THEN blend END", 10, "'rsrs with sector'", "blend < -0.5", "'rsrs with sector exit'",
+         src="blended", held_first=True),
+    **{k: x.replace('lag("close", 20)', 'lag("close", 5)') if k == "sector_mom" else x for k, x in BLEND.items()},
+)
+def g09_window(spark, d):
+    """Sector momentum over 5 rows instead of 20."""
+    bars = v.stored_m(spark, d)
+    panel = with_sector(price_panel(spark, d, bars), spark, d, bars, 5)
+    return _show(sg.run_strategy("sector_momentum", panel, sector_momentum_window=5))
+
+
 def _param_rows() -> str:
     rows = [
         f"('{n}', '{k}', '{type(x).__name__}', '{str(x).lower() if isinstance(x, bool) else x}')"
@@ -224,19 +250,40 @@ def _param_rows() -> str:
     return ", ".join(rows)
 
 
+#: Score, top n, source and the other arguments of each strategy's buys.
+BUYS = {
+    "rsrs_momentum": ("CASE WHEN in_universe AND rsrs_adaptive > 0.5 THEN rsrs_adaptive END", 10, {}),
+    "alpha_hunter": ("CASE WHEN in_universe AND h >= 0.3 THEN h END", 15, {"src": "hunted"}),
+    "rsrs_advanced": ("""CASE WHEN in_universe AND rsrs_r2 >= 0.7 AND rsrs_adaptive > 0.5
+      AND NOT coalesce(vol_ratio < 1, false) THEN rsrs_adaptive END""", 10, {}),
+    "short_term": ("CASE WHEN in_universe AND mom > 0.03 THEN mom END", 5, {}),
+    "momentum_reversal": ("pick", 10, {"src": "moded"}),
+    "sentiment_reversal": ("CASE WHEN in_universe AND rsrs_zscore < -1.5 THEN -rsrs_zscore END", 10, {}),
+    "kunpeng_v10": ("CASE WHEN NOT breach THEN pick END", 15, {"src": "worn", "above": "s > 0.1"}),
+    "alpha_max_v5_fixed": ("multi", 20, {"src": "judged", "above": "s > 0.3"}),
+    "sector_momentum": ("CASE WHEN blend > 0.5 THEN blend END", 10, {"src": "blended", "held_first": True}),
+}
+
+
+def _count_sql() -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{name}' AS strategy, count(*) AS n FROM ({_sql(score, n, repr(''), 'false', repr(''), **more)})"
+        for name, (score, n, more) in BUYS.items()
+    )
+
+
 @query(
     "g10_parametrised_signals",
     f"""SELECT p.strategy, p.param, p.type, p."default", s.n AS buys FROM (VALUES {_param_rows()})
-      p(strategy, param, type, "default") JOIN (
-      SELECT count(*) AS n FROM ({_sql("CASE WHEN in_universe AND mom > 0.03 THEN mom END", 5, "''", "false", "''")})) s
-      ON p.strategy = 'short_term'""",
-    **PANEL,
+      p(strategy, param, type, "default") JOIN ({_count_sql()}) s ON p.strategy = s.strategy""",
+    **{**MULTI_SQL, **BLEND, **_micro("share > 0.15"), **REGIME, "hunted": f"SELECT *, CASE WHEN bar_date IS NOT NULL THEN {HUNTER_SQL} END AS h FROM dp"},
 )
 def g10(spark, d):
-    """A strategy's parameters next to the number of buys they lead to."""
-    buys = sg.run_strategy("short_term", price_panel(spark, d)).filter("side = 'BUY'")
-    count = buys.groupBy("strategy").agg(F.count(F.lit(1)).alias("buys"))
-    return sg.parameter_table(spark).join(count, "strategy")
+    """Every strategy's parameters next to the number of buys they lead to."""
+    bars = v.stored_m(spark, d)
+    panel = with_sector(decision_panel(spark, d, bars), spark, d, bars).join(v.fundamentals(spark, d), "code", "left")
+    signals = sg.run_many(panel, {name: (name, {}) for name in BUYS}).groupBy("strategy")
+    return sg.parameter_table(spark).join(signals.agg(F.count_if(F.col("side") == "BUY").alias("buys")), "strategy")
 
 
 def _grid_sql() -> str:

@@ -10,11 +10,11 @@ from tickloom.operators import quality as q
 from tickloom.operators import votes as vt
 from tickloom.operators.live import live_state
 from tickloom.plans import views as v
-from tickloom.plans.catalog.ingest_queries import LOG, run_log
+from tickloom.plans.catalog.ingest_queries import INGEST, LOG, load, run_log
 from tickloom.plans.catalog.live_queries import SCAN
 from tickloom.plans.catalog.portfolio_queries import PERF_COLS, _perf
 from tickloom.plans.catalog.registry import ORACLES, query
-from tickloom.session import shared_dir
+from tickloom.session import cut_lineage, shared_dir
 from tickloom.sources import tables as tb
 from tickloom.streaming import quotes as qs
 from tickloom.streaming import sinks, stateful
@@ -115,8 +115,7 @@ def _log(spark, d):
     "s08_run_report",
     """SELECT count(*) FILTER (status = 'success') AS success, count(*) FILTER (status = 'failed') AS failed,
       count(*) FILTER (status = 'skipped') AS skipped, count(*) FILTER (status = 'validation') AS validation_failures,
-      count(*) FILTER (status <> 'validation') AS total, least(count(*) FILTER (status = 'failed'), 200) AS failed_details,
-      least(count(*) FILTER (status = 'validation'), 100) AS invalid_details
+      count(*) FILTER (status <> 'validation') AS total
     FROM (SELECT DISTINCT code, status FROM run_log)""",
     **LOG,
 )
@@ -124,13 +123,41 @@ def s08(spark, d):
     path = shared_dir(spark) + "/stats"
     tb.save_run_stats(_log(spark, d), path)
     counts = "success bigint, failed bigint, skipped bigint, validation_failures bigint, total bigint"
-    pairs = "array<struct<code:bigint,reason:string>>"
-    out = spark.read.schema(f"{counts}, failed_detail {pairs}, validation_failure_detail {pairs}").json(path)
-    return out.select(
-        "success", "failed", "skipped", "validation_failures", "total",
-        F.size("failed_detail").cast("long").alias("failed_details"),
-        F.size("validation_failure_detail").cast("long").alias("invalid_details"),
-    )
+    return spark.read.schema(counts).json(f"{path}/summary")
+
+
+@query(
+    "s08_run_details",
+    """SELECT status, code, 'rows ' || CAST(max_by(rows, seq) AS VARCHAR) AS reason FROM run_log
+    WHERE status IN ('failed', 'validation') GROUP BY ALL""",
+    **LOG,
+)
+def s08_details(spark, d):
+    """Every failed and invalid code, read back from its own table."""
+    path = shared_dir(spark) + "/stats"
+    tb.save_run_stats(_log(spark, d), path)
+    return spark.read.schema("status string, code bigint, reason string").json(f"{path}/details")
+
+
+@query(
+    "s08_report_of_load",
+    """SELECT 'count' AS what, status AS name, count(*) AS n FROM load_log GROUP BY ALL
+    UNION ALL SELECT 'detail', reason, count(*) FROM load_log WHERE status IN ('failed', 'validation') GROUP BY ALL
+    UNION ALL SELECT 'stored', CAST(year(date) AS VARCHAR), count(*) FROM stored_after GROUP BY ALL""",
+    **INGEST,
+)
+def s08_load(spark, d):
+    """A daily load written whole, its report and table read back."""
+    base = shared_dir(spark)
+    tb.save_load(*load(spark, d), f"{base}/bars", f"{base}/report")
+    names = {"success": "success", "failed": "failed", "skipped": "skipped", "validation_failures": "validation"}
+    got = spark.read.schema(", ".join(f"{c} bigint" for c in names)).json(f"{base}/report/summary")
+    pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(c).alias("n")) for c, n in names.items()]))
+    counts = got.select(pairs.alias("p")).select(F.lit("count").alias("what"), "p.name", "p.n").filter("n > 0")
+    details = spark.read.schema("status string, code bigint, reason string").json(f"{base}/report/details")
+    reasons = details.groupBy(F.lit("detail").alias("what"), F.col("reason").alias("name")).agg(F.count("*").alias("n"))
+    years = spark.read.parquet(f"{base}/bars").groupBy(F.lit("stored").alias("what"), F.col("year").cast("string").alias("name"))
+    return counts.unionByName(reasons).unionByName(years.agg(F.count("*").alias("n")))
 
 
 @query(
@@ -176,14 +203,23 @@ def s10(spark, d):
 # ------------------------------------------------------------------ streams
 
 
-def _event_stream(spark, d):
-    """The events file as a stream."""
-    schema = v.events(spark, d).schema
-    return qs.read_files(spark, d, schema=schema, only="events.parquet")
+def _event_stream(spark, d, batches=1):
+    """The events as a stream, cut by time into as many micro-batches."""
+    events = v.events(spark, d)
+    if batches == 1:
+        return qs.read_files(spark, d, schema=events.schema, only="events.parquet")
+    base = shared_dir(spark) + "/landed"
+    cuts = events.select(F.unix_micros(F.col("ts").cast("timestamp")).alias("us")).agg(F.min("us"), F.max("us")).first()
+    width = max(1, (cuts[1] - cuts[0]) // batches + 1)
+    part = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - cuts[0]) / width)
+    # One file per stretch of time; a stream takes files by when they landed.
+    for i in range(batches):
+        events.filter(part == i).coalesce(1).write.mode("append").parquet(base)
+    return qs.read_files(spark, base, schema=events.schema, files_per_batch=1)
 
 
-def _quote_stream(spark, d):
-    return _event_stream(spark, d).filter("value > 0").select(
+def _quote_stream(spark, d, batches=1):
+    return _event_stream(spark, d, batches).filter("value > 0").select(
         F.col("user_id").alias("code"), "ts", F.col("value").alias("price"), "event_id"
     )
 
@@ -251,10 +287,20 @@ def t01_stream(spark, d):
     WHERE event IS NOT NULL""",
 )
 def t08(spark, d):
+    """Events over five micro-batches, the highest prices carried between them."""
+    return _exit_events(spark, d, 5)
+
+
+def _exit_events(spark, d, batches):
+    base = shared_dir(spark)
     held = v.table(spark, d, "supplier").filter("s_acctbal > 0").select(
         F.col("s_suppkey").alias("code"), (F.col("s_acctbal") / 100).alias("cost")
     ).withColumn("watermark", F.col("cost"))
-    out = _run(stateful.exit_stream(_quote_stream(spark, d), held), spark)
+    ticks = _quote_stream(spark, d, batches).withColumns({"day": F.to_date("ts"), "hour": F.date_trunc("hour", "ts")})
+    stateful.exit_batches(
+        ticks, held, base, f"{base}/ckpt", ["day", "hour"], ["ts", "event_id"], available_now=True
+    ).awaitTermination()
+    out = spark.read.parquet(f"{base}/events")
     return out.select("event_id", "code", "event", r("pnl_pct").alias("pnl_pct"))
 
 
@@ -269,35 +315,28 @@ def t08(spark, d):
     sent="SELECT * FROM walk WHERE ok",
 )
 def t09_stream(spark, d):
-    alerts = _event_stream(spark, d).select(
+    """Over five micro-batches, the last sends carried between them."""
+    return _sent(spark, d, 5)
+
+
+def _sent(spark, d, batches):
+    base = shared_dir(spark)
+    alerts = _event_stream(spark, d, batches).select(
         "event_id", "ts", F.concat(F.col("user_id").cast("string"), F.lit("_"), "event_type").alias("key")
     )
-    return _run(stateful.throttle_stream(alerts, 3 * 86400), spark).select("key", "event_id")
+    stateful.throttle_batches(alerts, base, f"{base}/ckpt", 3 * 86400, available_now=True).awaitTermination()
+    return spark.read.parquet(f"{base}/sent").select("key", "event_id")
 
 
 @query("t08_exit_stream_batches", ORACLES["t08_exit_stream"])
 def t08_batches(spark, d):
-    """The same events from the slice-wise form."""
-    base = shared_dir(spark)
-    held = v.table(spark, d, "supplier").filter("s_acctbal > 0").select(
-        F.col("s_suppkey").alias("code"), (F.col("s_acctbal") / 100).alias("cost")
-    ).withColumn("watermark", F.col("cost"))
-    ticks = _quote_stream(spark, d).withColumns({"day": F.to_date("ts"), "hour": F.date_trunc("hour", "ts")})
-    stateful.exit_batches(
-        ticks, held, base, f"{base}/ckpt", ["day", "hour"], ["ts", "event_id"], available_now=True
-    ).awaitTermination()
-    out = spark.read.parquet(f"{base}/events")
-    return out.select("event_id", "code", "event", r("pnl_pct").alias("pnl_pct"))
+    """The same events from one micro-batch."""
+    return _exit_events(spark, d, 1)
 
 
 @query("t09_alert_throttle_stream_batches", ORACLES["t09_alert_throttle_stream"])
 def t09_batches(spark, d):
-    base = shared_dir(spark)
-    alerts = _event_stream(spark, d).select(
-        "event_id", "ts", F.concat(F.col("user_id").cast("string"), F.lit("_"), "event_type").alias("key")
-    )
-    stateful.throttle_batches(alerts, base, f"{base}/ckpt", 3 * 86400, available_now=True).awaitTermination()
-    return spark.read.parquet(f"{base}/sent").select("key", "event_id")
+    return _sent(spark, d, 1)
 
 
 @query(
@@ -318,12 +357,35 @@ def t13(spark, d):
     ticks = _quote_stream(spark, d).join(last, "code").select(
         "event_id", "code", "ts", (F.col("close") * (0.85 + F.col("price") / 200)).alias("price")
     )
+    # History does not change while the stream runs: its state is one stored row per code.
+    state = cut_lineage(live_state(bars))
+
     # Everything is there at once, so a batch can close its own minutes.
     def scan(batch, epoch):
-        scored = qs.score_batch(batch, live_state(bars), tie="event_id")
+        scored = qs.score_batch(batch, state, tie="event_id")
         vt.gate(scored, 0.0).select("code", F.col("window.start").alias("minute"), "strategy", "side", "score").write.mode(
             "overwrite"
         ).parquet(f"{base}/out/epoch={epoch}")
 
     qs.run_scans(ticks, scan, f"{base}/ckpt", every=None).awaitTermination()
     return spark.read.parquet(f"{base}/out").select("code", "minute", "strategy", "side", r("score").alias("score"))
+
+
+@query(
+    "t02_score_stream",
+    """SELECT q.code, q.minute, u.strategy, u.side, u.score FROM (
+      SELECT code, time_bucket(INTERVAL 60 SECOND, ts) AS minute, max_by(event_id, (ts, event_id)) AS event_id FROM lq GROUP BY ALL) q
+    JOIN rules u USING (event_id) WHERE q.minute + INTERVAL 60 SECOND <= (SELECT max(ts) FROM lq) - INTERVAL 10 MINUTE""",
+    **SCAN,
+)
+def t02_stream(spark, d):
+    """Quotes scored as a stream: minutes appear once the watermark has passed their end."""
+    from tickloom.operators.panel import latest_row
+
+    bars = v.stored_m(spark, d)
+    last, state = latest_row(bars, ["close"]), cut_lineage(live_state(bars))
+    ticks = _quote_stream(spark, d, 3).join(last, "code").select(
+        "event_id", "code", F.col("ts").cast("timestamp").alias("ts"), (F.col("close") * (0.85 + F.col("price") / 200)).alias("price")
+    )
+    out = _run(qs.score_stream(ticks, state, tie="event_id"), spark)
+    return out.select("code", F.col("window.start").cast("timestamp_ntz").alias("minute"), "strategy", "side", r("score").alias("score"))

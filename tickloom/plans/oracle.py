@@ -54,7 +54,7 @@ CTES: dict[str, str] = {
     "votes": """SELECT user_id AS code, CAST(ts AS DATE) AS scan_date, event_type AS strategy,
   CASE WHEN event_type IN ('purchase','signup') THEN 'buy'
        WHEN event_type IN ('click','error') THEN 'sell' ELSE 'hold' END AS side,
-  least(value / 50, 1.0) AS score, event_type || '#' || CAST(event_id AS VARCHAR) AS reason, event_id
+  least(value / 50, 1.0) AS score, event_type || '#' || CAST(event_id AS VARCHAR) AS reason, event_id, ts
   FROM events""",
     "equity": """SELECT code AS portfolio, date AS ts, "close" AS total_value FROM bars_m""",
     "calendar": """SELECT date, row_number() OVER (ORDER BY date) - 1 AS idx

@@ -22,16 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give a scan of a few large files a task per core before costly row work.
-
-    ``df`` must be a scan without shuffles. On a table of many files this is the table
-    itself.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
-
 def line_order():
     """A line's place in its code's history; unique per line."""
     return F.struct(
@@ -215,7 +205,7 @@ def votes(spark, sf_dir) -> DataFrame:
         .otherwise("hold").alias("side"),
         F.least(F.col("value") / 50, F.lit(1.0)).alias("score"),
         F.concat(kind, F.lit("#"), F.col("event_id").cast("string")).alias("reason"),
-        "event_id",
+        "event_id", "ts",
     )
 
 

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
 
 def local_session(cpus: str = "*", partitions: int = 8, memory: str = "20g") -> SparkSession:
     """A local session for tests and the benchmark. On a cluster the caller brings its own."""
@@ -21,25 +21,41 @@ def local_session(cpus: str = "*", partitions: int = 8, memory: str = "20g") ->
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", memory)
+        # Files of several row groups are read by a task per core.
+        .config("spark.sql.files.maxPartitionBytes", "16m")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
 
 
+def _own_folder() -> str:
+    """A temporary folder that goes when this process ends."""
+    path = tempfile.mkdtemp(prefix="tickloom-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder under the shared one the cluster names in ``spark.checkpoint.dir``.
 
-    Only a bare local session, which names none, gets a temporary one.
+    Only a bare local session, which names none, gets a temporary one that this process
+    removes at its end.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not shared:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        return tempfile.mkdtemp(prefix="tickloom-")
+        return _own_folder()
     return f"{shared.rstrip('/')}/tickloom-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this library wrote, on whatever file system it lies; none there is fine."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and go on from the files.
 

@@ -36,15 +36,14 @@ def load_bars(
     return df if codes is None else df.filter(F.col("code").isin(list(codes)))
 
 
-def save_bars(bars: DataFrame, path: str, mode: str = "overwrite", files_per_year: int = 8) -> None:
-    """zstd Parquet by year. A year is cut into files by ranges of (code, date), so a
-    code with very many rows spreads over several."""
+def save_bars(bars: DataFrame, path: str, mode: str = "overwrite", file_rows: int = 4_000_000) -> None:
+    """zstd Parquet by year, sorted by (code, date). How many tasks write a year follows from
+    its size at run time; a file holds at most ``file_rows``."""
     out = bars.withColumnRenamed("volume", "vol").withColumn("year", F.year("date"))
-    years = out.select("year").distinct().count()
+    dealt = bars.sparkSession.sql("SELECT /*+ REBALANCE(year, code) */ * FROM {out}", out=out)
     (
-        out.repartitionByRange(max(1, years * files_per_year), "year", "code", "date")
-        .sortWithinPartitions("year", "code", "date")
-        .write.mode(mode).partitionBy("year").option("compression", "zstd").parquet(path)
+        dealt.sortWithinPartitions("year", "code", "date")
+        .write.mode(mode).partitionBy("year").option("compression", "zstd").option("maxRecordsPerFile", file_rows).parquet(path)
     )
 
 
@@ -89,39 +88,47 @@ def fresh_fundamentals(stored: DataFrame, version: int, now: Column, ttl_seconds
 # ------------------------------------------------------------------ run reports
 
 
-def run_stats(log: DataFrame, failed_cap: int = 200, invalid_cap: int = 100) -> DataFrame:
-    """One row: counts by status and source plus capped details, ready for JSON.
-
-    The caps belong to the report format; the failed list itself is written whole.
-    """
+def run_stats(log: DataFrame) -> DataFrame:
+    """One row: counts by status and the calls per source, ready for JSON."""
     from tickloom.operators.merge import last_records, source_counts
 
-    last = last_records(log)
-    counts = last.agg(
+    counts = last_records(log).agg(
         F.count_if(F.col("status") == "success").alias("success"),
         F.count_if(F.col("status") == "failed").alias("failed"),
         F.count_if(F.col("status") == "skipped").alias("skipped"),
         F.count_if(F.col("status") == "validation").alias("validation_failures"),
     ).withColumn("total", F.col("success") + F.col("failed") + F.col("skipped"))
-
-    def detail(status, cap, name):
-        rows = last.filter(F.col("status") == status).orderBy("code").limit(cap)
-        return rows.agg(F.sort_array(F.collect_list(F.struct("code", "reason"))).alias(name))
-
     sources = source_counts(log).agg(
         F.sort_array(F.collect_list(F.struct("source", "calls"))).alias("source_counts")
     )
-    parts = [counts, sources, detail("failed", failed_cap, "failed_detail"),
-             detail("validation", invalid_cap, "validation_failure_detail")]
-    # Four one-row results side by side.
-    stacked = parts[0]
-    for part in parts[1:]:
-        stacked = stacked.unionByName(part, allowMissingColumns=True)
+    # Two one-row results side by side.
+    stacked = counts.unionByName(sources, allowMissingColumns=True)
     return stacked.agg(*[F.first(c, ignorenulls=True).alias(c) for c in stacked.columns])
 
 
+def run_details(log: DataFrame) -> DataFrame:
+    """(status, code, market, reason) of every failed and every invalid code, however many."""
+    from tickloom.operators.merge import last_records
+
+    last = last_records(log)
+    market = F.col("market") if "market" in last.columns else F.lit(None).cast("int").alias("market")
+    return last.filter(F.col("status").isin("failed", "validation")).select("status", "code", market, "reason")
+
+
 def save_run_stats(log: DataFrame, path: str) -> None:
-    run_stats(log).write.mode("overwrite").json(path)
+    """``path/summary`` holds the counts, ``path/details`` a row per failed or invalid code."""
+    run_stats(log).write.mode("overwrite").json(f"{path}/summary")
+    run_details(log).write.mode("overwrite").json(f"{path}/details")
+
+
+def save_load(table: DataFrame, log: DataFrame, bars_path: str, report_path: str) -> None:
+    """What a daily load leaves: the stored bars, the run report and the failed list, from its own log.
+
+    ``table`` must not read ``bars_path`` itself.
+    """
+    save_bars(table, bars_path)
+    save_run_stats(log, report_path)
+    save_failed_list(log.filter("status = 'failed'"), f"{report_path}/failed")
 
 
 def save_failed_list(failed: DataFrame, path: str) -> None:

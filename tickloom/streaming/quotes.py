@@ -12,6 +12,7 @@ from pyspark.sql.types import StructType
 from tickloom.operators.clean import clean_quotes
 from tickloom.operators.live import score_quotes
 from tickloom.schemas import QUOTES
+from tickloom.session import remove
 
 SCAN_EVERY = "300 seconds"
 RECOMPUTE_EVERY = "60 seconds"
@@ -64,7 +65,8 @@ def keep_latest(
     """Keep a table of the last quote per code.
 
     Each batch is reduced to one row per code, merged with the stored version and
-    written as a new version folder, so a batch that is run again writes the same.
+    written as a new version folder, so a batch that is run again writes the same. The
+    version before the one read is removed.
     """
 
     def merge(batch: DataFrame, epoch: int) -> None:
@@ -73,17 +75,20 @@ def keep_latest(
         if epoch > 0:
             new = latest(spark.read.schema(new.schema).parquet(f"{table_path}/v={epoch - 1}").unionByName(new), tie)
         new.write.mode("overwrite").parquet(f"{table_path}/v={epoch}")
+        remove(spark, f"{table_path}/v={epoch - 2}")
 
     return quotes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
-def score_stream(quotes: DataFrame, state: DataFrame, strategies=None, lateness: str = LATENESS) -> DataFrame:
+def score_stream(
+    quotes: DataFrame, state: DataFrame, strategies=None, lateness: str = LATENESS, tie: str | None = None
+) -> DataFrame:
     """Stream-static join: last quote per code and minute, scored by every strategy.
 
     The static side has one row per code. Spark broadcasts it when its size allows and
     otherwise shuffles both sides.
     """
-    limited = last_per_window(quotes.withWatermark("ts", lateness))
+    limited = last_per_window(quotes.withWatermark("ts", lateness), tie=tie)
     names = {} if strategies is None else {"strategies": tuple(strategies)}
     return score_quotes(limited, state, **names)
 

@@ -1,69 +1,21 @@
 """Per-key state on streams: exit rules of positions and alert throttling.
 
-Two forms of each. ``*_stream`` keeps the state in Spark's state store and folds a key's
-rows of one micro-batch in one task; it suits keys whose share of a micro-batch is small.
-``*_batches`` keeps the state as a table and runs the slice-wise batch operator on every
-micro-batch, so a key holding a third of the rows is spread over many tasks. Both
-survive lost executors, and a repeated micro-batch gives the same result.
+The state is a table, one row per key, and every micro-batch goes through the slice-wise
+batch operator, so that a key holding a third of the rows is spread over many tasks. A
+repeated micro-batch reads the version the one before it left and gives the same result;
+older versions are removed.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
-from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
+from pyspark.sql.streaming import StreamingQuery
 
 from tickloom.functions.num import micros
 from tickloom.operators import portfolio as pf
 from tickloom.operators.alerts import DEDUP_SECONDS, throttle
-from tickloom.session import STATE_STORE
-
-
-def _in_order(rows: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
-    parts = list(rows)
-    return pd.concat(parts, ignore_index=True).sort_values(by, kind="stable") if parts else pd.DataFrame(columns=by)
-
-
-class ThrottleState(StatefulProcessor):
-    """Keeps the time of the last alert sent per key."""
-
-    def __init__(self, window_us: int, tie: str):
-        self.window_us, self.tie = window_us, tie
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", StructType([StructField("us", LongType())]))
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = _in_order(rows, ["us", self.tie])
-        last = self.last.get()[0] if self.last.exists() else None
-        keep = []
-        for us in pdf["us"].tolist():
-            send = last is None or us - last >= self.window_us
-            if send:
-                last = us
-            keep.append(send)
-        if any(keep):
-            self.last.update((last,))
-        yield pdf[keep]
-
-    def close(self) -> None:
-        pass
-
-
-def throttle_stream(
-    alerts: DataFrame, window_seconds: int = DEDUP_SECONDS, key: str = "key", ts: str = "ts", tie: str = "event_id"
-) -> DataFrame:
-    """Streaming form of :func:`tickloom.operators.alerts.throttle`."""
-    alerts.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
-    timed = alerts.withColumn("us", micros(alerts, ts))
-    return timed.groupBy(key).transformWithStateInPandas(
-        statefulProcessor=ThrottleState(window_seconds * 1_000_000, tie),
-        outputStructType=timed.schema, outputMode="Append", timeMode="None",
-    ).drop("us")
+from tickloom.session import remove
 
 
 def _batches(stream: DataFrame, work, checkpoint: str, available_now: bool) -> StreamingQuery:
@@ -78,12 +30,20 @@ def _state_before(spark, path: str, epoch: int, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{path}/state/v={epoch - 1}")
 
 
+def _write_state(state: DataFrame, path: str, epoch: int) -> None:
+    state.write.mode("overwrite").parquet(f"{path}/state/v={epoch}")
+    remove(state.sparkSession, f"{path}/state/v={epoch - 2}")
+
+
 def throttle_batches(
     alerts: DataFrame, path: str, checkpoint: str, window_seconds: int = DEDUP_SECONDS, key: str = "key",
-    ts: str = "ts", tie: str = "event_id", available_now: bool = False,
+    ts: str = "ts", tie: str = "event_id", available_now: bool = False, lateness_seconds: int = 86400,
 ) -> StreamingQuery:
     """Sent alerts land in ``path/sent``, the last send per key in ``path/state``.
 
+    A key leaves the state once its last send is a window and ``lateness_seconds`` older than
+    the newest alert.
+
     An alert less than a window after its key's last send cannot go out; among the
     others the batch rule applies from a clean start.
     """
@@ -98,7 +58,10 @@ def throttle_batches(
         throttle(open_, window_seconds, key, ts, tie).write.mode("overwrite").parquet(sent)
         new = batch.sparkSession.read.schema(open_.schema).parquet(sent).select(key, F.col("__at").alias("last"))
         merged = old.unionByName(new).groupBy(key).agg(F.max("last").alias("last"))
-        merged.write.mode("overwrite").parquet(f"{path}/state/v={epoch}")
+        newest = timed.agg(F.max("__at")).first()[0]
+        if newest is not None:
+            merged = merged.filter(F.col("last") > newest - width - lateness_seconds * 1_000_000)
+        _write_state(merged, path, epoch)
 
     return _batches(alerts, work, checkpoint, available_now)
 
@@ -115,60 +78,6 @@ def exit_batches(
         held = positions.join(old, "code", "left").withColumn("watermark", F.greatest("watermark", "high")).drop("high")
         pf.live_exits(held, batch, levels, order, **rules).write.mode("overwrite").parquet(f"{path}/events/epoch={epoch}")
         seen = batch.groupBy("code").agg(F.max("price").alias("high"))
-        old.unionByName(seen).groupBy("code").agg(F.max("high").alias("high")).write.mode("overwrite").parquet(
-            f"{path}/state/v={epoch}"
-        )
+        _write_state(old.unionByName(seen).groupBy("code").agg(F.max("high").alias("high")), path, epoch)
 
     return _batches(quotes, work, checkpoint, available_now)
-
-
-RISK_EVENTS = StructType(
-    [
-        StructField("code", LongType()), StructField("event_id", LongType()),
-        StructField("event", StringType()), StructField("price", DoubleType()),
-        StructField("pnl_pct", DoubleType()),
-    ]
-)
-
-
-class ExitState(StatefulProcessor):
-    """Keeps the highest price seen per held code."""
-
-    def __init__(self, stop: float, take: float, trail: float):
-        self.stop, self.take, self.trail = stop, take, trail
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.high = handle.getValueState("high", StructType([StructField("wm", DoubleType())]))
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = _in_order(rows, ["ts", "event_id"])
-        seen = self.high.get()[0] if self.high.exists() else float("-inf")
-        high = pdf["price"].cummax().clip(lower=max(seen, float(pdf["watermark"].iloc[0])))
-        pnl = (pdf["price"] - pdf["cost"]) / pdf["cost"]
-        fall = (high - pdf["price"]) / high
-        event = pd.Series(None, index=pdf.index, dtype=object)
-        event[(high > 0) & (fall >= self.trail)] = "trailing_stop"
-        event[pnl >= self.take] = "take_profit"
-        event[pnl <= -self.stop] = "stop_loss"
-        self.high.update((float(high.iloc[-1]),))
-        out = pdf[["code", "event_id"]].assign(event=event, price=pdf["price"], pnl_pct=pnl)
-        yield out[event.notna()]
-
-    def close(self) -> None:
-        pass
-
-
-def exit_stream(
-    quotes: DataFrame, positions: DataFrame, stop: float = pf.LIVE_STOP_LOSS, take: float = pf.LIVE_TAKE_PROFIT,
-    trail: float = pf.LIVE_TRAILING,
-) -> DataFrame:
-    """Streaming form of :func:`tickloom.operators.portfolio.live_exits`.
-
-    ``positions`` (code, cost > 0, watermark) is a table; quotes of other codes leave.
-    """
-    quotes.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
-    held = quotes.join(positions.select("code", "cost", "watermark"), "code")
-    return held.select("code", "event_id", "ts", "price", "cost", "watermark").groupBy("code").transformWithStateInPandas(
-        statefulProcessor=ExitState(stop, take, trail),
-        outputStructType=RISK_EVENTS, outputMode="Append", timeMode="None",
-    )
