@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tickloom.llm.shared import SPACES, in_batches
+from tickloom.session import cut_lineage
 
 SYMBOLS = b"#*$%&|<>"
 CAPITALS = bytes(range(65, 91))
@@ -154,7 +155,9 @@ def judge(measured: DataFrame, spread: float = 3.0, least_docs: int = 200) -> Da
         if by:
             groups = groups.join(table, on, "left").drop(*[f"{c}_{i}" for c in by])
         else:
-            groups = groups.withColumn("one", F.lit(1)).join(table.withColumn("one", F.lit(1)), "one", "left").drop("one")
+            # One row, or none if there are too few documents.
+            whole = table.first()
+            groups = groups.withColumns({f"{c}_{i}": F.lit(whole and whole[f"{c}_{i}"]).cast("double") for c in limits})
     chosen = [F.coalesce(*[F.col(f"{c}_{i}") for i in range(len(levels))]).alias(c) for c in limits]
     groups = groups.select(F.col("lang").alias("lang_g"), F.col("source").alias("source_g"), *chosen)
     rows = measured.select("*", *shares())
@@ -176,5 +179,6 @@ def quality_rules(docs: DataFrame, spread: float = 3.0, least_docs: int = 200) -
     A null or empty text has no words and fails the base. Repeated rows are measured each by
     itself. Other columns of ``docs`` are left out. An empty table gives an empty result.
     """
-    judged = judge(measure(docs), spread, least_docs)
+    # Texts are read once: their counts are stored, and sketches and filter read those.
+    judged = judge(cut_lineage(measure(docs)), spread, least_docs)
     return judged.withColumnRenamed("key", "doc_id")
