@@ -77,6 +77,18 @@ def test_pieces_of_long_texts(monkeypatch):
     assert len(by_hash) == len({text[p : p + WIDTH] for p in range(len(text) - WIDTH + 1)})
 
 
+def test_repeats_of_a_batch_are_dealt_out(spark):
+    # A word over and over: nearly all runs have one anchor.
+    docs = [(i, "heat " * (300 + i)) for i in range(40)]
+    row, at, head, extent = suffix_dedup.runs([t.encode() for _, t in docs])
+    spread = suffix_dedup._spread(head, extent, row, at)
+    assert np.unique(head, return_counts=True)[1].max() > 0.5 * len(head)
+    assert np.unique(spread[0], return_counts=True)[1].max() < 200
+    assert sorted(np.where(spread[3] < 0, -1 - spread[3], spread[3])) == sorted(at)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    assert made(remove_repeats(df)) == brute(docs)
+
+
 def test_documents_of_the_driver(spark):
     import glob
 

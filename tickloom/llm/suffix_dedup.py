@@ -63,7 +63,7 @@ class _Rolling:
 
 
 def _rolling() -> tuple[_Rolling, _Rolling]:
-    return worker_state("rolling", lambda: (_Rolling(BASE, 3), _Rolling(BASE2, 5)))
+    return worker_state(f"rolling {CHUNK}", lambda: (_Rolling(BASE, 3), _Rolling(BASE2, 5)))
 
 
 def _pack(start: np.ndarray, windows: np.ndarray, lead: np.ndarray) -> np.ndarray:
@@ -136,6 +136,21 @@ def runs(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     return _joined(out, 4)
 
 
+def _spread(head: np.ndarray, extent: np.ndarray, n: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Runs of a batch of documents; repeats within it are marked (``at`` below 0) and lose their common anchor.
+
+    An earlier run with the same extent makes them repeats whatever else there is, so that a
+    string that occurs very often is one row per batch under its anchor and the others are
+    dealt out evenly.
+    """
+    order = np.lexsort((at, n, extent, head))
+    head, extent, n, at = head[order], extent[order], n[order], at[order]
+    again = np.flatnonzero((head[1:] == head[:-1]) & (extent[1:] == extent[:-1])) + 1
+    own = (n[again].astype(np.uint64) * np.uint64(BASE) ^ at[again].astype(np.uint64)) * np.uint64(BASE2)
+    head[again], at[again] = (own ^ own >> np.uint64(31)).view(np.int64), -1 - at[again]
+    return head, extent, n, at
+
+
 def _joined(parts: list[tuple], n: int) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate([np.empty(0, np.int64), *[p[i] for p in parts]]) for i in range(n))
 
@@ -203,20 +218,20 @@ def _judge_runs(table: np.ndarray, has_before: bool, has_after: bool) -> dict[st
     The first row of an extent is open if its digit has another extent; where that shows
     only beyond the rows at hand it counts as open, which costs work and changes nothing.
     """
-    head, extent = table[0], table[1]
-    size = len(head)
-    same_head = np.concatenate([[False], head[1:] == head[:-1]])
-    covered = same_head & np.concatenate([[False], extent[1:] == extent[:-1]])
+    head, extent, at = table[0], table[1], table[3]
+    size, known = len(head), at < 0
+    same_head = np.concatenate([[False], (head[1:] == head[:-1]) & ~known[1:] & ~known[:-1]])
+    covered = known | same_head & np.concatenate([[False], extent[1:] == extent[:-1]])
     firsts = np.append(np.flatnonzero(~covered), size)
     after = firsts[np.searchsorted(firsts, np.arange(size), "right")]
-    known = after < size
-    more = same_head[np.minimum(after, size - 1)] & known | ~known & has_after
+    here = after < size
+    more = same_head[np.minimum(after, size - 1)] & here | ~here & has_after
     keep = covered | same_head | more
     keep[0] &= not has_before
     if has_after:
         keep[-1] = False
-    at = np.flatnonzero(keep)
-    return {"n": table[2][at], "at": table[3][at], "state": np.where(covered[at], COVERED, OPEN)}
+    out = np.flatnonzero(keep)
+    return {"n": table[2][out], "at": np.where(known, -1 - at, at)[out], "state": np.where(covered[out], COVERED, OPEN)}
 
 
 def _judge_windows(table: np.ndarray, has_before: bool, has_after: bool) -> dict[str, np.ndarray]:
@@ -266,8 +281,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     def anchors(batch: pa.RecordBatch) -> pa.RecordBatch:
         row, at, head, extent = runs([x.encode() for x in batch.column("text").to_pylist()])
-        columns = [pa.array(head), pa.array(extent), batch.column("n").take(pa.array(row)), pa.array(at)]
-        return pa.RecordBatch.from_arrays(columns, RUN)
+        n = batch.column("n").to_numpy()[row]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in _spread(head, extent, n, at)], RUN)
 
     def judged(found: DataFrame, name: str) -> DataFrame:
         """(name_n, name): per document its covered and open runs."""
