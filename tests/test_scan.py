@@ -65,10 +65,10 @@ TRADES = "code string, day int, part int, i int, side string, qty double, price
 
 
 @pytest.mark.parametrize("levels", [[], ["day"], ["day", "part"]])
-@pytest.mark.parametrize("seed,span", [(1, 40), (2, 500), (3, 10_000)])
-def test_fifo_equals_queue(spark, seed, span, levels):
-    rows = random_trades(seed)
-    out = pf.fifo_pnl(spark.createDataFrame(rows, TRADES), levels, ["i"], ["i"], span=span)
+@pytest.mark.parametrize("seed,per_slice,unit", [(1, 5, 1.0), (2, 60, 2.0**40), (3, 10_000, 2.0**-20)])
+def test_fifo_equals_queue(spark, seed, per_slice, unit, levels):
+    rows = [(*r[:5], r[5] * unit, r[6]) for r in random_trades(seed)]
+    out = pf.fifo_pnl(spark.createDataFrame(rows, TRADES), levels, ["i"], ["i"], per_slice=per_slice)
     got = {r["i"]: (r["covered"], r["pnl"]) for r in out.collect()}
     lots = {}
     for code, _, _, i, side, qty, price in rows:
@@ -85,7 +85,7 @@ def test_fifo_equals_queue(spark, seed, span, levels):
             if book[0][0] == 0:
                 book.popleft()
         covered, value = got.pop(i)
-        assert covered == qty - left and value == pytest.approx(pnl, abs=1e-6)
+        assert covered == qty - left and value == pytest.approx(pnl, rel=1e-9, abs=1e-6 * unit)
     assert not got
 
 

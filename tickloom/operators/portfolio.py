@@ -40,8 +40,8 @@ YEAR = 252
 RISK_FREE = 0.03
 TINY = 1e-9
 
-# Quantity units per slice when buys and sells are laid side by side.
-MATCH_SPAN = 10_000
+# Trades per slice, on average, when a code's buys and sells are laid side by side.
+MATCH_TRADES = 10_000
 BARE_SLICES = 1 << 16
 # Natural logarithm of how far holdings shrink before average costs are scaled anew.
 SCALE = 300.0
@@ -115,18 +115,24 @@ def booked(trades: DataFrame, levels: Sequence[str], order: Sequence[str]) -> Da
 
 def fifo_pnl(
     trades: DataFrame, levels: Sequence[str], order: Sequence[str], ids: Sequence[str],
-    span: int = MATCH_SPAN,
+    per_slice: int = MATCH_TRADES,
 ) -> DataFrame:
     """Realised profit of every sell against the oldest lots: (code, ids, covered, pnl, win).
 
     Buys tile the axis of bought quantity and covered sells the same axis, so each
     stretch between two neighbouring boundaries belongs to one buy and one sell. The
-    axis is cut every ``span`` units; a slice is swept once in order and no pairs of
-    trades are formed.
+    axis of a code is cut into equal slices of ``per_slice`` trades or a little more on average,
+    whatever the quantities; a slice is swept once in order and no pairs of trades are formed.
     """
-    b = booked(trades, levels, order)
+    b = cut_lineage(booked(trades, levels, order))
+    sizes = b.groupBy("code").agg(F.count("*").alias("__count"), F.max("run_buy").alias("__total"))
+    slices = F.ceil(F.col("__count") / F.lit(per_slice))
+    # A power of two, so that cutting quantities at its multiples does not round them.
+    exact = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.col("__total") / slices, F.lit(TINY)))))
+    sizes = sizes.select("code", exact.alias("__span"))
+    b, span = b.join(sizes, "code"), F.col("__span")
     laid = b.select(
-        "code", *ids, F.col("price"), is_buy().alias("is_buy"),
+        "code", *ids, "__span", F.col("price"), is_buy().alias("is_buy"),
         F.when(is_buy(), F.col("run_buy") - F.col("qty")).otherwise(F.col("sold_upto") - F.col("covered")).alias("lo"),
         F.when(is_buy(), F.col("run_buy")).otherwise(F.col("sold_upto")).alias("hi"),
     )
