@@ -119,15 +119,20 @@ def vote(model: tuple, texts: list[str | None], neighbours: int = NEIGHBOURS) ->
     return np.clip(out, 0, 1)
 
 
-def fit(labelled: DataFrame, most: int = MOST_LABELLED) -> Model:
-    """A model of (id, text, label) rows with label 0 or 1; other labels and nulls are left out.
+def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, target: str = "quality") -> Model:
+    """A model of ``docs`` (doc_id, text) by ``labels`` (doc_id, target: 0 or 1).
 
-    Of each label, the ``most / 2`` rows with the smallest hash of (id, text) are used, and
-    only their term weights, at most ``TERMS`` each, reach the driver.
+    Held-out rows, other labels, nulls and documents with both labels are left out. Of each
+    label the ``most / 2`` ids with the smallest hash are used; these ids alone are
+    broadcast, and only their texts' term weights, at most ``TERMS`` each, reach the driver.
+    Of rows that repeat an id the smallest text counts.
     """
-    rows = labelled.filter("label IN (0, 1)")
-    order = [F.xxhash64("id", "text"), F.col("id")]
-    parts = [rows.filter(F.col("label") == k).orderBy(*order).limit(most // 2) for k in (0, 1)]
+    known = labels.filter(F.col(target).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
+    known = known.groupBy(F.col("doc_id").alias("id")).agg(F.min(target).alias("label"), F.max(target).alias("other"))
+    known = known.filter("label = other").select("id", F.col("label").cast("int").alias("label"))
+    parts = [known.filter(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(most // 2) for k in (0, 1)]
+    chosen = F.broadcast(parts[0].union(parts[1]))
+    rows = docs.select(F.col("doc_id").alias("id"), "text").join(chosen, "id").groupBy("id", "label").agg(F.min("text").alias("text"))
 
     def weigh(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [terms(x) for x in batch.column("text").to_pylist()]
@@ -136,7 +141,7 @@ def fit(labelled: DataFrame, most: int = MOST_LABELLED) -> Model:
             ["label", "ids", "weights"],
         )
 
-    sample = in_batches(parts[0].union(parts[1]).select("text", F.col("label").cast("int").alias("label")), weigh, "label int, ids array<long>, weights array<double>")
+    sample = in_batches(rows.orderBy("id").select("text", "label"), weigh, "label int, ids array<long>, weights array<double>")
     got = sample.toArrow()
     n = got.num_rows
     matrix = np.zeros((n, TERMS), np.float32)
@@ -179,25 +184,19 @@ def held_out(key: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, target: str = "quality") -> DataFrame:
-    """(id, text, label) of labelled documents that are not held out."""
-    known = labels.filter(F.col(target).isNotNull() & ~held_out()).select(F.col("doc_id").alias("id"), F.col(target).alias("label"))
-    return docs.select(F.col("doc_id").alias("id"), "text").join(known, "id").select("id", "text", "label")
-
-
 def classify(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted (1 from a score of 0.5).
 
     Without any label to learn from every score is 0.5. Rows that repeat a document get a
     row each. An empty table gives an empty result.
     """
-    scored = score(docs, fit(training_rows(docs, labels), most))
+    scored = score(docs, fit(docs, labels, most))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text", most: int = MOST_LABELLED) -> DataFrame:
     """``docs``, all columns, without rows whose text scores below 0.5."""
-    model = fit(training_rows(docs, labels), most)
+    model = fit(docs, labels, most)
     held = docs.sparkSession.sparkContext.broadcast(tuple(model))
 
     def good(batch: pa.RecordBatch) -> pa.RecordBatch:
