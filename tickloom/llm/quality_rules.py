@@ -26,8 +26,8 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 MEASURES = {
     "symbol_share": ("n_symbols", "word_chars", 0.02),
     "capital_share": ("n_capitals", "word_chars", 0.10),
-    "dup_line_share": ("n_dup_lines", "n_lines", 0.20),
-    "repeat_share": ("n_repeat_words", "n_words", 0.10),
+    "dup_line_share": ("n_dup_lines", "n_lines", 0.30),
+    "repeat_share": ("n_repeat_words", "n_words", 0.25),
     "word_length": ("word_chars", "n_words", 3.0),
 }
 #: Those that also have a lower fence.
