@@ -65,7 +65,7 @@ class WordPieces(dict):
 
 
 class BytePieces(dict):
-    """Piece with the one space before it -> little-endian unsigned 16-bit ids, for a byte-level BPE."""
+    """Piece -> little-endian unsigned 16-bit ids of it after a space, for a byte-level BPE."""
 
     def __init__(self, path: str):
         import public_tokenizers
@@ -78,7 +78,7 @@ class BytePieces(dict):
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= MOST_PIECES:
             self.clear()
-        ids = self[piece] = self._ids(piece)
+        ids = self[piece] = self._ids(" " + piece)
         return ids
 
     def _ids(self, text: str) -> bytes:
@@ -87,11 +87,11 @@ class BytePieces(dict):
     def of_text(self, text: str | None) -> bytes:
         if not text:
             return b""
-        first, *rest = text.split(" ")
         # Runs of spaces and a space at the end stick together; such texts are encoded whole.
-        if not all(rest):
+        if "  " in text or text[-1] == " ":
             return self._ids(text)
-        return self[first] + b"".join([self[" " + x] for x in rest])
+        pieces = text.split(" ")
+        return self._ids(pieces[0]) + b"".join(map(self.__getitem__, pieces[1:]))
 
 
 def word_pieces(path: str) -> WordPieces:
