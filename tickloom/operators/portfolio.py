@@ -92,7 +92,9 @@ def live_lots(cash, price, cap: float = MAX_POSITION, slippage: float = LIVE_SLI
 # ---------------------------------------------------------------- lots
 
 
-def booked(trades: DataFrame, levels: Sequence[str], order: Sequence[str]) -> DataFrame:
+def booked(
+    trades: DataFrame, levels: Sequence[str], order: Sequence[str], keys: Sequence[str] = ("code",)
+) -> DataFrame:
     """Adds per trade what is held after it and how much of a sell was covered.
 
     Sells may exceed holdings; what they exceed them by is the depth of the running
@@ -101,7 +103,7 @@ def booked(trades: DataFrame, levels: Sequence[str], order: Sequence[str]) -> Da
     buy = F.when(is_buy(), F.col("qty")).otherwise(0.0)
     sell = F.when(is_buy(), 0.0).otherwise(F.col("qty"))
     t = trades.withColumns({"buy": buy, "sell": sell, "signed": buy - sell})
-    run = running_sums(t, ["code"], levels, order, ["buy", "sell", "signed"], low_of="signed")
+    run = running_sums(t, list(keys), levels, order, ["buy", "sell", "signed"], low_of="signed")
     zero = F.lit(0.0)
     short, short_before = F.least("low", zero), F.coalesce(F.least("low_before", zero), zero)
     return run.withColumns(
@@ -398,8 +400,12 @@ def live_exits(
     )
 
 
-def equity_curve(booked_trades: DataFrame, bars: DataFrame, initial_cash: float, slippage: float = SLIPPAGE) -> DataFrame:
-    """(date, cash, market_value, total_value) on every date with a bar.
+def equity_curve(
+    booked_trades: DataFrame, bars: DataFrame, initial_cash: float, slippage: float = SLIPPAGE, by: Sequence[str] = ()
+) -> DataFrame:
+    """(by, date, cash, market_value, total_value) on every date with a bar.
+
+    With ``by`` there is one curve per group, on the dates with a bar of a code it traded.
 
     Costs are those of what was traded: of a sell, what was covered, and nothing for a sell
     of nothing. Trades are reduced to one row per code and date; market value is the running
@@ -409,19 +415,22 @@ def equity_curve(booked_trades: DataFrame, bars: DataFrame, initial_cash: float,
     done = booked_trades.withColumn("qty", F.when(is_buy(), F.col("qty")).otherwise(F.col("covered")))
     done = with_costs(done, slippage)
     paid = F.when(is_buy(), -F.col("net")).when(F.col("qty") > 0, F.col("net")).otherwise(0.0)
-    days = done.groupBy("code", "date").agg(F.sum(paid).alias("flow"), F.max_by("held", "seq").alias("held"))
-    points = bars.select("code", "date", "close", F.lit(True).alias("bar")).join(days, ["code", "date"], "full")
-    along = Window.partitionBy("code").orderBy("date")
+    days = done.groupBy(*by, "code", "date").agg(F.sum(paid).alias("flow"), F.max_by("held", "seq").alias("held"))
+    shown = bars.select("code", "date", "close", F.lit(True).alias("bar"))
+    if by:
+        shown = shown.join(booked_trades.select(*by, "code").distinct(), "code")
+    points = shown.join(days, [*by, "code", "date"], "full")
+    along = Window.partitionBy(*by, "code").orderBy("date")
     upto = along.rowsBetween(Window.unboundedPreceding, 0)
     value = F.coalesce(F.last("held", ignorenulls=True).over(upto) * F.last("close", ignorenulls=True).over(upto), F.lit(0.0))
     points = points.withColumn("value", value)
     points = points.withColumn("change", F.col("value") - F.coalesce(F.lag("value").over(along), F.lit(0.0)))
-    dates = points.groupBy("date").agg(
+    dates = points.groupBy(*by, "date").agg(
         F.coalesce(F.sum("flow"), F.lit(0.0)).alias("flow"), F.sum("change").alias("change"), F.max("bar").alias("bar")
     )
-    w = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*by).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     curve = dates.select(
-        "date", "bar", (F.lit(initial_cash) + F.sum("flow").over(w)).alias("cash"), F.sum("change").over(w).alias("market_value")
+        *by, "date", "bar", (F.lit(initial_cash) + F.sum("flow").over(w)).alias("cash"), F.sum("change").over(w).alias("market_value")
     )
     return curve.filter("bar").drop("bar").withColumn("total_value", F.col("cash") + F.col("market_value"))
 

@@ -7,9 +7,14 @@ from pyspark.sql import functions as F
 from tickloom.functions.num import f32, r
 from tickloom.operators import cross_section as cs
 from tickloom.operators import factors as fx
+from tickloom.operators import panel as pn
 from tickloom.operators import portfolio as pf
+from tickloom.operators import signals as sg
 from tickloom.plans import views as v
-from tickloom.plans.catalog.registry import query
+from tickloom.plans.catalog import signal_queries  # noqa: F401  registers the signals compared below
+from tickloom.plans.catalog.registry import ORACLES, query
+from tickloom.plans.signal_panel import price_panel
+from tickloom.session import cut_lineage
 
 IDS = ["day", *v.TRADE_ORDER]
 SHOW = ["code", "day", "l_orderkey", "l_linenumber", "l_partkey"]
@@ -407,17 +412,50 @@ def p23(spark, d):
     return out.select("date", r("market_value", 3).alias("market_value"), "position_count", r("pnl_pct").alias("pnl_pct"))
 
 
-@query(
-    "p24_strategy_comparison",
-    f"SELECT strategy, {PERF_SQL} FROM perf",
-    **_perf("strategy", """SELECT sector_name AS strategy, date AS ts, ln("close" + 1) + 100 AS total_value FROM sector_m"""),
+COMPARED = {"short_term": "g04_short_term", "rsrs_momentum": "g01_rsrs_momentum_asof", "sentiment_reversal": "g06_sentiment_reversal"}
+
+#: Equity of strategies whose signals are filled at the next bar for a fixed amount each.
+STRATEGY_CURVES = dict(
+    sig=" UNION ALL ".join(f"SELECT '{n}' AS strategy, date, code, side FROM ({ORACLES[q]})" for n, q in COMPARED.items()),
+    fills="""SELECT s.strategy, s.code, s.side, n.date, coalesce(b."open", b."close") AS price, floor(1e6 / coalesce(b."open", b."close")) AS qty
+      FROM sig s JOIN calendar c USING (date) JOIN calendar n ON n.idx = c.idx + 1 JOIN bars_m b ON b.code = s.code AND b.date = n.date
+      WHERE coalesce(b."open", b."close") > 0""",
+    fill1="""SELECT *, sum(CASE WHEN side = 'BUY' THEN qty ELSE -qty END) OVER w AS run FROM fills
+      WINDOW w AS (PARTITION BY strategy, code ORDER BY date ROWS UNBOUNDED PRECEDING)""",
+    fill2="""SELECT *, least(min(run) OVER (PARTITION BY strategy, code ORDER BY date ROWS UNBOUNDED PRECEDING), 0) AS short FROM fill1""",
+    fill3="""SELECT *, run - short AS held, CASE WHEN side = 'BUY' THEN qty ELSE qty
+      - (coalesce(lag(short) OVER (PARTITION BY strategy, code ORDER BY date), 0) - short) END AS done FROM fill2""",
+    fill4="""SELECT strategy, date, sum(CASE WHEN side = 'BUY' THEN -(price * (1 + 0.001) * done + greatest(5.0, price * (1 + 0.001) * done * 0.0003))
+      WHEN done > 0 THEN price * (1 - 0.001) * done * (1 - 0.001) - greatest(5.0, price * (1 - 0.001) * done * 0.0003) ELSE 0 END) AS flow
+      FROM fill3 GROUP BY ALL""",
+    fgrid="""SELECT f.strategy, f.code, k.date FROM (SELECT DISTINCT strategy, code FROM fills) f CROSS JOIN calendar k""",
+    fval="""SELECT g.strategy, g.date, last_value(h.held IGNORE NULLS) OVER w * last_value(b."close" IGNORE NULLS) OVER w AS v, b.code IS NOT NULL AS bar
+      FROM fgrid g LEFT JOIN bars_m b USING (code, date) LEFT JOIN fill3 h ON h.strategy = g.strategy AND h.code = g.code AND h.date = g.date
+      WINDOW w AS (PARTITION BY g.strategy, g.code ORDER BY g.date ROWS UNBOUNDED PRECEDING)""",
+    fday="SELECT strategy, date, coalesce(sum(v), 0) AS mv, max(bar) AS bar FROM fval GROUP BY ALL",
+    fcurve="""SELECT * FROM (SELECT d.strategy, d.date, d.bar, 1e8 + sum(coalesce(f.flow, 0)) OVER (PARTITION BY d.strategy ORDER BY d.date) + d.mv AS total_value
+      FROM fday d LEFT JOIN fill4 f ON f.strategy = d.strategy AND f.date = d.date) WHERE bar""",
 )
+CURVES = "SELECT strategy, date AS ts, total_value FROM fcurve"
+
+
+def strategy_curves(spark, d):
+    """(strategy, ts, total_value): signals filled at the next bar's open, a million each, with costs."""
+    bars = v.stored_m(spark, d)
+    signals = sg.run_many(price_panel(spark, d, bars), {n: (n, {}) for n in COMPARED})
+    fills = pn.next_bar_price(signals.select("strategy", "date", "code", "side"), bars, pn.calendar(bars))
+    fills = cut_lineage(fills.select(
+        "strategy", "code", "side", F.col("exec_date").alias("date"), F.col("exec_price").alias("price"),
+        F.floor(F.lit(1e6) / F.col("exec_price")).cast("double").alias("qty"),
+    ))
+    book = pf.booked(fills, [], ["date"], keys=("strategy", "code")).withColumn("seq", F.col("date"))
+    curve = pf.equity_curve(book, bars, 1e8, by=["strategy"])
+    return curve.select("strategy", F.col("date").alias("ts"), "total_value")
+
+
+@query("p24_strategy_comparison", f"SELECT strategy, {PERF_SQL} FROM perf", **STRATEGY_CURVES, **_perf("strategy", CURVES))
 def p24(spark, d):
-    """One curve per sector stands for one strategy each."""
-    curves = v.sector_m(spark, d).select(
-        F.col("sector_name").alias("strategy"), F.col("date").alias("ts"), (F.log(F.col("close") + 1) + 100).alias("total_value")
-    )
-    return _perf_out(pf.performance(curves, key="strategy"), "strategy")
+    return _perf_out(pf.performance(strategy_curves(spark, d), key="strategy"), "strategy")
 
 
 @query(

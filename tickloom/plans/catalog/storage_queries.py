@@ -12,7 +12,7 @@ from tickloom.operators.live import live_state
 from tickloom.plans import views as v
 from tickloom.plans.catalog.ingest_queries import INGEST, LOG, load, run_log
 from tickloom.plans.catalog.live_queries import SCAN
-from tickloom.plans.catalog.portfolio_queries import PERF_COLS, _perf
+from tickloom.plans.catalog.portfolio_queries import CURVES, PERF_COLS, STRATEGY_CURVES, _perf, strategy_curves
 from tickloom.plans.catalog.registry import ORACLES, query
 from tickloom.session import cut_lineage, shared_dir
 from tickloom.sources import tables as tb
@@ -177,26 +177,20 @@ def s09(spark, d):
     return out.select(F.col("code").cast("long").alias("code"), "market")
 
 
-CURVES = """SELECT sector_name AS strategy, date AS ts, ln("close" + 1) + 100 AS total_value FROM sector_m"""
-
-
 @query(
     "s10_result_documents",
-    f"""SELECT p.strategy AS strategy_name, c.ts AS timestamp, round(c.total_value, 6) + 0.0 AS total_value,
+    f"""SELECT p.strategy AS strategy_name, c.ts AS timestamp, round(c.total_value, 2) + 0.0 AS total_value,
     round(p.total_return, 6) + 0.0 AS total_return, round(p.max_drawdown, 6) + 0.0 AS max_drawdown
     FROM perf p JOIN ({CURVES}) c USING (strategy)""",
-    **_perf("strategy", CURVES),
+    **STRATEGY_CURVES, **_perf("strategy", CURVES),
 )
 def s10(spark, d):
     path = shared_dir(spark) + "/results"
-    curves = v.sector_m(spark, d).select(
-        F.col("sector_name").alias("strategy_name"), F.col("date").alias("ts"),
-        (F.log(F.col("close") + 1) + 100).alias("total_value"),
-    )
+    curves = cut_lineage(strategy_curves(spark, d).withColumnRenamed("strategy", "strategy_name"))
     perf = pf.performance(curves, key="strategy_name").select("strategy_name", *PERF_COLS)
     tb.save_results(perf, curves.withColumnRenamed("ts", "timestamp"), path)
     out = tb.load_results(spark, path, ", ".join(f"{c}:double" for c in PERF_COLS))
-    return out.select("strategy_name", "timestamp", r("total_value").alias("total_value"),
+    return out.select("strategy_name", "timestamp", r("total_value", 2).alias("total_value"),
                       r("total_return").alias("total_return"), r("max_drawdown").alias("max_drawdown"))
 
 
