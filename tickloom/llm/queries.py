@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tickloom.llm import (
     decontaminate,
     line_dedup,
+    oracles,
     packing,
     quality_knn,
     quality_rules,
@@ -89,4 +90,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op7_line_dedup, op8_best_fit_packing, op9_quality_classifier, op10_quality_rules,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = dict(oracles.ORACLES)
