@@ -20,6 +20,8 @@ from tickloom.session import cut_lineage
 THRESHOLD, LEAST_CHARS, LEAST_NEAR = 2, 20, 60
 #: Lines of lengths in one class are cut alike; a class ends this many times further than it begins.
 CLASS_RATIO = 1.25
+#: Letters counted before lines are compared.
+LETTERS = "etaonirsl"
 
 
 def _doc(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -81,12 +83,17 @@ def near_pairs(docs: DataFrame, first: DataFrame, threshold: int, least: int, ke
     # Documents that repeat an id and a text give their lines once.
     split = found.select(F.split("whole", "\n", -1).alias("parts"), F.explode("held").alias("held"))
     texts = split.select(F.col("held.h").alias("h"), F.element_at("parts", F.col("held.at") + 1).alias("line")).dropDuplicates(["h"])
-    filed = cut_lineage(shared.join(texts, "h"))
-    other = filed.select("key", *[F.col(c).alias(f"{c}2") for c in ("h", "chars", "shift", "line")])
+    # An edit changes how often letters occur by two at most, which tells most lines apart at once.
+    tally = [(F.length("line") - F.length(F.replace("line", F.lit(x), F.lit("")))).alias(f"n{i}") for i, x in enumerate(LETTERS)]
+    filed = cut_lineage(shared.join(texts.select("*", *tally), "h"))
+    names = [f"n{i}" for i in range(len(LETTERS))]
+    other = filed.select("key", *[F.col(c).alias(f"{c}2") for c in ("h", "chars", "shift", "line", *names)])
+    apart = sum([F.abs(F.col(n) - F.col(f"{n}2")) for n in names], F.lit(0))
     met = filed.join(
         other,
         (filed["key"] == other["key"]) & (F.col("h") < F.col("h2")) & (F.abs(F.col("chars") - F.col("chars2")) <= threshold)
-        & ((F.col("shift") == 0) | (F.col("shift2") == 0)) & (F.levenshtein("line", "line2", threshold) >= 0),
+        & ((F.col("shift") == 0) | (F.col("shift2") == 0)) & (apart <= 2 * threshold)
+        & (F.levenshtein("line", "line2", threshold) >= 0),
     )
     return met.select(F.col("h").alias("a"), F.col("h2").alias("b")).distinct()
 
