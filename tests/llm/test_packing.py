@@ -86,6 +86,29 @@ def test_levels_and_cells(spark):
     assert n <= len(plain) * 1.003
 
 
+def test_cells_stay_bounded_when_lengths_cannot_fill(spark, monkeypatch):
+    rng, sizes, solve = random.Random(4), [], packing._solve
+
+    def watched(*how):
+        solved = solve(*how)
+        sizes.append(max(r["count"] for r in solved.groupBy("cell").count().collect()))
+        return solved
+
+    monkeypatch.setattr(packing, "_solve", watched)
+    for rows in (
+        [(i, rng.randint(51, 98)) for i in range(1200)],
+        [(i, 61 if i % 2 else rng.randint(2, 30)) for i in range(1200)],
+    ):
+        sizes.clear()
+        df = spark.createDataFrame(rows, "row long, length long").repartition(4)
+        lengths = dict(rows)
+        got = [r.asDict() | {"length": lengths[r.row]} for r in packing.pack(df, capacity=100, cell=100).collect()]
+        assert sorted(r["row"] for r in got) == sorted(lengths)
+        plain = packing.best_fit(lengths, sorted(lengths, key=lambda i: -lengths[i]), [], 100)
+        assert check(got, 100) <= len(plain) * 1.01
+        assert max(sizes) < 200 and len(sizes) <= packing.LEVELS
+
+
 def test_documents(spark, words, texts):
     rows = [(i, t) for i, t in enumerate(texts)] + [(3, "again"), (None, None), (9000, "many words " * 5000)]
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, row int")

@@ -4,7 +4,8 @@ Documents are dealt into cells of bounded size. Each cell is solved by several i
 a task's population of packings: crossover injects whole well-filled sequences of one parent
 into the other, sequences that lose a document that way are dissolved, and displaced
 documents are best-fitted back. Between rounds an island's elite migrates to the next. What
-a cell leaves in loosely filled sequences is dealt out again among fewer cells.
+a cell leaves in loosely filled sequences is dealt out again among fewer cells of the same
+size, until that gains little: lengths that cannot fill sequences stay as they are packed.
 """
 
 from __future__ import annotations
@@ -26,8 +27,9 @@ CAPACITY = 4096
 #: Documents a cell holds on average, islands per cell, rounds between which elites migrate.
 CELL, ISLANDS, ROUNDS = 2048, 2, 2
 POPULATION, GENERATIONS = 6, 8
-#: Sequences filled less than this are dealt out again.
-LOOSE = 0.995
+#: Sequences filled less than this are dealt out again, at most so many times and as long as a
+#: level finishes such a share of its documents.
+LOOSE, LEVELS, GAIN = 0.995, 8, 0.1
 
 Packing = list[list[int]]
 
@@ -128,9 +130,9 @@ def _islands(cells: DataFrame, capacity: int, number: int) -> DataFrame:
     return in_batches(cells, run, schema, rows=16)
 
 
-def _solve(pieces: DataFrame, cells: int, capacity: int) -> DataFrame:
-    """(row, length, cell, bin, filled): the fittest packing of every cell."""
-    dealt = pieces.withColumn("cell", F.pmod(F.xxhash64("row"), F.lit(cells)))
+def _solve(pieces: DataFrame, cells: int, capacity: int, level: int = 0) -> DataFrame:
+    """(row, length, cell, bin, filled): the fittest packing of every cell; each level deals anew."""
+    dealt = pieces.withColumn("cell", F.pmod(F.xxhash64("row", F.lit(level)), F.lit(cells)))
     held = dealt.groupBy("cell").agg(F.array_sort(F.collect_list(F.struct("row", "length"))).alias("d"))
     none = F.array().cast("array<array<int>>")
     state = held.select(
@@ -155,24 +157,26 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, cell: int = CELL) -> DataF
     """(row, sequence_id, offset) of every (row, length): sequences hold at most ``capacity`` and are filled from 0 without gaps.
 
     row must tell rows apart, length be 1 to ``capacity``. Sequences of a full piece hold it
-    alone. The rest is solved cell by cell; loosely filled sequences are dealt out again,
-    level by level, until one cell holds them.
+    alone. The rest is solved cell by cell, ``cell`` documents each on every level; loosely
+    filled sequences are dealt out again until one cell holds them, a level finishes less
+    than ``GAIN`` of its documents, or ``LEVELS`` are done. The last level's sequences are
+    all final; of each of its cells one may be filled by less than half for want of others.
     """
     full = pieces.filter(F.col("length") >= capacity).select("row", (-1 - F.col("row")).alias("sequence_id"), F.lit(0).alias("at"), "length")
     rest, level, placed = pieces.filter(F.col("length") < capacity).select("row", F.col("length").cast("int").alias("length")), 0, []
     left = rest.count()
     while left:
         cells = -(-left // cell)
-        solved = _solve(rest, cells, capacity)
+        solved = _solve(rest, cells, capacity, level)
+        loose = solved.filter(F.col("filled") < LOOSE * capacity)
+        after = loose.count() if cells > 1 and level + 1 < LEVELS else left
+        last = after > (1 - GAIN) * left
         own = (F.lit(level) * F.lit(1 << 58) + F.col("cell") * F.lit(1 << 24) + F.col("bin")).alias("sequence_id")
-        final = F.lit(True) if cells == 1 else F.col("filled") >= LOOSE * capacity
-        placed.append(solved.filter(final).select("row", own, "length"))
-        if cells == 1:
+        final = solved if last else solved.filter(F.col("filled") >= LOOSE * capacity)
+        placed.append(final.select("row", own, "length"))
+        if last:
             break
-        rest, before, level = solved.filter(~final).select("row", "length"), left, level + 1
-        left = rest.count()
-        if left == before:
-            cell *= 2
+        rest, left, level = loose.select("row", "length"), after, level + 1
     if not placed:
         return full.select("row", "sequence_id", F.col("at").cast("long").alias("offset"))
     every = placed[0]
