@@ -125,3 +125,19 @@ def test_wide_fingerprints_find_similar_texts(spark):
     got = {r.doc_id: r.component for r in simhash.near_duplicates(df).collect()}
     assert all(got[2 * i] == 2 * i for i in range(150))
     assert sum(got[2 * i + 1] == 2 * i for i in range(150)) >= 140
+
+
+def test_pairs_at_the_distance_share_a_key(spark):
+    rng = random.Random(9)
+    rows, far = [], 0
+    signed = lambda x: [w - (1 << 64) if w >> 63 else w for w in (x >> 64 * i & (1 << 64) - 1 for i in range(4))]
+    for i in range(400):
+        one = rng.getrandbits(256)
+        other = one ^ sum(1 << b for b in rng.sample(range(256), 40))
+        far += all((one ^ other) >> 16 * k & 0xFFFF for k in range(16))
+        rows += [(2 * i, *signed(one)), (2 * i + 1, *signed(other))]
+    df = spark.createDataFrame(rows, "id long, f0 long, f1 long, f2 long, f3 long")
+    assert far > 80
+    keys = simhash.block_keys() + simhash.sample_keys()
+    found = {(min(r.a, r.b), max(r.a, r.b)) for r in simhash.links(df, keys, 40).collect()}
+    assert found <= {(2 * i, 2 * i + 1) for i in range(400)} and len(found) > 0.92 * 400
