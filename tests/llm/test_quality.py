@@ -94,6 +94,18 @@ def test_classifier_on_rows_it_has_not_seen(spark):
     assert sum(right) / len(right) > 0.97
 
 
+def test_classifier_tells_vocabularies_apart(spark):
+    rng = random.Random(8)
+    swap = str.maketrans("aeioubcdfglmnprstw", "eioauctdgflnmrpswb")
+    other = [w.translate(swap) for w in WORDS]
+    text = lambda pool: " ".join(rng.choice(pool) for _ in range(rng.randint(40, 90)))
+    rows = [(i, text(WORDS if i % 2 else other)) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(600)], "doc_id long, quality int")
+    got = [r for r in quality_knn.classify(docs, labels).collect() if r.held_out]
+    assert sum(r.predicted == r.doc_id % 2 for r in got) / len(got) > 0.97
+
+
 def test_classifier_learns_nothing_from_held_out_rows(spark):
     rng = random.Random(7)
     rows = [(i, prose(rng, 60) if i % 2 else junk(rng, 60, i % 3)) for i in range(200)]

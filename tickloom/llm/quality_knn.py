@@ -1,7 +1,7 @@
 """Quality by nearest-neighbour voting in a latent semantic space.
 
-Texts become counts of hashed terms: words' shapes, character trigrams and how words and
-lines repeat. A truncated singular value decomposition of a bounded, balanced sample of
+Texts become counts of hashed terms: words, their shapes, character trigrams and how words
+and lines repeat. A truncated singular value decomposition of a bounded, balanced sample of
 labelled documents gives the space. The labelled vectors are broadcast; each document's
 cosines with all of them are computed in blocks, and its nearest neighbours vote by
 similarity.
@@ -22,13 +22,15 @@ from pyspark.sql import functions as F
 
 from tickloom.llm.shared import in_batches, worker_state
 
-TERMS = 1 << 12
+#: Shapes and traits, words, and trigrams each have buckets of their own.
+SHAPE_TERMS, WORD_TERMS, TRIGRAM_TERMS = 1 << 12, 1 << 13, 1 << 12
+TERMS = SHAPE_TERMS + WORD_TERMS + TRIGRAM_TERMS
 #: Labelled documents in the model, half of each label as far as there are.
 MOST_LABELLED = 2048
 RANK = 48
 NEIGHBOURS = 15
 BLOCK = 256
-#: Words told apart by their shape, and code points of a text that give trigrams, per unit of text.
+#: Words told apart by their shape.
 SHAPES = str.maketrans(
     {**{chr(c): "a" for c in range(97, 123)}, **{chr(c): "A" for c in range(65, 91)}, **{chr(c): "0" for c in range(48, 58)}}
 )
@@ -52,15 +54,33 @@ class Shapes(dict):
     def __missing__(self, word: str) -> int:
         if len(self) >= 1 << 18:
             self.clear()
-        term = self[word] = zlib.crc32(b"s" + shape(word).encode()) % TERMS
+        term = self[word] = zlib.crc32(b"s" + shape(word).encode()) % SHAPE_TERMS
         return term
 
 
+class Words(dict):
+    """Lower-cased word -> term, kept like ``Shapes``."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 1 << 18:
+            self.clear()
+        term = self[word] = SHAPE_TERMS + zlib.crc32(word.lower().encode()) % WORD_TERMS
+        return term
+
+
+def _trigrams(text: str) -> np.ndarray:
+    """How often each bucket's trigrams of code points occur in the lower-cased text."""
+    at = np.frombuffer(text.lower().encode("utf-32-le"), np.uint32)
+    mixed = at[:-2] * np.uint32(0x9E3779B1) + at[1:-1] * np.uint32(0x85EBCA77) + at[2:] * np.uint32(0xC2B2AE3D)
+    mixed ^= mixed >> np.uint32(15)
+    return np.bincount((mixed * np.uint32(0x27D4EB2F)) >> np.uint32(20), minlength=TRIGRAM_TERMS)
+
+
 def terms(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct hashed terms of the whole text and their weights, of length 1; none for an empty text."""
     words = text.split() if text else []
     if not words:
-        return np.array([zlib.crc32(b"empty") % TERMS]), np.ones(1)
+        return np.array([zlib.crc32(b"empty") % SHAPE_TERMS]), np.ones(1)
     n = len(words)
     weights: dict[int, float] = {}
     for term, count in Counter(map(worker_state("shapes", Shapes).__getitem__, words)).items():
@@ -81,15 +101,22 @@ def terms(text: str | None) -> tuple[np.ndarray, np.ndarray]:
         "words": min(1.0, math.log2(n + 1) / 16),
     }
     for name, value in traits.items():
-        term = zlib.crc32(f"{name} {_bucket(value)}".encode()) % TERMS
+        term = zlib.crc32(f"{name} {_bucket(value)}".encode()) % SHAPE_TERMS
         weights[term] = weights.get(term, 0.0) + 0.5
-    ids = np.fromiter(weights, np.int64, len(weights))
-    values = np.fromiter(weights.values(), np.float64, len(weights))
+    known = worker_state("words", Words)
+    own = np.fromiter(map(known.__getitem__, once), np.int64, len(once))
+    often = np.bincount(own, np.fromiter(once.values(), np.float64, len(once)), TERMS)
+    grams = _trigrams(text) if len(text) > 2 else np.zeros(TRIGRAM_TERMS, np.int64)
+    used, seen = np.flatnonzero(often), np.flatnonzero(grams)
+    ids = np.concatenate([np.fromiter(weights, np.int64, len(weights)), used, SHAPE_TERMS + WORD_TERMS + seen])
+    values = np.concatenate(
+        [np.fromiter(weights.values(), np.float64, len(weights)), np.sqrt(often[used] / n), np.sqrt(grams[seen] / max(1, len(text) - 2))]
+    )
     return ids, values / np.linalg.norm(values)
 
 
 class Model(NamedTuple):
-    """The space and the labelled vectors in it; about a megabyte whatever the corpus."""
+    """The space and the labelled vectors in it; a few megabytes whatever the corpus."""
 
     space: np.ndarray
     vectors: np.ndarray
