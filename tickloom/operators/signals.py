@@ -56,10 +56,11 @@ def _sells(panel: DataFrame, when: Column, reason: str | Column) -> DataFrame:
 
 def rsrs_momentum(panel: DataFrame, p: Params) -> DataFrame:
     """``mode`` "exact" is for the exact-previous-day panel."""
-    if p["mode"] == "exact":
+    mode = p.get("mode", "asof")
+    if mode == "exact":
         return rsrs_momentum_exact(panel, p)
-    if p["mode"] != "asof":
-        raise ValueError(f"mode is asof or exact, not {p['mode']}")
+    if mode != "asof":
+        raise ValueError(f"mode is asof or exact, not {mode}")
     v, t = F.col("rsrs_adaptive"), p["rsrs_threshold"]
     buys = _buys(panel, F.when(F.col("in_universe") & (v > t), v), p["top_n"], "rsrs strong")
     return buys.unionByName(_sells(panel, v < -t, "rsrs below lower bound"))
@@ -255,9 +256,12 @@ def parameter_table(spark: SparkSession) -> DataFrame:
 
 
 def register(name: str, fn: Callable[[DataFrame, Params], DataFrame], params: Params) -> None:
-    """Add a strategy of one's own under a new name."""
-    STRATEGIES[name] = fn
-    PARAMS[name] = dict(params)
+    """Add a strategy of one's own under a new name.
+
+    A built-in strategy as ``fn`` brings its own defaults; ``params`` go over them.
+    """
+    inherited = next((PARAMS[built_in] for built_in, known in STRATEGIES.items() if known is fn), {})
+    STRATEGIES[name], PARAMS[name] = fn, {**inherited, **params}
 
 
 def run_strategy(name: str, panel: DataFrame, **overrides) -> DataFrame:
