@@ -1,6 +1,7 @@
 import random
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -133,3 +134,54 @@ def test_classifier_on_the_drivers_rows(spark):
     truth = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality")
     pairs = got.filter("held_out").join(truth, "doc_id").select("predicted", "quality").collect()
     assert sum(p == q for p, q in pairs) / len(pairs) > 0.97
+
+
+def test_vote_against_a_plain_search():
+    rng = np.random.default_rng(5)
+    texts = [prose(random.Random(i), 20) for i in range(40)] + ["", None, "same same"] * 2
+    space = rng.standard_normal((quality_knn.TERMS, 6)).astype(np.float32)
+    vectors = quality_knn.project(space, [prose(random.Random(100 + i % 30), 20) for i in range(60)])  # each twice, so that there are ties
+    labels = (rng.random(60) < 0.5).astype(float)
+    got = quality_knn.vote((space, vectors, labels), texts, 5)
+    for own, score in zip(quality_knn.project(space, texts), got):
+        near = [max(0.0, float(np.float32(c))) for c in own @ vectors.T]
+        last = sorted(near, reverse=True)[4]
+        sure = [(c**8 + 1e-9, y) for c, y in zip(near, labels) if c > last * (1 + 1e-6)]
+        tied = [y for c, y in zip(near, labels) if last * (1 - 1e-6) <= c <= last * (1 + 1e-6)]
+        rest = (last**8 + 1e-9) * (5 - len(sure))
+        want = (sum(w * y for w, y in sure) + rest * sum(tied) / len(tied)) / (sum(w for w, _ in sure) + rest)
+        assert score == pytest.approx(want, abs=1e-4)
+    order = rng.permutation(60)
+    assert quality_knn.vote((space, vectors[order], labels[order]), texts, 5) == pytest.approx(got, abs=1e-4)
+
+
+def test_space_against_a_plain_decomposition(spark):
+    texts = [prose(random.Random(i), 30 + i % 40) for i in range(130)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    known = [i for i in range(130) if zlib.crc32(str(i).encode()) % 3 != 1]
+    model = quality_knn.fit(docs, spark.createDataFrame([(i, i % 2) for i in range(130)], "doc_id long, quality int"))
+    plain = np.zeros((len(known), quality_knn.TERMS))
+    for row, i in enumerate(known):
+        ids, weights = quality_knn.terms(texts[i])
+        plain[row, ids] = weights
+    plain *= np.log((1 + len(known)) / (1 + (plain > 0).sum(axis=0))) + 1
+    left, values, _ = np.linalg.svd(plain, full_matrices=False)
+    want = left[:, : quality_knn.RANK] * values[: quality_knn.RANK]
+    want /= np.linalg.norm(want, axis=1, keepdims=True)
+    assert model.vectors.shape == want.shape and list(model.labels) == [i % 2 for i in known]
+    assert np.abs(model.vectors @ model.vectors.T - want @ want.T).max() < 0.02
+    again = quality_knn.project(model.space, [texts[i] for i in known])
+    assert np.abs((again * model.vectors).sum(axis=1) - 1).max() < 1e-3
+
+
+def test_keep_good_passes_other_columns_through(spark):
+    rng = random.Random(9)
+    rows = [(i, prose(rng, 60) if i % 2 else junk(rng, 60, i % 3), i, "x", 0.5) for i in range(120)] + [(None, None, None, None, None)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, label int, ids string, score double")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id long, quality int")
+    kept = quality_knn.keep_good(docs, labels)
+    assert kept.schema == docs.schema
+    got = [tuple(r) for r in kept.collect()]
+    assert all(r in rows for r in got) and sum(r[0] is not None and r[0] % 2 for r in got) >= 58
+    assert not [r for r in got if r[0] is not None and r[0] % 2 == 0][2:]
+    assert quality_knn.keep_good(docs.limit(0), labels).collect() == []

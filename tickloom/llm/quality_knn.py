@@ -13,10 +13,12 @@ import math
 import re
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +32,8 @@ MOST_LABELLED = 2048
 RANK = 48
 NEIGHBOURS = 15
 BLOCK = 256
+#: Labelled rows that are dense at a time in the fit.
+SPREAD = 128
 #: Words told apart by their shape.
 SHAPES = str.maketrans(
     {**{chr(c): "a" for c in range(97, 123)}, **{chr(c): "A" for c in range(65, 91)}, **{chr(c): "0" for c in range(48, 58)}}
@@ -134,15 +138,21 @@ def project(space: np.ndarray, texts: list[str | None]) -> np.ndarray:
 
 
 def vote(model: tuple, texts: list[str | None], neighbours: int = NEIGHBOURS) -> np.ndarray:
-    """Similarity-weighted share of label 1 among the nearest labelled vectors; 0.5 if there are none."""
+    """Similarity-weighted share of label 1 among the nearest labelled vectors; 0.5 if there are none.
+
+    Vectors that tie for the last places share them, so that the order of the labelled rows does not count.
+    """
     space, vectors, labels = model
     out = np.full(len(texts), 0.5)
     k = min(neighbours, len(labels))
     for at in range(0, len(texts) if k else 0, BLOCK):
-        near = project(space, texts[at : at + BLOCK]) @ vectors.T
-        top = np.argpartition(-near, k - 1, axis=1)[:, :k]
-        weight = np.maximum(np.take_along_axis(near, top, axis=1), 0).astype(np.float64) ** 8 + 1e-9
-        out[at : at + BLOCK] = (weight * labels[top]).sum(axis=1) / weight.sum(axis=1)
+        near = np.maximum(project(space, texts[at : at + BLOCK]) @ vectors.T, 0)
+        last = np.partition(near, len(labels) - k, axis=1)[:, len(labels) - k, None]
+        above, equal = near > last, near == last
+        weight = np.where(above, near.astype(np.float64) ** 8 + 1e-9, 0)
+        rest = (last[:, 0].astype(np.float64) ** 8 + 1e-9) * (k - above.sum(axis=1))
+        share = (equal @ labels) / equal.sum(axis=1)
+        out[at : at + BLOCK] = (weight @ labels + rest * share) / (weight.sum(axis=1) + rest)
     return np.clip(out, 0, 1)
 
 
@@ -164,32 +174,55 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, target: s
     def weigh(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [terms(x) for x in batch.column("text").to_pylist()]
         return pa.RecordBatch.from_arrays(
-            [batch.column("label"), pa.array([f[0] for f in found], pa.list_(pa.int64())), pa.array([f[1] for f in found], pa.list_(pa.float64()))],
+            [batch.column("label"), pa.array([f[0] for f in found], pa.list_(pa.int32())), pa.array([f[1] for f in found], pa.list_(pa.float32()))],
             ["label", "ids", "weights"],
         )
 
-    sample = in_batches(rows.orderBy("id").select("text", "label"), weigh, "label int, ids array<long>, weights array<double>")
-    got = sample.toArrow()
-    n = got.num_rows
-    matrix = np.zeros((n, TERMS), np.float32)
-    for i, (ids, weights) in enumerate(zip(got.column("ids").to_pylist(), got.column("weights").to_pylist())):
-        matrix[i, ids] = weights
-    labels = got.column("label").to_numpy().astype(np.float64)
-    rarity = (np.log((1 + n) / (1 + (matrix > 0).sum(axis=0))) + 1).astype(np.float32)
-    right = _right_vectors(matrix * rarity, min(RANK, n)) if n else np.zeros((TERMS, 1), np.float32)
+    sample = in_batches(rows.orderBy("id").select("text", "label"), weigh, "label int, ids array<int>, weights array<float>")
+    got = sample.toArrow().combine_chunks()
+    ids, weights = (_values(got, c) for c in ("ids", "weights"))
+    n, labels = got.num_rows, got.column("label").to_numpy().astype(np.float64)
+    starts = np.zeros(n + 1, np.int64)
+    np.cumsum(pc.list_value_length(got.column("ids")).to_numpy(), out=starts[1:])
+    del got
+    rarity = (np.log((1 + n) / (1 + np.bincount(ids, minlength=TERMS))) + 1).astype(np.float32)
+    rows = Sparse(ids, weights * rarity[ids], starts)
+    right = _right_vectors(rows, min(RANK, n)) if n else np.zeros((TERMS, 1), np.float32)
     space = right * rarity[:, None]
-    vectors = matrix @ space
+    vectors = np.concatenate([block @ right for block in rows.blocks()] or [np.zeros((0, right.shape[1]), np.float32)])
     norm = np.linalg.norm(vectors, axis=1, keepdims=True)
     return Model(space, vectors / np.where(norm > 0, norm, 1), labels)
 
 
-def _right_vectors(matrix: np.ndarray, rank: int) -> np.ndarray:
+def _values(table: pa.Table, column: str) -> np.ndarray:
+    """The elements of a list column, one after the other."""
+    return np.concatenate([x.flatten().to_numpy() for x in table.column(column).chunks] or [np.zeros(0, np.int32)])
+
+
+class Sparse(NamedTuple):
+    """Rows by their terms and weights; ``starts`` has where each begins. Only blocks of rows are ever dense."""
+
+    ids: np.ndarray
+    weights: np.ndarray
+    starts: np.ndarray
+
+    def blocks(self) -> Iterator[np.ndarray]:
+        for at in range(0, len(self.starts) - 1, SPREAD):
+            of = self.starts[at : at + SPREAD + 1]
+            dense = np.zeros((len(of) - 1, TERMS), np.float32)
+            dense[np.repeat(np.arange(len(of) - 1), np.diff(of)), self.ids[of[0] : of[-1]]] = self.weights[of[0] : of[-1]]
+            yield dense
+
+
+def _right_vectors(rows: Sparse, rank: int) -> np.ndarray:
     """The leading right singular vectors, by subspace iteration from a fixed start."""
-    start = np.random.default_rng(7).standard_normal((matrix.shape[1], rank + 8)).astype(np.float32)
-    basis = start
+    basis = np.random.default_rng(7).standard_normal((TERMS, rank + 8)).astype(np.float32)
     for _ in range(6):
-        basis = np.linalg.qr(matrix.T @ (matrix @ basis))[0]
-    _, _, right = np.linalg.svd(matrix @ basis, full_matrices=False)
+        grown = np.zeros_like(basis)
+        for block in rows.blocks():
+            grown += block.T @ (block @ basis)
+        basis = np.linalg.qr(grown)[0]
+    _, _, right = np.linalg.svd(np.concatenate([block @ basis for block in rows.blocks()]), full_matrices=False)
     return (basis @ right.T)[:, :rank]
 
 
@@ -222,7 +255,12 @@ def classify(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> D
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text", most: int = MOST_LABELLED) -> DataFrame:
-    """``docs``, all columns, without rows whose text scores below 0.5."""
+    """``docs``, all columns, without rows whose text scores below 0.5.
+
+    Null and empty texts are scored as an empty one. Equal texts have equal scores, so all rows
+    that repeat one stay or go. Without any label to learn from everything stays. Columns of
+    any name pass through; an empty table gives an empty one.
+    """
     model = fit(docs, labels, most)
     held = docs.sparkSession.sparkContext.broadcast(tuple(model))
 
