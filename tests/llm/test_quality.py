@@ -59,11 +59,48 @@ def test_fences_are_near_exact_quartiles(spark):
     rows = [(i, "en", "s", prose(rng, 60)) for i in range(400)]
     df = spark.createDataFrame(rows, "doc_id long, lang string, source string, text string")
     measured = quality_rules.measure(df)
-    fence = quality_rules.fences(quality_rules.sketch(measured), ["lang", "source"], 3.0, 100).first()
+    fence = quality_rules.fences(quality_rules.sketch(measured), 3.0).first()
     lengths = sorted(r.word_chars / r.n_words for r in measured.collect())
     q1, q3 = lengths[99], lengths[299]
-    assert fence.word_length_high == pytest.approx(q3 + 3 * (q3 - q1) + 3, rel=0.06)
-    assert fence.word_length_low == pytest.approx(q1 - 3 * (q3 - q1) - 3, abs=0.6)
+    reach = 3 * (1 + 8 / 400) * (q3 - q1) + 0.1
+    assert fence.word_length_high == pytest.approx(q3 + reach, rel=0.06)
+    assert fence.word_length_low == pytest.approx(q1 - reach, abs=0.6)
+
+
+def test_lower_ends_against_plain_ones(spark):
+    pairs = [(float(k), float(n)) for n in (0, 1, 3, 10, 500) for k in (0, 1, 2, 3, 9, 500) if k <= n]
+    got = spark.createDataFrame(pairs, "k double, n double").select(quality_rules.lower_end(F.col("k"), F.col("n"))).collect()
+    for (k, n), row in zip(pairs, got):
+        p, z = k / n if n else 0, 3
+        want = (p + z * z / 2 / n - z * (p * (1 - p) / n + z * z / 4 / n / n) ** 0.5) / (1 + z * z / n) if k and n else 0
+        assert row[0] == pytest.approx(max(0, want), abs=1e-12) and row[0] <= p
+
+
+def test_groups_of_any_size_are_judged_alike(spark):
+    rng = random.Random(11)
+
+    def repeats(share):
+        """About 200 words, ``share`` of them in windows that come again."""
+        phrase = prose(rng, 8)[:-1].lower()
+        n = round(200 * share / 8)
+        return " ".join([" ".join(f"{w}{i}{rng.randrange(10**6)}" for i, w in enumerate(prose(rng, 200 - 8 * n).split()))] + [phrase] * n)
+
+    fresh = lambda: " ".join(f"{w}{rng.randrange(10**4)}" for w in prose(rng, 200).split())
+    for size in (50, 1500):
+        rows = [(i, "en", "s", fresh()) for i in range(size)] + [(size, "en", "s", repeats(0.24))]
+        got = {r.doc_id: r for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, lang string, source string, text string")).collect()}
+        assert 0.2 < got[size].n_repeat_words / got[size].n_words < 0.28
+        assert got[size].rule == "repeat_share" and not got[size].base_failed and not got[size].kept
+        assert all(got[i].kept for i in range(size))
+
+
+def test_rare_languages_have_their_own_word_lengths(spark):
+    rng = random.Random(12)
+    rows = [(i, "en", "s", prose(rng, 80)) for i in range(600)]
+    long = lambda: " ".join("".join(rng.choice("文字語言") for _ in range(rng.randint(20, 30))) for _ in range(60))
+    rows += [(1000 + i, "zh", "s", long()) for i in range(12)]
+    got = quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, lang string, source string, text string")).collect()
+    assert all(r.kept for r in got)
 
 
 def test_rules_catch_junk_and_keep_prose(spark):

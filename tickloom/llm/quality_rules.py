@@ -3,6 +3,11 @@
 Each document is measured; every measure is kept as a mergeable quantile sketch per language
 and source (counts of geometric buckets, which add up exactly); limits are outlier fences on
 the sketch's quartiles; documents are joined with the limits of their group and filtered.
+
+A share counts as far as the document's length bears it out: three equal lines of ten say
+little, three hundred of a thousand much. So a share is measured by the lower end of its
+confidence interval. Then clean documents of a few lines have shares near 0 like others, and
+where most have none, any share that is borne out is far out.
 """
 
 from __future__ import annotations
@@ -22,16 +27,20 @@ SYMBOLS = b"#*$%&|<>"
 CAPITALS = bytes(range(65, 91))
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals")
 
-#: Measure -> (numerator, denominator, least distance of a fence from the quartile).
-MEASURES = {
-    "symbol_share": ("n_symbols", "word_chars", 0.02),
-    "capital_share": ("n_capitals", "word_chars", 0.10),
-    "dup_line_share": ("n_dup_lines", "n_lines", 0.30),
-    "repeat_share": ("n_repeat_words", "n_words", 0.25),
-    "word_length": ("word_chars", "n_words", 3.0),
+#: Share -> (numerator, denominator, how many of them make one event). A repeat of a window of three words marks six words.
+SHARES = {
+    "symbol_share": ("n_symbols", "word_chars", 1),
+    "capital_share": ("n_capitals", "word_chars", 1),
+    "dup_line_share": ("n_dup_lines", "n_lines", 1),
+    "repeat_share": ("n_repeat_words", "n_words", 6),
 }
-#: Those that also have a lower fence.
-TWO_SIDED = ("word_length",)
+MEASURES = (*SHARES, "word_length")
+#: Standard errors between a share and the lower end of its interval.
+CONFIDENCE = 3.0
+#: What quartiles are off by through buckets and rounding: of a share, and of a word's mean length in code points.
+ROUNDING, LENGTH_ROUNDING = 0.05, 0.1
+#: Documents that a group's quartiles have to outweigh those of its language, and a language's those of all; quartiles of few widen the fence.
+WEIGHT, FEW = 50, 8
 GAMMA = 1.02
 LEAST_VALUE = 1e-6
 
@@ -85,11 +94,22 @@ def base_failed(words: Column, repeats: Column) -> Column:
     return (words < 50) | (100 * repeats > 50 * words)
 
 
+def lower_end(count: Column, total: Column) -> Column:
+    """The lower end of Wilson's interval of a share, 0 without a total."""
+    z2 = CONFIDENCE * CONFIDENCE
+    share = count / total
+    spread = F.lit(CONFIDENCE) * F.sqrt(F.greatest(share * (1 - share), F.lit(0.0)) / total + z2 / 4 / (total * total))
+    low = (share + z2 / 2 / total - spread) / (1 + z2 / total)
+    return F.when((count > 0) & (total > 0), F.greatest(low, F.lit(0.0))).otherwise(0.0)
+
+
 def shares() -> list[Column]:
-    return [
-        F.when(F.col(below) > 0, F.col(above) / F.col(below)).otherwise(0.0).alias(name)
-        for name, (above, below, _) in MEASURES.items()
+    out = [
+        lower_end(F.col(above).cast("double") / unit, F.col(below).cast("double") / unit).alias(name)
+        for name, (above, below, unit) in SHARES.items()
     ]
+    length = F.when(F.col("n_words") > 0, F.col("word_chars") / F.col("n_words")).otherwise(0.0)
+    return [*out, length.alias("word_length")]
 
 
 def sketch(measured: DataFrame) -> DataFrame:
@@ -107,65 +127,65 @@ def sketch(measured: DataFrame) -> DataFrame:
     )
 
 
-def fences(sketched: DataFrame, by: list[str], spread: float, least_docs: int) -> DataFrame:
-    """Per group of ``by``: low and high fence of every measure, as columns; small groups are left out.
-
-    A fence lies ``spread`` quartile distances, and the measure's own least distance, beyond
-    the quartile.
-    """
+def quartiles(sketched: DataFrame, by: list[str]) -> DataFrame:
+    """Per group of ``by`` and measure: total, q1 and q3 of the sketch."""
     floor = math.floor(math.log(LEAST_VALUE) / math.log(GAMMA))
     cells = sketched.groupBy(*by, "measure", "bucket").agg(F.sum("n").alias("n"))
     of = Window.partitionBy(*by, "measure")
     upto = of.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     ranked = cells.withColumn("upto", F.sum("n").over(upto)).withColumn("total", F.sum("n").over(of))
     value = F.when(F.col("bucket") <= floor, 0.0).otherwise(F.pow(F.lit(GAMMA), F.col("bucket") - 0.5))
-    quarts = ranked.groupBy(*by, "measure").agg(
+    return ranked.groupBy(*by, "measure").agg(
         F.max("total").alias("total"),
         F.min(F.when(F.col("upto") >= 0.25 * F.col("total"), value)).alias("q1"),
         F.min(F.when(F.col("upto") >= 0.75 * F.col("total"), value)).alias("q3"),
-    ).filter(F.col("total") >= least_docs)
-    out = []
-    for m, (_, _, least) in MEASURES.items():
-        q1, q3 = (F.max(F.when(F.col("measure") == m, F.col(q))) for q in ("q1", "q3"))
-        out.append((q3 + spread * (q3 - q1) + least).alias(f"{m}_high"))
-        if m in TWO_SIDED:
-            out.append((q1 - spread * (q3 - q1) - least).alias(f"{m}_low"))
-    return quarts.groupBy(*by).agg(*out)
+    )
 
 
-def judge(measured: DataFrame, spread: float = 3.0, least_docs: int = 200) -> DataFrame:
-    """``measured`` plus base_failed, rule (the first limit broken, else null) and kept.
+def fences(sketched: DataFrame, spread: float) -> DataFrame:
+    """Per language and source: the high fence of every measure and the low one of word_length, as columns.
 
-    A document is held against the limits of its language and source if that group has
-    ``least_docs`` documents, else of its language, else of all documents, else against none.
-    Null language or source is a group of its own.
+    A group's quartiles are blended with its language's, and a language's shares with those of
+    all documents, by the number of documents: there is no size at which the rule changes. Words
+    of other languages say nothing about a word's length. A fence lies ``spread`` quartile
+    distances beyond the quartile.
     """
-    sketched = sketch(measured)
-    limits = [f"{m}_high" for m in MEASURES] + [f"{m}_low" for m in TWO_SIDED]
-    groups = sketched.select("lang", "source").distinct()
     levels = [["lang", "source"], ["lang"], []]
+    groups = sketched.groupBy("lang", "source", "measure").agg(F.lit(1).alias("__one")).drop("__one")
     for i, by in enumerate(levels):
-        table = fences(sketched, by, spread, least_docs)
-        for c in by:
-            table = table.withColumnRenamed(c, f"{c}_{i}")
-        table = table.select(*[f"{c}_{i}" for c in by], *[F.col(c).alias(f"{c}_{i}") for c in limits])
-        on = F.lit(True)
+        table = quartiles(sketched, by).withColumnsRenamed({c: f"{c}_{i}" for c in [*by, "measure", "total", "q1", "q3"]})
+        on = F.col("measure") == F.col(f"measure_{i}")
         for c in by:
             on = on & F.col(c).eqNullSafe(F.col(f"{c}_{i}"))
-        if by:
-            groups = groups.join(table, on, "left").drop(*[f"{c}_{i}" for c in by])
-        else:
-            # One row, or none if there are too few documents.
-            whole = table.first()
-            groups = groups.withColumns({f"{c}_{i}": F.lit(whole and whole[f"{c}_{i}"]).cast("double") for c in limits})
-    chosen = [F.coalesce(*[F.col(f"{c}_{i}") for i in range(len(levels))]).alias(c) for c in limits]
-    groups = groups.select(F.col("lang").alias("lang_g"), F.col("source").alias("source_g"), *chosen)
+        groups = groups.join(table, on)
+    own_language = F.col("measure") == "word_length"
+
+    def blended(q: str) -> Column:
+        n0, n1 = F.col("total_0"), F.col("total_1")
+        of_language = F.when(own_language, F.col(f"{q}_1")).otherwise((n1 * F.col(f"{q}_1") + WEIGHT * F.col(f"{q}_2")) / (n1 + WEIGHT))
+        return (n0 * F.col(f"{q}_0") + WEIGHT * of_language) / (n0 + WEIGHT)
+
+    rounding = F.when(own_language, LENGTH_ROUNDING).otherwise(ROUNDING)
+    reach = F.lit(float(spread)) * (1 + F.lit(float(FEW)) / F.col("total_1")) * (F.col("q3") - F.col("q1")) + rounding
+    ends = groups.select("lang", "source", "measure", "total_1", blended("q1").alias("q1"), blended("q3").alias("q3"))
+    ends = ends.select("lang", "source", "measure", (F.col("q3") + reach).alias("high"), (F.col("q1") - reach).alias("low"))
+    out = [F.max(F.when(F.col("measure") == m, F.col("high"))).alias(f"{m}_high") for m in MEASURES]
+    low = F.max(F.when(F.col("measure") == "word_length", F.col("low"))).alias("word_length_low")
+    return ends.groupBy("lang", "source").agg(*out, low)
+
+
+def judge(measured: DataFrame, spread: float = 3.0) -> DataFrame:
+    """``measured`` plus base_failed, rule (the first limit broken, else null) and kept.
+
+    Null language or source is a group of its own.
+    """
+    groups = fences(sketch(measured), spread).withColumnsRenamed({"lang": "lang_g", "source": "source_g"})
     rows = measured.select("*", *shares())
     rows = rows.join(
         groups, F.col("lang").eqNullSafe(F.col("lang_g")) & F.col("source").eqNullSafe(F.col("source_g")), "left"
     )
     broken = [F.when(F.col(m) > F.col(f"{m}_high"), F.lit(m)) for m in MEASURES]
-    broken += [F.when(F.col(m) < F.col(f"{m}_low"), F.lit(m)) for m in TWO_SIDED]
+    broken.append(F.when(F.col("word_length") < F.col("word_length_low"), F.lit("word_length")))
     failed = base_failed(F.col("n_words"), F.col("n_repeat_words"))
     rule = F.coalesce(*broken)
     return rows.select(
@@ -173,12 +193,12 @@ def judge(measured: DataFrame, spread: float = 3.0, least_docs: int = 200) -> Da
     )
 
 
-def quality_rules(docs: DataFrame, spread: float = 3.0, least_docs: int = 200) -> DataFrame:
+def quality_rules(docs: DataFrame, spread: float = 3.0) -> DataFrame:
     """One row per document: doc_id, the counts, base_failed, kept, rule and the group's language and source.
 
     A null or empty text has no words and fails the base. Repeated rows are measured each by
     itself. Other columns of ``docs`` are left out. An empty table gives an empty result.
     """
     # Texts are read once: their counts are stored, and sketches and filter read those.
-    judged = judge(cut_lineage(measure(docs)), spread, least_docs)
+    judged = judge(cut_lineage(measure(docs)), spread)
     return judged.withColumnRenamed("key", "doc_id")
