@@ -12,9 +12,9 @@ def distance(a, b):
     return row[-1]
 
 
-def brute(docs, threshold=2, least=20, near=60):
+def brute(docs, threshold=2, near=20):
     """{id: removed line numbers} by comparing every two lines."""
-    every = [(d, i, line) for d, t in sorted(docs) for i, line in enumerate((t or "").split("\n")) if len(line) >= least]
+    every = [(d, i, line) for d, t in sorted(docs) for i, line in enumerate((t or "").split("\n")) if line.strip(" \t\r\x0b\x0c")]
     texts = sorted({line for _, _, line in every})
     parent = {t: t for t in texts}
 
@@ -44,7 +44,7 @@ def edited(rng, line, n):
 
 def sample(rng):
     line = lambda n: "".join(rng.choice("abcdé ") for _ in range(n))
-    pool = [line(rng.choice([10, 19, 20, 40, 59, 60, 61, 62, 74, 75, 76, 90, 94, 120, 300])) for _ in range(25)]
+    pool = [line(rng.choice([1, 3, 10, 18, 19, 20, 21, 22, 24, 25, 40, 59, 60, 61, 62, 74, 75, 76, 90, 94, 120, 300])) for _ in range(25)]
     docs = []
     for i in range(60):
         docs.append((i, "\n".join(edited(rng, rng.choice(pool), rng.choice([0, 0, 1, 2, 3])) for _ in range(rng.randint(0, 5)))))
@@ -52,7 +52,7 @@ def sample(rng):
 
 
 def test_against_all_pairs(spark):
-    docs = sample(random.Random(1)) + [(100, None), (101, ""), (102, "\n\n")]
+    docs = sample(random.Random(1)) + [(100, None), (101, ""), (102, "\n\n"), (103, " \n\t\n \n}\n\r\n}"), (104, "}\n\u00a0\n\u00a0")]
     df = spark.createDataFrame([(*d, 7) for d in docs], "doc_id long, text string, at int").repartition(3)
     got = {r.doc_id: r for r in line_report(df).collect()}
     want = brute(docs)

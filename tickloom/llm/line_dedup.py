@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from tickloom.llm.shared import components
 from tickloom.session import cut_lineage
 
-#: Edits that join two lines; code points a line needs to be compared at all, and to be joined by edits.
-THRESHOLD, LEAST_CHARS, LEAST_NEAR = 2, 20, 60
+#: Edits that join two lines, and the code points of a line that they are a tenth of; shorter lines are joined only if equal.
+THRESHOLD, LEAST_NEAR = 2, 20
 #: Lines of lengths in one class are cut alike; a class ends this many times further than it begins.
 CLASS_RATIO = 1.25
 #: Letters counted before lines are compared.
@@ -30,10 +30,10 @@ def _doc(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(F.col(key).alias("id"), F.xxhash64(whole).alias("body"), whole.alias("whole"))
 
 
-def lines(docs: DataFrame, least: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, body, at, line, chars) of every line of at least ``least`` code points; at counts from 0."""
+def lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, body, at, line) of every line that is not blank; at counts from 0."""
     split = _doc(docs, key, text).select("id", "body", F.posexplode(F.split("whole", "\n", -1)).alias("at", "line"))
-    return split.withColumn("chars", F.length("line")).filter(F.col("chars") >= least)
+    return split.filter(F.trim(F.translate("line", "\t\r\x0b\x0c", "    ")) != "")
 
 
 def _class(chars: Column, least: int) -> Column:
@@ -49,8 +49,6 @@ def segment_keys(line: Column, chars: Column, threshold: int, least: int) -> Col
     an edit could put into the class below is filed there too, so that any two lines within
     ``threshold`` share a class.
     """
-    classes = F.array_distinct(F.array(_class(chars, least), _class(F.greatest(chars - threshold, F.lit(least)), least)))
-
     def of_class(c: Column) -> Column:
         size = F.floor(F.lit(float(least)) * F.pow(F.lit(CLASS_RATIO), c) / (threshold + 1)).cast("int")
         keys = [F.struct(F.xxhash64(c, F.lit(-1), F.right(line, size)).alias("key"), F.lit(0).alias("shift"))]
@@ -60,7 +58,8 @@ def segment_keys(line: Column, chars: Column, threshold: int, least: int) -> Col
                 keys.append(F.struct(F.xxhash64(c, F.lit(i), piece).alias("key"), F.lit(shift).alias("shift")))
         return F.array(*keys)
 
-    return F.flatten(F.transform(classes, of_class))
+    own, below = _class(chars, least), _class(F.greatest(chars - threshold, F.lit(least)), least)
+    return F.when(own == below, of_class(own)).otherwise(F.concat(of_class(own), of_class(below)))
 
 
 def near_pairs(docs: DataFrame, first: DataFrame, threshold: int, least: int, key: str, text: str) -> DataFrame:
@@ -70,10 +69,12 @@ def near_pairs(docs: DataFrame, first: DataFrame, threshold: int, least: int, ke
     fetched, from where they first occur, and lines of a key are verified while they are
     joined: no candidate that fails becomes a row.
     """
-    every = lines(docs, least, key, text).select(
+    long = lines(docs, key, text).withColumn("chars", F.length("line")).filter(F.col("chars") >= least)
+    every = long.select(
         F.xxhash64("line").alias("h"), "chars", F.explode(segment_keys(F.col("line"), F.col("chars"), threshold, least)).alias("k")
     )
-    rows = every.select(F.col("k.key").alias("key"), "h", "chars", F.col("k.shift").alias("shift")).distinct()
+    # Read twice below: lines are cut and hashed once.
+    rows = cut_lineage(every.select(F.col("k.key").alias("key"), "h", "chars", F.col("k.shift").alias("shift")).distinct())
     several = rows.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo <> hi").select("key")
     shared = cut_lineage(rows.join(several, "key"))
     wanted = shared.select("h").distinct().join(first, "h")
@@ -99,28 +100,32 @@ def near_pairs(docs: DataFrame, first: DataFrame, threshold: int, least: int, ke
 
 
 def repeated_lines(
-    docs: DataFrame, threshold: int = THRESHOLD, least: int = LEAST_CHARS, least_near: int = LEAST_NEAR,
-    key: str = "doc_id", text: str = "text",
+    docs: DataFrame, threshold: int = THRESHOLD, least_near: int = LEAST_NEAR, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """(id, body, n_lines, drop): per document (a group of rows with one id and text) the lines that go, counted from 0.
 
-    Lines of at least ``least`` code points are compared. Equal lines, and lines of at least
-    ``least_near`` that a chain of steps of at most ``threshold`` edits joins, are one class;
-    of each class the occurrence with the smallest (id, body, place) stays. Lines are told
-    apart by 64 bits. n_lines counts all lines of the document; drop is null without any.
+    Blank lines stay. Equal lines of any other length, and lines of at least ``least_near`` code
+    points that a chain of steps of at most ``threshold`` edits joins, are one class; of each
+    class the occurrence with the smallest (id, body, place) stays. Equal lines are told by
+    two hashes of 96 bits together. n_lines counts all lines of the document; drop is null
+    without any.
     """
     occurring = cut_lineage(
-        lines(docs, least, key, text).select("id", "body", "at", F.xxhash64("line").alias("h")).distinct()
+        lines(docs, key, text).select("id", "body", "at", F.xxhash64("line").alias("h"), F.hash("line").alias("g")).distinct()
     )
     place = F.struct("id", "body", "at")
-    first = occurring.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n"))
-    groups = components(near_pairs(docs, first.drop("n"), threshold, least_near, key, text))
+    first = occurring.groupBy("h", "g").agg(F.min(place).alias("first"), F.count("*").alias("n"))
+    groups = components(near_pairs(docs, first.groupBy("h").agg(F.min("first").alias("first")), threshold, least_near, key, text))
     groups = groups.withColumnRenamed("node", "h")
+    # Lines that no edits join are a class by themselves.
     several = first.join(groups, "h", "left").withColumn("class", F.coalesce("component", "h"))
+    several = several.withColumn("own", F.when(F.col("component").isNull(), F.col("g")))
     kept = several.filter("component IS NOT NULL OR n > 1")
-    heads = kept.groupBy("class").agg(F.min("first").alias("head"))
-    named = kept.select("h", "class").join(heads, "class").select("h", "head")
-    gone = occurring.join(named, "h").filter(~place.eqNullSafe(F.col("head")))
+    heads = kept.groupBy("class", "own").agg(F.min("first").alias("head"))
+    heads = heads.select(F.col("class").alias("__class"), F.col("own").alias("__own"), "head")
+    same = (F.col("class") == F.col("__class")) & F.col("own").eqNullSafe(F.col("__own"))
+    named = kept.select("h", "g", "class", "own").join(heads, same).select("h", "g", "head")
+    gone = occurring.join(named, ["h", "g"]).filter(~place.eqNullSafe(F.col("head")))
     return gone.groupBy("id", "body").agg(F.array_sort(F.collect_list("at")).alias("drop"))
 
 
@@ -143,7 +148,12 @@ def line_report(docs: DataFrame, key: str = "doc_id", text: str = "text", **how)
 
 
 def drop_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """``docs``, all columns, with repeated lines taken out of the text; null texts stay null."""
+    """``docs``, all columns, with repeated lines taken out of the text.
+
+    Null texts stay null; a text that loses all its lines is empty. Rows that repeat an id and a
+    text lose the same lines, other texts of the same id their own. Of occurrences that tie
+    (the same line twice in a text) the first place stays. An empty table gives an empty one.
+    """
     gone = repeated_lines(docs, key=key, text=text, **how)
     gone = gone.select(F.col("id").alias("__id"), F.col("body").alias("__gone"), F.col("drop").alias("__drop"))
     rows = docs.withColumn("__body", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
