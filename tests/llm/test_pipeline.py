@@ -8,7 +8,7 @@ from conftest import SF_DIR
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from tickloom.llm import packing, simhash
+from tickloom.llm import packing
 from tickloom.llm.queries import QUERIES
 
 
@@ -36,9 +36,9 @@ def roots(items, linked):
 
 
 def plain_lines(docs):
-    every = [(d, i, x) for d, t in sorted(docs) for i, x in enumerate(t.split("\n")) if len(x) >= 20]
+    every = [(d, i, x) for d, t in sorted(docs) for i, x in enumerate(t.split("\n")) if x.strip(" \t\r\x0b\x0c")]
     by_length = {}
-    for x in {x for _, _, x in every if len(x) >= 60}:
+    for x in {x for _, _, x in every if len(x) >= 20}:
         by_length.setdefault(len(x), []).append(x)
     linked = []
     for n, own in by_length.items():
@@ -54,17 +54,16 @@ def plain_lines(docs):
 
 
 def plain_near(docs):
-    """Ids that stay; pairs count if they share a block and differ in at most 40 bits."""
-    words = {d: simhash.wide_fingerprint(t, 5) for d, t in docs if t.split()}
-    bits = {d: sum((w & (1 << 64) - 1) << 64 * i for i, w in enumerate(f)) for d, f in words.items()}
-    ids, linked = sorted(bits), []
+    """Ids that stay, of pairs by brute force; and the pairs that have five-word shingles in common in a share of 0.8."""
+    sets = {d: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for d, t in docs if (w := t.lower().split())}
+    ids, linked = sorted(sets), []
     for i, a in enumerate(ids):
         for b in ids[i + 1 :]:
-            differ = bits[a] ^ bits[b]
-            if differ.bit_count() <= 40 and any(not differ >> s & 0xFFFF for s in range(0, 256, 16)):
+            shared = len(sets[a] & sets[b])
+            if shared and shared >= 0.8 * (len(sets[a]) + len(sets[b]) - shared):
                 linked.append((a, b))
     root = roots(ids, linked)
-    return {d for d, _ in docs if root.get(d, d) == d}
+    return {d for d, _ in docs if root.get(d, d) == d}, linked
 
 
 def plain_leaks(docs, items):
@@ -118,8 +117,13 @@ def test_lines(stages):
 
 def test_near_duplicates(stages):
     docs = texts(stages[2])
-    stay = plain_near(docs)
-    assert dict(texts(stages[3])) == {d: t for d, t in docs if d in stay}
+    stay, linked = plain_near(docs)
+    left = dict(texts(stages[3]))
+    assert all(left[d] == t for d, t in docs if d in left)
+    # Documents without a near-duplicate all stay, and of the others one of each group, but for a tenth that may be missed.
+    assert stay <= set(left)
+    gone = {d for d, _ in docs} - stay
+    assert linked and len(set(left) & gone) <= 0.1 * len(gone)
 
 
 def test_decontamination(spark, stages):
@@ -157,7 +161,7 @@ def test_a_repeated_id_does_not_take_other_texts_with_it(spark):
 
 def test_every_operator_is_registered():
     names = entry.queries()
-    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op") and n[2].isdigit()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op") and n[2].isdigit()) == list(range(1, 14))
     assert "pipeline" in names
 
 

@@ -107,9 +107,19 @@ def test_small_and_large_groups_agree():
         (i, j) for a, b in zip(edges, edges[1:]) for i in range(a, b) for j in range(i + 1, b)
         if sum(int(x).bit_count() for x in words[:, i] ^ words[:, j]) <= 40
     ]
-    a, b = simhash.forests(ids, words, edges, 40)
-    assert {(min(p), max(p)) for p in zip(a.tolist(), b.tolist())} <= set(close)
-    assert groups(range(30), zip(a.tolist(), b.tolist())) == groups(range(30), close)
+    apart = lambda i, j: sum(int(x).bit_count() for x in words[:, i] ^ words[:, j])
+    for sure in (None, 0, 10):
+        a, b = simhash.forests(ids, words, edges, 40, sure)
+        made = {(min(p), max(p)) for p in zip(a.tolist(), b.tolist())}
+        assert made <= set(close) and groups(range(30), made) == groups(range(30), close)
+    # Any close pair of a large group is connected by links that are each at least as close.
+    a, b = simhash.forests(ids, words, np.array([0, 30]), 40, 0)
+    made = list(zip(a.tolist(), b.tolist()))
+    for i in range(30):
+        for j in range(i + 1, 30):
+            if (d := apart(i, j)) <= 40:
+                top = groups(range(30), [p for p in made if apart(*p) <= d])
+                assert top[i] == top[j]
 
 
 def test_wide_fingerprints_find_similar_texts(spark):
@@ -127,6 +137,45 @@ def test_wide_fingerprints_find_similar_texts(spark):
     assert sum(got[2 * i + 1] == 2 * i for i in range(150)) >= 140
 
 
+def jaccard(a, b, width=5):
+    one, other = ({tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} for w in (a.lower().split(), b.lower().split()))
+    return len(one & other) / len(one | other)
+
+
+def similar(rng, n, least):
+    """Two texts of ``n`` words whose similarity is just above ``least``."""
+    words = [f"w{rng.randrange(9000)}" for _ in range(n)]
+    other, last = list(words), None
+    while jaccard(" ".join(words), " ".join(other)) >= least:
+        last = list(other)
+        other[rng.randrange(n)] = f"x{rng.randrange(9000)}"
+    return " ".join(words), " ".join(last)
+
+
+def test_links_against_brute_force_similarity(spark):
+    rng = random.Random(12)
+    for least, found in ((0.85, 0.97), (0.8, 0.9), (0.7, 0)):
+        rows = [(2 * i + k, t) for i in range(200) for k, t in enumerate(similar(rng, 400, least))]
+        truth = {i for i in range(200) if jaccard(rows[2 * i][1], rows[2 * i + 1][1]) >= 0.8}
+        got = {r.doc_id: r.component for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        linked = {i for i in range(200) if got[2 * i + 1] == 2 * i}
+        print("similarity", least, "true", len(truth), "found", len(linked))
+        assert linked <= truth and len(linked) >= found * len(truth)
+        assert all(c in (d, d - 1) for d, c in got.items())
+
+
+def test_a_chain_of_near_texts_stays_connected(spark):
+    """One large group whose first text is not like the last; the closest links hold it together."""
+    rng = random.Random(13)
+    words, rows = [f"w{rng.randrange(9000)}" for _ in range(300)], []
+    for i in range(80):
+        rows.append((i, " ".join(words)))
+        words[rng.randrange(300)] = f"y{i}"
+    assert jaccard(rows[0][1], rows[-1][1]) < 0.5
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.component for r in got} == {0}
+
+
 def test_pairs_at_the_distance_share_a_key(spark):
     rng = random.Random(9)
     rows, far = [], 0

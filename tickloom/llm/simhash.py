@@ -7,6 +7,7 @@ joined on blocks and verified by their Hamming distance.
 from __future__ import annotations
 
 import itertools
+import math
 import random
 from collections.abc import Callable, Iterator
 
@@ -24,6 +25,12 @@ BITS = 64
 WIDE = 4
 #: Keys of a wide fingerprint besides its blocks, of 16 bits each that lie anywhere in it.
 SAMPLES = 32
+#: Nodes that should share a key by chance, as a power of two: keys get longer beyond that, and more of them.
+CROWD = 8
+#: Differing bits of a wide fingerprint: a candidate, and one so close that its links are made at once.
+WIDE_DISTANCE, WIDE_SURE = 56, 24
+#: Jaccard similarity of shingles that makes a candidate a near-duplicate.
+SIMILARITY = 0.8
 #: Shingles whose bits are added up at once; nodes in a group that is not taken node by node.
 SLICE, FEW = 1 << 14, 12
 
@@ -63,17 +70,17 @@ def wide_fingerprint(text: str | None, width: int) -> tuple[int, ...]:
 
 
 def fingerprints(docs: DataFrame, width: int, key: str = "doc_id", text: str = "text", wide: bool = False) -> DataFrame:
-    """(key, f0, ...) of every row, A-Z lower-cased, ``width`` words a shingle."""
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    """(key, body, f0, ...) of every row, A-Z lower-cased, ``width`` words a shingle; body is a hash of the text."""
+    rows = docs.select(F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("body"), F.col(text).alias("text"))
     parts = [f"f{i}" for i in range(WIDE if wide else 1)]
 
     def hashed(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column("text").to_pylist()
         found = [wide_fingerprint(x, width) if wide else (fingerprint(x, width),) for x in texts]
         columns = [pa.array([f[i] for f in found], pa.int64()) for i in range(len(parts))]
-        return pa.RecordBatch.from_arrays([batch.column("key"), *columns], ["key", *parts])
+        return pa.RecordBatch.from_arrays([batch.column("key"), batch.column("body"), *columns], ["key", "body", *parts])
 
-    return in_batches(rows, hashed, f"key {dict(rows.dtypes)['key']}, " + ", ".join(f"{p} long" for p in parts))
+    return in_batches(rows, hashed, f"key {dict(rows.dtypes)['key']}, body long, " + ", ".join(f"{p} long" for p in parts))
 
 
 def block_masks(distance: int, blocks: int) -> list[int]:
@@ -113,13 +120,15 @@ def sample_keys(count: int = SAMPLES, size: int = 16) -> list[Column]:
     return keys
 
 
-def links(nodes: DataFrame, keys: list[Column], distance: int, most: int = 4096) -> DataFrame:
+def links(nodes: DataFrame, keys: list[Column], distance: int, sure: int | None = None, most: int = 4096) -> DataFrame:
     """Links (a, b) that connect all nodes (id, f0, ...) that share a key and differ in at most ``distance`` bits.
 
     Each node goes to one bucket per key. A bucket of more than ``most`` is cut into parts by
     a hash, and every two parts of it meet in a cell of their own, so that a task holds about
     ``2 * most`` at once however full the bucket is and no pair is left out. A large cell
-    gives a spanning forest of its pairs, not the pairs: at most as many links as rows.
+    gives a spanning forest of its pairs, not the pairs: at most as many links as rows. Of
+    links above ``sure`` bits the forest takes the closest, so that any pair of a cell is
+    connected by links that are each at least as close as the pair, or sure.
     """
     words = [c for c in nodes.columns if c != "id"]
     held = F.array(*[F.struct(F.lit(i).alias("block"), k.alias("bits")) for i, k in enumerate(keys)])
@@ -155,70 +164,128 @@ def links(nodes: DataFrame, keys: list[Column], distance: int, most: int = 4096)
             edges = np.concatenate([[0], new, [table.shape[1]]])
             upto = len(edges) - 1 if batch is None else len(edges) - 2
             left = table[:, edges[upto] :]
-            a, b = forests(table[4], table[5:].view(np.uint64), edges[: upto + 1], distance)
+            a, b = forests(table[4], table[5:].view(np.uint64), edges[: upto + 1], distance, sure)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     return dealt.mapInArrow(forest, "a long, b long").distinct()
 
 
-def _close(one: np.ndarray, other: np.ndarray, distance: int) -> np.ndarray:
-    return np.bitwise_count(one ^ other).sum(axis=0, dtype=np.int64) <= distance
+def _apart(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(one ^ other).sum(axis=0, dtype=np.int64)
 
 
-def forests(ids: np.ndarray, words: np.ndarray, edges: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+def forests(
+    ids: np.ndarray, words: np.ndarray, edges: np.ndarray, distance: int, sure: int | None = None
+) -> tuple[np.ndarray, np.ndarray]:
     """Links that connect the close nodes of each group ``edges[i]`` to ``edges[i + 1]``.
 
-    Groups of a few nodes are taken together, size by size; larger ones node by node, each
-    reached node being linked once.
+    Groups of a few nodes are taken together, size by size, and give all their links. Larger
+    ones grow node by node: a node takes all within ``sure`` bits along, and when none is left
+    the closest node within ``distance`` of any that was taken.
     """
+    sure = distance if sure is None else sure
     out = [(ids[:0], ids[:0])]
     size, at = np.diff(edges), edges[:-1]
     for n in range(2, FEW + 1):
         start = at[size == n]
         for i, j in itertools.combinations(range(n), 2) if len(start) else ():
-            near = start[_close(words[:, start + i], words[:, start + j], distance)]
+            near = start[_apart(words[:, start + i], words[:, start + j]) <= distance]
             out.append((ids[near + i], ids[near + j]))
     for start, n in zip(at[size > FEW].tolist(), size[size > FEW].tolist()):
         rest = np.arange(start + 1, start + n)
+        best, via = np.full(n - 1, distance + 1), np.zeros(n - 1, np.int64)
         front = [start]
         while len(rest):
             if not front:
-                front, rest = [int(rest[0])], rest[1:]
+                at_best = int(best.argmin())
+                if best[at_best] <= distance:
+                    out.append((ids[via[at_best : at_best + 1]], ids[rest[at_best : at_best + 1]]))
+                front = [int(rest[at_best])]
+                rest, best, via = (np.delete(x, at_best) for x in (rest, best, via))
                 continue
             node = front.pop()
-            close = _close(words[:, rest], words[:, node : node + 1], distance)
-            if close.any():
-                hit, rest = rest[close], rest[~close]
+            apart = _apart(words[:, rest], words[:, node : node + 1])
+            taken = apart <= sure
+            if taken.any():
+                hit, left = rest[taken], ~taken
                 out.append((np.full(len(hit), ids[node]), ids[hit]))
                 front += hit.tolist()
+                rest, best, via, apart = rest[left], best[left], via[left], apart[left]
+            if sure < distance:
+                closer = apart < best
+                best[closer], via[closer] = apart[closer], node
     return tuple(np.concatenate([x[i] for x in out]) for i in (0, 1))
 
 
+def shingles(text: str | None, width: int) -> np.ndarray:
+    """The set of the text's shingles as 32-bit hashes."""
+    words = _words(text)
+    count = max(1, len(words) - width + 1) if words else 0
+    found = (xxhash.xxh32_intdigest(b" ".join(words[i : i + width])) for i in range(count))
+    return np.unique(np.fromiter(found, np.uint32, count)).view(np.int32)
+
+
+def alike(linked: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, similarity: float, key: str, text: str) -> DataFrame:
+    """Those of the links (a, b) whose texts have that share of shingles in common.
+
+    ``nodes`` has id and least: (key, body) of the document that stands for the node. Only the
+    texts of documents in a link are cut into shingles.
+    """
+    ends = linked.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    wanted = nodes.join(ends, "id").select("id", F.col("least.key").alias("key"), F.col("least.body").alias("body"))
+    texts = docs.select(F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("body"), F.col(text).alias("text"))
+    same = wanted["key"].eqNullSafe(texts["key"]) & (wanted["body"] == texts["body"])
+    found = texts.join(wanted, same).select("id", "text")
+
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = pa.array([shingles(x, width) for x in batch.column("text").to_pylist()], pa.list_(pa.int32()))
+        return pa.RecordBatch.from_arrays([batch.column("id"), sets], ["id", "set"])
+
+    sets = cut_lineage(in_batches(found, cut, "id long, set array<int>").dropDuplicates(["id"]))
+    both = linked.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a")
+    both = both.join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    whole = F.size("x") + F.size("y") - shared
+    return both.filter(shared >= F.lit(similarity) * whole).select("a", "b")
+
+
 def near_duplicates(
-    docs: DataFrame, width: int = 5, distance: int | None = None, wide: bool = True, key: str = "doc_id", text: str = "text"
+    docs: DataFrame, width: int = 5, distance: int | None = None, wide: bool = True, key: str = "doc_id", text: str = "text",
+    similarity: float = SIMILARITY,
 ) -> DataFrame:
     """One row per document: key, its fingerprint's words f0, ... and component, the smallest key reachable by links.
 
     A fingerprint of 64 bits (``wide=False``) links at ``distance`` (4) or fewer differing
     bits, and every such pair is found: all but four of six blocks make a key. One of 256
-    bits tells similarities of 0.8 from smaller ones, which 64 cannot: 0.8 of five-word
-    shingles is 39 differing bits on average; it links at 40 or fewer. Its keys are blocks of
-    16 bits, one of which any pair of fewer than 16 differing bits shares, and choices of 16
-    bits from all: of pairs that differ in 40 bits about 19 in 20 share a key.
+    bits tells similarities of 0.8 from smaller ones, which 64 cannot: 0.8 of shingles of
+    ``width`` words is 39 differing bits on average. Pairs of 56 bits or fewer are candidates
+    and become links if ``similarity`` of their shingles are the same. The keys are blocks of 16
+    bits, one of which any pair of fewer than 16 differing bits shares, and choices of 16 bits
+    from all. In tables of over 2**24 fingerprints the choices get a bit longer with every doubling,
+    and so many more that as many pairs share one; blocks are of 32 bits then.
 
     Documents with equal fingerprints are one node, so that copies, however many, are counted
     and not paired. Null and empty texts have fingerprint 0 and link like any other. Rows
     with a null key keep it; they count for links, and a group of only such rows has a null
     component. Rows that repeat a key get a row each. An empty table gives an empty result.
     """
-    distance = distance or (40 if wide else 4)
+    if distance is None:
+        distance = WIDE_DISTANCE if wide else 4
     rows = cut_lineage(fingerprints(docs, width, key, text, wide))
-    words = rows.columns[1:]
+    words = rows.columns[2:]
     node = F.xxhash64(*words) if wide else F.col("f0")
-    nodes = rows.select("key", *words, node.alias("id")).groupBy("id", *words).agg(F.min("key").alias("least"))
-    linked = links(nodes.drop("least"), block_keys() + sample_keys() if wide else mask_keys(distance, distance + 2), distance)
+    nodes = rows.select("key", "body", *words, node.alias("id")).groupBy("id", *words).agg(F.min(F.struct("key", "body")).alias("least"))
+    if wide:
+        nodes = cut_lineage(nodes)
+        longer = max(0, math.ceil(math.log2(max(1, nodes.count()))) - 16 - CROWD)
+        # A bit more is alike in 0.85 of the pairs at 0.8.
+        keys = block_keys(32 if longer else 16) + sample_keys(math.ceil(SAMPLES / 0.85**longer), 16 + longer)
+        linked = cut_lineage(links(nodes.drop("least"), keys, distance, WIDE_SURE))
+        linked = alike(linked, nodes, docs, width, similarity, key, text)
+    else:
+        linked = links(nodes.drop("least"), mask_keys(distance, distance + 2), distance)
     groups = components(linked).select(F.col("node").alias("id"), F.col("component").alias("root"))
-    rooted = nodes.select("id", "least").join(groups, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    rooted = nodes.select("id", F.col("least.key").alias("least")).join(groups, "id", "left").withColumn("root", F.coalesce("root", "id"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component"))
     named = rooted.join(least, "root").select("id", "component")
     return rows.withColumn("id", node).join(named, "id").select(F.col("key").alias(key), *words, "component")
