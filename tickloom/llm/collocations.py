@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -153,19 +154,18 @@ def _stripes_of(lang: str, texts: list[bytes], length: int, maps: list[tuple], h
     prefix_of, next_of, counts, part = prefix_of[order], next_of[order], counts[order], part[order]
     first = np.flatnonzero((np.diff(prefix_of, prepend=-1) != 0) | (np.diff(part, prepend=-1) != 0))
     offsets = pa.array(np.append(first, len(prefix_of)), pa.int32())
+    following = pa.ListArray.from_arrays(offsets, words.take(pa.array(next_of)).cast(pa.binary()))
     columns = [
         pa.array([lang] * len(first), pa.string()),
-        prefixes.take(pa.array(prefix_of[first])).cast(pa.binary()),
+        prefixes.take(pa.array(prefix_of[first])).cast(pa.binary()).cast(pa.string()),
         pa.array(part[first], pa.int32()),
-        pa.ListArray.from_arrays(offsets, words.take(pa.array(next_of)).cast(pa.binary())),
-        pa.ListArray.from_arrays(offsets, pa.array(counts, pa.int64())),
+        pc.binary_join(following, pa.scalar(b" ", pa.binary())).cast(pa.string()),
+        pa.ListArray.from_arrays(offsets, pa.array(counts, pa.int32())),
     ]
     return pa.RecordBatch.from_arrays(columns, ["lang", "prefix", "part", "words", "counts"])
 
 
 def _joined(prefixes: pa.Array, prefix_of: np.ndarray, words: pa.Array, next_of: np.ndarray) -> pa.Array:
-    import pyarrow.compute as pc
-
     return pc.binary_join_element_wise(prefixes.take(pa.array(prefix_of)), words.take(pa.array(next_of)), pa.scalar(b" ", pa.large_binary()))
 
 
@@ -191,23 +191,17 @@ def stripes(docs: DataFrame, length: int, maps: list[BitMap], hot: set[int]) ->
         for lang, texts in waiting.items():
             yield _stripes_of(lang, texts, length, *held.value)
 
-    made = docs.mapInArrow(make, "lang string, prefix binary, part int, words array<binary>, counts array<long>")
+    # A stripe's words are one string: they hold no space.
+    made = docs.mapInArrow(make, "lang string, prefix string, part int, words string, counts array<int>")
     dealt = made.repartition("lang", "prefix", "part")
-    elements = dealt.select("lang", "prefix", "part", F.inline(F.arrays_zip("words", "counts")))
-    merged = elements.groupBy("lang", "prefix", "part", "words").agg(F.sum("counts").alias("a"))
-    return merged.select("lang", "prefix", F.col("words").alias("word"), "a")
+    zipped = F.arrays_zip(F.split("words", " ").alias("word"), F.col("counts").alias("n"))
+    elements = dealt.select("lang", "prefix", "part", F.inline(zipped).alias("word", "n"))
+    merged = elements.groupBy("lang", "prefix", "part", "word").agg(F.sum("n").alias("a"))
+    return merged.select("lang", "prefix", "word", "a")
 
 
 def _phrase(prefix, word):
-    return F.when(F.length(prefix) == 0, word).otherwise(F.concat(prefix, F.lit(" ").cast("binary"), word))
-
-
-def _first_words(phrase, k: int):
-    return F.substring_index(phrase, " ", k)
-
-
-def _rest(phrase, k: int):
-    return F.expr(f"substr({phrase}, char_length(substring_index({phrase}, ' ', {k})) + 2)")
+    return F.when(prefix == "", word).otherwise(F.concat(prefix, F.lit(" "), word))
 
 
 def phrase_counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
@@ -224,7 +218,7 @@ def phrase_counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -
             totals = cut_lineage(level.groupBy("lang").agg(F.sum("a").alias("n")))
             words = totals.agg(F.sum("n")).first()[0] or 0
         level = level.filter(F.col("a") >= least).withColumn("phrase", _phrase(F.col("prefix"), F.col("word")))
-        level = cut_lineage(level.select("lang", F.lit(m).alias("length"), *[F.col(c).cast("string") for c in ("prefix", "word", "phrase")], "a"))
+        level = cut_lineage(level.select("lang", F.lit(m).alias("length"), "prefix", "word", "phrase", "a"))
         found.append(level)
         if m < longest:
             maps.append(bit_map(level))
@@ -266,24 +260,17 @@ def collocations(docs: DataFrame, top: int = TOP, longest: int = LONGEST, least:
     Null and empty texts have no words; a null lang counts as ``und``. Repeated rows count
     each time. Other columns are ignored. An empty table gives an empty result.
     """
-    phrases, totals = phrase_counts(docs, longest, least)
-    counts = phrases.select("lang", "phrase", "a")
-    cuts = []
-    for m in range(2, longest + 1):
-        own = phrases.filter(F.col("length") == m).select("lang", "phrase", "a")
-        for k in range(1, m):
-            parts = own.withColumns({"head": _first_words(F.col("phrase"), k), "tail": _rest("phrase", k)})
-            heads = phrases.filter(F.col("length") == k).select("lang", F.col("phrase").alias("head"), F.col("a").alias("l"))
-            tails = phrases.filter(F.col("length") == m - k).select("lang", F.col("phrase").alias("tail"), F.col("a").alias("r"))
-            both = parts.join(heads, ["lang", "head"]).join(tails, ["lang", "tail"])
-            cuts.append(both.select("lang", "phrase", "a", "l", "r", score("a", "l", "r").alias("score"), F.lit(k).alias("k")))
-    if not cuts:
+    if longest < 2:
         raise ValueError("phrases have at least two words")
-    every = cuts[0]
-    for cut in cuts[1:]:
-        every = every.union(cut)
-    lowest = F.min(F.struct("score", "k", "l", "r")).alias("cut")
-    best = every.groupBy("lang", "phrase", "a").agg(lowest)
+    phrases, totals = phrase_counts(docs, longest, least)
+    cuts = phrases.filter("length > 1").select("lang", "phrase", "a", F.explode(F.expr("sequence(1, length - 1)")).alias("k"))
+    cuts = cuts.withColumn("head", F.expr("substring_index(phrase, ' ', k)"))
+    cuts = cuts.withColumn("tail", F.expr("substr(phrase, char_length(head) + 2)"))
+    heads = phrases.select("lang", F.col("phrase").alias("head"), F.col("a").alias("l"))
+    tails = phrases.select("lang", F.col("phrase").alias("tail"), F.col("a").alias("r"))
+    every = cuts.join(heads, ["lang", "head"]).join(tails, ["lang", "tail"])
+    lowest = F.min(F.struct(score("a", "l", "r").alias("score"), "k", "l", "r")).alias("cut")
+    best = cut_lineage(every.groupBy("lang", "phrase", "a").agg(lowest))
     left = best.join(subsumed(phrases, share), ["lang", "phrase"], "left")
     wide = "cast(coalesce(longest_a, 0) as decimal(19, 0)) * 100 >= cast(a as decimal(19, 0)) * " + str(int(share))
     kept = left.filter(f"not ({wide})").select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score")
