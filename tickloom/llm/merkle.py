@@ -299,9 +299,9 @@ def verify(manifest: Manifest, key: str = "doc_id", changed: str = "changed") ->
     arity, cell = manifest.arity, manifest.cell
     no_path = manifest.crown[-1].select("tree", F.lit(b"").alias("path")).distinct()
     crown = _paths(manifest.crown, no_path, arity, cell)[1]
-    root = manifest.crown[-1].select(F.col("root").alias("top"))
+    root = manifest.crown[-1].select("root").first()
     subroots = manifest.tops.join(crown, ["tree", "pos"]).select(F.col("name").alias("tree"), "path", F.col("digest").alias("subroot"))
-    subroots = cut_lineage(subroots.join(root))
+    subroots = cut_lineage(subroots.withColumn("top", F.lit(bytes(root.root)) if root else F.lit(None).cast("binary")))
     cells = _paths(manifest.tiers, subroots.select("tree", "path"), arity, cell)[0]
     cells = cells.join(subroots.drop("path"), "tree")
     member = F.struct("pos", F.col(key).alias("key"), F.col(changed).alias("changed"))
