@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tickloom.functions import crossings
 from tickloom.operators import alerts as al
 from tickloom.operators import cross_section as cs
 from tickloom.operators import live as lv
@@ -77,6 +78,55 @@ def test_custom_strategy_can_be_registered(spark):
     del sg.STRATEGIES["mine"], sg.PARAMS["mine"]
 
 
+def test_a_built_in_strategy_under_another_name_has_its_defaults(spark):
+    sg.register("mine", sg.rsrs_momentum, {"top_n": 1})
+    try:
+        assert sg.PARAMS["mine"] == {"top_n": 1, "rsrs_threshold": 0.5, "mode": "asof"}
+        got = {(r.code, r.side) for r in sg.run_strategy("mine", panel_rows(spark)).collect()}
+        assert got == {("D", "SELL")}  # the one place is taken by a held code
+    finally:
+        del sg.STRATEGIES["mine"], sg.PARAMS["mine"]
+
+
+GRIDS = {
+    "rsrs_momentum": [{"rsrs_threshold": t, "top_n": n, "mode": m} for t in (-0.5, 0.0, 0.7) for n in (1, 4, 50) for m in ("asof", "exact")],
+    "alpha_hunter": [{"min_score": t, "top_n": n} for t in (0.0, 0.4) for n in (2, 9)] + [{"factor_weights": {"mom": 1.0}}, {}],
+    "rsrs_advanced": [{"rsrs_threshold": t, "r2_threshold": x, "top_n": n} for t in (0.0, 0.5) for x in (0.2, 0.7) for n in (1, 6)],
+    "short_term": [{"mom_threshold": t, "hold_calendar_days": h, "top_n": n} for t in (0.0, 0.3) for h in (2, 9) for n in (2, 30)],
+    "sentiment_reversal": [{"oversold_z": a, "overbought_z": b, "top_n": n} for a in (-1.0, 0.0) for b in (0.1, 1.0) for n in (3, 30)],
+    "momentum_reversal": [{"top_n": 3}, {"top_n": 8, "market_thresh": 0.1}],
+}
+
+
+@pytest.mark.parametrize("name", GRIDS)
+def test_a_grid_gives_what_its_runs_give(spark, name):
+    rng = random.Random(5)
+    number = lambda: rng.choice([None, 0.5, round(rng.gauss(0, 1), 2)])
+    rows = [
+        (day(d), f"c{c:02d}", rng.random() < 0.8, day(d - 1) if rng.random() < 0.9 else None, rng.random() < 0.4,
+         day(d - rng.randrange(12)) if rng.random() < 0.9 else None, *[number() for _ in range(7)])
+        for d in range(4) for c in range(25)
+    ]
+    kinds = "date date, code string, in_universe boolean, bar_date date, held boolean, entry_date date, " + ", ".join(
+        f"{c} double" for c in ("rsrs_adaptive", "mom", "vol_factor", "vol_ratio", "rsrs_r2", "rsrs_zscore", "lb_change")
+    )
+    panel = spark.createDataFrame(rows, kinds)
+    sets = {f"s{i}": p for i, p in enumerate(GRIDS[name])}
+    got = sg.run_grid(panel, name, sets)
+    want = sg.run_many(panel, {label: (name, p) for label, p in sets.items()})
+    key = lambda df: sorted(str(r) for r in df.select("run", "date", "code", "side", "score", "weight", "reason", "strategy").collect())
+    assert key(got) == key(want) and len(key(got)) > 20
+
+
+def test_fifty_sets_are_one_scan_and_one_sort_by_date(spark, tmp_path):
+    panel_rows(spark).write.parquet(str(tmp_path / "panel"))
+    sets = {f"{t}/{n}": {"rsrs_threshold": t / 10, "top_n": n} for t in range(10) for n in range(1, 6)}
+    plan = sg.run_grid(spark.read.parquet(str(tmp_path / "panel")), "rsrs_momentum", sets)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("Exchange") == 1
+    with pytest.raises(ValueError):
+        sg.run_grid(panel_rows(spark), "rsrs_momentum", {"x": {"wrong": 1}})
+
+
 def test_missing_factors_are_renormalised(spark):
     df = spark.createDataFrame([(1.0, None, 2.0), (None, None, None)], "rsrs_adaptive double, mom double, vol_factor double")
     got = [r[0] for r in df.select(cs.renormalised(sg.HUNTER_WEIGHTS)).collect()]
@@ -122,7 +172,7 @@ def plain_exit(closes, entry, cost, n, stop=0.1, take=0.2, trail=0.05):
 
 @pytest.mark.parametrize("n", [0, 1, 2, 7])
 def test_exit_scan_by_blocks_equals_a_walk(spark, monkeypatch, n):
-    monkeypatch.setattr(pf, "BLOCK", 4)
+    monkeypatch.setattr(crossings, "FAN", 4)
     rng = random.Random(n)
     bars, entries = [], []
     for code in "ABCDEF":
@@ -141,6 +191,21 @@ def test_exit_scan_by_blocks_equals_a_walk(spark, monkeypatch, n):
         assert (r.exit_event, r.exit_date) == plain_exit(closes[r.code], r.entry_date, r.cost, n)
 
 
+@pytest.mark.parametrize("fan", [2, 3, 64])
+def test_first_crossings_against_a_walk(spark, monkeypatch, fan):
+    monkeypatch.setattr(crossings, "FAN", fan)
+    rng = random.Random(fan)
+    series = {c: [round(rng.uniform(1, 9), 1) for _ in range(n)] for c, n in (("a", 70), ("b", 1), ("c", 9))}
+    df = spark.createDataFrame([(c, 100 + i, x) for c, xs in series.items() for i, x in enumerate(xs)], "code string, idx long, x double")
+    asked = [(n, rng.choice("abcd"), 100 + rng.randrange(-2, 75), rng.uniform(0, 10)) for n in range(300)]
+    searches = spark.createDataFrame(asked, "n int, code string, start long, price double")
+    found = crossings.first_where(searches, crossings.tree(df, "code"), "code", ["n"], lambda lo, hi: lo <= F.col("price"))
+    got = {r.n: r.found for r in found.collect()}
+    for n, code, start, price in asked:
+        hits = [100 + i for i, x in enumerate(series.get(code, [])) if 100 + i >= start and x <= price]
+        assert got.get(n) == (hits[0] if hits else None)
+
+
 def test_watermarks_by_blocks(spark, monkeypatch):
     monkeypatch.setattr(pf, "BLOCK", 4)
     rng = random.Random(9)

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
+from tickloom.functions.crossings import first_where, tree
 from tickloom.functions.num import as_col, div
 from tickloom.functions.scan import (
     ordered_fold,
@@ -45,8 +46,10 @@ MATCH_TRADES = 10_000
 BARE_SLICES = 1 << 16
 # Natural logarithm of how far holdings shrink before average costs are scaled anew.
 SCALE = 300.0
-# Closes per block of an exit scan.
+# Closes per block of a watermark.
 BLOCK = 64
+# Bars are numbered below this; a multiple of all block sizes, less one.
+LAST_BAR = (1 << 36) - 1
 
 
 # ---------------------------------------------------------------- costs and sizing
@@ -306,6 +309,33 @@ def exit_event(cost, price, watermark, stop, take, trail, live: bool = False) ->
     )
 
 
+def _numbered(bars: DataFrame) -> DataFrame:
+    """(code, date, idx, close) of positive closes, numbered from 0 by date within a code."""
+    place = F.row_number().over(Window.partitionBy("code").orderBy("date")) - 1
+    return bars.filter("close > 0").select("code", "date", place.cast("long").alias("idx"), "close")
+
+
+def _fall(top, price) -> Column:
+    return div(as_col(top) - as_col(price), top)
+
+
+def trailing_exits(closes: DataFrame, trail: float) -> DataFrame:
+    """(code, idx, out): the first bar that lies ``trail`` below the highest close from bar idx on; null for none.
+
+    Bar j is an exit for all bars up to the last one before it that j lies ``trail`` below. So
+    that one is searched for every j, backwards, and the earliest j at or after each bar is
+    a running minimum.
+    """
+    back = lambda idx: F.lit(LAST_BAR) - idx
+    mirrored = tree(closes.select("code", back(F.col("idx")).alias("idx"), F.col("close").alias("x")), "code")
+    asked = closes.select("code", "idx", F.col("close").alias("price"), (back(F.col("idx")) + 1).alias("start"))
+    last = first_where(asked, mirrored, "code", ["code", "idx"], lambda lo, hi: _fall(hi, "price") >= trail)
+    from_top = last.groupBy("code", back(F.col("found")).alias("idx")).agg(F.min("idx").alias("__exit"))
+    later = Window.partitionBy("code").orderBy(F.desc("idx")).rowsBetween(Window.unboundedPreceding, 0)
+    marked = closes.select("code", "idx").join(from_top, ["code", "idx"], "left")
+    return marked.select("code", "idx", F.min("__exit").over(later).alias("out"))
+
+
 def exit_scan(
     entries: DataFrame, bars: DataFrame, stop: float = STOP_LOSS, take: float = TAKE_PROFIT,
     trail: float = TRAILING, min_holding_bars: int = 1,
@@ -314,75 +344,66 @@ def exit_scan(
 
     The watermark starts at the cost and follows every close after the entry day; an exit is
     allowed from the ``min_holding_bars``-th bar after it, with 0 on the entry day itself.
-    Closes come in blocks of ``BLOCK`` with their low, high and worst fall. An entry walks
-    its code's blocks and opens only its own and those that may hold its exit, two at most:
-    once the watermark is above the cost, a block's figures tell for sure.
-    """
-    blocks, walks = _blocks(bars)
-    cases = entries.select("code", "entry_date", "cost").distinct().join(walks, "code")
-    # The block that holds the entry day, or the first after it.
-    known = F.filter("__walk", lambda x: x["first"] <= F.col("entry_date"))
-    cases = cases.withColumn("__b", F.greatest(F.size(known) - 1, F.lit(0)))
-    path, cost, n = F.col("__path"), F.col("cost"), min_holding_bars
-
-    def fold(path: Column, wm: Column, seen: Column) -> Column:
-        """Walks closes after the entry; ``seen`` bars have passed since."""
-        start = F.struct(
-            wm.alias("wm"), seen.alias("seen"), F.lit(None).cast("string").alias("event"),
-            F.lit(None).cast("date").alias("date"), F.lit(None).cast("double").alias("price"),
-        )
-
-        def step(acc, x):
-            later = x["date"] > F.col("entry_date")
-            wm = F.when(later, F.greatest(acc["wm"], x["close"])).otherwise(acc["wm"])
-            seen = acc["seen"] + later.cast("int")
-            hit = F.when(seen >= n, exit_event(cost, x["close"], wm, stop, take, trail))
-            done = acc["event"].isNotNull()
-            return F.struct(
-                wm.alias("wm"), seen.alias("seen"), F.coalesce(acc["event"], hit).alias("event"),
-                F.when(done, acc["date"]).when(hit.isNotNull(), x["date"]).alias("date"),
-                F.when(done, acc["price"]).when(hit.isNotNull(), x["close"]).alias("price"),
-            )
-
-        return F.aggregate(F.filter(path, lambda x: x["date"] >= F.col("entry_date")), start, step)
 
+    No entry walks its closes. A stop, a target, and the first close above the watermark are
+    first crossings of a price, found in a tree of blocks. What a trailing stop does from that
+    close on does not depend on the entry; it is known per bar. One watermark is still open at
+    the first bar an exit is allowed at: the highest close so far, and falls from it are a
+    crossing too.
+    """
+    n = max(1, min_holding_bars)
+    upto = Window.partitionBy("code").orderBy("date").rowsBetween(1 - n, 0)
+    numbered = cut_lineage(_numbered(bars).withColumn("top", F.max("close").over(upto)))
+    closes = numbered.select("code", "date", "idx", "close")
+    levels = tree(closes.select("code", "idx", F.col("close").alias("x")), "code")
+
+    # The last bar up to each entry day.
+    marks = numbered.select("code", "date", "idx").unionByName(
+        entries.select("code", F.col("entry_date").alias("date")).distinct().withColumn("idx", F.lit(None).cast("long"))
+    )
+    upto = Window.partitionBy("code").orderBy("date").rangeBetween(Window.unboundedPreceding, 0)
+    known = marks.withColumn("__last", F.max("idx").over(upto)).filter("idx IS NULL")
+    known = known.select("code", F.col("date").alias("entry_date"), F.coalesce("__last", F.lit(-1)).alias("__last"))
     keys = ["code", "entry_date", "cost"]
-    opened = cases.join(blocks, ["code", "__b"])
-    opened = opened.withColumn("__end", fold(path, cost, F.lit(0))).drop("__path")
-
-    # Over the blocks after it: the watermark and bars before each that may hold the exit.
-    pick = "array<struct<b:int,wm:double,seen:int>>"
-    begin = F.struct(
-        F.col("__end.wm").alias("wm"), F.col("__end.seen").alias("seen"), F.lit(False).alias("sure"), F.array().cast(pick).alias("picks"),
+    cases = entries.select(*keys).distinct().join(known, ["code", "entry_date"]).filter(F.col("cost") > TINY)
+    first = numbered.select("code", F.col("idx").alias("__first"), "top")
+    cases = cases.withColumn("__first", F.col("__last") + n).join(first, ["code", "__first"])
+    cases = cut_lineage(cases.withColumn("open", F.greatest("top", "cost")))
+
+    rules = F.array(
+        F.struct(F.lit("stop_loss").alias("rule"), F.col("__first").alias("start")),
+        F.struct(F.lit("take_profit").alias("rule"), F.col("__first").alias("start")),
+        F.struct(F.lit("above").alias("rule"), (F.col("__first") + 1).alias("start")),
+        F.struct(F.when(F.col("top") > F.col("cost"), "open").alias("rule"), F.col("__first").alias("start")),
     )
-
-    def pass_block(acc, x):
-        wm, armed = acc["wm"], acc["wm"] > cost
-        falls = F.when(armed, (div(wm - x["lo"], wm) >= trail) | (x["fall"] >= trail)).otherwise(
-            (x["hi"] > cost) & (x["fall"] >= trail)
-        )
-        certain = (div(x["lo"] - cost, cost) <= -stop) | (div(x["hi"] - cost, cost) >= take) | (armed & falls)
-        # Before the first bar an exit is allowed at, a block is opened whatever it holds.
-        early = acc["seen"] < n - 1
-        may = ~acc["sure"] & (certain | falls | early)
-        row = F.struct(x["__b"].alias("b"), wm.alias("wm"), acc["seen"].alias("seen"))
-        return F.struct(
-            F.greatest(wm, x["hi"]).alias("wm"), (acc["seen"] + BLOCK).alias("seen"),
-            (acc["sure"] | (F.coalesce(certain, F.lit(False)) & ~early)).alias("sure"),
-            F.when(may, F.concat(acc["picks"], F.array(row))).otherwise(acc["picks"]).alias("picks"),
+    searches = cases.select(*keys, "open", F.explode(rules).alias("r")).select(*keys, "open", "r.rule", "r.start").filter("rule IS NOT NULL")
+    change = lambda price: div(price - F.col("cost"), "cost")
+
+    def meets(lo: Column, hi: Column) -> Column:
+        rule = F.col("rule")
+        return (
+            F.when(rule == "stop_loss", change(lo) <= -stop).when(rule == "take_profit", change(hi) >= take)
+            .when(rule == "above", hi > F.col("open")).otherwise(_fall("open", lo) >= trail)
         )
 
-    after = F.filter("__walk", lambda x: x["__b"] > F.col("__b"))
-    picks = F.when(F.col("__end.event").isNull(), F.aggregate(after, begin, pass_block, lambda acc: acc["picks"]))
-    tried = opened.select(*keys, F.explode(picks).alias("p")).select(*keys, F.col("p.b").alias("__b"), "p.wm", "p.seen")
-    tried = tried.join(blocks, ["code", "__b"])
-    tried = tried.withColumn("__end", fold(path, F.col("wm"), F.col("seen"))).filter("__end.event IS NOT NULL")
-    found = opened.filter("__end.event IS NOT NULL").select(*keys, "__b", "__end").unionByName(tried.select(*keys, "__b", "__end"))
-    ends = found.groupBy(*keys).agg(F.min_by("__end", "__b").alias("__end"))
-    out = entries.join(ends, keys, "left")
-    return out.withColumns(
-        {"exit_event": F.col("__end.event"), "exit_date": F.col("__end.date"), "exit_price": F.col("__end.price")}
-    ).drop("__end")
+    found = first_where(searches, levels, "code", [*keys, "rule"], meets)
+    trailed = trailing_exits(closes, trail).withColumnRenamed("idx", "found")
+    above = found.filter("rule = 'above'").join(trailed, ["code", "found"]).filter("out IS NOT NULL")
+    hits = found.filter("rule <> 'above'").unionByName(above.select(*keys, "rule", F.col("out").alias("found")))
+    # Of rules met at one close the first in this order counts.
+    order = F.when(F.col("rule") == "stop_loss", 0).when(F.col("rule") == "take_profit", 1).otherwise(2)
+    hits = hits.select(*keys, "found", order.alias("order"))
+    if min_holding_bars == 0:
+        # The entry day's own close, against the cost alone.
+        own = closes.select("code", F.col("date").alias("entry_date"), F.col("idx").alias("found"), "close")
+        own = entries.select(*keys).distinct().filter(F.col("cost") > TINY).join(own, ["code", "entry_date"])
+        met = F.when(change(F.col("close")) <= -stop, 0).when(change(F.col("close")) >= take, 1)
+        hits = hits.unionByName(own.select(*keys, "found", met.alias("order")).filter("order IS NOT NULL"))
+    best = hits.groupBy(*keys).agg(F.min(F.struct("found", "order")).alias("__hit"))
+    event = F.element_at(F.array(*[F.lit(x) for x in ("stop_loss", "take_profit", "trailing_stop")]), F.col("__hit.order") + 1)
+    best = best.select(*keys, F.col("__hit.found").alias("idx"), event.alias("exit_event"))
+    dated = best.join(closes, ["code", "idx"]).select(*keys, "exit_event", F.col("date").alias("exit_date"), F.col("close").alias("exit_price"))
+    return entries.join(dated, keys, "left").select(*entries.columns, "exit_event", "exit_date", "exit_price")
 
 
 def live_exits(

@@ -10,8 +10,9 @@ are 0.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.num import nonzero
@@ -282,3 +283,126 @@ def run_many(panel: DataFrame, runs: Mapping[str, tuple[str, Params]]) -> DataFr
         one = run_strategy(name, panel, **overrides).withColumn("run", F.lit(label))
         out = one if out is None else out.unionByName(one)
     return out
+
+
+class Ranking(NamedTuple):
+    """A strategy whose buys are a prefix of one ranking, cut at ``top_n`` and at a threshold on the score.
+
+    ``score`` is unknown for rows that no threshold makes a candidate. ``above`` says whether a
+    score passes, ``sold`` whether a held row is sold and why; both see a run's parameters as
+    columns. Runs that differ in ``shape`` have rankings of their own.
+    """
+
+    score: Callable[[Params], Column]
+    above: Callable[[Column, Column], Column]
+    reason: str
+    sold: Callable[[Column], tuple[Column, str | Column]]
+    shape: tuple[str, ...] = ()
+    held_first: Callable[[Params], bool] = lambda p: False
+
+
+def _candidate(column: str | Column, extra: Column | None = None) -> Column:
+    value = F.col(column) if isinstance(column, str) else column
+    return F.when(F.col("in_universe") if extra is None else F.col("in_universe") & extra, value)
+
+
+def _hunter(p: Params) -> Column:
+    return F.when(F.col("bar_date").isNotNull(), renormalised(p.get("factor_weights", HUNTER_WEIGHTS)))
+
+
+def _short_term_sale(p: Column) -> tuple[Column, Column]:
+    late = F.coalesce(holding_days() >= p["hold_calendar_days"], F.lit(False))
+    return late | (F.col("mom") < -p["mom_threshold"]), F.when(late, "held too long").otherwise("momentum reversed")
+
+
+def _rsrs_sale(reason: str) -> Callable[[Column], tuple[Column, str]]:
+    return lambda p: (F.col("rsrs_adaptive") < -p["rsrs_threshold"], reason)
+
+
+def _agreeing(p: Params) -> Column:
+    calm = F.coalesce(F.col("vol_ratio") < 1.0, F.lit(False))
+    return _candidate("rsrs_adaptive", (F.col("rsrs_r2") >= p["r2_threshold"]) & ~calm)
+
+
+RANKINGS: dict[Callable[[DataFrame, Params], DataFrame], Ranking] = {
+    rsrs_momentum: Ranking(
+        lambda p: F.col("rsrs_adaptive") if p["mode"] == "exact" else _candidate("rsrs_adaptive"),
+        lambda s, p: s > p["rsrs_threshold"], "rsrs strong", _rsrs_sale("rsrs below lower bound"), ("mode",), lambda p: p["mode"] == "exact",
+    ),
+    alpha_hunter: Ranking(
+        lambda p: F.when(F.col("in_universe"), _hunter(p)), lambda s, p: s >= p["min_score"], "multi-factor",
+        lambda p: (F.col("__hunter") < -p["min_score"], "multi-factor score low"), ("factor_weights",),
+    ),
+    rsrs_advanced: Ranking(
+        _agreeing, lambda s, p: s > p["rsrs_threshold"], "rsrs, r2 and volume agree", _rsrs_sale("rsrs advanced exit"), ("r2_threshold",),
+    ),
+    short_term: Ranking(lambda p: _candidate("mom"), lambda s, p: s > p["mom_threshold"], "short momentum", _short_term_sale),
+    sentiment_reversal: Ranking(
+        lambda p: _candidate(-F.col("rsrs_zscore")), lambda s, p: s > -p["oversold_z"], "oversold",
+        lambda p: (F.col("rsrs_zscore") > p["overbought_z"], "overbought exit"),
+    ),
+}
+
+
+def _one_ranking(panel: DataFrame, name: str, how: Ranking, shape: Params, sets: Mapping[str, Params]) -> DataFrame:
+    """The signals of all runs of one shape: one scan of the panel, one sort by date and score."""
+    base = {**PARAMS[name], **shape}
+    numbers = [k for k in PARAMS[name] if k not in how.shape]
+    run = lambda label, p: F.struct(
+        F.lit(label).alias("run"), *[F.lit(float({**base, **p}[k])).alias(k) for k in numbers]
+    )
+    runs = F.array(*[run(label, p) for label, p in sets.items()])
+    most = max(int({**base, **p}["top_n"]) for p in sets.values())
+
+    own = panel.withColumns({"__score": how.score(base), "__hunter": _hunter(base) if how is RANKINGS[alpha_hunter] else F.lit(None)})
+    if how.held_first(base):
+        own = own.withColumn("__score", F.when(~F.col("held"), F.col("__score")))
+    by_score = Window.partitionBy("date").orderBy(F.col("__score").desc_nulls_last(), "code")
+    own = own.withColumn("__rank", F.row_number().over(by_score)).filter((F.col("__rank") <= most) & F.col("__score").isNotNull() | F.col("held"))
+
+    def picked(p: Column) -> Column:
+        return F.coalesce((F.col("__rank") <= p["top_n"]) & how.above(F.col("__score"), p), F.lit(False))
+
+    def sold(p: Column) -> Column:
+        return F.col("held") & F.coalesce(how.sold(p)[0], F.lit(False))
+
+    each = own.withColumn("__p", F.explode(F.filter(runs, lambda p: picked(p) | sold(p))))
+    p = F.col("__p")
+    # A date's rows lie together already; its buys in a run are counted where they are.
+    in_run = Window.partitionBy("date", F.col("__p.run"))
+    each = each.withColumn("__n", F.count(F.when(picked(p), 1)).over(in_run))
+    why = how.sold(p)[1]
+    suffix = " (exact)" if how.held_first(base) else ""
+    buy = F.struct(F.lit("BUY").alias("side"), F.col("__score").alias("score"), (F.lit(1.0) / F.col("__n")).alias("weight"), F.lit(how.reason + suffix).alias("reason"))
+    sale = F.lit(why + suffix) if isinstance(why, str) else why
+    sell = F.struct(F.lit("SELL").alias("side"), F.lit(0.0).alias("score"), F.lit(0.0).alias("weight"), sale.alias("reason"))
+    # Bought are rows that are not held, sold are rows that are.
+    signal = F.when(~F.col("held") & picked(p), buy).when(sold(p), sell)
+    return each.withColumn("__s", signal).filter("__s IS NOT NULL").select("date", "code", "__s.*", F.lit(name).alias("strategy"), F.col("__p.run").alias("run"))
+
+
+def run_grid(panel: DataFrame, name: str, sets: Mapping[str, Params]) -> DataFrame:
+    """:func:`run_many` of one strategy under many parameter sets, by label.
+
+    Where a strategy's buys are a prefix of a ranking, all sets share one: the panel is
+    scanned and sorted once however many they are. Sets that change the score itself
+    (factor weights, the mode, a filter of candidates) share it with those that change it
+    alike. Other strategies run set by set.
+    """
+    if name not in STRATEGIES:
+        raise ValueError(f"unknown strategy {name}; known: {sorted(STRATEGIES)}")
+    how = RANKINGS.get(STRATEGIES[name])
+    if how is None:
+        return run_many(panel, {label: (name, p) for label, p in sets.items()})
+    for p in sets.values():
+        if unknown := set(p) - set(PARAMS[name]) - OPTIONAL.get(name, set()):
+            raise ValueError(f"{name} has no parameters {sorted(unknown)}")
+    shapes: dict[str, tuple[dict, dict]] = {}
+    for label, p in sets.items():
+        shape = {k: p[k] for k in how.shape if k in p}
+        shapes.setdefault(repr(sorted({**PARAMS[name], **shape}.items(), key=lambda x: x[0])), (shape, {}))[1][label] = p
+    out = None
+    for shape, group in shapes.values():
+        one = _one_ranking(panel, name, how, shape, group)
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -31,6 +31,18 @@ PANEL = dict(
 )
 
 
+# The panel of strategies on price and regression factors: what they do not read is not built.
+PRICE_PANEL = dict(
+    LOOKBACK,
+    wide="SELECT f.*, l.lb FROM filled f JOIN lookback l USING (code, date)",
+    asofw=PANEL["asofw"],
+    dp="""SELECT coalesce(a.date, p.date) AS date, coalesce(a.code, p.code) AS code,
+      coalesce(a.in_universe, false) AS in_universe, a.bar_date, a.lb, a.mom, a.vol_factor, a.vol_ratio, a.rsrs_r2, a.rsrs_zscore,
+      a.rsrs_adaptive, p.code IS NOT NULL AS held, p.entry_date
+      FROM asofw a FULL JOIN positions_m p ON a.date = p.date AND a.code = p.code""",
+)
+
+
 def _sql(score: str, n: int, buy: str, sell: str, sold: str, src: str = "dp",
          held_first: bool = False, above: str = "true") -> str:
     """Signals from a score expression, a sell condition and two reason expressions."""
@@ -104,7 +116,7 @@ def g03(spark, d):
     _sql("CASE WHEN in_universe AND mom > 0.03 THEN mom END", 5, "'short momentum'",
          "date - entry_date >= 7 OR mom < -0.03",
          "CASE WHEN date - entry_date >= 7 THEN 'held too long' ELSE 'momentum reversed' END"),
-    **PANEL,
+    **PRICE_PANEL,
 )
 def g04(spark, d):
     return _show(sg.run_strategy("short_term", price_panel(spark, d)))
@@ -306,3 +318,42 @@ def g11(spark, d):
     return sg.run_many(price_panel(spark, d), runs).groupBy("run", "date", "side").agg(
         F.count(F.lit(1)).alias("signals")
     )
+
+
+#: Fifty parameter sets: ten thresholds by five sizes.
+GRID = {f"{t}/{n}": {"rsrs_threshold": t / 10, "top_n": n} for t in range(10) for n in (1, 3, 10, 40, 100)}
+HOLDING_GRID = {f"{t}/{h}": {"mom_threshold": t / 100, "hold_calendar_days": h, "top_n": 5 + t} for t in (0, 3, 9) for h in (3, 7, 30)}
+
+
+def _run_grid_sql(sets: dict, keys: tuple[str, ...], score: str, above: str, sell: str) -> str:
+    rows = ", ".join(f"('{label}', {', '.join(str(p[k]) for k in keys)})" for label, p in sets.items())
+    return f"""SELECT run, date, side, count(*) AS signals, round(sum(weight), 6) + 0.0 AS weight FROM (
+      SELECT run, date, code, 'BUY' AS side, weight, held FROM (SELECT *, 1.0 / count(*) OVER (PARTITION BY run, date) AS weight FROM (
+        SELECT *, row_number() OVER (PARTITION BY run, date ORDER BY s DESC, code) AS rk FROM (
+          SELECT g.*, d.date, d.code, d.held, {score} AS s FROM dp d, grid g) WHERE {above}) WHERE rk <= top_n) WHERE NOT held
+      UNION ALL SELECT run, date, code, 'SELL', 0.0, held FROM dp, grid WHERE held AND ({sell})) GROUP BY ALL""", f"SELECT * FROM (VALUES {rows}) t(run, {', '.join(keys)})"
+
+
+def _grid_query(name: str, sets: dict, *how: str):
+    sql, rows = _run_grid_sql(sets, tuple(next(iter(sets.values()))), *how)
+    return query(name, sql, **PRICE_PANEL, grid=rows)
+
+
+def _show_grid(signals):
+    return signals.groupBy("run", "date", "side").agg(F.count(F.lit(1)).alias("signals"), r(F.sum("weight")).alias("weight"))
+
+
+@_grid_query(
+    "g11_threshold_grid", GRID, "CASE WHEN in_universe THEN rsrs_adaptive END", "s > rsrs_threshold", "rsrs_adaptive < -rsrs_threshold"
+)
+def g11_thresholds(spark, d):
+    """Fifty sets of one strategy over one scan and one sort of the panel."""
+    return _show_grid(sg.run_grid(price_panel(spark, d), "rsrs_momentum", GRID))
+
+
+@_grid_query(
+    "g11_holding_grid", HOLDING_GRID, "CASE WHEN in_universe THEN mom END", "s > mom_threshold",
+    "coalesce(date_diff('day', entry_date, date) >= hold_calendar_days, false) OR mom < -mom_threshold",
+)
+def g11_holding(spark, d):
+    return _show_grid(sg.run_grid(price_panel(spark, d), "short_term", HOLDING_GRID))
