@@ -109,24 +109,17 @@ def source_counts(log: DataFrame) -> DataFrame:
     return log.filter("status = 'success'").groupBy(src.alias("source")).agg(F.count(F.lit(1)).alias("calls"))
 
 
-def ingest(
-    primary: DataFrame, secondary: DataFrame, tertiary: DataFrame, stored: DataFrame,
-    universe: DataFrame, as_of: Column, force_full: bool = False, run: int = 0,
-) -> tuple[DataFrame, DataFrame]:
-    """The daily load as one plan: (table to store, run log).
-
-    Per code: what is missing up to ``as_of``, first source that has it, validation, upsert,
-    check of the merged rows. A code that fails keeps its stored rows and gets a log row;
-    one that fails validation gets two, ``validation`` and ``failed``. The log has (code,
-    market, status, source, rows, reason, seq), seq the number of this run, and is what run
-    reports and failed lists read. ``universe`` may name each code's market.
-    """
-    known = q.max_dates(stored)
+def _missing(stored_dates: DataFrame, universe: DataFrame, as_of: Column, force_full: bool) -> DataFrame:
+    """(code, market, start_date, end_date, fresh, ...): what each code of the universe lacks up to ``as_of``."""
     market = F.col("market") if "market" in universe.columns else F.lit(None).cast("int").alias("market")
-    tasks = universe.select("code", market).dropDuplicates(["code"]).join(known, "code", "left")
+    tasks = universe.select("code", market).dropDuplicates(["code"]).join(q.max_dates(stored_dates), "code", "left")
     if force_full:
         tasks = tasks.withColumn("max_date", F.lit(None).cast("date"))
-    span = q.missing_range(tasks, as_of).withColumn("fresh", q.is_up_to_date("max_date", as_of))
+    return q.missing_range(tasks, as_of).withColumn("fresh", q.is_up_to_date("max_date", as_of))
+
+
+def _delivered(primary: DataFrame, secondary: DataFrame, tertiary: DataFrame, span: DataFrame) -> DataFrame:
+    """The missing rows of every code from the first source that has it, tagged ``source``; stored once."""
     due = span.filter("NOT fresh").select("code", "start_date", "end_date")
 
     def wanted(df):
@@ -140,25 +133,21 @@ def ingest(
         F.when(F.col("origin") == "secondary", "akshare").when(F.col("__b"), "merged").otherwise("tdx"),
     ).drop("origin", "__b")
     rest = c.join(dual.select("code").distinct(), "code", "left_anti").withColumn("source", F.lit("baostock"))
-    # Read several times below: validation, merged check, table, sources and log.
-    new = cut_lineage(dual.unionByName(rest, allowMissingColumns=True))
+    return cut_lineage(dual.unionByName(rest, allowMissingColumns=True))
 
-    checked = q.validate(new.withColumnRenamed("volume", "vol") if "vol" not in new.columns else new)
-    good = new.join(checked.filter("ok"), "code", "left_semi")
-    if force_full:
-        after = good
-    else:
-        mine = stored.join(checked.filter("ok").select("code"), "code", "left_semi")
-        after = upsert(mine, good)
-    after = cut_lineage(after)
-    # Stored rows lie in date order, so that order cannot be wrong; repeated dates can be.
-    whole = q.validate_merged(after.withColumn("seq", F.unix_date("date").cast("long")))
-    whole = whole.select("code", F.col("ok").alias("whole"), F.col("reason").alias("broken"))
-    done = after.join(whole.filter("whole"), "code", "left_semi")
-    merged = stored.join(whole.filter("whole"), "code", "left_anti").unionByName(done, allowMissingColumns=True)
 
-    source = good.groupBy("code").agg(F.first("source").alias("source"))
-    rows = done.groupBy("code").agg(F.count(F.lit(1)).alias("stored_rows"))
+def _whole(after: DataFrame) -> DataFrame:
+    """(code, whole, broken) of the merged rows.
+
+    Stored rows lie in date order, so that order cannot be wrong; repeated dates can be.
+    """
+    checked = q.validate_merged(after.withColumn("seq", F.unix_date("date").cast("long")))
+    return checked.select("code", F.col("ok").alias("whole"), F.col("reason").alias("broken"))
+
+
+def _load_log(
+    span: DataFrame, checked: DataFrame, whole: DataFrame, source: DataFrame, rows: DataFrame, run: int
+) -> DataFrame:
     log = (
         span.select("code", "market", "fresh")
         .join(checked.select("code", "ok", "reason"), "code", "left")
@@ -180,12 +169,83 @@ def ingest(
         ))
     )
     log = log.withColumn("__ok", fine & ~F.col("fresh")).withColumn("__r", F.explode(records))
-    log = log.select(
+    return log.select(
         "code", "market", F.col("__r.status").alias("status"), F.when(F.col("__ok"), F.col("source")).alias("source"),
         F.when(F.col("__ok"), F.col("stored_rows")).alias("rows"), F.col("__r.reason").alias("reason"),
         F.lit(run).cast("long").alias("seq"),
     )
-    return merged.drop("source"), log
+
+
+def _checked(new: DataFrame) -> DataFrame:
+    return q.validate(new.withColumnRenamed("volume", "vol") if "vol" not in new.columns else new)
+
+
+def ingest(
+    primary: DataFrame, secondary: DataFrame, tertiary: DataFrame, stored: DataFrame,
+    universe: DataFrame, as_of: Column, force_full: bool = False, run: int = 0,
+) -> tuple[DataFrame, DataFrame]:
+    """The daily load as one plan: (table to store, run log).
+
+    Per code: what is missing up to ``as_of``, first source that has it, validation, upsert,
+    check of the merged rows. A code that fails keeps its stored rows and gets a log row;
+    one that fails validation gets two, ``validation`` and ``failed``. The log has (code,
+    market, status, source, rows, reason, seq), seq the number of this run, and is what run
+    reports and failed lists read. ``universe`` may name each code's market.
+    """
+    span = _missing(stored, universe, as_of, force_full)
+    # Read several times below: validation, merged check, table, sources and log.
+    new = _delivered(primary, secondary, tertiary, span)
+    checked = _checked(new)
+    good = new.join(checked.filter("ok"), "code", "left_semi")
+    if force_full:
+        after = good
+    else:
+        mine = stored.join(checked.filter("ok").select("code"), "code", "left_semi")
+        after = upsert(mine, good)
+    after = cut_lineage(after)
+    whole = _whole(after)
+    done = after.join(whole.filter("whole"), "code", "left_semi")
+    merged = stored.join(whole.filter("whole"), "code", "left_anti").unionByName(done, allowMissingColumns=True)
+    source = good.groupBy("code").agg(F.first("source").alias("source"))
+    rows = done.groupBy("code").agg(F.count(F.lit(1)).alias("stored_rows"))
+    return merged.drop("source"), _load_log(span, checked, whole, source, rows, run)
+
+
+def ingest_in_place(
+    primary: DataFrame, secondary: DataFrame, tertiary: DataFrame, path: str, universe: DataFrame, as_of: Column,
+    force_full: bool = False, run: int = 0, **how,
+) -> tuple[int, DataFrame]:
+    """:func:`ingest` into a table of snapshots at ``path``: (version committed, run log).
+
+    Of the stored table only codes and dates are scanned, and the files that new rows fall into
+    are read and written; all other files stay as they are. Codes that fail keep their
+    stored rows. Two loads at once: the later one raises ``Conflict`` and changes nothing.
+    """
+    from tickloom.sources import snapshots
+
+    spark = primary.sparkSession
+    base = max(snapshots.versions(spark, path), default=None)
+    if base is None:
+        stored = spark.createDataFrame([], primary.select("code", "date").schema)
+    else:
+        stored = snapshots.read(spark, path, base).select("code", "date")
+    span = cut_lineage(_missing(stored, universe, as_of, force_full))
+    new = _delivered(primary, secondary, tertiary, span)
+    checked = cut_lineage(_checked(new))
+    good = new.join(checked.filter("ok"), "code", "left_semi")
+    # Stored bars are unique on code and date, so only a load that replaces codes can leave repeats.
+    whole = _whole(good) if force_full else checked.filter("ok").select("code", F.lit(True).alias("whole"), F.lit(None).cast("string").alias("broken"))
+    whole = cut_lineage(whole)
+    load = good.join(whole.filter("whole"), "code", "left_semi")
+    source = good.groupBy("code").agg(F.first("source").alias("source"))
+    if force_full:
+        rows = load.groupBy("code").agg(F.count(F.lit(1)).alias("stored_rows"))
+    else:
+        kept = stored.join(load.select("code").distinct(), "code", "left_semi")
+        rows = kept.unionByName(load.select("code", "date")).distinct().groupBy("code").agg(F.count(F.lit(1)).alias("stored_rows"))
+    log = cut_lineage(_load_log(span, checked, whole, source, rows, run))
+    version = snapshots.change(load.drop("source"), path, whole_codes=force_full, base=base, **how)
+    return version, log
 
 
 def ingest_sectors(

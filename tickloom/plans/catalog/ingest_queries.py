@@ -13,7 +13,9 @@ from tickloom.operators import clean as cl
 from tickloom.operators import merge as mg
 from tickloom.operators import quality as q
 from tickloom.plans import views as v
-from tickloom.plans.catalog.registry import query
+from tickloom.plans.catalog.registry import ORACLES, query
+from tickloom.session import shared_dir
+from tickloom.sources import snapshots
 
 KEYS = ["l_orderkey", "l_linenumber", "l_partkey"]
 
@@ -660,7 +662,7 @@ def u05_counts(spark, d):
     return a.unionByName(b)
 
 
-def load(spark, d):
+def load_inputs(spark, d):
     """A load as of September 2001 over history to August 2000; one nation's codes are up to date.
 
     Vendors deliver all months, the second and third lack some nations, and the first
@@ -680,7 +682,20 @@ def load(spark, d):
     a = v.src_a(spark, d).select(*cols)
     b = v.src_b(spark, d).select(*cols, "turnover", "pct_change").join(s.filter("s_nationkey >= 5"), "code", "left_semi")
     c = bars.join(s.filter("s_nationkey >= 3"), "code", "left_semi")
-    return mg.ingest(a, b, c, stored, s, F.lit("2001-09-01").cast("date"))
+    return a, b, c, stored, s, F.lit("2001-09-01").cast("date")
+
+
+def load(spark, d):
+    return mg.ingest(*load_inputs(spark, d))
+
+
+def load_in_place(spark, d):
+    """The same load into a table of snapshots: (path, version before, version after, log)."""
+    a, b, c, stored, universe, as_of = load_inputs(spark, d)
+    path = shared_dir(spark) + "/bars"
+    before = snapshots.change(stored, path)
+    after, log = mg.ingest_in_place(a, b, c, path, universe, as_of)
+    return path, before, after, log
 
 
 INGEST = dict(
@@ -728,6 +743,38 @@ def u06_log(spark, d):
     return log.select("code", "market", "status", "source", "rows", "reason")
 
 
+@query("u06_ingest_in_place", f"SELECT code, date, {PX} FROM stored_after", **INGEST)
+def u06_in_place(spark, d):
+    path, _, after, _ = load_in_place(spark, d)
+    return snapshots.read(spark, path, after).select("code", "date", r("close", 7).alias("close"))
+
+
+@query("u06_ingest_in_place_log", ORACLES["u06_ingest_log"])
+def u06_in_place_log(spark, d):
+    return load_in_place(spark, d)[3].select("code", "market", "status", "source", "rows", "reason")
+
+
+@query("u01_snapshot_before_load", f"SELECT code, date, {PX} FROM before", **INGEST)
+def u01_snapshot_before(spark, d):
+    """What a reader of the older snapshot still sees after the load."""
+    path, before, _, _ = load_in_place(spark, d)
+    return snapshots.read(spark, path, before).select("code", "date", r("close", 7).alias("close"))
+
+
+@query(
+    "u01_snapshot_pruned_read",
+    f"SELECT code, date, {PX} FROM bars_m WHERE code IN (3, 7, 11) AND date BETWEEN DATE '1996-03-01' AND DATE '1998-05-31'",
+)
+def u01_snapshot_pruned(spark, d):
+    """Some codes and dates of a table built year by year, each year a load of its own."""
+    bars = v.stored_m(spark, d)
+    path = shared_dir(spark) + "/bars"
+    for years in ("date < '1997-01-01'", "date >= '1997-01-01' AND date < '1999-06-01'", "date >= '1999-06-01'"):
+        snapshots.change(bars.filter(years), path, file_rows=200)
+    out = snapshots.read(spark, path, None, [3, 7, 11], "1996-03-01", "1998-05-31")
+    return out.select("code", "date", r("close", 7).alias("close"))
+
+
 @query(
     "u07_sector_ingest",
     """SELECT sector_name, CASE WHEN left(sector_name, 8) = 'NATION_1' THEN 'skipped' ELSE 'success' END AS status,
