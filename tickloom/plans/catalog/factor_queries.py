@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.num import div, r
 from tickloom.operators import factors as fx
+from tickloom.operators import upkeep
 from tickloom.plans import views as v
-from tickloom.plans.catalog.registry import query
+from tickloom.plans.catalog.registry import ORACLES, query
+from tickloom.session import shared_dir
 
 R6 = "round({0}, 6) + 0.0 AS {0}"
 
@@ -138,6 +140,18 @@ def f13(spark, d):
     )
 
 
+@query("f13_panel_after_loads", ORACLES["f13_factor_panel"])
+def f13_after_loads(spark, d):
+    """The panel stored at the end of 1996 and brought up to date by two loads, each from its first new bar on."""
+    bars, path, before = v.stored_m(spark, d), shared_dir(spark) + "/panel", None
+    for until in ("1997-01-01", "1998-07-01", "2100-01-01"):
+        table = bars.filter(F.col("date") < until)
+        new = None if before is None else upkeep.first_changes(table.filter(F.col("date") >= before))
+        upkeep.keep_up(table, path, new)
+        before = until
+    return _out(upkeep.read_panel(spark, path), "mom", "volatility", "vol_factor", "vol_ratio", *fx.RSRS_COLUMNS)
+
+
 MICRO = dict(
     micro0="""SELECT *, CASE WHEN sum(volume) OVER w10 < 1 THEN 0.0 ELSE
         (coalesce(sum(("close" - low) / nullif(high - low, 0) * volume) OVER w10, 0)
