@@ -1,5 +1,9 @@
 """Streams over split files end where their batch twins end."""
 
+import datetime as dt
+import random
+import time
+
 import pytest
 from conftest import SF_DIR
 from pyspark.sql import functions as F
@@ -8,7 +12,8 @@ from tickloom.operators import alerts as al
 from tickloom.operators import portfolio as pf
 from tickloom.plans import views as v
 from tickloom.streaming import quotes as qs
-from tickloom.streaming import sinks, stateful
+from tickloom.streaming import scans, sinks, stateful
+from tickloom.streaming.state import KeyedState
 
 
 @pytest.fixture(scope="module")
@@ -68,8 +73,7 @@ def test_latest_quote_table(spark, landed, tmp_path):
     quotes = stream(spark, landed).select(F.col("user_id").alias("code"), "ts", F.col("value").alias("price"), "event_id")
     q = qs.keep_latest(quotes, str(tmp_path / "t"), str(tmp_path / "c"), {"availableNow": True}, tie="event_id")
     q.awaitTermination()
-    newest = max(int(p.name[2:]) for p in (tmp_path / "t").glob("v=*"))
-    got = spark.read.parquet(str(tmp_path / "t" / f"v={newest}"))
+    got = qs.latest_state(spark, str(tmp_path / "t"), quotes.schema, "event_id").read()
     want = v.events(spark, SF_DIR).groupBy("user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")))
     assert {tuple(r) for r in got.select("code", "event_id").collect()} == {tuple(r) for r in want.collect()}
 
@@ -83,11 +87,26 @@ def test_alert_batch_repeats_replace_and_handlers_are_isolated(spark, tmp_path):
     write = sinks.alert_batch(str(tmp_path / "alerts"), [bad, lambda batch, epoch: seen.append((epoch, batch.count()))])
     batch = spark.createDataFrame([("k", "buy", "s", "b")], "key string, level string, subject string, body string")
     write(batch, 0)
-    write(batch, 0)
+    write(batch.union(batch), 0)
     write(batch, 1)
     assert spark.read.parquet(str(tmp_path / "alerts")).count() == 2 and seen == [(0, 1), (0, 1), (1, 1)]
 
 
+def test_half_a_batch_is_never_seen(spark, tmp_path):
+    path = str(tmp_path / "alerts")
+    write = sinks.alert_batch(path)
+    rows = spark.range(0, 40, 1, 4).select(
+        F.col("id").cast("string").alias("key"), F.lit("buy").alias("level"), F.lit("s").alias("subject"), F.lit("b").alias("body"), "id"
+    )
+    write(rows.filter("id < 10"), 0)
+    broken = rows.withColumn("key", F.when(F.col("id") < 39, F.col("key")).otherwise(F.raise_error(F.lit("lost"))))
+    with pytest.raises(Exception):
+        write(broken, 1)
+    assert spark.read.parquet(path).count() == 10
+    write(rows, 1)
+    assert spark.read.parquet(path).count() == 50
+
+
 def test_watermarked_scoring_stream(spark, landed, tmp_path):
     from tickloom.operators.live import live_state
 
@@ -97,3 +116,137 @@ def test_watermarked_scoring_stream(spark, landed, tmp_path):
     state = live_state(v.bars_m(spark, SF_DIR))
     out = run(qs.score_stream(quotes, state, ["short_term"]), tmp_path)
     assert out.count() > 0 and out.select("strategy").distinct().collect()[0][0] == "short_term"
+
+
+def bytes_below(path):
+    return sum(f.stat().st_size for f in path.rglob("*.parquet"))
+
+
+def test_state_writes_follow_the_batch_not_the_keys(spark, tmp_path):
+    fold = lambda df: df.groupBy("k").agg(F.max("x").alias("x"))
+    state = KeyedState(spark, str(tmp_path / "s"), "k long, x long", "k", fold)
+    pairs = lambda keys, x: spark.range(keys.start, keys.stop).selectExpr("id k", f"{x} + id x")
+    state.add(pairs(range(200_000), 0), 0)
+    whole, want = bytes_below(tmp_path / "s" / "data"), {k: k for k in range(200_000)}
+    for epoch in range(1, 12):
+        keys = range(epoch * 10, epoch * 10 + 40)
+        state.add(pairs(keys, epoch * 1_000_000), epoch)
+        want |= {k: epoch * 1_000_000 + k for k in keys}
+        own = sum(bytes_below(p) for p in (tmp_path / "s" / "data").glob(f"epoch={epoch}"))
+        assert own < whole / 10
+        runs = state._runs(epoch + 1)
+        assert max(sum(1 for r in runs if r.bucket == b) for b in range(64)) <= 6
+    assert dict(state.read().collect()) == want
+    few = state.before(12, spark.createDataFrame([(15,)], "k long"))
+    assert few.count() < 200_000 / 32 and few.filter("k = 15").first().x == want[15]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_state_against_a_plain_dictionary(spark, tmp_path, seed):
+    rng, want, past = random.Random(seed), {}, {}
+    fold = lambda df: df.groupBy("k").agg(F.max_by("v", "at").alias("v"), F.max("at").alias("at"))
+    state = KeyedState(spark, str(tmp_path / "s"), "k string, v double, at long", "k", fold, buckets=3)
+    for epoch in range(8):
+        rows = [(rng.choice("abcdefgh") + str(rng.randrange(6)) if rng.random() > 0.05 else None, rng.random(), epoch * 100 + i) for i in range(rng.choice([0, 1, 5, 60]))]
+        df = spark.createDataFrame(rows, "k string, v double, at long")
+        for again in range(2):  # a repeated batch changes nothing
+            state.add(df, epoch)
+            past[epoch] = dict(want)
+            now = {**want, **{k: (v, at) for k, v, at in rows}}
+            assert {r.k: (r.v, r.at) for r in state.read().collect()} == now
+        want = now
+        # The state before a batch can still be read when it is run again.
+        assert {r.k: (r.v, r.at) for r in state.before(epoch).collect()} == past[epoch]
+
+
+def test_forgotten_keys_leave_when_they_are_written_again(spark, tmp_path):
+    fold = lambda df: df.groupBy("k").agg(F.max("last").alias("last"))
+    state = KeyedState(spark, str(tmp_path / "s"), "k long, last long", "k", fold, buckets=1)
+    state.add(spark.createDataFrame([(1, 10), (2, 20)], "k long, last long"), 0)
+    state.add(spark.createDataFrame([(3, 90)], "k long, last long"), 1, F.col("last") < 15)
+    assert {tuple(r) for r in state.read().collect()} == {(2, 20), (3, 90)}
+
+
+def _quotes(rng, batches):
+    """Batches of quotes; some of a batch are older than what came before, a few of them too old."""
+    out, n = [], 0
+    for b in range(batches):
+        rows = []
+        for _ in range(120):
+            back = rng.choice([0, 0, 0, 0, 200, 2000]) if b else 0
+            at = dt.datetime(2024, 5, 6, 9, 30) + dt.timedelta(seconds=max(0, b * 900 + rng.randrange(900) - back), microseconds=rng.randrange(10**6))
+            rows.append((rng.choice("ABC"), at, 10 + 8 * rng.random(), n := n + 1))
+        out.append(rows)
+    out[1].append(("A", None, 11.0, n + 1))
+    return out
+
+
+def test_merged_signals_as_a_stream(spark, tmp_path):
+    """Over five micro-batches with late rows the stream gives what the table gives, and no quote vanishes."""
+    from test_trading import live_bars
+
+    from tickloom.operators.live import live_state
+
+    kinds = "code string, ts timestamp, price double, event_id long"
+    batches = _quotes(random.Random(3), 5)
+    for rows in batches:
+        spark.createDataFrame(rows, kinds).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(0.05)  # files are taken by when they landed
+    stream = spark.readStream.schema(kinds).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    base = str(tmp_path / "split")
+    scans.split_late(stream, base, f"{base}/ckpt", trigger={"availableNow": True}).awaitTermination()
+
+    late, ontime, newest = set(), set(), None
+    for rows in batches:
+        for _, at, _, event in rows:
+            end = at and at.replace(second=0, microsecond=0) + dt.timedelta(minutes=1)
+            (late if at is None or newest and end <= newest - dt.timedelta(minutes=10) else ontime).add(event)
+        newest = max([newest or dt.datetime.min, *(at for _, at, _, _ in rows if at)])
+    ids = lambda name: {r.event_id for r in spark.read.parquet(f"{base}/{name}").collect()}
+    assert ids("late") == late and ids("ontime") == ontime and len(late) > 20
+
+    state = live_state(live_bars(spark).unionByName(live_bars(spark, code="B")).unionByName(live_bars(spark, 90, "C"))).cache()
+    for rule in ("any", "majority", "weighted"):
+        quotes = scans.read_ontime(spark, base, kinds, 1)
+        made = scans.merged_signals(quotes, state, rule, 0.1, tie="event_id")
+        query = (
+            made.writeStream.format("parquet").outputMode("append").option("path", str(tmp_path / rule))
+            .option("checkpointLocation", str(tmp_path / f"c_{rule}")).trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
+        assert len(query.recentProgress) >= 5 and len(query.lastProgress.stateOperators) == 3
+        assert all(op.numRowsDroppedByWatermark == 0 for p in query.recentProgress for op in p.stateOperators)
+        got = spark.read.schema(made.schema).parquet(str(tmp_path / rule))
+        table = scans.merged_signals(spark.read.schema(kinds).parquet(f"{base}/ontime"), state, rule, 0.1, tie="event_id")
+        closed = newest - dt.timedelta(minutes=10)
+        want = {str(r) for r in table.filter(F.col("scan.end") <= F.lit(closed)).collect()}
+        assert {str(r) for r in got.collect()} == want and len(want) > 10
+    state.unpersist()
+
+
+def test_a_repeated_batch_is_not_split_twice(spark, tmp_path):
+    from tickloom.streaming.state import publish
+
+    df = spark.range(5).selectExpr("id")
+    assert publish(df, str(tmp_path / "t"), 0) and not publish(df.union(df), str(tmp_path / "t"), 0)
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 5
+
+
+def test_cadence_trigger_scans_again_and_again(spark, landed, tmp_path):
+    """A scan on the clock, not on what is there: new files are picked up by a later trigger."""
+    seen = []
+    source = str(tmp_path / "in")
+    events = v.events(spark, SF_DIR)
+    events.limit(10).coalesce(1).write.mode("append").parquet(source)
+    stream_ = qs.read_files(spark, source, schema=events.schema)
+    query = qs.run_scans(stream_, lambda batch, epoch: seen.append(batch.count()), str(tmp_path / "c"), every="1 second")
+    try:
+        for want in (10, 17):
+            end = time.monotonic() + 60
+            while sum(seen) < want and time.monotonic() < end:
+                time.sleep(0.2)
+            assert sum(seen) == want
+            events.limit(7).coalesce(1).write.mode("append").parquet(source)
+    finally:
+        query.stop()
+    assert len(seen) >= 2

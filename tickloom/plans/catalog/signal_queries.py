@@ -330,8 +330,8 @@ def _run_grid_sql(sets: dict, keys: tuple[str, ...], score: str, above: str, sel
     return f"""SELECT run, date, side, count(*) AS signals, round(sum(weight), 6) + 0.0 AS weight FROM (
       SELECT run, date, code, 'BUY' AS side, weight, held FROM (SELECT *, 1.0 / count(*) OVER (PARTITION BY run, date) AS weight FROM (
         SELECT *, row_number() OVER (PARTITION BY run, date ORDER BY s DESC, code) AS rk FROM (
-          SELECT g.*, d.date, d.code, d.held, {score} AS s FROM dp d, grid g) WHERE {above}) WHERE rk <= top_n) WHERE NOT held
-      UNION ALL SELECT run, date, code, 'SELL', 0.0, held FROM dp, grid WHERE held AND ({sell})) GROUP BY ALL""", f"SELECT * FROM (VALUES {rows}) t(run, {', '.join(keys)})"
+          SELECT g.*, d.date, d.code, d.held, {score} AS s FROM dp d JOIN grid g ON true) WHERE {above}) WHERE rk <= top_n) WHERE NOT held
+      UNION ALL SELECT run, date, code, 'SELL', 0.0, held FROM dp JOIN grid ON true WHERE held AND ({sell})) GROUP BY ALL""", f"SELECT * FROM (VALUES {rows}) t(run, {', '.join(keys)})"
 
 
 def _grid_query(name: str, sets: dict, *how: str):

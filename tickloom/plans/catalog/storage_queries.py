@@ -17,7 +17,7 @@ from tickloom.plans.catalog.registry import ORACLES, query
 from tickloom.session import cut_lineage, shared_dir
 from tickloom.sources import tables as tb
 from tickloom.streaming import quotes as qs
-from tickloom.streaming import sinks, stateful
+from tickloom.streaming import scans, sinks, stateful
 
 PX = 'round("close", 7) + 0.0 AS "close"'
 
@@ -206,10 +206,11 @@ def _event_stream(spark, d, batches=1):
     cuts = events.select(F.unix_micros(F.col("ts").cast("timestamp")).alias("us")).agg(F.min("us"), F.max("us")).first()
     width = max(1, (cuts[1] - cuts[0]) // batches + 1)
     part = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - cuts[0]) / width)
-    # One file per stretch of time; a stream takes files by when they landed.
+    # As many files for every stretch of time, written by as many tasks; a stream takes files by when they landed.
+    each = max(1, events.select(F.spark_partition_id().alias("p")).distinct().count())
     for i in range(batches):
-        events.filter(part == i).coalesce(1).write.mode("append").parquet(base)
-    return qs.read_files(spark, base, schema=events.schema, files_per_batch=1)
+        events.filter(part == i).repartition(each).write.mode("append").parquet(base)
+    return qs.read_files(spark, base, schema=events.schema, files_per_batch=each)
 
 
 def _quote_stream(spark, d, batches=1):
@@ -264,11 +265,9 @@ def s12(spark, d):
 )
 def t01_stream(spark, d):
     base = shared_dir(spark)
-    run = qs.keep_latest(_quote_stream(spark, d), f"{base}/table", f"{base}/ckpt", {"availableNow": True}, tie="event_id")
-    run.awaitTermination()
-    return spark.read.parquet(f"{base}/table/v={run.lastProgress['batchId'] if run.lastProgress else 0}").select(
-        "code", "event_id", "ts"
-    )
+    ticks = _quote_stream(spark, d, 4)
+    qs.keep_latest(ticks, f"{base}/table", f"{base}/ckpt", {"availableNow": True}, tie="event_id").awaitTermination()
+    return qs.latest_state(spark, f"{base}/table", ticks.schema, "event_id").read().select("code", "event_id", "ts")
 
 
 @query(
@@ -383,3 +382,47 @@ def t02_stream(spark, d):
     )
     out = _run(qs.score_stream(ticks, state, tie="event_id"), spark)
     return out.select("code", F.col("window.start").cast("timestamp_ntz").alias("minute"), "strategy", "side", r("score").alias("score"))
+
+
+MERGED_SQL = """SELECT code, scan, signal, round(CASE WHEN signal = 'buy' THEN b ELSE s END, 6) + 0.0 AS score, CASE WHEN signal = 'buy' THEN bn ELSE sn END AS n
+  FROM (SELECT *, {rule} AS signal FROM (SELECT code, scan, count(*) FILTER (side = 'buy') AS bn, count(*) FILTER (side = 'sell') AS sn,
+    {score}(score) FILTER (side = 'buy') AS b, {score}(score) FILTER (side = 'sell') AS s FROM heard WHERE side <> 'hold' AND score >= 0.3 GROUP BY ALL))
+  WHERE signal IS NOT NULL AND scan + INTERVAL 300 SECOND <= (SELECT max(ts) FROM lq) - INTERVAL 10 MINUTE"""
+HEARD = dict(
+    SCAN,
+    heard="""SELECT code, time_bucket(INTERVAL 300 SECOND, minute) AS scan, strategy, max_by(side, minute) AS side, max_by(score, minute) AS score FROM (
+      SELECT q.code, q.minute, u.strategy, u.side, u.score FROM (
+        SELECT code, time_bucket(INTERVAL 60 SECOND, ts) AS minute, max_by(event_id, (ts, event_id)) AS event_id FROM lq GROUP BY ALL) q
+      JOIN rules u USING (event_id)) GROUP BY ALL""",
+)
+
+
+def _merged_stream(spark, d, rule):
+    """Quotes in five micro-batches, late ones kept aside, through three stateful operators of one query."""
+    from tickloom.operators.panel import latest_row
+
+    base = shared_dir(spark)
+    bars = v.stored_m(spark, d)
+    last, state = latest_row(bars, ["close"]), cut_lineage(live_state(bars))
+    ticks = _quote_stream(spark, d, 5).join(last, "code").select(
+        "event_id", "code", F.col("ts").cast("timestamp").alias("ts"), (F.col("close") * (0.85 + F.col("price") / 200)).alias("price")
+    )
+    scans.split_late(ticks, base, f"{base}/split", trigger={"availableNow": True}).awaitTermination()
+    made = scans.merged_signals(scans.read_ontime(spark, base, ticks.schema), state, rule, tie="event_id")
+    return _run(made, spark).select(
+        "code", F.col("scan.start").cast("timestamp_ntz").alias("scan"), "signal", r("score").alias("score"),
+        F.size("strategies_triggered").cast("long").alias("n"),
+    )
+
+
+@query("t07_merged_signal_stream", MERGED_SQL.format(score="max", rule="CASE WHEN sn = 0 OR b >= s THEN 'buy' WHEN bn = 0 OR s > b THEN 'sell' END"), **HEARD)
+def t07_stream(spark, d):
+    return _merged_stream(spark, d, "any")
+
+
+MAJORITY_SQL = MERGED_SQL.format(score="avg", rule="CASE WHEN bn * 2 > bn + sn THEN 'buy' WHEN sn * 2 > bn + sn THEN 'sell' END")
+
+
+@query("t05_merge_majority_stream", f"SELECT code, scan, signal, n FROM ({MAJORITY_SQL})", **HEARD)
+def t05_stream(spark, d):
+    return _merged_stream(spark, d, "majority").drop("score")

@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType
 from tickloom.operators.clean import clean_quotes
 from tickloom.operators.live import score_quotes
 from tickloom.schemas import QUOTES
-from tickloom.session import remove
+from tickloom.streaming.state import KeyedState
 
 SCAN_EVERY = "300 seconds"
 RECOMPUTE_EVERY = "60 seconds"
@@ -59,23 +59,24 @@ def last_per_window(quotes: DataFrame, width: str = RECOMPUTE_EVERY, tie: str |
     return out.select("code", "window", "q.*")
 
 
+def latest_state(spark: SparkSession, table_path: str, schema: StructType, tie: str | None = None) -> KeyedState:
+    """The last quote per code that :func:`keep_latest` keeps; ``read()`` gives the table."""
+    return KeyedState(spark, table_path, schema, "code", lambda df: latest(df, tie))
+
+
 def keep_latest(
     quotes: DataFrame, table_path: str, checkpoint: str, trigger: Mapping[str, object], tie: str | None = None
 ) -> StreamingQuery:
     """Keep a table of the last quote per code.
 
-    Each batch is reduced to one row per code, merged with the stored version and
-    written as a new version folder, so a batch that is run again writes the same. The
-    version before the one read is removed.
+    A batch adds its own codes to the state, one row each; codes without a new quote are
+    neither read nor written. A batch that is run again changes nothing.
     """
+    columns = ["code", *[c for c in quotes.columns if c != "code"]]
+    kinds = StructType([quotes.schema[c] for c in columns])
 
     def merge(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        new = latest(batch, tie)
-        if epoch > 0:
-            new = latest(spark.read.schema(new.schema).parquet(f"{table_path}/v={epoch - 1}").unionByName(new), tie)
-        new.write.mode("overwrite").parquet(f"{table_path}/v={epoch}")
-        remove(spark, f"{table_path}/v={epoch - 2}")
+        latest_state(batch.sparkSession, table_path, kinds, tie).add(batch, epoch)
 
     return quotes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
@@ -112,6 +113,6 @@ def run_scans(
 
 
 __all__ = [
-    "LATENESS", "RECOMPUTE_EVERY", "SCAN_EVERY", "keep_latest", "last_per_window", "latest", "read_files",
+    "LATENESS", "RECOMPUTE_EVERY", "SCAN_EVERY", "keep_latest", "last_per_window", "latest", "latest_state", "read_files",
     "read_kafka", "run_scans", "score_batch", "score_stream",
 ]

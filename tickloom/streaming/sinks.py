@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from tickloom.operators.alerts import full_subject
+from tickloom.streaming.state import publish
 
 log = logging.getLogger(__name__)
 
@@ -16,17 +17,18 @@ Handler = Callable[[DataFrame, int], None]
 
 
 def alert_batch(path: str, handlers: Sequence[Handler] = ()) -> Handler:
-    """A foreachBatch function: append to the alert table, then call each handler.
+    """A foreachBatch function: commit the batch to the alert table, then call each handler.
 
-    A batch has its own folder, so a repeated batch replaces itself instead of
-    appending twice. Handlers get the stored rows; one that fails is logged and the
-    others still run.
+    A batch appears whole or not at all, and once: readers never see a part of it, and a
+    repeated one changes nothing that is stored. Handlers get the stored rows, those of a
+    repeated batch too, since the first run may have failed before it called them; one that
+    fails is logged and the others still run.
     """
 
     def write(batch: DataFrame, epoch: int) -> None:
-        target = f"{path}/epoch={epoch}"
-        batch.withColumn("full_subject", full_subject()).write.mode("overwrite").parquet(target)
-        stored = batch.sparkSession.read.parquet(target)
+        rows = batch.withColumn("full_subject", full_subject())
+        publish(rows, path, epoch)
+        stored = batch.sparkSession.read.schema(rows.schema).parquet(f"{path}/epoch={epoch}")
         for handler in handlers:
             try:
                 handler(stored, epoch)

@@ -1,21 +1,22 @@
 """Per-key state on streams: exit rules of positions and alert throttling.
 
-The state is a table, one row per key, and every micro-batch goes through the slice-wise
-batch operator, so that a key holding a third of the rows is spread over many tasks. A
-repeated micro-batch reads the version the one before it left and gives the same result;
-older versions are removed.
+Every micro-batch goes through the slice-wise batch operator, so that a key holding a third
+of the rows is spread over many tasks. What it leaves per key is added to a
+:class:`~tickloom.streaming.state.KeyedState`: a batch writes its own keys and reads the
+buckets they are in. A repeated micro-batch reads what the one before it left and changes
+nothing that is there.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tickloom.functions.num import micros
 from tickloom.operators import portfolio as pf
 from tickloom.operators.alerts import DEDUP_SECONDS, throttle
-from tickloom.session import remove
+from tickloom.streaming.state import KeyedState, publish
 
 
 def _batches(stream: DataFrame, work, checkpoint: str, available_now: bool) -> StreamingQuery:
@@ -23,16 +24,14 @@ def _batches(stream: DataFrame, work, checkpoint: str, available_now: bool) -> S
     return stream.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
-def _state_before(spark, path: str, epoch: int, schema: str) -> DataFrame:
-    """The state the previous micro-batch left, empty before the first."""
-    if epoch == 0:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{path}/state/v={epoch - 1}")
+def last_sends(spark: SparkSession, path: str, kind: str = "string", key: str = "key") -> KeyedState:
+    """When each key was sent last, in microseconds: the state of :func:`throttle_batches`."""
+    return KeyedState(spark, f"{path}/state", f"{key} {kind}, last bigint", key, lambda df: df.groupBy(key).agg(F.max("last").alias("last")))
 
 
-def _write_state(state: DataFrame, path: str, epoch: int) -> None:
-    state.write.mode("overwrite").parquet(f"{path}/state/v={epoch}")
-    remove(state.sparkSession, f"{path}/state/v={epoch - 2}")
+def highest_prices(spark: SparkSession, path: str, kind: str = "string") -> KeyedState:
+    """The highest price per code: the state of :func:`exit_batches`."""
+    return KeyedState(spark, f"{path}/state", f"code {kind}, high double", "code", lambda df: df.groupBy("code").agg(F.max("high").alias("high")))
 
 
 def throttle_batches(
@@ -41,7 +40,7 @@ def throttle_batches(
 ) -> StreamingQuery:
     """Sent alerts land in ``path/sent``, the last send per key in ``path/state``.
 
-    A key leaves the state once its last send is a window and ``lateness_seconds`` older than
+    A key is forgotten when it is written next once its last send is a window and ``lateness_seconds`` older than
     the newest alert.
 
     An alert less than a window after its key's last send cannot go out; among the
@@ -50,18 +49,16 @@ def throttle_batches(
     width = window_seconds * 1_000_000
 
     def work(batch: DataFrame, epoch: int) -> None:
-        kind = dict(batch.dtypes)[key]
-        old = _state_before(batch.sparkSession, path, epoch, f"{key} {kind}, last bigint")
-        timed = batch.withColumn("__at", micros(batch, ts)).join(old, key, "left")
-        open_ = timed.filter(F.col("last").isNull() | (F.col("__at") - F.col("last") >= width)).drop("last")
-        sent = f"{path}/sent/epoch={epoch}"
-        throttle(open_, window_seconds, key, ts, tie).write.mode("overwrite").parquet(sent)
-        new = batch.sparkSession.read.schema(open_.schema).parquet(sent).select(key, F.col("__at").alias("last"))
-        merged = old.unionByName(new).groupBy(key).agg(F.max("last").alias("last"))
+        spark = batch.sparkSession
+        state = last_sends(spark, path, dict(batch.dtypes)[key], key)
+        old = state.before(epoch, batch.select(key))
+        timed = batch.withColumn("__at", micros(batch, ts))
+        open_ = timed.join(old, key, "left").filter(F.col("last").isNull() | (F.col("__at") - F.col("last") >= width)).drop("last")
+        publish(throttle(open_, window_seconds, key, ts, tie), f"{path}/sent", epoch)
+        sent = spark.read.schema(open_.schema).parquet(f"{path}/sent/epoch={epoch}").select(key, F.col("__at").alias("last"))
         newest = timed.agg(F.max("__at")).first()[0]
-        if newest is not None:
-            merged = merged.filter(F.col("last") > newest - width - lateness_seconds * 1_000_000)
-        _write_state(merged, path, epoch)
+        forget = None if newest is None else F.col("last") <= newest - width - lateness_seconds * 1_000_000
+        state.add(sent, epoch, forget)
 
     return _batches(alerts, work, checkpoint, available_now)
 
@@ -73,11 +70,10 @@ def exit_batches(
     """Risk events land in ``path/events``, the highest price per held code in ``path/state``."""
 
     def work(batch: DataFrame, epoch: int) -> None:
-        kind = dict(batch.dtypes)["code"]
-        old = _state_before(batch.sparkSession, path, epoch, f"code {kind}, high double")
+        state = highest_prices(batch.sparkSession, path, dict(batch.dtypes)["code"])
+        old = state.before(epoch, batch.select("code"))
         held = positions.join(old, "code", "left").withColumn("watermark", F.greatest("watermark", "high")).drop("high")
-        pf.live_exits(held, batch, levels, order, **rules).write.mode("overwrite").parquet(f"{path}/events/epoch={epoch}")
-        seen = batch.groupBy("code").agg(F.max("price").alias("high"))
-        _write_state(old.unionByName(seen).groupBy("code").agg(F.max("high").alias("high")), path, epoch)
+        publish(pf.live_exits(held, batch, levels, order, **rules), f"{path}/events", epoch)
+        state.add(batch.select("code", F.col("price").alias("high")), epoch)
 
     return _batches(quotes, work, checkpoint, available_now)
