@@ -1,6 +1,7 @@
 import datetime as dt
 
 import pytest
+from conftest import SF_DIR
 from pyspark.sql import functions as F
 
 from tickloom.operators import clean as cl
@@ -210,3 +211,21 @@ def test_run_log_counts(spark):
     row = tb.run_stats(log).first()
     assert (row["success"], row["failed"], row["skipped"], row["total"]) == (2, 1, 1, 4)
     assert [(x["status"], x["code"]) for x in tb.run_details(log).collect()] == [("failed", "c")]
+
+
+def test_panel_over_a_bucketed_table_needs_no_exchange(spark, tmp_path):
+    from tickloom.operators import factors as fx
+    from tickloom.plans import views as v
+
+    bars = v.bars_m(spark, SF_DIR).cache()
+    tb.save_bucketed(bars, "bars_in_buckets", 4, str(tmp_path / "bars"))
+    try:
+        assert len(list((tmp_path / "bars").glob("*.parquet"))) <= 4
+        stored = tb.load_bucketed(spark, "bars_in_buckets", "1995-01-01")
+        made = fx.factor_panel(stored)
+        assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+        key = lambda df: sorted(str(r) for r in df.select("code", "date", F.round("mom", 6), F.round("rsrs_zscore", 6)).collect())
+        assert key(made) == key(fx.factor_panel(bars.filter("date >= '1995-01-01'")))
+    finally:
+        spark.sql("DROP TABLE bars_in_buckets")
+        bars.unpersist()

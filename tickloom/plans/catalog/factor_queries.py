@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tickloom.functions.num import div, r
@@ -10,6 +12,7 @@ from tickloom.operators import upkeep
 from tickloom.plans import views as v
 from tickloom.plans.catalog.registry import ORACLES, query
 from tickloom.session import shared_dir
+from tickloom.sources.tables import load_bucketed, save_bucketed
 
 R6 = "round({0}, 6) + 0.0 AS {0}"
 
@@ -152,6 +155,14 @@ def f13_after_loads(spark, d):
     return _out(upkeep.read_panel(spark, path), "mom", "volatility", "vol_factor", "vol_ratio", *fx.RSRS_COLUMNS)
 
 
+@query("f13_panel_over_buckets", ORACLES["f13_factor_panel"])
+def f13_bucketed(spark, d):
+    """The panel over a stored table in buckets by code: no exchange."""
+    name = f"bars_{uuid.uuid4().hex}"
+    save_bucketed(v.bars_m(spark, d), name, 8, shared_dir(spark) + "/bars")
+    return _out(fx.factor_panel(load_bucketed(spark, name)), "mom", "volatility", "vol_factor", "vol_ratio", *fx.RSRS_COLUMNS)
+
+
 MICRO = dict(
     micro0="""SELECT *, CASE WHEN sum(volume) OVER w10 < 1 THEN 0.0 ELSE
         (coalesce(sum(("close" - low) / nullif(high - low, 0) * volume) OVER w10, 0)
