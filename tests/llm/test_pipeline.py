@@ -115,15 +115,16 @@ def test_lines(stages):
     assert all(r.n_chars == len(r.text) for r in stages[2].collect())
 
 
-def test_near_duplicates(stages):
-    docs = texts(stages[2])
-    stay, linked = plain_near(docs)
-    left = dict(texts(stages[3]))
-    assert all(left[d] == t for d, t in docs if d in left)
-    # Documents without a near-duplicate all stay, and of the others one of each group, but for a tenth that may be missed.
-    assert stay <= set(left)
-    gone = {d for d, _ in docs} - stay
-    assert linked and len(set(left) & gone) <= 0.1 * len(gone)
+def test_near_duplicates(spark, stages):
+    """On what the stage gets, from which line deduplication took the copies, and on the documents themselves."""
+    for given, out in ((stages[2], stages[3]), (stages[0], corpus_pipeline.near_duplicates(spark, stages[0], SF_DIR))):
+        docs, left = texts(given), dict(texts(out))
+        stay, linked = plain_near(docs)
+        assert all(left[d] == t for d, t in docs if d in left)
+        # Documents without a near-duplicate all stay, and of the others one of each group, but for a tenth that may be missed.
+        gone = {d for d, _ in docs} - stay
+        assert stay <= set(left) and len(set(left) & gone) <= 0.1 * len(gone)
+    assert len(linked) > 10
 
 
 def test_decontamination(spark, stages):
@@ -177,3 +178,15 @@ def test_odd_documents_pass_all_stages(spark):
             assert out.dtypes == docs.dtypes
             out.collect()
         assert corpus_pipeline.STAGES[-1][1](spark, table, SF_DIR).count() == (0 if table is not odd else 3 + 8)
+
+
+def test_other_columns_pass_through_all_stages(spark):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").limit(60)
+    names = ["id", "key", "body", "whole", "component", "label", "score", "line", "h", "g", "at", "item", "words", "f0", "root", "drop", "least"]
+    wide = docs.selectExpr("*", *[f"concat('{c}-', doc_id) AS `{c}`" for c in names])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        wide = stage(spark, wide, SF_DIR)
+        assert wide.columns == [*docs.columns, *names]
+        rows = wide.collect()
+        assert rows and all(r[c] == f"{c}-{r.doc_id}" for r in rows for c in names)
+    assert corpus_pipeline.STAGES[-1][1](spark, wide, SF_DIR).select("doc_id").distinct().count() == len(rows)
