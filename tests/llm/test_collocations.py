@@ -47,7 +47,7 @@ def texts(seed, count=150):
     return out
 
 
-@pytest.mark.parametrize("seed,least,top", [(1, 30, 2000), (2, 5, 2000), (3, 3, 40)])
+@pytest.mark.parametrize("seed,least,top", [(1, 30, 2000), (3, 3, 40)])
 def test_against_brute_force(spark, seed, least, top):
     rows = texts(seed)
     got = collocations.collocations(spark.createDataFrame(rows, SCHEMA), top=top, least=least).collect()
