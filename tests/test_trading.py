@@ -191,7 +191,7 @@ def test_exit_scan_by_blocks_equals_a_walk(spark, monkeypatch, n):
         assert (r.exit_event, r.exit_date) == plain_exit(closes[r.code], r.entry_date, r.cost, n)
 
 
-@pytest.mark.parametrize("fan", [2, 3, 64])
+@pytest.mark.parametrize("fan", [3, 64])
 def test_first_crossings_against_a_walk(spark, monkeypatch, fan):
     monkeypatch.setattr(crossings, "FAN", fan)
     rng = random.Random(fan)
