@@ -20,6 +20,8 @@ from tickloom.session import cut_lineage
 THRESHOLD, LEAST_NEAR = 2, 20
 #: Lines of lengths in one class are cut alike; a class ends this many times further than it begins.
 CLASS_RATIO = 1.25
+#: Characters that make no line.
+BLANKS = " \t\r\x0b\x0c"
 #: Letters counted before lines are compared.
 LETTERS = "etaonirsl"
 
@@ -33,15 +35,17 @@ def _doc(df: DataFrame, key: str, text: str) -> DataFrame:
 def lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, body, at, line) of every line that is not blank; at counts from 0."""
     split = _doc(docs, key, text).select("id", "body", F.posexplode(F.split("whole", "\n", -1)).alias("at", "line"))
-    return split.filter(F.trim(F.translate("line", "\t\r\x0b\x0c", "    ")) != "")
+    # From the left alone: it stops at the first character that is no blank.
+    return split.filter(F.ltrim("line", F.lit(BLANKS)) != "")
 
 
 def _class(chars: Column, least: int) -> Column:
     return F.floor(F.log(chars / F.lit(float(least))) / F.lit(math.log(CLASS_RATIO)) + 1e-9).cast("int")
 
 
-def segment_keys(line: Column, chars: Column, threshold: int, least: int) -> Column:
-    """Structs (key, shift) under which a line is indexed (shift 0) and probes the index (any shift).
+def segment_keys(rows: DataFrame, threshold: int, least: int) -> DataFrame:
+    """``rows`` (line, chars, ...) with ``k``, structs (key, shift): a row for each key that a line is indexed under
+    (shift 0) or probes the index with (any shift).
 
     A class's lines are cut into ``threshold`` segments from the start and one that ends the
     line, all as long as fits the class's shortest line. The i-th segment from the start can
@@ -49,8 +53,12 @@ def segment_keys(line: Column, chars: Column, threshold: int, least: int) -> Col
     an edit could put into the class below is filed there too, so that any two lines within
     ``threshold`` share a class.
     """
-    def of_class(c: Column) -> Column:
-        size = F.floor(F.lit(float(least)) * F.pow(F.lit(CLASS_RATIO), c) / (threshold + 1)).cast("int")
+
+    def size(c: str) -> Column:
+        return F.floor(F.lit(float(least)) * F.pow(F.lit(CLASS_RATIO), F.col(c)) / (threshold + 1)).cast("int")
+
+    def of_class(c: Column, size: Column) -> Column:
+        line = F.col("line")
         keys = [F.struct(F.xxhash64(c, F.lit(-1), F.right(line, size)).alias("key"), F.lit(0).alias("shift"))]
         for i in range(threshold):
             for shift in range(-i, i + 1):
@@ -58,8 +66,12 @@ def segment_keys(line: Column, chars: Column, threshold: int, least: int) -> Col
                 keys.append(F.struct(F.xxhash64(c, F.lit(i), piece).alias("key"), F.lit(shift).alias("shift")))
         return F.array(*keys)
 
-    own, below = _class(chars, least), _class(F.greatest(chars - threshold, F.lit(least)), least)
-    return F.when(own == below, of_class(own)).otherwise(F.concat(of_class(own), of_class(below)))
+    below = _class(F.greatest(F.col("chars") - threshold, F.lit(least)), least)
+    filed = rows.withColumns({"__own": _class(F.col("chars"), least), "__below": below})
+    filed = filed.withColumns({"__size": size("__own"), "__small": size("__below")})
+    own, lower = of_class(F.col("__own"), F.col("__size")), of_class(F.col("__below"), F.col("__small"))
+    keys = F.when(F.col("__own") == F.col("__below"), own).otherwise(F.concat(own, lower))
+    return filed.withColumn("k", F.explode(keys)).drop("__own", "__below", "__size", "__small")
 
 
 def near_pairs(docs: DataFrame, first: DataFrame, threshold: int, least: int, key: str, text: str) -> DataFrame:
@@ -70,9 +82,7 @@ def near_pairs(docs: DataFrame, first: DataFrame, threshold: int, least: int, ke
     joined: no candidate that fails becomes a row.
     """
     long = lines(docs, key, text).withColumn("chars", F.length("line")).filter(F.col("chars") >= least)
-    every = long.select(
-        F.xxhash64("line").alias("h"), "chars", F.explode(segment_keys(F.col("line"), F.col("chars"), threshold, least)).alias("k")
-    )
+    every = segment_keys(long.select(F.xxhash64("line").alias("h"), "chars", "line"), threshold, least)
     # Read twice below: lines are cut and hashed once.
     rows = cut_lineage(every.select(F.col("k.key").alias("key"), "h", "chars", F.col("k.shift").alias("shift")).distinct())
     several = rows.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo <> hi").select("key")
@@ -138,7 +148,7 @@ def line_report(docs: DataFrame, key: str = "doc_id", text: str = "text", **how)
     """
     gone = repeated_lines(docs, key=key, text=text, **how)
     gone = gone.select(F.col("id").alias("g_id"), F.col("body").alias("g_body"), "drop")
-    breaks = F.regexp_count("whole", F.lit("\n"))
+    breaks = F.octet_length("whole") - F.octet_length(F.replace("whole", F.lit("\n"), F.lit("")))
     rows = _doc(docs, key, text).select("id", "body", (breaks + 1).alias("n_lines"))
     rows = rows.join(gone, F.col("id").eqNullSafe(F.col("g_id")) & (F.col("body") == F.col("g_body")), "left")
     removed = F.coalesce("drop", F.array().cast("array<int>"))
