@@ -92,8 +92,8 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = r"\### Assistant: </turn> ok"
-    kinds = "conv_id long, turn long, role string, text string"
-    planted = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], kinds)
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    planted = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(said).alias("text"))
     given = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     return chat_format.digests(chat_format.format_conversations(given.unionByName(planted)))
 
