@@ -1,6 +1,9 @@
+import math
+import struct
 import zlib
 from collections import Counter
 
+import xxhash
 from pyspark.sql import functions as F
 
 from tickloom.llm import sharding
@@ -27,6 +30,27 @@ def test_slots_and_moves(spark):
     assert Counter((r.doc_id, r.size, r.text_crc32) for r in got) == want
 
 
+def plain_shard(key, weights):
+    """The least draw of all shards, one by one."""
+    text = "\x00null" if key is None else str(key)
+    draws = []
+    for shard, weight in weights.items():
+        seed = xxhash.xxh64_intdigest(text.encode(), 42)
+        bits = xxhash.xxh64_intdigest(struct.pack("<i", shard), seed) >> 11
+        draws.append((-math.log((bits + 1) / (1 << 53)) / weight, shard))
+    return min(draws)[1]
+
+
+def test_shards_equal_those_of_plain_rendezvous(spark):
+    weights = {s: 1.0 + s % 3 for s in range(24)}
+    rows = [(i * 7919 - 50, "x", "own") for i in range(1500)] + [(None, "x", "own")]
+    got = sharding.shard_documents(docs(spark, rows), weights, weights | {24: 2.0}).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.shard == plain_shard(r.doc_id, weights)
+        assert r.grown_shard == plain_shard(r.doc_id, weights | {24: 2.0})
+
+
 def test_weights_and_odd_tables(spark):
     keys = spark.range(20000).select(sharding.shard_of(F.col("id"), {0: 1.0, 1: 3.0}).alias("s"))
     share = keys.agg(F.avg("s")).first()[0]

@@ -3,6 +3,7 @@ import os
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tickloom.llm import training_order as order
 from tickloom.llm.tokens import BytePieces, vocabulary
@@ -16,6 +17,41 @@ def test_slots_are_a_permutation(total):
     assert (order.feistel(np.arange(total)[::-1], total, 1) == one[::-1]).all()
 
 
+def plain_feistel(n, total, key):
+    half = max(1, -(-(total - 1).bit_length() // 2))
+    word, keys = (1 << 64) - 1, np.random.default_rng(key).integers(1, 1 << 63, order.ROUNDS, dtype=np.uint64).tolist()
+    while True:
+        left, right = divmod(n, 1 << half)
+        for k in keys:
+            x = (right + k) * 0x9E3779B97F4A7C15 & word
+            x = (x ^ x >> 29) * 0xBF58476D1CE4E5B9 & word
+            left, right = right, left ^ (x >> 32) % (1 << half)
+        n = (left << half) + right
+        if n < total:
+            return n
+
+
+@pytest.mark.parametrize("total", [1, 2, 37, 1000, (1 << 40) + 3])
+def test_slots_equal_those_of_one_number_at_a_time(total):
+    some = sorted({0, total - 1, total // 2, total // 3, min(total - 1, 12345)})
+    assert order.feistel(np.array(some), total, 7).tolist() == [plain_feistel(n, total, 7) for n in some]
+
+
+def test_tasks_follow_the_size_and_not_the_shards(spark, tmp_path):
+    assert order.shards_per_task(1, 8) == 1 and order.shards_per_task(320, 8) == 10
+    assert order.shards_per_task(10**7, 1000) == order.MOST_SHARDS
+    df = spark.createDataFrame([(i, f"text {i}") for i in range(1000)], "doc_id long, text string")
+    cut_up = order.token_sequences(df, vocabulary("byte_bpe_50k.tiktoken"), 8)
+    got = order.records(order.in_training_order(cut_up, 3, per_shard=2), 8)
+    tasks = got.select("shard", F.spark_partition_id().alias("task")).distinct().collect()
+    held = {t.task: sorted(x.shard for x in tasks if x.task == t.task) for t in tasks}
+    assert len(tasks) == 500 and len(held) <= 500 // 8
+    assert all(shards == list(range(shards[0], shards[-1] + 1)) for shards in held.values())
+    order.write_shards(got, f"{tmp_path}/out")
+    files = glob.glob(f"{tmp_path}/out/shard=*/part-*")
+    assert len(files) == 500 and {os.path.getsize(f) for f in files} == {2 * order.stride(8)}
+
+
 def test_round_trip(spark, tmp_path):
     path = vocabulary("byte_bpe_50k.tiktoken")
     encoding = BytePieces(path).encoding

@@ -23,6 +23,8 @@ from tickloom.session import cut_lineage
 LENGTH, PER_SHARD, END = 512, 8192, 50256
 ROUNDS = 6
 HEADER = 4
+#: Shards that one task sorts and writes, at most: 64 of 8192 records of a kilobyte are half a gigabyte.
+MOST_SHARDS = 64
 
 
 def feistel(index: np.ndarray, total: int, key: int) -> np.ndarray:
@@ -65,11 +67,17 @@ def token_sequences(docs: DataFrame, path: str, length: int = LENGTH, end: int =
     return in_batches(rows, tokenise, f"key {kind}, piece int, n_tokens int, ids binary")
 
 
-def in_training_order(sequences: DataFrame, key: int, per_shard: int = PER_SHARD) -> DataFrame:
-    """``sequences`` plus slot, shard and place (in the shard), dealt to tasks by shard and sorted by slot.
+def shards_per_task(shards: int, slots: int, most: int = MOST_SHARDS) -> int:
+    """How many consecutive shards a task holds: few tasks a core (``slots`` cores) while they fit, then ``most``."""
+    return max(1, min(most, shards // (4 * slots)))
+
+
+def in_training_order(sequences: DataFrame, key: int, per_shard: int = PER_SHARD, most_shards: int = MOST_SHARDS) -> DataFrame:
+    """``sequences`` plus slot, shard and place (in the shard), dealt to tasks by ranges of slots and sorted by slot.
 
     The sequences are stored once; a sequence's number is its place in the stored table, so
-    that one store and key always give one order. Only the tasks' counts meet.
+    that one store and key always give one order. Only the tasks' counts meet. A range is
+    whole shards, at most ``most_shards``; all ranges but the last are equally long.
     """
     stored = cut_lineage(sequences.withColumn("__row", F.monotonically_increasing_id()))
     part = F.shiftright("__row", 33)
@@ -89,7 +97,9 @@ def in_training_order(sequences: DataFrame, key: int, per_shard: int = PER_SHARD
     schema = numbered.drop("__n").withColumns({c: F.lit(0).cast(t) for c, t in (("slot", "long"), ("shard", "long"), ("place", "int"))}).schema
     placed = in_batches(numbered, place, schema, rows=4096)
     shards = max(1, -(-total // per_shard))
-    return placed.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("slot")
+    each = shards_per_task(shards, sequences.sparkSession.sparkContext.defaultParallelism, most_shards)
+    task = F.floor(F.col("shard") / F.lit(each)).cast("int")
+    return placed.repartitionById(-(-shards // each), task).sortWithinPartitions("slot")
 
 
 def records(ordered: DataFrame, length: int = LENGTH, end: int = END) -> DataFrame:
@@ -112,7 +122,7 @@ def stride(length: int = LENGTH) -> int:
 def write_shards(recorded: DataFrame, path: str) -> None:
     """One file of records of one stride per shard, in folders ``shard=k``, in slot order; needs ``in_training_order``'s layout.
 
-    Spark's writer commits whole files on any file system, so that a lost task leaves none
+    A task writes its shards one after the other, with one file open. Spark's writer commits whole files on any file system, so that a lost task leaves none
     behind.
     """
     lines = recorded.select("shard", "slot", F.col("record").cast("string").alias("value"))
