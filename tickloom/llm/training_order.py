@@ -23,8 +23,8 @@ from tickloom.session import cut_lineage
 LENGTH, PER_SHARD, END = 512, 8192, 50256
 ROUNDS = 6
 HEADER = 4
-#: Shards that one task sorts and writes, at most: 64 of 8192 records of a kilobyte are half a gigabyte.
-MOST_SHARDS = 64
+#: Shards that one task sorts and writes, at most: 32 of 8192 records of a kilobyte are a quarter of a gigabyte.
+MOST_SHARDS = 32
 
 
 def feistel(index: np.ndarray, total: int, key: int) -> np.ndarray:
