@@ -5,7 +5,8 @@ from collections import deque
 
 import pytest
 
-from tickloom.functions.scan import running_max, running_sums, spaced_picks
+from tickloom.functions import scan
+from tickloom.functions.scan import running_max, running_sums, sliced, spaced_picks
 from tickloom.operators import portfolio as pf
 
 
@@ -51,6 +52,36 @@ def test_running_max(spark):
             assert got[r[3]] == top
 
 
+def test_only_keys_beyond_the_room_are_cut(spark):
+    rows = rows_with_hot_key()
+    sizes = {code: len(hist) for code, hist in by_code(rows).items()}
+    room = max(n for code, n in sizes.items() if code != "hot")
+    df = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "date_add(DATE'2020-01-01', day) AS date")
+    df, cuts, order = sliced(df, ["code"], ["date", "part"], ["i"], room)
+    out = running_sums(df, ["code"], cuts, order, ["q"], low_of="q")
+    got = out.collect()
+    assert len(got) == len(rows)
+    slices = {(r["code"], *(r[c] for c in cuts)) for r in got}
+    assert len([s for s in slices if s[0] != "hot"]) == len(sizes) - 1
+    assert len([s for s in slices if s[0] == "hot"]) == len({(r[2]) for r in rows if r[0] == "hot"})
+    by_row = {r["i"]: (r["run_q"], r["low"]) for r in got}
+    for hist in by_code(rows).values():
+        total, low = 0.0, 0.0
+        for k, r in enumerate(hist):
+            total += r[4]
+            low = total if k == 0 else min(low, total)
+            assert by_row[r[3]] == (total, low)
+    none, cuts, order = sliced(df.limit(0), ["code"], ["part"], ["i"])
+    assert running_sums(none, ["code"], cuts, order, ["q"]).collect() == []
+
+
+@pytest.fixture(params=[None, 100])
+def room(request, monkeypatch):
+    """All codes whole, or the hot one cut."""
+    if request.param:
+        monkeypatch.setattr(scan, "ROOM", request.param)
+
+
 def random_trades(seed, n=500):
     rng = random.Random(seed)
     out = []
@@ -66,7 +97,7 @@ TRADES = "code string, day int, part int, i int, side string, qty double, price
 
 @pytest.mark.parametrize("levels", [[], ["day"], ["day", "part"]])
 @pytest.mark.parametrize("seed,per_slice,unit", [(1, 5, 1.0), (2, 60, 2.0**40), (3, 10_000, 2.0**-20)])
-def test_fifo_equals_queue(spark, seed, per_slice, unit, levels):
+def test_fifo_equals_queue(spark, room, seed, per_slice, unit, levels):
     rows = [(*r[:5], r[5] * unit, r[6]) for r in random_trades(seed)]
     out = pf.fifo_pnl(spark.createDataFrame(rows, TRADES), levels, ["i"], ["i"], per_slice=per_slice)
     got = {r["i"]: (r["covered"], r["pnl"]) for r in out.collect()}
@@ -91,7 +122,7 @@ def test_fifo_equals_queue(spark, seed, per_slice, unit, levels):
 
 @pytest.mark.parametrize("levels", [[], ["day", "part"]])
 @pytest.mark.parametrize("scale", [0.5, 40.0, 300.0])
-def test_average_cost_equals_ledger(spark, monkeypatch, levels, scale):
+def test_average_cost_equals_ledger(spark, room, monkeypatch, levels, scale):
     # A small scale cuts often; terms older than a whole stretch of it would then still count.
     monkeypatch.setattr(pf, "SCALE", max(scale, 40.0))
     rows = random_trades(7)

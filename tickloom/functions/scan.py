@@ -4,7 +4,8 @@ A plain ``Window.partitionBy(key)`` puts a whole key into one task. Trades, quot
 and alerts of one hot key can be a third of the table, so scans over them work on
 *slices*: the caller names nested columns (coarse to fine) that follow the row order
 within a key, every slice is scanned on its own, and only one total per slice is
-scanned at the next coarser level. The levels are the caller's and do not depend on the data.
+scanned at the next coarser level. ``sliced`` cuts only the keys that have more rows than a
+task should take; all others are one slice.
 """
 
 from __future__ import annotations
@@ -17,6 +18,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
+from tickloom.session import cut_lineage
+
+#: Rows of a key that one task takes whole.
+ROOM = 1 << 18
+
 
 def _upto(keys, order):
     return Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
@@ -26,6 +32,26 @@ def _before(keys, order):
     return Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
 
 
+def sliced(
+    df: DataFrame, keys: Sequence[str], levels: Sequence[str], order: Sequence[str], room: int | None = None
+) -> tuple[DataFrame, list[str], list[str]]:
+    """``df`` with levels that cut keys of more than ``room`` rows only, the names of these levels, and the order in a slice.
+
+    Rows are counted per key before the shuffle. The large keys, at most one in ``room``
+    rows, are stored, so that Spark knows how many they are before it plans the join.
+    """
+    if not levels:
+        return df, [], list(order)
+    counts = df.groupBy(*keys).agg(F.count("*").alias("__n"))
+    large = cut_lineage(counts.filter(F.col("__n") > (room or ROOM)).select(*keys, F.lit(True).alias("__large")))
+    kinds, cuts = dict(df.dtypes), [f"__cut_{c}" for c in levels]
+    whole = {c: F.lit("1970-01-01" if kinds[c].startswith(("date", "timestamp")) else "0").cast(kinds[c]) for c in levels}
+    own = {cut: F.when(F.col("__large"), F.col(c)).otherwise(whole[c]) for cut, c in zip(cuts, levels)}
+    # Dealt by slice and not by key, whichever join was chosen.
+    out = df.join(large, list(keys), "left").withColumns(own).drop("__large").repartition(*keys, *cuts)
+    return out, cuts, [*levels, *order]
+
+
 def running_sums(
     df: DataFrame,
     keys: Sequence[str],

@@ -19,6 +19,7 @@ from tickloom.functions.scan import (
     ordered_fold,
     running_max,
     running_sums,
+    sliced,
 )
 from tickloom.operators.panel import asof_join
 from tickloom.session import cut_lineage
@@ -103,6 +104,11 @@ def booked(
     Sells may exceed holdings; what they exceed them by is the depth of the running
     sum below zero, so everything follows from one scan.
     """
+    t, cuts, along = sliced(trades, keys, levels, order)
+    return _booked(t, cuts, along, keys).drop(*cuts)
+
+
+def _booked(trades: DataFrame, levels: Sequence[str], order: Sequence[str], keys: Sequence[str]) -> DataFrame:
     buy = F.when(is_buy(), F.col("qty")).otherwise(0.0)
     sell = F.when(is_buy(), 0.0).otherwise(F.col("qty"))
     t = trades.withColumns({"buy": buy, "sell": sell, "signed": buy - sell})
@@ -186,8 +192,9 @@ def average_cost(trades: DataFrame, levels: Sequence[str], order: Sequence[str])
     ``SCALE``; of what was bought before a stretch, only the stretch just before it still
     counts in double precision. A sell leaves the cost as it is, down to nothing held.
     """
-    # Every scan reads its rows once per level; each is stored before the next.
-    b = cut_lineage(booked(trades, levels, order))
+    # The first two scans run over the same slices in the same order, so that they share an exchange.
+    t, levels, order = sliced(trades, ["code"], levels, order)
+    b = _booked(t, levels, order, ["code"])
     before = F.col("held") + F.when(is_buy(), -F.col("qty")).otherwise(F.col("covered"))
     gone = ~is_buy() & (F.col("held") <= 0) & (before > 0)
     shrunk = F.when(~is_buy() & ~gone & (before > 0), F.log(F.col("held") / before)).otherwise(0.0)
@@ -200,10 +207,8 @@ def average_cost(trades: DataFrame, levels: Sequence[str], order: Sequence[str])
     paid = F.when(is_buy(), F.col("price") * F.col("qty") / F.col("__scale")).otherwise(0.0)
     group = ["code", "__life", "__part"]
     b = cut_lineage(running_sums(b.withColumn("__paid", paid), group, levels, order, ["__paid"]))
-    last = F.struct(*levels, *order)
-    ends = b.groupBy(*group).agg(
-        (F.max_by("__scale", last) * F.sum("__paid")).alias("__end"), F.max_by("run___ln", last).alias("__end_ln"),
-    )
+    # ln D never rises, so the least of a stretch is that at its end.
+    ends = b.groupBy(*group).agg((F.min("__scale") * F.sum("__paid")).alias("__end"), F.min("run___ln").alias("__end_ln"))
     w = Window.partitionBy("code", "__life").orderBy("__part")
     ends = ends.select(*group, F.lag("__end").over(w).alias("__old"), F.lag("__end_ln").over(w).alias("__old_ln"))
     b = b.join(ends, group)
