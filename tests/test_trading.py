@@ -248,6 +248,35 @@ def test_breaker_cools_down(spark):
     assert got == [False, False, False, True, True, True, True, True, False]
 
 
+@pytest.mark.parametrize("cooldown", [0, 1, 5, 30])
+def test_breaker_equals_a_walk_over_days(spark, cooldown):
+    rng, rows = random.Random(cooldown), []
+    for name in "PQR":
+        value, at = 100.0, 0
+        for _ in range(150):
+            at += rng.choice([1, 1, 1, 3, 9])
+            value *= rng.choice([0.9, 0.97, 1.0, 1.02, 1.12])
+            rows.append((name, day(at), value))
+    rows += [("one", day(0), 5.0), ("two", day(0), 5.0), ("two", day(1), 1.0)]
+    df = spark.createDataFrame(rows, "portfolio string, ts date, total_value double")
+    out = pf.circuit_breaker(df, limit=0.15, cooldown=cooldown)
+    got = {(r["portfolio"], r["ts"]): r["broken"] for r in out.collect()}
+    want = {}
+    for name in ("P", "Q", "R", "one", "two"):
+        peak, last, since = 0.0, None, None
+        for k, (_, ts, value) in enumerate(r for r in rows if r[0] == name):
+            if k >= 2:
+                if since is None and last >= 0.15:
+                    since = ts
+                elif since is not None and (ts - since).days >= cooldown:
+                    since = None
+            want[name, ts] = since is not None
+            peak = max(peak, value)
+            last = (peak - value) / peak
+    assert got == want and any(want.values())
+    assert pf.circuit_breaker(df.limit(0)).collect() == []
+
+
 def test_industry_rejects_do_not_use_budget(spark):
     rows = [(day(0), "ABCD"[i], "BUY", i, w) for i, w in enumerate([0.2, 0.15, 0.1, 0.05])]
     signals = spark.createDataFrame(rows, "date date, code string, side string, rank int, weight double")

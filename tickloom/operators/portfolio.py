@@ -49,6 +49,8 @@ BARE_SLICES = 1 << 16
 SCALE = 300.0
 # Closes per block of a watermark.
 BLOCK = 64
+# A day beyond all days.
+NEVER = (1 << 31) - 1
 # Bars are numbered below this; a multiple of all block sizes, less one.
 LAST_BAR = (1 << 36) - 1
 
@@ -529,26 +531,33 @@ def circuit_breaker(
 ) -> DataFrame:
     """Adds ``broken``: on when the drawdown reaches the limit, off after the cool-down.
 
-    The state on a day rests on the values before it, two at least. A fold over a
-    portfolio's days (one row per day), as the switch depends on itself.
+    The state on a day rests on the values before it, two at least; a portfolio has one row
+    per day. Where a switch ends is known for every day that could start one: the first
+    row a cool-down later. Which of these days do start one depends on the one before only, so the
+    days at the limit, a few of a portfolio's, are passed once in order; the state follows by a window.
     """
-    w = Window.partitionBy(key).orderBy("ts")
-    rows = drawdowns(equity, key).withColumns({"__day": F.unix_date("ts"), "__last": F.lag("drawdown").over(w)})
-
-    def step(state, row):
-        before, since = state
-        dd, day = row
-        if before >= 2:
-            if since is None and dd >= limit:
-                since = day
-            elif since is not None and day - since >= cooldown:
-                since = None
-        return (before + 1, since), (since is not None,)
-
-    return ordered_fold(
-        rows, [key], ["ts"], StructType([StructField("broken", BooleanType())]),
-        lambda row: (0, None), step, reads=["__last", "__day"],
-    ).drop("__day", "__last")
+    along = Window.partitionBy(key).orderBy("ts")
+    rows = drawdowns(equity, key).withColumns(
+        {"__day": F.unix_date("ts"), "__last": F.lag("drawdown").over(along), "__place": F.row_number().over(along)}
+    )
+    # Backwards in time, all that lies a cool-down ahead comes first.
+    ahead = Window.partitionBy(key).orderBy(F.col("__back")).rangeBetween(Window.unboundedPreceding, -max(cooldown, 1))
+    rows = rows.withColumn("__back", -F.col("__day")).withColumn("__until", F.coalesce(F.min("__day").over(ahead), F.lit(NEVER)))
+    start = (F.col("__place") >= 3) & (F.col("__last") >= limit)
+
+    def pick(state, at):
+        on = F.struct(
+            F.concat(state["days"], F.array(at["__day"])).alias("days"), at["__until"].alias("off")
+        )
+        return F.when(at["__day"] > state["off"], on).otherwise(state)
+
+    none = F.struct(F.array().cast("array<int>").alias("days"), F.lit(-NEVER).alias("off"))
+    days = F.array_sort(F.collect_list(F.struct("__day", "__until")))
+    starts = rows.filter(start).groupBy(key).agg(F.aggregate(days, none, pick, lambda s: s["days"]).alias("__days"))
+    starts = starts.select(key, F.explode("__days").alias("__day"), F.lit(True).alias("__on"))
+    ends = F.last(F.when(F.col("__on"), F.col("__until")), ignorenulls=True).over(along)
+    out = rows.join(starts, [key, "__day"], "left").withColumn("broken", F.coalesce(F.col("__day") < ends, F.lit(False)))
+    return out.select(*equity.columns, "peak", "drawdown", "max_drawdown", "broken")
 
 
 # ---------------------------------------------------------------- limits
