@@ -147,3 +147,16 @@ def test_ttm_needs_four_reports(spark):
 def test_zscore_of_nothing_known(spark):
     df = spark.createDataFrame([("A", dt.date(2024, 1, 1), None)], "code string, date date, rsrs_raw double")
     assert fx.slope_zscore(df).select(F.col("rsrs_zscore")).first()[0] is None
+
+
+def test_correlation_of_flat_windows_is_unknown(spark):
+    """The first two volumes are equal, and later all of a window; neither may fail."""
+    pdf = bars_frame(60, seed=5)
+    pdf.loc[:1, "volume"] = 7.0
+    pdf.loc[30:55, "volume"] = 9.0
+    got = fx.price_volume_corr(spark.createDataFrame(pdf)).orderBy("date").toPandas()["pv_corr"].astype(float)
+    want = pdf["close"].rolling(20).corr(pdf["volume"])
+    flat = [i for i in range(60) if i >= 49 and i <= 55]
+    assert got[:19].isna().all() and got[flat].isna().all()
+    rest = [i for i in range(19, 60) if i not in flat]
+    np.testing.assert_allclose(got[rest].to_numpy(), want[rest].to_numpy(), rtol=1e-6, atol=1e-9)

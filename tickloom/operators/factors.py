@@ -78,9 +78,12 @@ def volume_ratio(df: DataFrame, n: int = SHORT_WINDOW) -> DataFrame:
 
 
 def price_volume_corr(df: DataFrame, n: int = SHORT_WINDOW) -> DataFrame:
+    """Unknown where the price or the volume does not move."""
     w = last_rows(n)
     both = F.when(F.col("close").isNotNull(), F.col("volume"))
-    return df.withColumn("pv_corr", full(F.corr("close", "volume").over(w), both, n, w))
+    # corr() itself fails on a flat window, that of the first two equal volumes too.
+    spread = F.sqrt(F.regr_sxx("close", "volume").over(w)) * F.sqrt(F.regr_syy("close", "volume").over(w))
+    return df.withColumn("pv_corr", full(div(F.regr_sxy("close", "volume").over(w), spread), both, n, w))
 
 
 # ---------------------------------------------------------------- rolling regression

@@ -117,7 +117,11 @@ def f10(spark, d):
     FROM bars_m WINDOW w AS (PARTITION BY code ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)""",
 )
 def f11(spark, d):
-    return _out(fx.price_volume_corr(v.bars_m(spark, d)), "pv_corr")
+    """Where nothing moves the SQL twin's correlation is NaN, so it is shown as that."""
+    out = fx.price_volume_corr(v.bars_m(spark, d))
+    seen = F.count(F.lit(1)).over(fx.last_rows(fx.SHORT_WINDOW))
+    flat = F.when(seen == fx.SHORT_WINDOW, F.lit(float("nan")))
+    return _out(out.withColumn("pv_corr", F.coalesce("pv_corr", flat)), "pv_corr")
 
 
 @query(
