@@ -190,3 +190,31 @@ def test_pairs_at_the_distance_share_a_key(spark):
     keys = simhash.block_keys() + simhash.sample_keys()
     found = {(min(r.a, r.b), max(r.a, r.b)) for r in simhash.links(df, keys, 40).collect()}
     assert found <= {(2 * i, 2 * i + 1) for i in range(400)} and len(found) > 0.92 * 400
+
+
+def plain_groups(rows):
+    """Components of all pairs that have four fifths of their shingles in common."""
+    close = [(a, b) for i, (a, x) in enumerate(rows) for b, y in rows[i + 1 :] if jaccard(x, y) >= 0.8]
+    return groups([a for a, _ in rows], close)
+
+
+def test_no_pair_at_the_threshold_is_left_out(spark):
+    """Pairs just above it, whatever their fingerprints differ in, short and long, and all that share common passages."""
+    rng = random.Random(14)
+    passage = " ".join(f"p{i}" for i in range(40))
+    texts = [t for n in (9, 20, 60, 150, 400) for _ in range(24) for t in similar(rng, n, 0.8)]
+    texts += [" ".join([passage, *(f"q{rng.randrange(10**6)}" for _ in range(n))]) for n in range(5, 65)]
+    rows = list(enumerate(texts))
+    got = {r.doc_id: r.component for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == plain_groups(rows)
+
+
+def test_equal_fingerprints_of_other_texts_hide_no_link(spark):
+    """One shingle that outweighs all others makes fingerprints equal; groups are by shingles all the same."""
+    rng = random.Random(15)
+    flood = "a " * 400
+    base = [f"w{i}" for i in range(40)]
+    rows = [(0, flood + " ".join(f"v{rng.randrange(10**6)}" for _ in range(40))), (1, flood + " ".join(base)), (2, flood + " ".join([*base[:-1], "x"]))]
+    assert simhash.wide_fingerprint(rows[0][1], 5)[0] == simhash.wide_fingerprint(rows[1][1], 5)[0]
+    got = {r.doc_id: r.component for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: 0, 1: 1, 2: 1} == plain_groups(rows)

@@ -1,7 +1,9 @@
 """Near-duplicates by SimHash fingerprints.
 
 Fingerprints that differ in few bits agree in whole blocks of bits (pigeonhole), so they are
-joined on blocks and verified by their Hamming distance.
+joined on blocks and verified by their Hamming distance. Where the threshold is one of
+shingles and not of bits, an exact join of the groups found so far gives the pairs that
+differ in more bits than blocks can tell.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.llm.shared import components, in_batches
@@ -23,14 +25,18 @@ from tickloom.session import cut_lineage
 BITS = 64
 #: 64-bit words of a wide fingerprint.
 WIDE = 4
-#: Keys of a wide fingerprint besides its blocks, of 16 bits each that lie anywhere in it.
-SAMPLES = 32
+#: Keys of a wide fingerprint besides its blocks, of 16 bits each that lie anywhere in it; with as
+#: many, nine tenths of the pairs at 40 bits share one. An exact join that follows needs fewer.
+SAMPLES, FEW_SAMPLES = 32, 8
 #: Nodes that should share a key by chance, as a power of two: keys get longer beyond that, and more of them.
 CROWD = 8
 #: Differing bits of a wide fingerprint: a candidate, and one so close that its links are made at once.
 WIDE_DISTANCE, WIDE_SURE = 56, 24
 #: Jaccard similarity of shingles that makes a candidate a near-duplicate.
 SIMILARITY = 0.8
+#: One of so many texts tells which shingles are common: those of so many of these, and at most so many.
+#: This sets an order of shingles only, and with it the work; results are the same in any order.
+COUNTED, COMMON, MOST_COMMON = 16, 4, 1 << 16
 #: Shingles whose bits are added up at once; nodes in a group that is not taken node by node.
 SLICE, FEW = 1 << 14, 12
 
@@ -39,48 +45,108 @@ def _words(text: str | None) -> list[bytes]:
     return text.encode().lower().split() if text else []
 
 
-def _bits(words: list[bytes], width: int, digest: Callable[[bytes], bytes]) -> bytes:
-    """Bits set in over half of the shingles' digests, little-endian; a shingle is ``width`` words, or all if there are fewer."""
+def _digests(words: list[bytes], width: int, digest: Callable[[bytes], bytes]) -> Iterator[np.ndarray]:
+    """Digests of the shingles, a row of bytes each, ``SLICE`` at once; a shingle is ``width`` words, or all if there are fewer."""
     flat = b" ".join(words)
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(sizes + 1) - 1
     starts, stops = (ends - sizes).tolist(), ends[min(width, len(words)) - 1 :].tolist()
-    ones = 0
     for at in range(0, len(stops), SLICE):
         made = b"".join([digest(flat[x:y]) for x, y in zip(starts[at : at + SLICE], stops[at : at + SLICE])])
-        part = np.frombuffer(made, np.uint8).reshape(min(SLICE, len(stops) - at), -1)
-        ones = ones + np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * ones > len(stops), bitorder="little").tobytes()
+        yield np.frombuffer(made, np.uint8).reshape(min(SLICE, len(stops) - at), -1)
+
+
+def _bits(digests: Iterator[np.ndarray]) -> bytes:
+    """Bits set in over half of the digests, little-endian."""
+    ones, count = 0, 0
+    for part in digests:
+        ones, count = ones + np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64), count + len(part)
+    return np.packbits(2 * ones > count, bitorder="little").tobytes()
 
 
 def fingerprint(text: str | None, width: int, seed: int = 42) -> int:
     """Signed 64 bits from XXH64. No words: 0."""
     words = _words(text)
-    found = _bits(words, width, lambda x: xxhash.xxh64_intdigest(x, seed).to_bytes(8, "little")) if words else b""
+    found = _bits(_digests(words, width, lambda x: xxhash.xxh64_intdigest(x, seed).to_bytes(8, "little"))) if words else b""
     return int.from_bytes(found, "little", signed=True)
 
 
-def wide_fingerprint(text: str | None, width: int) -> tuple[int, ...]:
-    """WIDE signed 64-bit words from two XXH3 digests of 128 bits. No words: 0."""
-    words = _words(text)
+def _long_digest(shingle: bytes) -> bytes:
+    return xxhash.xxh3_128_digest(shingle, 1) + xxhash.xxh3_128_digest(shingle, 2)
+
+
+def wide_fingerprint(text: str | None, width: int) -> tuple[tuple[int, ...], np.ndarray]:
+    """WIDE signed 64-bit words from two XXH3 digests of 128 bits, and the set of shingles as the first 64 of them. No words: 0."""
+    words, heads = _words(text), []
     if not words:
-        return (0,) * WIDE
-    found = _bits(words, width, lambda x: xxhash.xxh3_128_digest(x, 1) + xxhash.xxh3_128_digest(x, 2))
-    return tuple(np.frombuffer(found, "<i8").tolist())
+        return (0,) * WIDE, np.zeros(0, np.int64)
+
+    def noted() -> Iterator[np.ndarray]:
+        for part in _digests(words, width, _long_digest):
+            heads.append(part[:, :8].copy().view("<i8").ravel())
+            yield part
 
+    found = _bits(noted())
+    return tuple(np.frombuffer(found, "<i8").tolist()), np.unique(np.concatenate(heads))
 
-def fingerprints(docs: DataFrame, width: int, key: str = "doc_id", text: str = "text", wide: bool = False) -> DataFrame:
-    """(key, body, f0, ...) of every row, A-Z lower-cased, ``width`` words a shingle; body is a hash of the text."""
+
+def fingerprints(docs: DataFrame, width: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, body, f0) of every row, A-Z lower-cased, ``width`` words a shingle; body is a hash of the text."""
     rows = docs.select(F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("body"), F.col(text).alias("text"))
-    parts = [f"f{i}" for i in range(WIDE if wide else 1)]
 
     def hashed(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = batch.column("text").to_pylist()
-        found = [wide_fingerprint(x, width) if wide else (fingerprint(x, width),) for x in texts]
-        columns = [pa.array([f[i] for f in found], pa.int64()) for i in range(len(parts))]
-        return pa.RecordBatch.from_arrays([batch.column("key"), batch.column("body"), *columns], ["key", "body", *parts])
+        found = pa.array([fingerprint(x, width) for x in batch.column("text").to_pylist()], pa.int64())
+        return pa.RecordBatch.from_arrays([batch.column("key"), batch.column("body"), found], ["key", "body", "f0"])
+
+    return in_batches(rows, hashed, f"key {dict(rows.dtypes)['key']}, body long, f0 long")
 
-    return in_batches(rows, hashed, f"key {dict(rows.dtypes)['key']}, body long, " + ", ".join(f"{p} long" for p in parts))
+
+def prefix(found: np.ndarray, similarity: float, common: np.ndarray | None = None) -> np.ndarray:
+    """So many first shingles of a set, in one order for all sets, that any two sets that similar share one of them.
+
+    A set that is similar has ``similarity`` of these in common at least, and so one of all
+    but that many and one more. Common shingles come last in the order.
+    """
+    if common is not None and len(common):
+        last = common[np.minimum(np.searchsorted(common, found), len(common) - 1)] == found
+        found = np.concatenate([found[~last], found[last]])
+    return found[: len(found) - needed(len(found), similarity) + 1] if len(found) else found
+
+
+def needed(size: int, similarity: float) -> int:
+    """The least number of a set's shingles that a similar set holds."""
+    return math.ceil(similarity * size - 1e-9)
+
+
+def common_shingles(docs: DataFrame, width: int, text: str = "text", counted: int = COUNTED, least: int = COMMON) -> np.ndarray:
+    """Hashes of shingles that many texts hold, in order; at most ``MOST_COMMON``."""
+    chosen = docs.select(F.col(text).alias("text")).filter(F.pmod(F.xxhash64("text"), F.lit(counted)) == 0)
+
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([shingles(x, width) for x in batch.column("text").to_pylist()]))], ["token"])
+
+    counts = in_batches(chosen, cut, "token long").groupBy("token").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    top = counts.orderBy(F.desc("n"), "token").limit(MOST_COMMON).select("token").toArrow()
+    return np.sort(top.column("token").to_numpy())
+
+
+def wide_fingerprints(docs: DataFrame, width: int, similarity: float, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, body, f0, ..., id, size, prefix) of every row: id stands for its set of shingles, size is their number."""
+    rows = docs.select(F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("body"), F.col(text).alias("text"))
+    parts, common = [f"f{i}" for i in range(WIDE)], common_shingles(docs, width, text)
+
+    def hashed(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [wide_fingerprint(x, width) for x in batch.column("text").to_pylist()]
+        columns = [pa.array([f[i] for f, _ in found], pa.int64()) for i in range(WIDE)]
+        ids = pa.array([xxhash.xxh3_64_intdigest(x.tobytes(), 3) - (1 << 63) for _, x in found], pa.int64())
+        sizes = pa.array([len(x) for _, x in found], pa.int32())
+        first = pa.array([prefix(x, similarity, common) for _, x in found], pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays(
+            [batch.column("key"), batch.column("body"), *columns, ids, sizes, first], ["key", "body", *parts, "id", "size", "prefix"]
+        )
+
+    kinds = "".join(f"{p} long, " for p in parts)
+    return in_batches(rows, hashed, f"key {dict(rows.dtypes)['key']}, body long, {kinds}id long, size int, prefix array<long>")
 
 
 def block_masks(distance: int, blocks: int) -> list[int]:
@@ -218,11 +284,10 @@ def forests(
 
 
 def shingles(text: str | None, width: int) -> np.ndarray:
-    """The set of the text's shingles as 32-bit hashes."""
+    """The set of the text's shingles as 64-bit hashes, those of its wide fingerprint."""
     words = _words(text)
-    count = max(1, len(words) - width + 1) if words else 0
-    found = (xxhash.xxh32_intdigest(b" ".join(words[i : i + width])) for i in range(count))
-    return np.unique(np.fromiter(found, np.uint32, count)).view(np.int32)
+    found = [part.copy().view("<i8").ravel() for part in _digests(words, width, lambda x: xxhash.xxh3_128_digest(x, 1)[:8])] if words else []
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
 
 
 def alike(linked: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, similarity: float, key: str, text: str) -> DataFrame:
@@ -238,10 +303,10 @@ def alike(linked: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, simi
     found = texts.join(wanted, same).select("id", "text")
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = pa.array([shingles(x, width) for x in batch.column("text").to_pylist()], pa.list_(pa.int32()))
+        sets = pa.array([shingles(x, width) for x in batch.column("text").to_pylist()], pa.list_(pa.int64()))
         return pa.RecordBatch.from_arrays([batch.column("id"), sets], ["id", "set"])
 
-    sets = cut_lineage(in_batches(found, cut, "id long, set array<int>").dropDuplicates(["id"]))
+    sets = cut_lineage(in_batches(found, cut, "id long, set array<long>").dropDuplicates(["id"]))
     both = linked.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a")
     both = both.join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
@@ -249,6 +314,27 @@ def alike(linked: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, simi
     return both.filter(shared >= F.lit(similarity) * whole).select("a", "b")
 
 
+def across(sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of sets of different groups that may be that similar; none that is, is left out.
+
+    ``sets`` has id, root (the group), size and prefix. Similar sets share a shingle of their
+    prefixes (:func:`prefix`). A pair stays a candidate if what its prefixes share and all
+    that lies behind them would be enough.
+    """
+    placed = sets.select("id", "root", "size", F.explode("prefix").alias("token"))
+    held = Window.partitionBy("token")
+    ends = placed.withColumns({"__low": F.min("root").over(held), "__high": F.max("root").over(held)})
+    shared = cut_lineage(ends.filter("__low <> __high").drop("__low", "__high"))
+    one = shared.select("token", F.col("id").alias("a"), F.col("root").alias("__a"), F.col("size").alias("x"))
+    other = shared.select("token", F.col("id").alias("b"), F.col("root").alias("__b"), F.col("size").alias("y"))
+    pairs = one.join(other, "token").filter("a < b AND __a <> __b").filter(F.least("x", "y") >= F.lit(similarity - 1e-9) * F.greatest("x", "y"))
+    pairs = pairs.groupBy("a", "b", "x", "y").agg(F.count("*").alias("n"))
+    # One of the two prefixes ends first: all that both sets hold up to there, both prefixes hold.
+    behind = F.ceil(F.lit(similarity) * F.greatest("x", "y") - F.lit(1e-9)) - 1
+    enough = F.lit(similarity / (1 + similarity)) * (F.col("x") + F.col("y")) - F.lit(1e-6)
+    return pairs.filter(F.col("n") + behind >= enough).select("a", "b")
+
+
 def near_duplicates(
     docs: DataFrame, width: int = 5, distance: int | None = None, wide: bool = True, key: str = "doc_id", text: str = "text",
     similarity: float = SIMILARITY,
@@ -262,30 +348,37 @@ def near_duplicates(
     and become links if ``similarity`` of their shingles are the same. The keys are blocks of 16
     bits, one of which any pair of fewer than 16 differing bits shares, and choices of 16 bits
     from all. In tables of over 2**24 fingerprints the choices get a bit longer with every doubling,
-    and so many more that as many pairs share one; blocks are of 32 bits then.
-
-    Documents with equal fingerprints are one node, so that copies, however many, are counted
-    and not paired. Null and empty texts have fingerprint 0 and link like any other. Rows
-    with a null key keep it; they count for links, and a group of only such rows has a null
-    component. Rows that repeat a key get a row each. An empty table gives an empty result.
+    and so many more that as many pairs share one; blocks are of 32 bits then. What is as similar
+    but shares no key, or differs in more bits, is found by an exact join of the groups made so
+    far (:func:`across`), so that the groups are those of all pairs.
+
+    Documents with equal fingerprints, or of 256 bits with equal sets of shingles, are one node, so that
+    copies, however many, are counted and not paired. Null and empty texts have fingerprint 0 and link
+    like any other. Rows with a null key keep it; they count for links, and a group of only such rows has a
+    null component. Rows that repeat a key get a row each. An empty table gives an empty result.
     """
     if distance is None:
         distance = WIDE_DISTANCE if wide else 4
-    rows = cut_lineage(fingerprints(docs, width, key, text, wide))
-    words = rows.columns[2:]
-    node = F.xxhash64(*words) if wide else F.col("f0")
-    nodes = rows.select("key", "body", *words, node.alias("id")).groupBy("id", *words).agg(F.min(F.struct("key", "body")).alias("least"))
+    rows = cut_lineage(wide_fingerprints(docs, width, similarity, key, text) if wide else fingerprints(docs, width, key, text).withColumn("id", F.col("f0")))
+    words = [c for c in rows.columns if c in {f"f{i}" for i in range(WIDE)}]
     if wide:
-        nodes = cut_lineage(nodes)
+        nodes = rows.groupBy("id").agg(F.min(F.struct("key", "body", *words)).alias("at"))
+        nodes = cut_lineage(nodes.select("id", *[f"at.{w}" for w in words], F.struct("at.key", "at.body").alias("least")))
         longer = max(0, math.ceil(math.log2(max(1, nodes.count()))) - 16 - CROWD)
         # A bit more is alike in 0.85 of the pairs at 0.8.
-        keys = block_keys(32 if longer else 16) + sample_keys(math.ceil(SAMPLES / 0.85**longer), 16 + longer)
-        linked = cut_lineage(links(nodes.drop("least"), keys, distance, WIDE_SURE))
-        linked = alike(linked, nodes, docs, width, similarity, key, text)
+        keys = block_keys(32 if longer else 16) + sample_keys(math.ceil(FEW_SAMPLES / 0.85**longer), 16 + longer)
+        linked = cut_lineage(links(nodes.select("id", *words), keys, distance, WIDE_SURE))
+        close = components(alike(linked, nodes, docs, width, similarity, key, text))
+        grouped = nodes.select("id").join(close.withColumnsRenamed({"node": "id", "component": "root"}), "id", "left")
+        # Rows of one id have one prefix.
+        sets = rows.groupBy("id").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"))
+        far = cut_lineage(across(sets.join(grouped.withColumn("root", F.coalesce("root", "id")), "id"), similarity))
+        linked = close.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(alike(far, nodes, docs, width, similarity, key, text))
     else:
+        nodes = rows.groupBy("id", *words).agg(F.min(F.struct("key", "body")).alias("least"))
         linked = links(nodes.drop("least"), mask_keys(distance, distance + 2), distance)
     groups = components(linked).select(F.col("node").alias("id"), F.col("component").alias("root"))
     rooted = nodes.select("id", F.col("least.key").alias("least")).join(groups, "id", "left").withColumn("root", F.coalesce("root", "id"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component"))
     named = rooted.join(least, "root").select("id", "component")
-    return rows.withColumn("id", node).join(named, "id").select(F.col("key").alias(key), *words, "component")
+    return rows.join(named, "id").select(F.col("key").alias(key), *words, "component")
