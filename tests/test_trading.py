@@ -361,3 +361,15 @@ def test_no_strategy_means_moving_average_rule(spark):
     quotes = spark.createDataFrame([("A", None)], "code string, price double")
     out = lv.score_quotes(quotes, lv.live_state(live_bars(spark)), ()).collect()
     assert [r["strategy"] for r in out] == ["ma_fallback"]
+
+
+def test_one_search_for_several_crossings(spark, monkeypatch):
+    """A row per search, whatever the number of conditions; it ends with the block in which a final one is met."""
+    monkeypatch.setattr(crossings, "FAN", 4)
+    series = [5.0, 6.0, 7.0, 3.0, 8.0, 2.0, 9.0, 9.0, 1.0, 9.0, 9.0, 9.0, 9.0, 9.0, 9.0, 9.0, 9.0, 0.0]
+    df = spark.createDataFrame([("A", i, x) for i, x in enumerate(series)], "code string, idx long, x double")
+    searches = spark.createDataFrame([("A", 0, 4.0), ("A", 4, 1.5), ("A", 4, 0.5), ("A", 9, -1.0), ("B", 0, 4.0)], "code string, start long, low double")
+    conditions = {"under": lambda lo, hi: lo <= F.col("low"), "over": lambda lo, hi: hi >= 6.5}
+    found = crossings.first_of_each(searches, crossings.tree(df, "code"), "code", conditions, ["under"]).collect()
+    want = {("A", 4.0, 3, 2), ("A", 1.5, 8, 4), ("A", 0.5, 17, 4), ("A", -1.0, None, 9), ("B", 4.0, None, None)}
+    assert len(found) == 5 and {(r.code, r.low, r.under, r.over) for r in found} == want

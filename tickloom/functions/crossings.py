@@ -3,13 +3,13 @@
 A series is cut into blocks of ``FAN`` values with their low and high, blocks into blocks of
 blocks, and so on. A search looks through the rest of its own block, then through the rest of
 the block's block, upwards until some block may hold the answer, and then down again into
-that one. Every step is an equi-join with at most ``FAN`` rows of one block, so that work
+that one. Every step is an equi-join with one block, a row of at most ``FAN`` values, so that work
 grows with the logarithm of a series' length, and no series is held by a row or a task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,36 +40,56 @@ def first_where(
     searches: DataFrame, levels: Sequence[DataFrame], key: str, ids: Sequence[str], meets: Callable[[Column, Column], Column],
     fan: int | None = None,
 ) -> DataFrame:
-    """``ids`` and ``found``, the smallest idx at or after ``start`` that meets the condition; searches without one leave.
+    """``ids`` and ``found``, the smallest idx at or after ``start`` that meets the condition; searches without one leave."""
+    return first_of_each(searches, levels, key, {"found": meets}, ["found"], fan).filter("found IS NOT NULL").select(*ids, "found")
 
-    ``searches`` has key, ids, start and what the condition reads. ``meets(lo, hi)`` says of a
+
+def first_of_each(
+    searches: DataFrame, levels: Sequence[DataFrame], key: str, meets: Mapping[str, Callable[[Column, Column], Column]],
+    final: Sequence[str], fan: int | None = None,
+) -> DataFrame:
+    """``searches`` and, for each condition, the smallest idx at or after ``start`` that meets it; null for none.
+
+    ``searches`` has key, start and what the conditions read. A condition ``(lo, hi)`` says of a
     block by its low and high whether a value in it meets the condition; for a single value
-    both are the value itself. ids tell searches apart.
+    both are the value itself. A search ends with the block in which one of the ``final``
+    conditions is met first; others that are not met up to that block's end stay null.
     """
     fan = fan or FAN
-    columns = searches.columns
-    state = searches.withColumn("start", F.col("start").cast("long"))
+    columns, names = [c for c in searches.columns if c != "start"], list(meets)
+    at = F.col("start").cast("long")
+    state = searches.withColumns({"start": at, **{n: F.lit(None).cast("long") for n in names}})
+    met = F.coalesce(*final).isNotNull()
     done: list[DataFrame] = []
     for height, level in enumerate(levels):
-        rows = level.withColumnsRenamed({key: "__key", "idx": "__idx", "block": "__block", "lo": "__lo", "hi": "__hi"})
-        here = (F.col(key) == F.col("__key")) & (F.floor(F.col("start") / fan).cast("long") == F.col("__block"))
-        hit = (F.col("__idx") >= F.col("start")) & meets(F.col("__lo"), F.col("__hi"))
-        best = state.join(rows, here & hit).groupBy(*ids).agg(F.min("__idx").alias("found"))
-        looked = cut_lineage(state.join(best, list(ids), "left").select(*columns, "found"))
-        done.append(_descend(looked.filter("found IS NOT NULL"), levels[:height], key, ids, meets))
+        looked = _look(state, level, key, F.floor(F.col("start") / fan).cast("long"), {f"__{n}": test for n, test in meets.items()}, F.col("start"))
+        if height:
+            looked = cut_lineage(looked)
+        for lower in reversed(levels[:height]):
+            for n, test in meets.items():
+                # What was found before needs no block.
+                looked = _look(looked, lower, key, F.when(F.col(n).isNull(), F.col(f"__{n}")), {f"__{n}": test})
+        looked = looked.withColumns({n: F.coalesce(n, f"__{n}") for n in names}).drop(*[f"__{n}" for n in names])
+        looked = cut_lineage(looked)
+        done.append(looked.filter(met))
         # The next level goes on with the block after this one.
-        state = looked.filter("found IS NULL").drop("found").withColumn("start", F.floor(F.col("start") / fan).cast("long") + 1)
-    out = done[0]
-    for more in done[1:]:
+        state = looked.filter(~met).withColumn("start", F.floor(F.col("start") / fan).cast("long") + 1)
+    out = state
+    for more in done:
         out = out.unionByName(more)
-    return out
+    return out.select(*columns, *names)
+
+
+def _look(
+    state: DataFrame, level: DataFrame, key: str, block: Column, meets: Mapping[str, Callable[[Column, Column], Column]], start: Column | None = None,
+) -> DataFrame:
+    """``state`` with the smallest idx of its block, from ``start`` on, that meets each condition."""
+    rows = F.collect_list(F.struct("idx", "lo", "hi")).alias("__rows")
+    blocks = level.groupBy(F.col(key).alias("__key"), F.col("block").alias("__block")).agg(rows)
+    joined = state.withColumn("__at", block).join(blocks, (F.col(key) == F.col("__key")) & (F.col("__at") == F.col("__block")), "left")
 
+    def least(test):
+        met = F.filter("__rows", lambda x: test(x["lo"], x["hi"]) if start is None else (x["idx"] >= start) & test(x["lo"], x["hi"]))
+        return F.array_min(F.transform(met, lambda x: x["idx"]))
 
-def _descend(at: DataFrame, levels: Sequence[DataFrame], key: str, ids: Sequence[str], meets) -> DataFrame:
-    """From a block that holds the answer down to the value."""
-    for level in reversed(levels):
-        rows = level.withColumnsRenamed({key: "__key", "idx": "__idx", "block": "__block", "lo": "__lo", "hi": "__hi"})
-        inside = (F.col(key) == F.col("__key")) & (F.col("found") == F.col("__block")) & meets(F.col("__lo"), F.col("__hi"))
-        best = at.join(rows, inside).groupBy(*ids).agg(F.min("__idx").alias("__next"))
-        at = at.join(best, list(ids)).withColumn("found", F.col("__next")).drop("__next")
-    return at.select(*ids, "found")
+    return joined.withColumns({n: least(test) for n, test in meets.items()}).drop("__key", "__block", "__rows", "__at")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
-from tickloom.functions.crossings import first_where, tree
+from tickloom.functions.crossings import first_of_each, first_where, tree
 from tickloom.functions.num import as_col, div
 from tickloom.functions.scan import (
     ordered_fold,
@@ -375,38 +375,34 @@ def exit_scan(
     cases = entries.select(*keys).distinct().join(known, ["code", "entry_date"]).filter(F.col("cost") > TINY)
     first = numbered.select("code", F.col("idx").alias("__first"), "top")
     cases = cases.withColumn("__first", F.col("__last") + n).join(first, ["code", "__first"])
-    cases = cut_lineage(cases.withColumn("open", F.greatest("top", "cost")))
+    cases = cases.select(*keys, "top", F.greatest("top", "cost").alias("open"), F.col("__first").alias("start"))
 
-    rules = F.array(
-        F.struct(F.lit("stop_loss").alias("rule"), F.col("__first").alias("start")),
-        F.struct(F.lit("take_profit").alias("rule"), F.col("__first").alias("start")),
-        F.struct(F.lit("above").alias("rule"), (F.col("__first") + 1).alias("start")),
-        F.struct(F.when(F.col("top") > F.col("cost"), "open").alias("rule"), F.col("__first").alias("start")),
-    )
-    searches = cases.select(*keys, "open", F.explode(rules).alias("r")).select(*keys, "open", "r.rule", "r.start").filter("rule IS NOT NULL")
     change = lambda price: div(price - F.col("cost"), "cost")
-
-    def meets(lo: Column, hi: Column) -> Column:
-        rule = F.col("rule")
-        return (
-            F.when(rule == "stop_loss", change(lo) <= -stop).when(rule == "take_profit", change(hi) >= take)
-            .when(rule == "above", hi > F.col("open")).otherwise(_fall("open", lo) >= trail)
-        )
-
-    found = first_where(searches, levels, "code", [*keys, "rule"], meets)
-    trailed = trailing_exits(closes, trail).withColumnRenamed("idx", "found")
-    above = found.filter("rule = 'above'").join(trailed, ["code", "found"]).filter("out IS NOT NULL")
-    hits = found.filter("rule <> 'above'").unionByName(above.select(*keys, "rule", F.col("out").alias("found")))
+    # The watermark holds the first close, so that none of these is met before the first bar.
+    rules = {
+        "stop_loss": lambda lo, hi: change(lo) <= -stop,
+        "take_profit": lambda lo, hi: change(hi) >= take,
+        "opened": lambda lo, hi: (F.col("top") > F.col("cost")) & (_fall("open", lo) >= trail),
+        "above": lambda lo, hi: hi > F.col("open"),
+    }
+    final = ["stop_loss", "take_profit", "opened"]
+    found = first_of_each(cases, levels, "code", rules, final).select(*keys, *rules)
+    trailed = trailing_exits(closes, trail).select("code", F.col("idx").alias("above"), "out")
+    # A rise above the watermark counts if it comes before the other exits.
+    rising = F.coalesce(F.col("above") < F.least(*final, F.lit(LAST_BAR + 1)), F.lit(False))
+    risen = found.filter(rising).join(trailed, ["code", "above"], "left")
+    found = risen.unionByName(found.filter(~rising).withColumn("out", F.lit(None).cast("long")))
     # Of rules met at one close the first in this order counts.
-    order = F.when(F.col("rule") == "stop_loss", 0).when(F.col("rule") == "take_profit", 1).otherwise(2)
-    hits = hits.select(*keys, "found", order.alias("order"))
+    met = lambda at, order: F.when(F.col(at).isNotNull(), F.struct(F.col(at).alias("found"), F.lit(order).alias("order")))
+    hit = F.array_min(F.array(met("stop_loss", 0), met("take_profit", 1), met("opened", 2), met("out", 2)))
+    best = found.select(*keys, hit.alias("__hit")).filter("__hit IS NOT NULL")
     if min_holding_bars == 0:
         # The entry day's own close, against the cost alone.
         own = closes.select("code", F.col("date").alias("entry_date"), F.col("idx").alias("found"), "close")
         own = entries.select(*keys).distinct().filter(F.col("cost") > TINY).join(own, ["code", "entry_date"])
-        met = F.when(change(F.col("close")) <= -stop, 0).when(change(F.col("close")) >= take, 1)
-        hits = hits.unionByName(own.select(*keys, "found", met.alias("order")).filter("order IS NOT NULL"))
-    best = hits.groupBy(*keys).agg(F.min(F.struct("found", "order")).alias("__hit"))
+        order = F.when(change(F.col("close")) <= -stop, 0).when(change(F.col("close")) >= take, 1)
+        own = own.select(*keys, "found", order.alias("order")).filter("order IS NOT NULL").select(*keys, F.struct("found", "order").alias("__hit"))
+        best = best.unionByName(own).groupBy(*keys).agg(F.min("__hit").alias("__hit"))
     event = F.element_at(F.array(*[F.lit(x) for x in ("stop_loss", "take_profit", "trailing_stop")]), F.col("__hit.order") + 1)
     best = best.select(*keys, F.col("__hit.found").alias("idx"), event.alias("exit_event"))
     dated = best.join(closes, ["code", "idx"]).select(*keys, "exit_event", F.col("date").alias("exit_date"), F.col("close").alias("exit_price"))
