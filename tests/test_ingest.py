@@ -229,3 +229,25 @@ def test_panel_over_a_bucketed_table_needs_no_exchange(spark, tmp_path):
     finally:
         spark.sql("DROP TABLE bars_in_buckets")
         bars.unpersist()
+
+
+def test_a_load_works_each_source_out_once(spark):
+    """Sources are plans: one that several branches read would be worked out for each of them."""
+    days = [dt.date(2023, 1, 2) + dt.timedelta(days=i) for i in range(20)]
+    rows = [(c, d, 10.0, 10.5, 9.5, 10.0, 100, 1000.0) for c in ("000001", "000002") for d in days]
+    source = spark.createDataFrame(rows, "code string, date date, open double, high double, low double, close double, volume long, amount double")
+    worked = [spark.sparkContext.accumulator(0) for _ in range(3)]
+
+    def counted(df, acc):
+        def one(x):
+            acc.add(1)
+            return x
+
+        return df.withColumn("code", F.udf(one, "string").asNondeterministic()("code"))
+
+    a, b, c = (counted(source, acc) for acc in worked)
+    b = b.withColumn("turnover", F.lit(1.0))
+    names = source.select("code").distinct()
+    table, log = mg.ingest(a, b, c, source.filter("code = 'none'").select("code", "date", "close"), names, F.lit("2023-01-31").cast("date"))
+    assert table.count() == 40 and {r.status for r in log.collect()} == {"success"}
+    assert [acc.value <= 40 for acc in worked] == [True] * 3

@@ -119,13 +119,17 @@ def _missing(stored_dates: DataFrame, universe: DataFrame, as_of: Column, force_
 
 
 def _delivered(primary: DataFrame, secondary: DataFrame, tertiary: DataFrame, span: DataFrame) -> DataFrame:
-    """The missing rows of every code from the first source that has it, tagged ``source``; stored once."""
+    """The missing rows of every code from the first source that has it, tagged ``source``; stored once.
+
+    The first two sources are read several times, so what is wanted of them is stored too:
+    each source is worked out once.
+    """
     due = span.filter("NOT fresh").select("code", "start_date", "end_date")
 
     def wanted(df):
         return df.join(due, "code").filter("date BETWEEN start_date AND end_date").drop("start_date", "end_date")
 
-    a, b, c = wanted(primary), wanted(secondary), wanted(tertiary)
+    a, b, c = cut_lineage(wanted(primary)), cut_lineage(wanted(secondary)), wanted(tertiary)
     dual = merge_dual(a, b)
     has_b = b.select("code").distinct().withColumn("__b", F.lit(True))
     dual = dual.join(has_b, "code", "left").withColumn(

@@ -679,8 +679,9 @@ def load_inputs(spark, d):
     today = bars.filter("date < '2001-09-01'").join(ahead, "code", "left_semi").select("code").distinct()
     current = today.select("code", F.lit("2001-08-31").cast("date").alias("date"))
     stored = stored.unionByName(current, allowMissingColumns=True)
-    a = v.src_a(spark, d).select(*cols)
-    b = v.src_b(spark, d).select(*cols, "turnover", "pct_change").join(s.filter("s_nationkey >= 5"), "code", "left_semi")
+    vendors = v.stored_source(spark, d)
+    a = v.src_a(spark, d, vendors).select(*cols)
+    b = v.src_b(spark, d, vendors).select(*cols, "turnover", "pct_change").join(s.filter("s_nationkey >= 5"), "code", "left_semi")
     c = bars.join(s.filter("s_nationkey >= 3"), "code", "left_semi")
     return a, b, c, stored, s, F.lit("2001-09-01").cast("date")
 

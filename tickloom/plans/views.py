@@ -34,17 +34,20 @@ def price():
 
 
 def _bars(lines: DataFrame, date, *extra) -> DataFrame:
+    # A line's place tells its price, so the first and last place are all that is shuffled of both ends.
     px, at = price(), line_order()
-    return (
-        lines.groupBy(F.col("l_suppkey").alias("code"), date.alias("date"), *extra)
-        .agg(
-            F.min_by(px, at).alias("open"),
-            F.max(px).alias("high"),
-            F.min(px).alias("low"),
-            F.max_by(px, at).alias("close"),
-            F.sum("l_quantity").cast("long").alias("volume"),
-            F.sum("l_extendedprice").alias("amount"),
-        )
+    ends = lines.groupBy(F.col("l_suppkey").alias("code"), date.alias("date"), *extra).agg(
+        F.min(at).alias("first"),
+        F.max(px).alias("high"),
+        F.min(px).alias("low"),
+        F.max(at).alias("last"),
+        F.sum("l_quantity").cast("long").alias("volume"),
+        F.sum("l_extendedprice").alias("amount"),
+    )
+    opened, closed = (div(f"{end}.l_extendedprice", f"{end}.l_quantity") for end in ("first", "last"))
+    kept = [c for c in ends.columns if c not in ("code", "date", "first", "high", "low", "last", "volume", "amount")]
+    return ends.select(
+        "code", "date", *kept, opened.alias("open"), "high", "low", closed.alias("close"), "volume", "amount"
     )
 
 
@@ -77,15 +80,20 @@ def source_bars(spark, sf_dir) -> DataFrame:
     )
 
 
-def src_a(spark, sf_dir) -> DataFrame:
+def stored_source(spark, sf_dir) -> DataFrame:
+    """Both vendors' bars written once, for queries that read both."""
+    return cut_lineage(source_bars(spark, sf_dir))
+
+
+def src_a(spark, sf_dir, bars: DataFrame | None = None) -> DataFrame:
     """Primary vendor: no extension columns, and half of the codes are absent from it."""
-    b = source_bars(spark, sf_dir).filter("vendor = 'F'").drop("vendor", "turnover", "pct_change")
+    b = (source_bars(spark, sf_dir) if bars is None else bars).filter("vendor = 'F'").drop("vendor", "turnover", "pct_change")
     rich = table(spark, sf_dir, "supplier").filter("s_acctbal >= 0")
     return b.join(rich, b.code == rich.s_suppkey, "left_semi")
 
 
-def src_b(spark, sf_dir) -> DataFrame:
-    return source_bars(spark, sf_dir).filter("vendor = 'O'").drop("vendor")
+def src_b(spark, sf_dir, bars: DataFrame | None = None) -> DataFrame:
+    return (source_bars(spark, sf_dir) if bars is None else bars).filter("vendor = 'O'").drop("vendor")
 
 
 def trades(spark, sf_dir) -> DataFrame:
