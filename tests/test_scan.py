@@ -143,6 +143,19 @@ def test_average_cost_equals_ledger(spark, room, monkeypatch, levels, scale):
         assert got[i][0] == held and got[i][1] == pytest.approx(cost, abs=1e-9)
 
 
+def test_average_cost_of_whole_codes_moves_trades_once(spark, monkeypatch):
+    stored = []
+
+    def spy(df):
+        stored.append(df.count())
+        return df
+
+    monkeypatch.setattr(pf, "cut_lineage", spy)
+    out = pf.average_cost(spark.createDataFrame(random_trades(7), TRADES).repartition(3), ["day", "part"], ["i"])
+    assert sum(stored) == 0
+    assert out.count() == 500
+
+
 @pytest.mark.parametrize("seed", range(6))
 @pytest.mark.parametrize("slices", [1, 2, 5])
 def test_spaced_picks_equal_fold(spark, seed, slices):

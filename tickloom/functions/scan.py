@@ -42,8 +42,7 @@ def sliced(
     """
     if not levels:
         return df, [], list(order)
-    counts = df.groupBy(*keys).agg(F.count("*").alias("__n"))
-    large = cut_lineage(counts.filter(F.col("__n") > (room or ROOM)).select(*keys, F.lit(True).alias("__large")))
+    large = _large(df, keys, room)
     kinds, cuts = dict(df.dtypes), [f"__cut_{c}" for c in levels]
     whole = {c: F.lit("1970-01-01" if kinds[c].startswith(("date", "timestamp")) else "0").cast(kinds[c]) for c in levels}
     own = {cut: F.when(F.col("__large"), F.col(c)).otherwise(whole[c]) for cut, c in zip(cuts, levels)}
@@ -52,6 +51,26 @@ def sliced(
     return out, cuts, [*levels, *order]
 
 
+def _large(df: DataFrame, keys: Sequence[str], room: int | None) -> DataFrame:
+    counts = df.groupBy(*keys).agg(F.count("*").alias("__n"))
+    return cut_lineage(counts.filter(F.col("__n") > (room or ROOM)).select(*keys, F.lit(True).alias("__large")))
+
+
+def parted(
+    df: DataFrame, keys: Sequence[str], levels: Sequence[str], order: Sequence[str], room: int | None = None
+) -> tuple[DataFrame, DataFrame, list[str], list[str]]:
+    """``df`` in two: keys that one task takes whole, dealt by key, and those to be cut, dealt by slice.
+
+    Also the names of the levels that cut, and the order in a key. Without levels all keys are whole.
+    """
+    if not levels:
+        return df, df.limit(0), [], list(order)
+    large = _large(df, keys, room)
+    whole = df.join(large, list(keys), "left_anti")
+    cut = df.join(large.drop("__large"), list(keys), "left_semi").repartition(*keys, *levels)
+    return whole, cut, list(levels), [*levels, *order]
+
+
 def running_sums(
     df: DataFrame,
     keys: Sequence[str],

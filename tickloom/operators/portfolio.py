@@ -17,6 +17,7 @@ from tickloom.functions.crossings import first_of_each, first_where, tree
 from tickloom.functions.num import as_col, div
 from tickloom.functions.scan import (
     ordered_fold,
+    parted,
     running_max,
     running_sums,
     sliced,
@@ -194,39 +195,84 @@ def average_cost(trades: DataFrame, levels: Sequence[str], order: Sequence[str])
     ``SCALE``; of what was bought before a stretch, only the stretch just before it still
     counts in double precision. A sell leaves the cost as it is, down to nothing held.
     """
-    # The first two scans run over the same slices in the same order, so that they share an exchange.
-    t, levels, order = sliced(trades, ["code"], levels, order)
-    b = _booked(t, levels, order, ["code"])
+    whole, cut, levels, along = parted(trades, ["code"], levels, order)
+    columns = [*trades.columns, "held", "covered", "avg_cost"]
+    in_slices = _cost_in_slices(cut, levels, along).select(*columns)
+    return _cost_of_whole(whole, along).select(*columns).unionByName(in_slices)
+
+
+def _shrinking(booked: DataFrame) -> DataFrame:
+    """Adds what was held before a trade, whether the trade sells all of it, and ln of how far it shrinks."""
     before = F.col("held") + F.when(is_buy(), -F.col("qty")).otherwise(F.col("covered"))
     gone = ~is_buy() & (F.col("held") <= 0) & (before > 0)
     shrunk = F.when(~is_buy() & ~gone & (before > 0), F.log(F.col("held") / before)).otherwise(0.0)
-    b = b.withColumns({"__gone": gone.cast("long"), "__ln": shrunk, "__was": before}).drop("run_buy")
-    # Both sums at once; a stretch starts anew after everything was sold.
-    b = cut_lineage(running_sums(b, ["code"], levels, order, ["__gone", "__ln"]))
-    b = b.withColumn("__life", F.col("run___gone") - F.col("__gone"))
+    return booked.withColumns({"__gone": gone.cast("long"), "__ln": shrunk, "__was": before})
+
+
+def _stretches(summed: DataFrame) -> DataFrame:
+    """Adds the life and the stretch a trade is in, D on the stretch's scale, and what was paid on it."""
     start = F.floor(-F.col("run___ln") / F.lit(SCALE))
+    b = summed.withColumn("__life", F.col("run___gone") - F.col("__gone"))
     b = b.withColumns({"__part": start, "__scale": F.exp(F.col("run___ln") + start * F.lit(SCALE))})
-    paid = F.when(is_buy(), F.col("price") * F.col("qty") / F.col("__scale")).otherwise(0.0)
+    return b.withColumn("__paid", F.when(is_buy(), F.col("price") * F.col("qty") / F.col("__scale")).otherwise(0.0))
+
+
+def _basis() -> Column:
+    """What is held cost: what was paid in this stretch and what is left of the one before."""
+    carried = F.coalesce(F.col("__old") * F.exp(F.col("run___ln") - F.col("__old_ln")), F.lit(0.0))
+    return F.col("__scale") * F.col("run___paid") + carried
+
+
+def _priced() -> Column:
+    """A trade that sells everything is priced as held before it."""
+    gone = F.col("__gone") > 0
+    return F.coalesce(div(_basis(), F.when(gone, F.col("__was")).otherwise(F.col("held"))), F.lit(0.0))
+
+
+def _idle() -> Column:
+    """Sells of nothing repeat the cost before them: it is the cost at the end of the last life."""
+    return ~is_buy() & (F.col("__was") <= 0)
+
+
+def _cost_of_whole(trades: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Average cost of codes that one task takes whole: windows only, one exchange by code and two sorts.
+
+    Life and stretch never fall along a code's trades, so that an order that begins with them is the same one.
+    """
+    b = _shrinking(_booked(trades, [], order, ["code"])).drop("run_buy", "sold_upto")
+    b = _stretches(running_sums(b, ["code"], [], order, ["__gone", "__ln"]))
+    b = running_sums(b, ["code", "__life", "__part"], [], order, ["__paid"]).drop("__paid")
+    life = Window.partitionBy("code", "__life").orderBy("__part", *order)
+    code = Window.partitionBy("code").orderBy("__life", "__part", *order)
+    before = Window.unboundedPreceding, -1
+    end = F.struct((F.col("__scale") * F.col("run___paid")).alias("paid"), F.col("run___ln").alias("ln"))
+    ends = F.coalesce(F.lead("__part").over(life) > F.col("__part"), F.lit(False))
+    b = b.withColumn("__end", F.when(ends, end))
+    b = b.withColumn("__old", F.last("__end", ignorenulls=True).over(life.rowsBetween(*before)))
+    b = b.withColumns({"__old": F.col("__old.paid"), "__old_ln": F.col("__old.ln")})
+    b = b.withColumn("__closing", F.when(F.col("__gone") > 0, div(_basis(), "__was")))
+    b = b.withColumn("__closing", F.last("__closing", ignorenulls=True).over(code.rowsBetween(*before)))
+    return b.withColumn("avg_cost", F.when(_idle(), F.coalesce("__closing", F.lit(0.0))).otherwise(_priced()))
+
+
+def _cost_in_slices(trades: DataFrame, levels: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Average cost of codes cut by ``levels``."""
+    # The first two scans run over the same slices in the same order, so that they share an exchange.
+    b = _shrinking(_booked(trades, levels, order, ["code"])).drop("run_buy")
+    # Both sums at once; a stretch starts anew after everything was sold.
+    b = _stretches(cut_lineage(running_sums(b, ["code"], levels, order, ["__gone", "__ln"])))
     group = ["code", "__life", "__part"]
-    b = cut_lineage(running_sums(b.withColumn("__paid", paid), group, levels, order, ["__paid"]))
+    b = cut_lineage(running_sums(b, group, levels, order, ["__paid"]))
     # ln D never rises, so the least of a stretch is that at its end.
     ends = b.groupBy(*group).agg((F.min("__scale") * F.sum("__paid")).alias("__end"), F.min("run___ln").alias("__end_ln"))
     w = Window.partitionBy("code", "__life").orderBy("__part")
     ends = ends.select(*group, F.lag("__end").over(w).alias("__old"), F.lag("__end_ln").over(w).alias("__old_ln"))
     b = b.join(ends, group)
-    carried = F.coalesce(F.col("__old") * F.exp(F.col("run___ln") - F.col("__old_ln")), F.lit(0.0))
-    basis = F.col("__scale") * F.col("run___paid") + carried
-    # A trade that sells everything is priced as held before it.
-    out = b.withColumn("avg_cost", F.coalesce(div(basis, F.when(gone, F.col("__was")).otherwise(F.col("held"))), F.lit(0.0)))
-    # Sells of nothing repeat the cost before them: it is the cost at the end of the last life.
-    idle = ~is_buy() & (F.col("__was") <= 0)
-    closing = b.filter(gone).select(
-        "code", (F.col("__life") + 1).alias("__life"), div(basis, "__was").alias("__closing")
-    )
-    out = out.join(closing, ["code", "__life"], "left").withColumn(
-        "avg_cost", F.when(idle, F.coalesce("__closing", F.lit(0.0))).otherwise(F.col("avg_cost"))
+    closing = b.filter("__gone > 0").select(
+        "code", (F.col("__life") + 1).alias("__life"), div(_basis(), "__was").alias("__closing")
     )
-    return out.select(*trades.columns, "held", "covered", "avg_cost")
+    out = b.withColumn("avg_cost", _priced()).join(closing, ["code", "__life"], "left")
+    return out.withColumn("avg_cost", F.when(_idle(), F.coalesce("__closing", F.lit(0.0))).otherwise(F.col("avg_cost")))
 
 
 # ---------------------------------------------------------------- valuation
