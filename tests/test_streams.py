@@ -224,6 +224,20 @@ def test_merged_signals_as_a_stream(spark, tmp_path):
     state.unpersist()
 
 
+def test_votes_are_made_after_the_last_quote_of_a_scan_is_chosen(spark):
+    """No state holds a row per strategy: both choices of a last quote lie below the step that makes votes."""
+    from test_trading import live_bars
+
+    from tickloom.operators.live import live_state
+
+    made = live_state(live_bars(spark))
+    state = spark.createDataFrame(made.collect(), made.schema)
+    quotes = spark.createDataFrame([r for rows in _quotes(random.Random(3), 2) for r in rows], "code string, ts timestamp, price double, event_id long")
+    plan = scans.merged_signals(quotes, state, tie="event_id")._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("Generate explode")
+    assert above.count("Aggregate [") == 1 and below.count("Aggregate [") == 2
+
+
 def test_a_repeated_batch_is_not_split_twice(spark, tmp_path):
     from tickloom.streaming.state import publish
 

@@ -236,6 +236,12 @@ LIVE = {
 }
 
 
+def scorable(quotes: DataFrame, state: DataFrame) -> DataFrame:
+    """The quotes that :func:`score_quotes` gives rows for; all strategies vote on each of them."""
+    known = state.filter(F.col("n_rows") >= MIN_ROWS).select("code", "close")
+    return quotes.join(known, "code").filter(price_or_close("price", "close") > 0).drop("close")
+
+
 def score_quotes(
     quotes: DataFrame, state: DataFrame, strategies: Sequence[str] = tuple(LIVE), params=PARAMS
 ) -> DataFrame:

@@ -2,8 +2,9 @@
 
 Two steps. The first keeps quotes that come too late aside, so that nothing vanishes in a
 watermark. The second is one query of three stateful operators: last quote per code and
-minute, last vote per strategy and scan, merged votes per scan. Each passes the event time of
-its windows on, so that one watermark closes minutes, votes and scans in turn.
+minute, last of these per scan, merged votes on it. Each passes the event time of its windows
+on, so that one watermark closes minutes, scans and votes in turn. Quotes are scored after the
+second one, so that no state holds a row per strategy.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tickloom.operators import votes as vt
-from tickloom.operators.live import score_quotes
+from tickloom.operators.live import scorable, score_quotes
 from tickloom.streaming.quotes import LATENESS, RECOMPUTE_EVERY, SCAN_EVERY, last_per_window
 from tickloom.streaming.state import KeyedState, publish
 
@@ -77,8 +78,10 @@ def merged_signals(
         quotes = quotes.withWatermark("ts", lateness)
     last = last_per_window(quotes, minute, tie)
     names = {} if strategies is None else {"strategies": tuple(strategies)}
-    scored = score_quotes(last, state, **names).withColumn("at", F.window_time("window"))
-    row = F.struct("place", "side", "score", "reason")
-    votes = scored.groupBy("code", F.window("at", scan).alias("scan"), "strategy").agg(F.max_by(row, F.col("window.start")).alias("v"))
-    gated = vt.gate(votes.select("code", "scan", "strategy", "v.*"), min_score)
+    # Every strategy votes on every quote that can be scored, so its last vote of a scan is that on the scan's last such quote.
+    heard = scorable(last, state).withColumn("at", F.window_time("window"))
+    values = [c for c in last.columns if c not in ("code", "window")]
+    final = heard.groupBy("code", F.window("at", scan).alias("scan")).agg(F.max_by(F.struct(*values), F.col("window.start")).alias("q"))
+    votes = score_quotes(final.select("code", "scan", "q.*"), state, **names)
+    gated = vt.gate(votes.select("code", "scan", "strategy", "place", "side", "score", "reason"), min_score)
     return vt.merge_votes(gated, ["code", "scan"], rule, min_score)
