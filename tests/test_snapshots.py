@@ -99,6 +99,22 @@ def test_reading_opens_only_files_that_can_hold_the_rows(spark, tmp_path):
     assert len(few.inputFiles()) == 1 and few.count() == 11
 
 
+def test_several_tasks_write_a_large_file(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(snapshots, "PART_ROWS", 40)
+    whole = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(whole, False)
+    path, codes = str(tmp_path / "t"), names(range(50))
+    snapshots.change(bars(spark, codes, range(20)), path)
+    snapshots.change(bars(spark, codes[10:40], range(15, 25), 5), path)
+    spark.conf.unset(whole)
+    want = {(c, d): x for c, d, x in rows(bars(spark, codes, range(20)))}
+    want |= {(c, d): x for c, d, x in rows(bars(spark, codes[10:40], range(15, 25), 5))}
+    assert rows(snapshots.read(spark, path)) == sorted((c, d, x) for (c, d), x in want.items())
+    (f,) = files(spark, path).values()
+    assert (f.rows, f.min_code, f.max_code, f.min_date, f.max_date) == (len(want), codes[0], codes[-1], day(0), day(24))
+    assert len(snapshots.read(spark, path).inputFiles()) > 1
+
+
 def test_empty_loads_and_new_columns(spark, tmp_path):
     path = str(tmp_path / "t")
     with pytest.raises(ValueError):

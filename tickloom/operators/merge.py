@@ -6,7 +6,7 @@ window: copies of one key are reduced before the shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,19 +57,20 @@ def enrich(stored: DataFrame, fresh: DataFrame, keep_old: bool = True) -> DataFr
 
 
 def upsert(
-    stored: DataFrame, new: DataFrame, keys: Sequence[str] = ("code", "date"), keep: str = "new", seq: str | None = None
+    stored: DataFrame, new: DataFrame, keys: Sequence[str] = ("code", "date"), keep: str = "new", seq: str | None = None,
+    deal: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Union with one row per key: the new one, or with ``keep="old"`` the stored one.
 
     If one side may repeat a key, ``seq`` names its arrival order: keeping new keeps
-    the last arrival, keeping old the first.
+    the last arrival, keeping old the first. ``deal`` places the rows of both sides before one is chosen.
     """
     rank = {"new": (0, 1), "old": (1, 0)}[keep]
     both = stored.withColumn("__p", F.lit(rank[0])).unionByName(
         new.withColumn("__p", F.lit(rank[1])), allowMissingColumns=True
     )
     order = [] if seq is None else [F.col(seq) if keep == "new" else -F.col(seq)]
-    return _pick(both, keys, ["__p", *order], drop=["__p"])
+    return _pick(both if deal is None else deal(both), keys, ["__p", *order], drop=["__p"])
 
 
 def merge_constituents(stored: DataFrame, fetched: DataFrame, force: bool = False) -> DataFrame:

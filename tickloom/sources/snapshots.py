@@ -2,7 +2,8 @@
 
 A table is a folder of data files and manifests. A manifest lists the files of one snapshot
 with the codes and dates they hold; files of a year tile the codes, each from its ``lo`` to the
-next one's. A load finds the files its rows fall into, writes their merged rows anew beside
+next one's. What it lists is the folder of a file, as a large one is written in parts by several
+tasks. A load finds the files its rows fall into, writes their merged rows anew beside
 them, and commits a manifest that has the new files in their place. Files are never changed,
 so readers of older snapshots go on, and a load that fails leaves nothing but files that no
 manifest names.
@@ -25,6 +26,10 @@ from tickloom.session import cut_lineage, remove
 
 #: Rows of a file, about; one code's year is never cut.
 FILE_ROWS = 4_000_000
+#: Rows of a file that one task writes, about.
+PART_ROWS = 1 << 16
+#: A file's folder in the path of one of its parts.
+FOLDER = "(data/v=[^/]+/year=[^/]+/piece=[^/]+)"
 ENTRY = "file string, year int, lo string, rows long, min_code string, max_code string, min_date date, max_date date"
 
 
@@ -121,18 +126,23 @@ def _place(keys: DataFrame, groups: DataFrame) -> DataFrame:
     return both.withColumn("lo", F.last("lo", ignorenulls=True).over(upto)).filter("k = 1").select("year", "c", "lo")
 
 
-def _cut(rows: DataFrame, file_rows: int) -> DataFrame:
-    """(year, __lo, c, piece, lo): codes of every group in pieces of about ``file_rows`` rows, numbered in a year.
+def _cut(days: DataFrame, file_rows: int) -> DataFrame:
+    """One row per code and year of ``days`` (year, __lo, c, date): the piece its rows go into, numbered in a year.
 
-    A group of that many rows at most stays one piece. Works on one row per code and year.
+    Codes of every group are cut in pieces of about ``file_rows`` rows, a group of that many rows at most stays one;
+    ``__part`` cuts a piece for the tasks that write it. Also has the rows ``n`` and the first and last date.
     """
-    counts = rows.groupBy("year", "__lo", "c").agg(F.count("*").alias("n"))
+    days = days.repartition("year", "__lo", "c").distinct()
+    counts = days.groupBy("year", "__lo", "c").agg(
+        F.count("*").alias("n"), F.min("date").alias("first"), F.max("date").alias("last")
+    )
     group = Window.partitionBy("year", "__lo")
     before = F.sum("n").over(group.orderBy("c").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
-    counts = counts.withColumn("at", F.floor(before / F.lit(file_rows)))
+    counts = counts.withColumn("before", before)
+    counts = counts.withColumns({"at": F.floor(F.col("before") / file_rows), "__part": F.floor(F.col("before") / PART_ROWS)})
     first = F.when(F.col("at") == 0, F.col("__lo")).otherwise(F.min("c").over(Window.partitionBy("year", "__lo", "at")))
     counts = counts.withColumn("lo", first)
-    return counts.withColumn("piece", F.dense_rank().over(Window.partitionBy("year").orderBy("lo"))).drop("n", "at")
+    return counts.withColumn("piece", F.dense_rank().over(Window.partitionBy("year").orderBy("lo"))).drop("__lo", "at", "before")
 
 
 def change(
@@ -170,45 +180,38 @@ def change(
     files = listed.join(touched, ["year", "lo"], "left_semi")
     names = [r.file for r in files.select("file").collect()]
 
+    at = {"year": F.year("date"), "c": c}
+    lo = placed.select("year", "c", F.coalesce("lo", F.lit("")).alias("__lo"))
+    days = rows.select(F.year("date").alias("year"), c, "date").join(lo, ["year", "c"]).select("year", "__lo", "c", "date")
     old = _open(spark, path, schema, names)
-    home = files.select(F.col("file").alias("__file"), F.col("lo").alias("__lo"))
+    stays = lambda df: df.join(rows.select("code").distinct(), "code", "left_anti") if whole_codes else df
     if names:
-        own = F.regexp_extract(F.col("_metadata.file_path"), "(data/v=[^/]+/year=[^/]+/piece=[^/]+/[^/]+)$", 1)
-        old = old.withColumn("__file", own).join(home, "__file").drop("__file")
-    else:
-        old = old.withColumn("__lo", F.lit("").cast("string"))
-    if whole_codes:
-        old = old.join(rows.select("code").distinct(), "code", "left_anti")
-    lo = placed.select("year", "c", F.coalesce("lo", F.lit("")).alias("__lo"))
-    new = rows.withColumns({"year": F.year("date"), "c": F.col("code").cast("string")}).join(lo, ["year", "c"]).drop("year", "c")
-    merged = upsert(old, new, keep=keep).withColumns({"year": F.year("date"), "c": F.col("code").cast("string")})
-    merged = cut_lineage(merged)
-    pieces = cut_lineage(_cut(merged, file_rows))
+        home = files.select(F.regexp_extract("file", FOLDER, 1).alias("__file"), F.col("lo").alias("__lo")).distinct()
+        own = F.regexp_extract(F.col("_metadata.file_path"), f"{FOLDER}/[^/]+$", 1)
+        held = stays(old.select("code", "date", own.alias("__file")))
+        days = days.unionByName(held.join(home, "__file").select(F.year("date").alias("year"), "__lo", c, "date"))
+    # Where rows go follows from codes and dates alone, so that whole rows are only dealt to who writes them.
+    pieces = cut_lineage(_cut(days, file_rows))
 
     folder = f"data/v={version + 1}-{uuid.uuid4().hex[:8]}"
-    out = merged.join(pieces.select("year", "c", "piece"), ["year", "c"]).select(*schema.names, "year", "piece")
-    dealt = out.repartition("year", "piece").sortWithinPartitions("year", "piece", "code", "date")
+    place = ["year", "piece", "__part"]
+    whose = pieces.select("year", "c", "piece", "__part")
+    deal = lambda both: both.withColumns(at).join(whose, ["year", "c"]).drop("c").repartition(*place)
+    merged = upsert(stays(old), rows, [*place, "code", "date"], keep, deal=deal)
+    dealt = merged.sortWithinPartitions(*place, "code", "date").select(*schema.names, "year", "piece")
     dealt.write.partitionBy("year", "piece").option("compression", "zstd").parquet(f"{path}/{folder}")
-    entries = _entries(spark, path, folder, schema, pieces) if not merged.isEmpty() else spark.createDataFrame([], ENTRY)
     name = f"manifests/v={version + 1}-{uuid.uuid4().hex[:8]}"
-    listed.join(touched, ["year", "lo"], "left_anti").unionByName(entries).write.parquet(f"{path}/{name}")
+    listed.join(touched, ["year", "lo"], "left_anti").unionByName(_entries(pieces, folder)).write.parquet(f"{path}/{name}")
     _write_commit(spark, path, version + 1, {"manifest": name, "schema": schema.jsonValue()})
     return version + 1
 
 
-def _entries(spark: SparkSession, path: str, folder: str, schema: StructType, pieces: DataFrame) -> DataFrame:
-    """Manifest rows of the files just written; reads their codes and dates."""
-    kinds = StructType([f for f in schema if f.name in ("code", "date")]).add("year", IntegerType()).add("piece", IntegerType())
-    written = spark.read.schema(kinds).parquet(f"{path}/{folder}").select("*", F.col("_metadata.file_name").alias("name"))
-    c = F.col("code").cast("string")
-    found = written.groupBy("year", "piece", "name").agg(
-        F.count("*").alias("rows"), F.min(c).alias("min_code"), F.max(c).alias("max_code"),
-        F.min("date").alias("min_date"), F.max("date").alias("max_date"),
-    )
-    file = F.concat(F.lit(f"{folder}/year="), F.col("year").cast("string"), F.lit("/piece="), F.col("piece").cast("string"), F.lit("/"), "name")
-    starts = pieces.select("year", "piece", "lo").distinct()
-    return found.join(starts, ["year", "piece"]).select(
-        file.alias("file"), "year", "lo", "rows", "min_code", "max_code", "min_date", "max_date"
+def _entries(pieces: DataFrame, folder: str) -> DataFrame:
+    """Manifest rows of the files written to ``folder``: all they say is known before."""
+    file = F.concat(F.lit(f"{folder}/year="), F.col("year").cast("string"), F.lit("/piece="), F.col("piece").cast("string"))
+    return pieces.groupBy(file.alias("file"), "year", "lo").agg(
+        F.sum("n").alias("rows"), F.min("c").alias("min_code"), F.max("c").alias("max_code"),
+        F.min("first").alias("min_date"), F.max("last").alias("max_date"),
     )
 
 
