@@ -238,6 +238,52 @@ def test_votes_are_made_after_the_last_quote_of_a_scan_is_chosen(spark):
     assert above.count("Aggregate [") == 1 and below.count("Aggregate [") == 2
 
 
+def _last_plan(stream, base, capsys):
+    """The plan of the last batch of a stream that runs over what is there."""
+    query = (
+        stream.writeStream.format("noop").outputMode("append").option("checkpointLocation", f"{base}/ckpt")
+        .trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    capsys.readouterr()
+    query.explain()
+    return capsys.readouterr().out
+
+
+def test_what_a_watermark_closes_is_not_broadcast(spark, tmp_path, capsys):
+    """Scans are closed by a batch without new quotes, which Spark takes for empty."""
+    from test_trading import live_bars
+
+    from tickloom.operators.live import live_state
+
+    kinds = "code string, ts timestamp, price double, event_id long"
+    rows = [r for rows in _quotes(random.Random(3), 2) for r in rows]
+    spark.createDataFrame(rows, kinds).coalesce(1).write.parquet(str(tmp_path / "in"))
+    live_state(live_bars(spark)).write.parquet(str(tmp_path / "state"))
+    quotes, state = spark.readStream.schema(kinds).parquet(str(tmp_path / "in")), spark.read.parquet(str(tmp_path / "state"))
+    for name, made in {"merged": scans.merged_signals(quotes, state, tie="event_id"), "scored": qs.score_stream(quotes, state)}.items():
+        plan = _last_plan(made, tmp_path / name, capsys)
+        assert "StateStoreSave" in plan and "ShuffledHashJoin" in plan and "Broadcast" not in plan
+
+
+@pytest.mark.parametrize("name, step", [("t07_merged_signal_stream", (scans, "split_late")), ("t13_scan_cadence", (qs, "run_scans"))])
+def test_quotes_are_not_broadcast_to_their_last_close(spark, tmp_path, capsys, monkeypatch, name, step):
+    """Files of quotes are a fraction of the rows in them, so that Spark takes large batches for small."""
+    from tickloom.plans.catalog import QUERIES
+
+    seen = []
+
+    def take(ticks, *args, **kwargs):
+        seen.append(ticks)
+        raise InterruptedError
+
+    monkeypatch.setattr(*step, take)
+    with pytest.raises(InterruptedError):
+        QUERIES[name](spark, SF_DIR)
+    plan = _last_plan(seen[0], tmp_path, capsys)
+    assert "ShuffledHashJoin" in plan and "Broadcast" not in plan
+
+
 def test_a_repeated_batch_is_not_split_twice(spark, tmp_path):
     from tickloom.streaming.state import publish
 

@@ -9,6 +9,7 @@ from tickloom.operators import portfolio as pf
 from tickloom.operators import quality as q
 from tickloom.operators import votes as vt
 from tickloom.operators.live import live_state
+from tickloom.operators.panel import latest_row
 from tickloom.plans import views as v
 from tickloom.plans.catalog.ingest_queries import INGEST, LOG, load, run_log
 from tickloom.plans.catalog.live_queries import SCAN
@@ -219,6 +220,14 @@ def _quote_stream(spark, d, batches=1):
     )
 
 
+def _ticks(spark, d, bars, batches=1):
+    """Quotes as a stream, around the last close of their code: 85% of it plus value / 200."""
+    quotes, last = _quote_stream(spark, d, batches), cut_lineage(latest_row(bars, ["close"]))
+    return quotes.join(qs.beside(quotes, last), "code").select(
+        "event_id", "code", "ts", (F.col("close") * (0.85 + F.col("price") / 200)).alias("price")
+    )
+
+
 def _run(df, spark, mode="append"):
     """Run a stream over what is there into Parquet and return the result as a table."""
     base = shared_dir(spark)
@@ -342,14 +351,9 @@ def t09_batches(spark, d):
 )
 def t13(spark, d):
     """The whole scan as one stream: a quote per code and minute, scored, gated, one batch per trigger."""
-    from tickloom.operators.panel import latest_row
-
     base = shared_dir(spark)
     bars = v.stored_m(spark, d)
-    last = latest_row(bars, ["close"])
-    ticks = _quote_stream(spark, d).join(last, "code").select(
-        "event_id", "code", "ts", (F.col("close") * (0.85 + F.col("price") / 200)).alias("price")
-    )
+    ticks = _ticks(spark, d, bars)
     # History does not change while the stream runs: its state is one stored row per code.
     state = cut_lineage(live_state(bars))
 
@@ -373,13 +377,9 @@ def t13(spark, d):
 )
 def t02_stream(spark, d):
     """Quotes scored as a stream: minutes appear once the watermark has passed their end."""
-    from tickloom.operators.panel import latest_row
-
     bars = v.stored_m(spark, d)
-    last, state = latest_row(bars, ["close"]), cut_lineage(live_state(bars))
-    ticks = _quote_stream(spark, d, 3).join(last, "code").select(
-        "event_id", "code", F.col("ts").cast("timestamp").alias("ts"), (F.col("close") * (0.85 + F.col("price") / 200)).alias("price")
-    )
+    state = cut_lineage(live_state(bars))
+    ticks = _ticks(spark, d, bars, 3).withColumn("ts", F.col("ts").cast("timestamp"))
     out = _run(qs.score_stream(ticks, state, tie="event_id"), spark)
     return out.select("code", F.col("window.start").cast("timestamp_ntz").alias("minute"), "strategy", "side", r("score").alias("score"))
 
@@ -399,14 +399,10 @@ HEARD = dict(
 
 def _merged_stream(spark, d, rule):
     """Quotes in five micro-batches, late ones kept aside, through three stateful operators of one query."""
-    from tickloom.operators.panel import latest_row
-
     base = shared_dir(spark)
     bars = v.stored_m(spark, d)
-    last, state = latest_row(bars, ["close"]), cut_lineage(live_state(bars))
-    ticks = _quote_stream(spark, d, 5).join(last, "code").select(
-        "event_id", "code", F.col("ts").cast("timestamp").alias("ts"), (F.col("close") * (0.85 + F.col("price") / 200)).alias("price")
-    )
+    state = cut_lineage(live_state(bars))
+    ticks = _ticks(spark, d, bars, 5).withColumn("ts", F.col("ts").cast("timestamp"))
     scans.split_late(ticks, base, f"{base}/split", trigger={"availableNow": True}).awaitTermination()
     made = scans.merged_signals(scans.read_ontime(spark, base, ticks.schema), state, rule, tie="event_id")
     return _run(made, spark).select(

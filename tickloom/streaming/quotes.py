@@ -81,17 +81,27 @@ def keep_latest(
     return quotes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
+def beside(quotes: DataFrame, static: DataFrame) -> DataFrame:
+    """The static side, one row per code, of a join with ``quotes``: shuffled if they are a stream.
+
+    What a watermark closes comes out of a batch without new quotes, which Spark takes for
+    empty, and a batch with new ones for as small as its files are compressed: left to choose,
+    it would broadcast the quotes through the driver.
+    """
+    return static.hint("shuffle_hash") if quotes.isStreaming else static
+
+
 def score_stream(
     quotes: DataFrame, state: DataFrame, strategies=None, lateness: str = LATENESS, tie: str | None = None
 ) -> DataFrame:
     """Stream-static join: last quote per code and minute, scored by every strategy.
 
-    The static side has one row per code. Spark broadcasts it when its size allows and
-    otherwise shuffles both sides.
+    The static side has one row per code. Both sides are shuffled, of the quotes at most one
+    per code and minute, so that no code is large.
     """
     limited = last_per_window(quotes.withWatermark("ts", lateness), tie=tie)
     names = {} if strategies is None else {"strategies": tuple(strategies)}
-    return score_quotes(limited, state, **names)
+    return score_quotes(limited, beside(limited, state), **names)
 
 
 def score_batch(
@@ -113,6 +123,6 @@ def run_scans(
 
 
 __all__ = [
-    "LATENESS", "RECOMPUTE_EVERY", "SCAN_EVERY", "keep_latest", "last_per_window", "latest", "latest_state", "read_files",
+    "LATENESS", "RECOMPUTE_EVERY", "SCAN_EVERY", "beside", "keep_latest", "last_per_window", "latest", "latest_state", "read_files",
     "read_kafka", "run_scans", "score_batch", "score_stream",
 ]

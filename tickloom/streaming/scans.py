@@ -17,7 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tickloom.operators import votes as vt
 from tickloom.operators.live import scorable, score_quotes
-from tickloom.streaming.quotes import LATENESS, RECOMPUTE_EVERY, SCAN_EVERY, last_per_window
+from tickloom.streaming.quotes import LATENESS, RECOMPUTE_EVERY, SCAN_EVERY, beside, last_per_window
 from tickloom.streaming.state import KeyedState, publish
 
 
@@ -76,7 +76,7 @@ def merged_signals(
     """
     if quotes.isStreaming:
         quotes = quotes.withWatermark("ts", lateness)
-    last = last_per_window(quotes, minute, tie)
+    last, state = last_per_window(quotes, minute, tie), beside(quotes, state)
     names = {} if strategies is None else {"strategies": tuple(strategies)}
     # Every strategy votes on every quote that can be scored, so its last vote of a scan is that on the scan's last such quote.
     heard = scorable(last, state).withColumn("at", F.window_time("window"))
